@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 
 def _vocabulary_path() -> str:
     import public_tokenizers
@@ -15,9 +17,22 @@ def _vocabulary_path() -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .transport import media_digests
+
+    return media_digests(_table(spark, sf_dir, "documents"))
+
+
+def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lsh_forest import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_digests
 
