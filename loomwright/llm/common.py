@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 import numpy as np
@@ -71,3 +72,22 @@ class RollingHash:
             return splitmix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = splitmix(np.arange(1, 257, dtype=np.uint64))
+_ROLLING = RollingHash()
+
+
+def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\x20\x09-\x0D]+`` of several byte strings, and where each string's words begin (one more at the end)."""
+    joined = b"\n".join(data) + b"\n"
+    a = np.frombuffer(joined, np.uint8)
+    blank = _BLANK[a]
+    edge = np.diff(blank.astype(np.int8), prepend=1)
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero((edge == 1) & (np.arange(len(a)) > 0))
+    h = _ROLLING.slices(_BYTES[a], starts, ends)
+    for i in np.flatnonzero(ends - starts > 256).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(joined[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    limits = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) + 1)
+    first = np.searchsorted(starts, np.concatenate(([0], limits)))
+    return h, first

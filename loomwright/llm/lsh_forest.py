@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RollingHash, cut, splitmix, text_or_empty
+from .common import cut, splitmix, text_or_empty, word_hashes
 from .components import components
 
 TREES, DEPTH = 20, 4
@@ -38,13 +38,9 @@ SMALL = 8  #: sets of a region whose pairs are all candidates
 NEAR = 2  #: neighbours in the order of a larger region
 BLOCK = 256  #: sets compared with as many others at once
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_BYTES = splitmix(np.arange(1, 257, dtype=np.uint64))
 _PLACES = splitmix(np.arange(1001, 1100, dtype=np.uint64)) | np.uint64(1)
 _SCALE = (splitmix(np.arange(5001, 5001 + MINIMA, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFT = (splitmix(np.arange(9001, 9001 + MINIMA, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-_ROLLING = RollingHash()
 
 
 def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
@@ -63,16 +59,7 @@ def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
 
 
 def _sets(data: list[bytes], words: int) -> list[np.ndarray]:
-    joined = b"\n".join(data) + b"\n"
-    a = np.frombuffer(joined, np.uint8)
-    blank = _BLANK[a]
-    edge = np.diff(blank.astype(np.int8), prepend=1)
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero((edge == 1) & (np.arange(len(a)) > 0))
-    h = _ROLLING.slices(_BYTES[a], starts, ends)
-    for i in np.flatnonzero(ends - starts > 256).tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(joined[starts[i] : ends[i]], digest_size=8).digest(), "little")
-    limits = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) + 1)
-    first = np.searchsorted(starts, np.concatenate(([0], limits)))
+    h, first = word_hashes(data)
     with np.errstate(over="ignore"):
         n = max(0, len(h) - words + 1)
         runs = np.zeros(n, np.uint64)
