@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 
 
-def _vocabulary_path() -> str:
+def vocabulary_path() -> str:
     import public_tokenizers
 
     return os.environ.get("LOOMWRIGHT_BPE", public_tokenizers.path("byte_bpe_50k.json"))
@@ -21,6 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .transport import media_digests
 
@@ -39,16 +45,22 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .permutation_index import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_digests
 
-    return token_digests(_table(spark, sf_dir, "documents"), _vocabulary_path())
+    return token_digests(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary_path())
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
