@@ -27,6 +27,15 @@ def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .edit_counts import edited_counts, standard_edits
+
+    docs = _table(spark, sf_dir, "documents")
+    return edited_counts(docs, standard_edits(F.coalesce(F.col("text"), F.lit(""))), vocabulary_path())
+
+
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .transport import media_digests
 
@@ -45,12 +54,24 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudo_likelihood import document_scores
+
+    return document_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .permutation_index import search
 
     return search(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perspectives import rotate
+
+    return rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_digests
 
@@ -69,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .perspectives import ORACLE as perspectives
     from .pii import ORACLE as personal_data
 
-    return {"op5_personal_data": personal_data}
+    return {"op5_personal_data": personal_data, "op8_perspective_rotation": perspectives}
