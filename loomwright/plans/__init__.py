@@ -1,5 +1,11 @@
 """Registered plans: each module wires operators to tables and gives the SQL to compare with."""
 
+import importlib
+
+MODULES = ("corpus",)
+
 
 def load() -> None:
     """Import every module here that registers queries."""
+    for name in MODULES:
+        importlib.import_module(f"{__name__}.{name}")
