@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("corpus",)
+MODULES = ("corpus", "scoring")
 
 
 def load() -> None:
