@@ -84,8 +84,8 @@ def iso_date_evidenced(value: Column, query: Column) -> Column:
     """Whether a YYYY-MM-DD value is told by the query: its year, its month as a name or ``m/``, and its day as a number or ordinal."""
     part = lambda i: F.regexp_extract(value, r"^(\d{4})-(\d{2})-(\d{2})", i)
     q = F.lower(query)
-    month, day = F.expr("0"), part(3).try_cast("int")
-    month = part(2).try_cast("int")
-    name = F.try_element_at(F.array(*map(F.lit, MONTHS)), F.when(month.between(1, 12), month).otherwise(F.lit(13)))
-    said = F.contains(q, name) | F.contains(q, F.concat(month.cast("string"), F.lit("/")))
-    return F.coalesce(value.rlike(r"^\d{4}-\d{2}-\d{2}") & F.contains(q, part(1)) & said & F.regexp_like(q, F.concat(F.lit(r"\b0?"), day.cast("string"), F.lit(r"(st|nd|rd|th)?\b"))), F.lit(False))
+    month, day = part(2).try_cast("int"), part(3).try_cast("int")
+    valid = month.between(1, 12)
+    name = F.element_at(F.array(*map(F.lit, MONTHS)), F.when(valid, month).otherwise(F.lit(1)))
+    said = valid & (F.contains(q, name) | F.contains(q, F.concat(month.cast("string"), F.lit("/"))))
+    return F.coalesce(value.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.contains(q, part(1)) & said & F.regexp_like(q, F.concat(F.lit(r"\b0?"), day.cast("string"), F.lit(r"(st|nd|rd|th)?\b"))), F.lit(False))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("corpus", "scoring")
+MODULES = ("corpus", "scoring", "validation")
 
 
 def load() -> None:
