@@ -42,10 +42,12 @@ def lower_type(c: Column) -> Column:
 
 
 def annotation_type(c: Column) -> Column:
-    """JSON type of a Python annotation: lists, mappings and optionals by their outer name; nothing is a string."""
-    inner = F.regexp_replace(F.regexp_replace(F.trim(c), r"^(?:typing\.)?Optional\[(.*)\]$", "$1"), r"\s*\|\s*None$", "")
-    outer = F.lower(F.regexp_extract(inner, r"^(?:typing\.)?([A-Za-z_]+)", 1))
-    return F.when(outer.isin("list", "sequence", "tuple", "set", "iterable"), "array").when(outer.isin("dict", "mapping"), "object").otherwise(python_type(F.coalesce(outer, F.lit(""))))
+    """JSON type of a Python annotation; capitalised generics by their outer name, Optional by what it holds, anything else is a string."""
+    inner = F.regexp_replace(F.trim(c), r"^Optional\[(.*)\]$", "$1")
+    outer = F.regexp_extract(inner, r"^([A-Za-z_]+)", 1)
+    generic = F.when(outer.isin("List", "Sequence", "Tuple"), "array").when(outer.isin("Dict", "Mapping"), "object").otherwise("string")
+    plain = F.when(inner.isin("str", "int", "float", "bool", "list", "dict", "Any"), python_type(inner)).otherwise("string")
+    return F.coalesce(F.when(F.contains(inner, F.lit("[")), generic).otherwise(plain), F.lit("string"))
 
 
 def parse(text: Column) -> Column:

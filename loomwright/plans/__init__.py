@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("corpus", "scoring", "validation")
+MODULES = ("corpus", "scoring", "validation", "tokens", "ingest")
 
 
 def load() -> None:
