@@ -11,10 +11,12 @@ from .common import cut
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every end of ``edges`` (two long columns); root is the smallest node of the component.
 
-    Each round sends every node to its smallest neighbour, follows one more
-    step, and contracts the edges. Rounds grow with the logarithm of the
-    longest chain. Minima are combined before the shuffle, so a node with very
-    many edges is no hot spot.
+    Each round sends every node to its smallest neighbour, follows these steps
+    to their ends (the distance doubles each time), and contracts the edges.
+    In two rounds every node that is left has taken in another one or gone
+    into one, so rounds and doublings grow with the logarithm of the
+    component. Minima are combined before the shuffle, so a node with very many
+    edges is no hot spot.
     """
 
     def normal(df: DataFrame, x, y) -> DataFrame:
@@ -28,8 +30,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("e")).select("e.*")
         step = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to"))
         step = cut(step)
-        second = step.select(F.col("node").alias("to"), F.col("to").alias("root"))
-        step = cut(step.join(second, "to").select("node", "root"))
+        moving = True
+        while moving:
+            further = step.select(F.col("node").alias("to"), F.col("to").alias("far"))
+            step = cut(step.join(further, "to").select("node", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+            moving = not step.filter("moved").isEmpty()
+        step = step.select("node", F.col("to").alias("root"))
         if nodes is None:
             nodes = step
         else:
