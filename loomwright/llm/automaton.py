@@ -6,7 +6,7 @@ that the merges produce. It is built by one gadget per merge, in rank order.
 The gadget of merge ``k``, (a, b) -> x, on the automaton built so far
 
 * adds the state ``x`` with a copy of the arcs that leave ``b``,
-* removes the arc ``b`` from state ``a``,
+* removes the arc ``b`` from state ``a`` (a gadget without that arc does nothing),
 * adds an arc ``x`` to every state that still has an arc ``a``.
 
 ``explicit_table`` does exactly that on a dense table. With 50,000 merges the
@@ -48,6 +48,8 @@ def explicit_table(n_symbols: int, merges: list[tuple[int, int]]) -> np.ndarray:
     allowed[:n_symbols, :n_symbols] = True
     for k, (a, b) in enumerate(merges):
         x = n_symbols + k
+        if not allowed[a, b]:  # no path for the gadget: the merge never applies
+            continue
         leaving = allowed[b].copy()
         allowed[a, b] = False
         allowed[:x, x] = allowed[:x, a]
@@ -72,13 +74,17 @@ class MergeAutomaton:
         self.left = list(range(size))
         self.right = list(range(size))
         self.removed: dict[int, int] = {}
+        alive = {i for label, i in vocab.items() if len(label) == 1}
         for k, (a, b) in enumerate(merges, 1):  # gadget k
             x, i, j = vocab[a + b], vocab[a], vocab[b]
-            self.removed.setdefault(i << 32 | j, k)
-            if not self.born[x] and len(a + b) > 1:
-                self.born[x], self.left[x], self.right[x] = k, i, j
+            if x in alive or i not in alive or j not in alive or not self._build(i, j):
+                continue  # no path for the gadget: the merge never applies
+            self.removed[i << 32 | j] = k
+            self.born[x], self.left[x], self.right[x] = k, i, j
+            alive.add(x)
         #: Labels that the merges can spell; others are never emitted.
-        self.emitted = {label: i for label, i in vocab.items() if self.born[i] or len(label) == 1}
+        self.emitted = {label: i for label, i in vocab.items() if i in alive}
+        self._alive = alive
         self._arcs: dict[int, bool] = {}
         self._compile_labels()
 
@@ -127,7 +133,7 @@ class MergeAutomaton:
         if known is None:
             if len(self._arcs) > 4_000_000:
                 self._arcs.clear()
-            known = self._arcs[key] = self._build(t, x)
+            known = self._arcs[key] = t in self._alive and x in self._alive and self._build(t, x)
         return known
 
     def _build(self, t: int, x: int) -> bool:
