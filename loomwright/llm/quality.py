@@ -28,7 +28,7 @@ from .common import splitmix, text_or_empty, word_hashes
 WORD_BINS = 1 << 15
 FACTORS = 8
 PER_CLASS = 3000  #: labelled rows of each class that the machine is fitted to, at most
-EPOCHS, RATE, DECAY, BATCH = 12, 0.06, 1e-4, 128
+EPOCHS, STEPS, RATE, DECAY, BATCH = 12, 400, 0.06, 1e-4, 128  # at least EPOCHS passes and STEPS steps
 THRESHOLD = 0.3
 
 # Byte classes for the statistics.
@@ -150,8 +150,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
     share = min(max(share, 0.01), 0.99)
     m = Machine(float(np.log(share / (1 - share))), np.zeros(N_FEATURES, np.float32), rng.normal(0, 0.02, (N_FEATURES, FACTORS)).astype(np.float32))
     gw, gv, gb = np.full(N_FEATURES, 1e-3, np.float32), np.full((N_FEATURES, FACTORS), 1e-3, np.float32), 1e-3
-    for _ in range(EPOCHS if len(rows) else 0):
-        for pick in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
+    batches = max(1, len(rows) // BATCH)
+    for _ in range(max(EPOCHS, -(-STEPS // batches)) if len(rows) else 0):
+        for pick in np.array_split(rng.permutation(len(rows)), batches):
             sizes = np.array([len(rows[i][0]) for i in pick])
             indices, values = (np.concatenate([rows[i][k] for i in pick]) for k in (0, 1))
             to = np.concatenate(([0], np.cumsum(sizes)))
