@@ -233,6 +233,7 @@ class BatchEncoder:
         self.values = splitmix(np.arange(0x110001, dtype=np.uint64))
         self.rolling = RollingHash()
         self._library = None
+        self.memo: dict[str, int] = {}  # token counts of single words
         self._forget()
 
     def _forget(self) -> None:

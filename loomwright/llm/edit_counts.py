@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from .common import text_or_empty
 from .tokens import vocabulary
 
 LEAF = 32  #: words in a leaf
+#: The public byte-level BPE pattern (a fixed value), for short windows of characters below ``SURE``, which all Unicode versions class alike.
+WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+SURE, SHORT, MEMO = "\u0220", 4096, 1 << 18
 EDITS = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -33,6 +37,19 @@ def split_words(encoder: BatchEncoder, text: str) -> tuple[np.ndarray, np.ndarra
         if isinstance(part, int):
             lengths.append(np.array([len(encoder.automaton.labels[part].decode())]))
             counts.append(np.ones(1, np.int64))
+        elif part and len(part) < SHORT and max(part) < SURE:
+            words = WORDS.findall(part)
+            memo = encoder.memo
+            if len(memo) > MEMO:
+                memo.clear()
+            per = []
+            for w in words:
+                n = memo.get(w)
+                if n is None:
+                    n = memo[w] = len(encoder.automaton.encode_word(w.encode()))
+                per.append(n)
+            lengths.append(np.fromiter(map(len, words), np.int64, len(words)))
+            counts.append(np.array(per, np.int64))
         elif part:
             got = encoder.words([part])
             if got is None:
@@ -42,6 +59,8 @@ def split_words(encoder: BatchEncoder, text: str) -> tuple[np.ndarray, np.ndarra
             else:
                 lengths.append(got[0][:-1])
                 counts.append(encoder.count[got[1][:-1]].astype(np.int64))
+    if len(lengths) == 1:
+        return lengths[0], counts[0]
     return (np.concatenate(lengths), np.concatenate(counts)) if lengths else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
