@@ -150,14 +150,14 @@ TYPE_NAMES = Literal(
     "id long, name string, python string, bfcl string, lowered string, annotation string",
     [
         (1, "str", "string", "str", "str", "string"),
-        (2, "int, optional", "integer", "int, optional", "int, optional", "integer"),
+        (2, "int, optional", "integer", "int, optional", "int, optional", "string"),
         (3, "float", "number", "number", "float", "number"),
         (4, "dict", "object", "object", "dict", "object"),
-        (5, "OBJECT", "object", "OBJECT", "object", "object"),
+        (5, "OBJECT", "object", "OBJECT", "object", "string"),
         (6, "List[int]", "string", "List[int]", "list[int]", "array"),
         (7, "Optional[float]", "string", "Optional[float]", "optional[float]", "number"),
         (8, "Dict[str, int]", "string", "Dict[str, int]", "dict[str, int]", "object"),
-        (9, "tuple", "string", "array", "tuple", "array"),
+        (9, "tuple", "string", "array", "tuple", "string"),
         (10, "any", "string", "string", "any", "string"),
         (11, "Widget", "string", "Widget", "widget", "string"),
     ],
