@@ -89,3 +89,28 @@ def iso_date_evidenced(value: Column, query: Column) -> Column:
     name = F.element_at(F.array(*map(F.lit, MONTHS)), F.when(valid, month).otherwise(F.lit(1)))
     said = valid & (F.contains(q, name) | F.contains(q, F.concat(month.cast("string"), F.lit("/"))))
     return F.coalesce(value.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.contains(q, part(1)) & said & F.regexp_like(q, F.concat(F.lit(r"\b0?"), day.cast("string"), F.lit(r"(st|nd|rd|th)?\b"))), F.lit(False))
+
+
+def normalized_example(df, query: str = "query", answers: str = "answers"):
+    """``df`` with NFKC on the query and on top-level text arguments of the calls; tools and nested values stay as they are.
+
+    ``answers`` is JSON text of a call list; malformed text stays as it is.
+    """
+    import json
+
+    table = str.maketrans(PUNCTUATION)
+    fold = lambda t: unicodedata.normalize("NFKC", t).translate(table)
+
+    def one(text: str | None) -> str | None:
+        if text is None or text.isascii():
+            return text
+        try:
+            calls = json.loads(text)
+            for c in calls:
+                c["arguments"] = {k: fold(v) if isinstance(v, str) else v for k, v in c["arguments"].items()}
+        except (ValueError, TypeError, KeyError, AttributeError):
+            return text
+        return json.dumps(calls, ensure_ascii=False, separators=(",", ":"))
+
+    run = F.pandas_udf(lambda s: s.map(one), "string")
+    return df.withColumns({query: nfkc(F.col(query)), answers: run(answers)})

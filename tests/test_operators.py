@@ -194,3 +194,11 @@ def test_streams(spark, tmp_path):
     assert ingest.drain(ingest.stream_new(stream), "t_new").count() == 2
     ingest.append_to(ingest.stream_new(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_normalized_example(spark):
+    from loomwright.functions.text import normalized_example
+
+    rows = [("say “hi”…", '[{"name":"f…","arguments":{"a":"ﬁ","n":{"x":"…"},"k":1}}]'), ("x", "torn …"), ("x", None)]
+    got = [tuple(r) for r in normalized_example(spark.createDataFrame(rows, "query string, answers string")).collect()]
+    assert got == [('say "hi"...', '[{"name":"f…","arguments":{"a":"fi","n":{"x":"…"},"k":1}}]'), ("x", "torn …"), ("x", None)]
