@@ -2,7 +2,9 @@
 
 Each distinct set of shingles has a signature of ``TREES * DEPTH`` minima. A
 tree of the forest orders the signatures from its own starting minimum on.
-Sets that agree on a tree's first ``DEPTH`` minima form a region of it. In a
+Sets that agree on a tree's first ``DEPTH`` minima form a region of it. The
+orders of all trees are cut into ranges, one for each task, and neighbours are
+found by going along a range and once more across the ends of ranges. In a
 small region every two sets are candidates. In a larger one the order goes on
 to deeper minima, and a set's candidates are the neighbours with the longest
 common prefix. Candidates whose signatures agree on too few minima are left
@@ -162,6 +164,74 @@ def _settle(percent: int):
     return run
 
 
+_WALKED = "kind string, region long, deeper binary, node long, n long, other long"
+
+
+def _walk(percent: int):
+    """Goes along one range of the trees' orders.
+
+    Gives the candidate ``pair``s of sets of one region, the members of larger
+    regions (``crowd``), and the first and last SMALL sets of the range
+    (``edge``), where a region may go on in another range. Sets within SMALL
+    places tell whether a region is larger, so no more are held.
+    """
+
+    def rows(kind: str, batch: pa.RecordBatch, at: np.ndarray, other: np.ndarray | None = None) -> pa.RecordBatch:
+        taken = batch.take(pa.array(at))
+        deeper = taken.column("deeper") if kind == "edge" else pa.nulls(len(at), pa.binary())
+        to = pa.nulls(len(at), pa.int64()) if other is None else batch.column("node").take(pa.array(other))
+        columns = [pa.repeat(kind, len(at)), taken.column("region"), deeper, taken.column("node"), taken.column("n"), to]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "region", "deeper", "node", "n", "other"])
+
+    def visit(batch: pa.RecordBatch, lo: int, hi: int):
+        """Pairs of the rows lo to hi with later ones, and which of them are in larger regions."""
+        region, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "n"))
+        together = np.ones(len(n), np.int64)
+        same = [region[: max(0, len(n) - k)] == region[k:] for k in range(SMALL + 1)]
+        for k in range(1, SMALL + 1):
+            together[: len(same[k])] += same[k]
+            together[len(n) - len(same[k]) :] += same[k]
+        crowd = together > SMALL
+        for k in range(1, SMALL):
+            at = lo + np.flatnonzero(same[k][lo:hi])
+            if k > NEAR:
+                at = at[~crowd[at]]
+            at = at[100 * np.minimum(n[at], n[at + k]) >= percent * np.maximum(n[at], n[at + k])]
+            yield rows("pair", batch, at, at + k)
+        yield rows("crowd", batch, lo + np.flatnonzero(crowd[lo:hi]))
+
+    def run(batches):
+        held, lo, seen = None, 0, 0  # rows kept, how many of them are done, rows of this range before ``held``
+        for batch in batches:
+            if held is not None:
+                batch = pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(held.columns, batch.columns, strict=True)], batch.schema.names)
+            hi = max(lo, len(batch) - SMALL)
+            yield from visit(batch, lo, hi)
+            yield rows("edge", batch, np.arange(lo, min(hi, SMALL - seen)))
+            begin = max(0, hi - SMALL)
+            held, lo, seen = batch.slice(begin), hi - begin, seen + begin
+        if held is not None:
+            yield from visit(held, lo, len(held))
+            yield rows("edge", held, np.arange(lo, len(held)))
+
+    return run
+
+
+def _across(edges: DataFrame, percent: int) -> DataFrame:
+    """Pairs and larger regions among the sets at the ends of ranges.
+
+    A small region that several ranges share lies here as a whole, and of a
+    larger one enough to tell that it is larger. There are at most 2 * SMALL
+    rows for each range.
+    """
+    whole, ordered = Window.partitionBy("region"), Window.partitionBy("region").orderBy("deeper", "node")
+    near = [F.lead(F.struct("node", "n"), k).over(ordered) for k in range(1, SMALL)]
+    rows = edges.select("region", "node", "n", F.count("*").over(whole).alias("size"), F.array(*near).alias("near"))
+    close = "filter(near, (x, i) -> x IS NOT NULL AND (size <= {0} OR i < {1}) AND 100 * least(n, x.n) >= {2} * greatest(n, x.n))".format(SMALL, NEAR, percent)
+    pairs = rows.select(F.lit("pair").alias("kind"), "region", "node", F.explode(F.expr(close)).alias("x")).select("kind", "region", "node", F.col("x.node").alias("other"))
+    return pairs.unionByName(rows.filter(f"size > {SMALL}").select(F.lit("crowd").alias("kind"), "region", "node", F.lit(None).cast("long").alias("other")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs``.
 
@@ -179,18 +249,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     twice = F.concat("signature", "signature")
     trees = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring("signature", 4 * DEPTH * t + 1, 4 * DEPTH)).alias("region"), F.substring(twice, 4 * DEPTH * (t + 1) + 1, 16).alias("deeper")) for t in range(TREES)]))
     posted = nodes.select("node", "n", trees.alias("t")).select("t.region", "t.deeper", "node", "n")
-    ordered = Window.partitionBy("region").orderBy("deeper", "node")
-    whole = Window.partitionBy("region")
-    near = [F.lead(F.struct("node", "n"), k).over(ordered) for k in range(1, SMALL)]
-    regions = cut(posted.select("region", "node", "n", F.count("*").over(whole).alias("size"), F.array(*near).alias("near")).filter("size > 1"))
-
-    close = "filter(near, (x, i) -> x IS NOT NULL AND (size <= {0} OR i < {1}) AND 100 * least(n, x.n) >= {2} * greatest(n, x.n))".format(SMALL, NEAR, percent)
-    found = regions.select("node", F.explode(F.expr(close)).alias("x")).select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+    # The trees' orders are cut into ranges, so that a region with very many sets lies in several tasks.
+    order = ["region", "deeper", "node"]
+    walked = cut(posted.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk(percent), _WALKED))
+    met = walked.drop("deeper", "n").unionByName(_across(walked.filter("kind = 'edge'"), percent))
+    found = met.filter("kind = 'pair'").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     signs = nodes.select("node", "signature")
     pairs = found.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(signs.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
     pairs = cut(pairs.filter(F.pandas_udf(_agreeing, "int")("sa", "sb") >= AGREE).select("a", "b"))
 
-    crowds = regions.filter(f"size > {SMALL}").select("region", "node")
+    crowds = met.filter("kind = 'crowd'").select("region", "node").distinct()
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowds.select("node")).distinct()
     wanted = needed.join(nodes.select("node", "doc_id", "print"), "node")
     sets = source.join(wanted, "doc_id").select("node", "print", "text").mapInArrow(_full_sets, "node long, shingles binary")

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import oracle_rows, rows_of
 from pyspark.sql import functions as F
@@ -269,3 +271,28 @@ def test_scores_of_odd_rows(spark):
     for r in got:
         assert (r["n_words"] == 0) == (r["mean_log_probability"] is None) and r["log_probability"] <= 0
     assert pseudo_likelihood.document_scores(clashing(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_ranges_join_to_whole_orders(spark, seed):
+    """Cutting the orders anywhere loses no pair of a small region and no member of a larger one."""
+    rng = random.Random(seed)
+    rows = sorted((rng.randint(0, [1, 5, 40, 300][seed % 4]), bytes([rng.randint(0, 255)]), i, 100) for i in range(rng.randint(1, 400)))
+    names = ["region", "deeper", "node", "n"]
+    cuts = sorted(rng.randint(0, len(rows)) for _ in range(seed))
+    walked = []
+    for a, b in itertools.pairwise([0, *cuts, len(rows)]):
+        parts = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : min(b, i + 1 + seed * 3)]], pa.schema([("region", pa.int64()), ("deeper", pa.binary()), ("node", pa.int64()), ("n", pa.int64())])) for i in range(a, b, 1 + seed * 3)]
+        walked += [r for part in lsh_forest._walk(85)(iter(parts)) for r in part.to_pylist()]
+    edges = [r for r in walked if r["kind"] == "edge"]
+    assert len(edges) <= 2 * lsh_forest.SMALL * (len(cuts) + 1) and len({r["node"] for r in edges}) == len(edges)
+    walked += [r.asDict() for r in lsh_forest._across(spark.createDataFrame([tuple(r.values()) for r in edges], lsh_forest._WALKED), 85).collect()]
+    regions = {}
+    for region, _, node, _ in rows:
+        regions.setdefault(region, []).append(node)
+    pairs = {(r["node"], r["other"]) for r in walked if r["kind"] == "pair"}
+    small, larger = ([v for v in regions.values() if (len(v) > lsh_forest.SMALL) == many] for many in (False, True))
+    assert {r["node"] for r in walked if r["kind"] == "crowd"} == {i for v in larger for i in v}
+    assert {p for p in pairs if any(p[0] in v for v in small)} == {p for v in small for p in itertools.combinations(v, 2)}
+    assert {(v[i], v[i + k]) for v in larger for k in (1, 2) for i in range(len(v) - k)} <= pairs
+    assert all(len({k for k, v in regions.items() if i in v} | {k for k, v in regions.items() if j in v}) == 1 for i, j in pairs)
