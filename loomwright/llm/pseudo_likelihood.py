@@ -3,22 +3,29 @@
 The network predicts every word's symbol from the two words on either side:
 their embeddings, a hidden layer, a softmax over all symbols. The commonest
 ``FREQUENT`` words of the whole corpus are symbols of their own; the others
-share ``SHARED`` symbols by hash. A document's score is the sum of the
-conditional log-probabilities of its words.
+share ``SHARED`` symbols by hash. A word of a shared symbol also has its own
+share of it, (n + 1) / (N + T + 1), from its count n and the N words and T
+distinct words of the symbol in the whole corpus; n = 0 is a word never seen.
+A document's score is the sum of the conditional log-probabilities of its
+words, log P(symbol | both sides) + log P(word | symbol).
+
+The counts stay distributed. Texts are dealt into blocks; each block asks for
+its own distinct words, a shuffle by word adds their counts up, and the counts
+above one come back to the block (a word of which none comes was counted once).
 
 Word counts cover every word of every document. Training covers every
 document: in each of ``ROUNDS`` rounds every partition runs gradient steps
 from the same start, on one in ``EVERY`` of its positions (chosen by a hash of
 the word and its place), and the results are averaged, weighted by the number
-of positions. Only the network's ``N`` numbers and the frequent words reach
-the driver.
+of positions. Only the network's ``N`` numbers, the frequent words and the
+totals of the shared symbols reach the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import splitmix, text_or_empty, word_hashes
@@ -31,6 +38,7 @@ LEAST_STEPS = 200  #: of a partition in a round; a small one goes over its posit
 SHAPES = {"embed": (SYMBOLS + 1, WIDTH), "mix": (2 * SIDE * WIDTH, HIDDEN), "mix0": (HIDDEN,), "out": (HIDDEN, SYMBOLS), "out0": (SYMBOLS,)}
 N = sum(int(np.prod(s)) for s in SHAPES.values())
 CHUNK = 1 << 20
+BLOCK = 1 << 23  #: bytes of text that are scored together, about
 
 
 class Network:
@@ -86,7 +94,7 @@ class Network:
 
 
 def symbols_of(texts: list[str], frequent: np.ndarray, rank: np.ndarray):
-    """Yields (symbols, contexts, places to learn from, first word of each text) for runs of the texts."""
+    """Yields (word hashes, symbols, contexts, places to learn from, first word of each text) for runs of the texts."""
     data = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
     at = 0
     while at < len(data):
@@ -106,7 +114,7 @@ def symbols_of(texts: list[str], frequent: np.ndarray, rank: np.ndarray):
         sides = [d for d in range(-SIDE, SIDE + 1) if d]
         context = np.stack([np.where((place >= -d) & (rest >= d), padded[SIDE + d : SIDE + d + len(h)], SYMBOLS) for d in sides], 1)
         learn = splitmix(h + place.astype(np.uint64)) % np.uint64(EVERY) == 0
-        yield symbol, context, learn, first
+        yield h, symbol, context, learn, first
         at = to
 
 
@@ -127,21 +135,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _texts(docs).select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame) -> tuple[Network, np.ndarray, np.ndarray]:
-    """The network, and the frequent words with their symbols."""
+def shares(n: np.ndarray, shared: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """log P(word | symbol) of words counted ``n`` times in the corpus whose shared symbols are ``shared``."""
+    return np.log(n + 1) - np.log(totals[shared].sum(1) + 1)
+
+
+def fit(docs: DataFrame) -> tuple[Network, np.ndarray, np.ndarray, np.ndarray]:
+    """The network, the frequent words with their symbols, and of each shared symbol its words and distinct words."""
     spark: SparkSession = docs.sparkSession
     counts = word_counts(docs)
     symbol = F.shiftrightunsigned("word", 59).cast("int")
-    total = {r["s"]: r["n"] for r in counts.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n")).collect()}
+    total = {r["s"]: (r["n"], r["words"]) for r in counts.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
     frequent, rank = words[order], np.arange(len(words))[order]
-    seen = np.zeros(SYMBOLS)
-    for k, r in enumerate(top):
-        seen[k] = r["n"]
+    seen, totals = np.zeros(SYMBOLS), np.zeros((SHARED, 2), np.int64)
     for s, n in total.items():
-        seen[FREQUENT + s] = n - sum(r["n"] for r, w in zip(top, words, strict=True) if int(w) >> 59 == s)
+        totals[s] = n
+    for k, (r, w) in enumerate(zip(top, words, strict=True)):
+        seen[k] = r["n"]
+        totals[int(w) >> 59] -= (r["n"], 1)
+    seen[FREQUENT:] = totals[:, 0]
     net = Network.start(seen)
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((net.numbers, frequent, rank))
@@ -150,7 +165,7 @@ def fit(docs: DataFrame) -> tuple[Network, np.ndarray, np.ndarray]:
             numbers, frequent, rank = shared.value
             local, n, steps, seen = Network(numbers.copy()), 0, 0, []
             for batch in batches:
-                for symbol, context, learn, _ in symbols_of(batch.column(0).to_pylist(), frequent, rank):
+                for _, symbol, context, learn, _ in symbols_of(batch.column(0).to_pylist(), frequent, rank):
                     local.learn(context[learn], symbol[learn])
                     n += int(learn.sum())
                     steps += -(-int(learn.sum()) // STEP)
@@ -167,7 +182,7 @@ def fit(docs: DataFrame) -> tuple[Network, np.ndarray, np.ndarray]:
         got = mean.toPandas()
         if len(got):
             net = Network(got.sort_values("i")["x"].to_numpy().round(5))
-    return net, frequent, rank
+    return net, frequent, rank, totals
 
 
 def document_scores(docs: DataFrame) -> DataFrame:
@@ -176,19 +191,37 @@ def document_scores(docs: DataFrame) -> DataFrame:
     A text without words, or a null one, has the sum 0 and a null mean.
     Repeated rows get the same score.
     """
-    net, frequent, rank = fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((net.numbers, frequent, rank))
-
-    def run(batches):
-        numbers, frequent, rank = shared.value
+    net, frequent, rank, totals = fit(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((net.numbers, frequent, rank, totals))
+    size = docs.select(F.sum(F.octet_length(text_or_empty())).alias("n")).collect()[0]["n"] or 0
+    texts = _texts(docs)
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // BLOCK)))
+
+    def ask(table: pa.Table) -> pa.Table:
+        frequent, data = shared.value[1], [t.encode("utf-8", "surrogatepass").lower() for t in table["text"].to_pylist()]
+        words, n = np.unique(word_hashes(data)[0], return_counts=True)
+        rare = ~np.isin(words, frequent)
+        return pa.table({"block": pa.array(np.full(rare.sum(), table["block"][0].as_py(), np.int64)), "word": pa.array(words[rare].view(np.int64)), "n": pa.array(n[rare].astype(np.int64))})
+
+    def score(table: pa.Table, counts: pa.Table) -> pa.Table:
+        numbers, frequent, rank, totals = shared.value
         network = Network(numbers)
-        for batch in batches:
-            n, sums = [], []
-            for symbol, context, _, first in symbols_of(batch.column(1).to_pylist(), frequent, rank):
-                to = np.concatenate(([0.0], np.cumsum(network.log_probability(context, symbol))))
-                n.append(np.diff(first))
-                sums.append(to[first[1:]] - to[first[:-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else []).cast(pa.int64()), pa.array(np.concatenate(sums).round(4) if sums else []).cast(pa.float64())], ["doc_id", "n_words", "log_probability"])
-
-    scored = _texts(docs).mapInArrow(run, "doc_id long, n_words long, log_probability double")
+        known, times = counts["word"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+        order = np.argsort(known)
+        # One more word that was counted once, so that the table is never empty.
+        known, times = np.append(known[order], np.uint64(2**64 - 1)), np.append(times[order], 1)
+        n, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for h, symbol, context, _, first in symbols_of(table["text"].to_pylist(), frequent, rank):
+            each = network.log_probability(context, symbol)
+            rare = symbol >= FREQUENT
+            found = np.searchsorted(known, h[rare])
+            each[rare] += shares(np.where(known[found] == h[rare], times[found], 1), symbol[rare] - FREQUENT, totals)
+            to = np.concatenate(([0.0], np.cumsum(each)))
+            n.append(np.diff(first))
+            sums.append(to[first[1:]] - to[first[:-1]])
+        return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(np.concatenate(n).astype(np.int64)), "log_probability": pa.array(np.concatenate(sums).round(4))})
+
+    asked = texts.groupBy("block").applyInArrow(ask, "block long, word long, n long")
+    counted = asked.withColumn("n", F.sum("n").over(Window.partitionBy("word"))).filter("n > 1")
+    scored = texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_probability double")
     return scored.withColumn("mean_log_probability", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")))

@@ -265,6 +265,23 @@ def test_gradient():
     assert np.exp(net.log_probability(np.repeat(context[:1], pseudo_likelihood.SYMBOLS, 0), np.arange(pseudo_likelihood.SYMBOLS))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_rare_words_have_their_own_share(spark, monkeypatch):
+    """Two rare words of one shared symbol are told apart by their counts, whatever the blocks; shares add up to one."""
+    shared = {}
+    for k in range(4000):
+        shared.setdefault(int(pseudo_likelihood.word_hashes([b"rare%d" % k])[0][0]) >> 59, []).append(f"rare{k}")
+    often, once = shared[0][:2]
+    common = " ".join(f"w{k}" for k in range(240))
+    rows = [(k, common + " " + common) for k in range(20)] + [(100 + k, often + " x" * 3) for k in range(5)] + [(200, once + " x" * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["log_probability"] for r in pseudo_likelihood.document_scores(docs).collect()}
+    assert got[100] - got[200] == pytest.approx(np.log(6 / 2), abs=2e-4)
+    monkeypatch.setattr(pseudo_likelihood, "BLOCK", 500)
+    assert {r["doc_id"]: r["log_probability"] for r in pseudo_likelihood.document_scores(docs).collect()} == pytest.approx(got, abs=2e-3)
+    n = np.array([5, 1, 1, 0])  # the last one stands for all words that were never seen
+    assert np.exp(pseudo_likelihood.shares(n, np.zeros(4, int), np.array([[7, 3]]))).sum() == pytest.approx(1)
+
+
 def test_scores_of_odd_rows(spark):
     got = pseudo_likelihood.document_scores(clashing(spark, ODD)).collect()
     assert len(got) == len(ODD)
