@@ -9,7 +9,9 @@ footrule are reranked by their true distance.
 
 All vectors are indexed. Rows are dealt into shards; a task holds the inverted
 files of one shard and a block of queries, both of bounded size. In each shard
-the same share of the vectors is reranked, at least ``LEAST``.
+the same share of the distinct vectors is reranked, at least ``LEAST``, and all
+that tie with the last of them. A shard's files hold each distinct vector once;
+those reranked are expanded to the ids of all their rows, smallest first.
 """
 
 from __future__ import annotations
@@ -60,6 +62,35 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+class Distinct:
+    """The distinct vectors of some rows, and the sorted ids of the rows of each."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
+        rows = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, 8 * x.shape[1]))).ravel()  # + 0.0: no negative zeros
+        _, first, group = np.unique(rows, return_index=True, return_inverse=True)
+        order = np.lexsort((ids, group))
+        self.x, self.ids = x[first], ids[order]
+        self.start = np.searchsorted(group[order], np.arange(len(first) + 1))
+
+    def nearest(self, pick: np.ndarray, query: int, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the ``k`` nearest rows among the vectors ``pick``, without the query's id, ties to the smaller id."""
+        score = distances(self.x[pick], vector)
+        ids, far, last = [], [], None
+        n = 0
+        for at in np.argsort(score, kind="stable").tolist():
+            if n >= k and score[at] > last:
+                break
+            these = self.ids[self.start[pick[at]] : self.start[pick[at] + 1]]
+            own = np.searchsorted(these, [query, query + 1])
+            these = np.concatenate((these[: own[0]][:k], these[own[1] :][:k]))[:k]
+            ids.append(these)
+            far.append(np.full(len(these), score[at]))
+            n, last = n + len(these), score[at]
+        ids, far = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0), *far])
+        best = np.lexsort((ids, far))[:k]
+        return ids[best], far[best]
+
+
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, width))
 
@@ -98,16 +129,15 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str = "
         ids, x = here["vec_id"].to_numpy(np.int64), _matrix(here["v"], width)
         out = []
         if len(ids) and len(asked):
-            files = InvertedFiles(nearest_pivots(x, pivots, prefix), len(pivots))
+            points = Distinct(ids, x)
+            files = InvertedFiles(nearest_pivots(points.x, pivots, prefix), len(pivots))
             q = _matrix(asked["v"], width)
-            budget = min(len(ids), max(LEAST, int(np.ceil(SHARE * len(ids)))))
+            budget = min(files.n, max(LEAST, int(np.ceil(SHARE * files.n))))
             for query, vector, seen in zip(asked["query_id"].to_numpy(np.int64), q, nearest_pivots(q, pivots, prefix), strict=True):
                 near = files.footrule(seen)
-                pick = np.argpartition(near, budget - 1)[:budget] if budget < len(ids) else np.arange(len(ids))
-                pick = pick[ids[pick] != query]
-                score = distances(x[pick], vector)
-                best = np.lexsort((ids[pick], score))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[pick][best], "score": score[best]}))
+                pick = np.flatnonzero(near <= np.partition(near, budget - 1)[budget - 1])
+                found, score = points.nearest(pick, query, vector, k)
+                out.append(pd.DataFrame({"query_id": query, "vec_id": found, "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
     keys = ["shard", "block"]

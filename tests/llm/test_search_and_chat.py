@@ -39,6 +39,28 @@ def test_footrule():
         assert files.footrule(np.array(q)).tolist() == want
 
 
+def skewed_recall(spark, monkeypatch):
+    """Recall of queries in and outside a group of identical vectors that holds a third of 6,000 rows."""
+    monkeypatch.setattr(permutation_index, "SHARD", 3000)
+    monkeypatch.setattr(permutation_index, "LEAST", 50)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 64)).round(3)
+    hot = rng.permutation(6000)[:2000]
+    x[hot] = x[hot[0]]
+    got = {}
+    for r in permutation_index.search(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = exact(range(6000), x)
+    inside = set(hot.tolist())
+    recall = lambda some: np.mean([len(got[q] & {i for _, i in want[q]}) / 10 for q in some])
+    return recall([q for q in want if q in inside]), recall([q for q in want if q not in inside])
+
+
+def test_identical_vectors_give_the_smallest_ids(spark, monkeypatch):
+    hot, _ = skewed_recall(spark, monkeypatch)
+    assert hot == 1
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [inf, 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (200, [0.0, 0.0]), (9, [])]
