@@ -1,6 +1,6 @@
 """Approximate nearest neighbours with a permutation index (operator 7).
 
-Pivots are a bounded sample of the vectors. A vector is represented by its
+Pivots are a bounded sample of the distinct vectors. A vector is represented by its
 ``PREFIX`` nearest pivots in order; each of them posts the vector, with its
 place, in that pivot's inverted file. For a query, the files of its own
 nearest pivots give every vector's footrule distance (a pivot that only one of
@@ -114,8 +114,10 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str = "
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, n = sizes[0]["width"], sizes[0]["n"]
     usable = usable.filter(F.size("v") == width)
-    order = F.xxhash64("vec_id")
-    pivots = np.array([r["v"] for r in usable.orderBy(order, "vec_id").limit(PIVOTS).select("v").collect()])
+    # The distinct vectors that come first in the order of their hashes.
+    of = F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0)))  # + 0.0: no negative zeros
+    chosen = [r["h"] for r in usable.select(of.alias("h")).distinct().orderBy("h").limit(PIVOTS).collect()]
+    pivots = np.array([r["v"] for r in usable.select(of.alias("h"), "v").filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("v").alias("v")).orderBy("h").collect()])
     prefix = min(PREFIX, len(pivots))
     shards = max(1, -(-n // SHARD))
     is_query = F.col("vec_id") % every == 0

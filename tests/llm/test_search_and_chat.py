@@ -61,6 +61,11 @@ def test_identical_vectors_give_the_smallest_ids(spark, monkeypatch):
     assert hot == 1
 
 
+def test_pivots_are_distinct(spark, monkeypatch):
+    _, outside = skewed_recall(spark, monkeypatch)
+    assert outside >= 0.9
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [inf, 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (200, [0.0, 0.0]), (9, [])]
