@@ -2,7 +2,8 @@
 
 Each distinct set of shingles has a signature of ``TREES * DEPTH`` minima. A
 tree of the forest orders the signatures from its own starting minimum on.
-Sets that agree on a tree's first ``DEPTH`` minima form a region of it. The
+Sets that agree on a tree's first ``DEPTH`` minima (fewer for a limit below 85)
+form a region of it. The
 orders of all trees are cut into ranges, one for each task, and neighbours are
 found by going along a range and once more across the ends of ranges. In a
 small region every two sets are candidates. In a larger one the order goes on
@@ -17,12 +18,14 @@ with all sets of the region, block by block. That emits links only.
 
 A pair with similarity 0.85 shares no region with probability
 (1 - 0.85**4)**20 = 4e-7, and agrees on fewer than 50 of 80 minima with
-probability 1e-7.
+probability 1e-7. For a limit of 0.8 regions are of 3 minima and 45 must be
+shared: (1 - 0.8**3)**20 = 6e-7, and 4e-07.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -36,6 +39,7 @@ from .components import components
 TREES, DEPTH = 20, 4
 MINIMA = TREES * DEPTH
 AGREE = 50  #: minima that a candidate pair must share
+MISS = 1e-6  #: at most so often a pair at the limit shares no region, or too few minima, where the limit is below 85
 SMALL = 8  #: sets of a region whose pairs are all candidates
 NEAR = 2  #: neighbours in the order of a larger region
 BLOCK = 256  #: sets compared with as many others at once
@@ -45,6 +49,16 @@ _SCALE = (splitmix(np.arange(5001, 5001 + MINIMA, dtype=np.uint64)) >> np.uint64
 _SHIFT = (splitmix(np.arange(9001, 9001 + MINIMA, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
+def bounds(percent: int) -> tuple[int, int]:
+    """Minima of a region, and minima that a candidate pair must share: DEPTH and AGREE for 85 and more, else the most that keep to MISS."""
+    if percent >= 85:
+        return DEPTH, AGREE
+    p = percent / 100
+    depth = max([d for d in range(1, DEPTH + 1) if (1 - p**d) ** TREES <= MISS], default=1)
+    fewer = np.cumsum([math.comb(MINIMA, k) * p**k * (1 - p) ** (MINIMA - k) for k in range(MINIMA + 1)])
+    return depth, int((fewer <= MISS).sum())
+
+
 def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
     """Of each text, the sorted distinct 64-bit hashes of its runs of ``words`` words (all words, if fewer)."""
     data = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
@@ -246,8 +260,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # One node for each distinct set: copies never meet in a pair.
     nodes = cut(some.groupBy("print").agg(F.min("at").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")))
 
+    depth, agree = bounds(percent)
     twice = F.concat("signature", "signature")
-    trees = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring("signature", 4 * DEPTH * t + 1, 4 * DEPTH)).alias("region"), F.substring(twice, 4 * DEPTH * (t + 1) + 1, 16).alias("deeper")) for t in range(TREES)]))
+    trees = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring("signature", 4 * DEPTH * t + 1, 4 * depth)).alias("region"), F.substring(twice, 4 * (DEPTH * t + depth) + 1, 16).alias("deeper")) for t in range(TREES)]))
     posted = nodes.select("node", "n", trees.alias("t")).select("t.region", "t.deeper", "node", "n")
     # The trees' orders are cut into ranges, so that a region with very many sets lies in several tasks.
     order = ["region", "deeper", "node"]
@@ -256,7 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = met.filter("kind = 'pair'").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     signs = nodes.select("node", "signature")
     pairs = found.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(signs.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-    pairs = cut(pairs.filter(F.pandas_udf(_agreeing, "int")("sa", "sb") >= AGREE).select("a", "b"))
+    pairs = cut(pairs.filter(F.pandas_udf(_agreeing, "int")("sa", "sb") >= agree).select("a", "b"))
 
     crowds = met.filter("kind = 'crowd'").select("region", "node").distinct()
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowds.select("node")).distinct()

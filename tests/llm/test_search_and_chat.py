@@ -132,6 +132,21 @@ def test_stages(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).collect() == []
 
 
+def test_copies_between_80_and_85_go(spark, sf_dir):
+    """Pairs with 100 shingles each, of which so many are common that the similarity is 0.80 to 0.85; one below stays."""
+    import corpus_pipeline as p
+
+    rows, gone = [], set()
+    for k, changed in enumerate([9, 10, 11] * 40 + [12] * 5):
+        words = [f"w{k}x{i}" for i in range(104)]
+        other = words[: 104 - changed] + [f"v{k}x{i}" for i in range(changed)]  # 100 - changed common of 100 + changed
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        if 100 * (100 - changed) >= 80 * (100 + changed):
+            gone.add(2 * k + 1)
+    kept = {r["doc_id"] for r in p.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()}
+    assert kept == {i for i, _ in rows} - gone and len(gone) == 120
+
+
 def test_run(spark, sf_dir):
     import corpus_pipeline as p
 
