@@ -13,11 +13,12 @@ The counts stay distributed. Texts are dealt into blocks; each block asks for
 its own distinct words, a shuffle by word adds their counts up, and the counts
 above one come back to the block (a word of which none comes was counted once).
 
-Word counts cover every word of every document. Training covers every
-document: in each of ``ROUNDS`` rounds every partition runs gradient steps
-from the same start, on one in ``EVERY`` of its positions (chosen by a hash of
-the word and its place), and the results are averaged, weighted by the number
-of positions. Only the network's ``N`` numbers, the frequent words and the
+Word counts cover every word of every document. Training covers every position
+of every document: in each of ``ROUNDS`` rounds every partition runs gradient
+steps from the same start, on the round's share of its positions (dealt to the
+rounds by a hash of the word and its place), and the results are averaged,
+weighted by the number of positions. A small corpus goes over its positions
+more often, by its number of words and however it is partitioned. Only the network's ``N`` numbers, the frequent words and the
 totals of the shared symbols reach the driver.
 """
 
@@ -33,8 +34,8 @@ from .common import splitmix, text_or_empty, word_hashes
 FREQUENT, SHARED = 224, 32
 SYMBOLS = FREQUENT + SHARED  # the symbol beyond the last one marks the edge of a document
 SIDE, WIDTH, HIDDEN = 2, 16, 16
-ROUNDS, EVERY, RATE, STEP = 2, 16, 0.1, 256
-LEAST_STEPS = 200  #: of a partition in a round; a small one goes over its positions again
+ROUNDS, RATE, STEP = 2, 0.1, 256
+LEAST_WORDS = 1 << 20  #: that a round goes over; the positions of a smaller corpus are repeated
 SHAPES = {"embed": (SYMBOLS + 1, WIDTH), "mix": (2 * SIDE * WIDTH, HIDDEN), "mix0": (HIDDEN,), "out": (HIDDEN, SYMBOLS), "out0": (SYMBOLS,)}
 N = sum(int(np.prod(s)) for s in SHAPES.values())
 CHUNK = 1 << 20
@@ -86,15 +87,15 @@ class Network:
             p[np.arange(len(t)), t] -= 1
             p /= len(t)
             back = (p @ self.out.T) * (1 - hidden * hidden)
-            embed = np.zeros_like(self.embed)
-            np.add.at(embed, c.ravel(), (back @ self.mix.T).reshape(-1, WIDTH))
-            slope = np.concatenate([embed.ravel(), (x.T @ back).ravel(), back.sum(0), (hidden.T @ p).ravel(), p.sum(0)])
+            cells = (c.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+            embed = np.bincount(cells, (back @ self.mix.T).ravel(), self.embed.size).astype(np.float32)
+            slope = np.concatenate([embed, (x.T @ back).ravel(), back.sum(0), (hidden.T @ p).ravel(), p.sum(0)])
             self.gains += slope * slope
             self.numbers -= RATE * slope / np.sqrt(self.gains)
 
 
 def symbols_of(texts: list[str], frequent: np.ndarray, rank: np.ndarray):
-    """Yields (word hashes, symbols, contexts, places to learn from, first word of each text) for runs of the texts."""
+    """Yields (word hashes, symbols, contexts, rounds to learn in, first word of each text) for runs of the texts."""
     data = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
     at = 0
     while at < len(data):
@@ -113,7 +114,7 @@ def symbols_of(texts: list[str], frequent: np.ndarray, rank: np.ndarray):
         padded = np.concatenate((np.full(SIDE, SYMBOLS), symbol, np.full(SIDE, SYMBOLS)))
         sides = [d for d in range(-SIDE, SIDE + 1) if d]
         context = np.stack([np.where((place >= -d) & (rest >= d), padded[SIDE + d : SIDE + d + len(h)], SYMBOLS) for d in sides], 1)
-        learn = splitmix(h + place.astype(np.uint64)) % np.uint64(EVERY) == 0
+        learn = splitmix(h + place.astype(np.uint64)) % np.uint64(ROUNDS)
         yield h, symbol, context, learn, first
         at = to
 
@@ -158,23 +159,24 @@ def fit(docs: DataFrame) -> tuple[Network, np.ndarray, np.ndarray, np.ndarray]:
         totals[int(w) >> 59] -= (r["n"], 1)
     seen[FREQUENT:] = totals[:, 0]
     net = Network.start(seen)
-    for _ in range(ROUNDS):
+    passes = min(100, -(-LEAST_WORDS // max(1, int(seen.sum()))))
+    for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((net.numbers, frequent, rank))
 
         def run(batches):
             numbers, frequent, rank = shared.value
-            local, n, steps, seen = Network(numbers.copy()), 0, 0, []
+            local, n, again = Network(numbers.copy()), 0, []
             for batch in batches:
                 for _, symbol, context, learn, _ in symbols_of(batch.column(0).to_pylist(), frequent, rank):
-                    local.learn(context[learn], symbol[learn])
-                    n += int(learn.sum())
-                    steps += -(-int(learn.sum()) // STEP)
-                    if steps < LEAST_STEPS:
-                        seen.append((context[learn], symbol[learn]))
-            while n and steps < LEAST_STEPS:
-                context, symbol = (np.concatenate(x) for x in zip(*seen, strict=True))
-                local.learn(context, symbol)
-                steps += -(-len(symbol) // STEP)
+                    mine = learn == turn
+                    local.learn(context[mine], symbol[mine])
+                    n += int(mine.sum())
+                    if passes > 1:  # fewer than LEAST_WORDS in the whole corpus
+                        again.append((context[mine], symbol[mine]))
+            if n and again:
+                context, symbol = (np.concatenate(x) for x in zip(*again, strict=True))
+                for _ in range(passes - 1):
+                    local.learn(context, symbol)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(N, dtype=np.int32)), pa.array(local.numbers.astype(np.float64) * n), pa.array(np.full(N, n, np.int64))], ["i", "x", "n"])
 

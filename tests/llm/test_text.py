@@ -282,6 +282,13 @@ def test_rare_words_have_their_own_share(spark, monkeypatch):
     assert np.exp(pseudo_likelihood.shares(n, np.zeros(4, int), np.array([[7, 3]]))).sum() == pytest.approx(1)
 
 
+def test_every_position_is_learned_once():
+    texts = [" ".join(f"w{i * k % 17}" for i in range(400)) for k in range(1, 30)]
+    turns = np.concatenate([learn for *_, learn, _ in pseudo_likelihood.symbols_of(texts, np.zeros(0, np.uint64), np.zeros(0, np.int64))])
+    used = [int((turns == turn).sum()) for turn in range(pseudo_likelihood.ROUNDS)]
+    assert sum(used) == len(turns) == 400 * 29 and min(used) > 0
+
+
 def test_scores_of_odd_rows(spark):
     got = pseudo_likelihood.document_scores(clashing(spark, ODD)).collect()
     assert len(got) == len(ODD)
