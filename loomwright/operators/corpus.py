@@ -51,10 +51,11 @@ def first_wins(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
     return rows.withColumn("rn__", F.row_number().over(w)).filter("rn__ = 1").drop("rn__")
 
 
-def unseen(rows: DataFrame, history: DataFrame, text: str = "text") -> DataFrame:
-    """Rows whose collapsed text does not occur in ``history``."""
+def unseen(rows: DataFrame, history: DataFrame, text: str = "text", *order: Column) -> DataFrame:
+    """Rows whose collapsed text does not occur in ``history``; given an order, only the first of those with equal texts."""
     seen = history.select(collapse(F.col(text)).alias("k__")).distinct()
-    return rows.withColumn("k__", collapse(F.col(text))).join(seen, "k__", "left_anti").drop("k__")
+    new = rows.withColumn("k__", collapse(F.col(text))).join(seen, "k__", "left_anti")
+    return (first_wins(new, F.col("k__"), *order) if order else new).drop("k__")
 
 
 def capped(rows: DataFrame, caps: dict[str, int], source: str, *order: Column) -> DataFrame:

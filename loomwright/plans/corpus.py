@@ -73,6 +73,19 @@ def dedup_vs_history(spark: SparkSession, d: str) -> DataFrame:
     return op.unseen(docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0")).select("doc_id")
 
 
+@query("dedup_vs_history_and_batch", f"SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND {COLLAPSE.format('text')} NOT IN (SELECT {COLLAPSE.format('text')} FROM documents WHERE doc_id % 2 = 0) QUALIFY row_number() OVER (PARTITION BY {COLLAPSE.format('text')} ORDER BY doc_id) = 1")
+def dedup_vs_history_and_batch(spark: SparkSession, d: str) -> DataFrame:
+    """As dedup_vs_history, and of equal new texts only the first stays."""
+    docs = table(spark, d, "documents").select("doc_id", F.md5(collapse(F.col("text"))).alias("text"))
+    return op.unseen(docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0"), "text", F.col("doc_id")).select("doc_id")
+
+
+@query("benchmark_firewall", f"SELECT doc_id FROM documents WHERE {SQUASH.format('text')} NOT IN (SELECT {SQUASH.format('text')} FROM benchmark)")
+def benchmark_firewall(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, all of them, whose squashed text is no benchmark item's."""
+    return op.exact_firewall(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark")).select("doc_id")
+
+
 MIX = {"src0": 1, "src1": 3, "src2": 6, "src3": 2, "src4": 1}
 
 

@@ -202,3 +202,16 @@ def test_normalized_example(spark):
     rows = [("say “hi”…", '[{"name":"f…","arguments":{"a":"ﬁ","n":{"x":"…"},"k":1}}]'), ("x", "torn …"), ("x", None)]
     got = [tuple(r) for r in normalized_example(spark.createDataFrame(rows, "query string, answers string")).collect()]
     assert got == [('say "hi"...', '[{"name":"f…","arguments":{"a":"fi","n":{"x":"…"},"k":1}}]'), ("x", "torn …"), ("x", None)]
+
+
+def test_unseen_keeps_one_of_equal_new_rows(spark):
+    from loomwright.functions.text import collapse
+    from loomwright.operators.corpus import unseen
+
+    rows = spark.createDataFrame([(1, "a  b"), (3, "A b"), (5, "old"), (7, "a b"), (9, "c")], "doc_id long, text string")
+    history = spark.createDataFrame([("old",)], "text string")
+    got = sorted(r["doc_id"] for r in unseen(rows, history, "text", F.col("doc_id")).collect())
+    keys = {}
+    for r in rows.select("doc_id", collapse(F.col("text")).alias("k")).collect():
+        keys.setdefault(r["k"], r["doc_id"])
+    assert got == sorted(i for k, i in keys.items() if i != 5) and len(got) < 4
