@@ -102,16 +102,16 @@ class Vocabulary:
         return "".join(self.tokens.get(i, "") for i in ids if i not in (PAD, BOS, EOS))
 
 
-def grow(counts: dict[str, int], size: int) -> Vocabulary:
+def grow(counts: dict[str, int], size: int, letters: frozenset[str] = frozenset()) -> Vocabulary:
     """A vocabulary of at most ``size`` tokens from word counts.
 
     Specials, printable ASCII, structural characters and all characters of the
-    words come first, then merges of the commonest pair, the smaller pair of
+    words, and ``letters``, come first, then merges of the commonest pair, the smaller pair of
     equally common ones, while it occurs twice. Only words that hold the merged
     pair are touched.
     """
     ids: dict[str, int] = {}
-    for token in (*SPECIALS, *string.printable, *STRUCTURAL, *sorted({c for w in counts for c in w})):
+    for token in (*SPECIALS, *string.printable, *STRUCTURAL, *sorted({c for w in counts for c in w} | letters)):
         ids.setdefault(token, len(ids))
     words = [(list(w), n) for w, n in sorted(counts.items()) if not (len(w) == 1 and w in STRUCTURAL)]
     total: dict[tuple[str, str], int] = defaultdict(int)
@@ -158,9 +158,11 @@ def grow(counts: dict[str, int], size: int) -> Vocabulary:
 
 
 def train(texts: DataFrame, size: int, column: str = "text", most_words: int = 500_000) -> Vocabulary:
-    """Train on the ``most_words`` commonest words of all texts; the bound keeps the driver's table small."""
-    rows = piece_counts(texts, column).orderBy(F.desc("n"), "piece").limit(most_words).collect()
-    return grow({r["piece"]: r["n"] for r in rows}, size)
+    """Train on all characters and the ``most_words`` commonest words of all texts; the bound keeps the driver's table small."""
+    counts = piece_counts(texts, column)
+    rows = counts.orderBy(F.desc("n"), "piece").limit(most_words).collect()
+    letters = counts.select(F.explode(F.split("piece", "")).alias("c")).filter("c <> ''").distinct().collect()
+    return grow({r["piece"]: r["n"] for r in rows}, size, frozenset(r["c"] for r in letters))
 
 
 def encoder(vocabulary: Vocabulary, df: DataFrame):

@@ -215,3 +215,9 @@ def test_unseen_keeps_one_of_equal_new_rows(spark):
     for r in rows.select("doc_id", collapse(F.col("text")).alias("k")).collect():
         keys.setdefault(r["k"], r["doc_id"])
     assert got == sorted(i for k, i in keys.items() if i != 5) and len(got) < 4
+
+
+def test_characters_of_uncommon_words_get_ids(spark):
+    texts = spark.createDataFrame([("common common common ж😀",)], "text string")
+    v = tokenizer.train(texts, 400, most_words=2)
+    assert v.decode(v.encode("ж 😀")) == "ж 😀"
