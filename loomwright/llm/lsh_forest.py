@@ -13,8 +13,9 @@ out; the others are confirmed on their full sets.
 
 Neighbours alone could miss a link of a large region. So, once components are
 known, every larger region that still holds sets of several components is
-settled: all sets outside its commonest component are compared, on full sets,
-with all sets of the region, block by block. That emits links only.
+settled by an exact prefix filter on the rarest shingles of the sets: those
+outside a region's commonest component meet the others only where a link is
+still possible, and such pairs are confirmed on full sets.
 
 A pair with similarity 0.85 shares no region with probability
 (1 - 0.85**4)**20 = 4e-7, and agrees on fewer than 50 of 80 minima with
@@ -28,9 +29,8 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, splitmix, text_or_empty, word_hashes
@@ -42,7 +42,7 @@ AGREE = 50  #: minima that a candidate pair must share
 MISS = 1e-6  #: at most so often a pair at the limit shares no region, or too few minima, where the limit is below 85
 SMALL = 8  #: sets of a region whose pairs are all candidates
 NEAR = 2  #: neighbours in the order of a larger region
-BLOCK = 256  #: sets compared with as many others at once
+TEXT = 1 << 19  #: bytes of text hashed at once
 
 _PLACES = splitmix(np.arange(1001, 1100, dtype=np.uint64)) | np.uint64(1)
 _SCALE = (splitmix(np.arange(5001, 5001 + MINIMA, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -66,7 +66,7 @@ def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
     at = 0
     while at < len(data):
         to, size = at, 0
-        while to < len(data) and (to == at or size + len(data[to]) < 1 << 21):
+        while to < len(data) and (to == at or size + len(data[to]) < TEXT):
             size += len(data[to]) + 1
             to += 1
         out += _sets(data[at:to], words)
@@ -113,19 +113,14 @@ def fingerprint(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
-    common = len(np.intersect1d(s, t, assume_unique=True))
-    return 100 * common >= percent * (len(s) + len(t) - common)
-
-
 def _sign(batches):
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         for at in range(0, len(texts), 512):
             sets = shingle_sets(texts[at : at + 512])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array(signatures(sets), pa.binary())],
-                ["doc_id", "n", "print", "signature"],
+                [batch.column(0).slice(at, 512), batch.column(2).slice(at, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array(signatures(sets), pa.binary())],
+                ["doc_id", "key", "n", "print", "signature"],
             )
 
 
@@ -134,48 +129,26 @@ def _full_sets(batches):
         ids, prints, texts = (batch.column(i).to_pylist() for i in range(3))
         for at in range(0, len(texts), 512):
             sets = shingle_sets([t or "" for t in texts[at : at + 512]])
-            keep = [(i, s.tobytes()) for i, p, s in zip(ids[at : at + 512], prints[at : at + 512], sets, strict=True) if fingerprint(s) == p]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int64()), pa.array([s for _, s in keep], pa.binary())], ["node", "shingles"])
+            keep = [(i, s.view(np.int64)) for i, p, s in zip(ids[at : at + 512], prints[at : at + 512], sets, strict=True) if fingerprint(s) == p]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int64()), pa.array([s for _, s in keep], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
-    p, q = (np.frombuffer(b"".join(s), np.uint32).reshape(len(s), MINIMA) for s in (x, y))
-    return pd.Series((p == q).sum(1).astype(np.int32))
+def _agreeing(least: int):
+    """Keeps the pairs whose signatures agree on ``least`` minima."""
 
-
-def _confirmed(percent: int):
     def run(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
-            ok = [linked(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64), percent) for s, t in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, MINIMA) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array((p == q).sum(1) >= least))
 
     return run
 
 
-def _settle(percent: int):
-    """Links between the outsiders and the sets of one block that are in different components."""
-
-    def run(block: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        links = []
-        if len(block) and len(others):
-            sets = [np.frombuffer(s, np.uint64) for s in block["shingles"]]
-            sizes, group, ids = np.array([len(s) for s in sets]), block["root"].to_numpy(), block["node"].to_numpy()
-            values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            for node, root, s in zip(others["node"], others["root"], others["shingles"], strict=True):
-                s = np.frombuffer(s, np.uint64)
-                lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-                n = hi - lo
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                common = np.bincount(owner[at], minlength=len(sets))
-                ok = (100 * common >= percent * (sizes + len(s) - common)) & (group != root)
-                for to in np.unique(group[ok]):  # one link to each other component is enough
-                    links.append((int(node), int(ids[ok & (group == to)][0])))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return run
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select("a", "b")
 
 
 _WALKED = "kind string, region long, deeper binary, node long, n long, other long"
@@ -254,8 +227,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     each is its own component. Repeated rows get the same component. An empty
     table gives no rows.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    signed = cut(source.mapInArrow(_sign, "doc_id long, n long, print binary, signature binary").withColumn("at", F.monotonically_increasing_id()))
+    return classes(docs, percent).select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+def classes(docs: DataFrame, percent: int = 85, key: Column | None = None) -> DataFrame:
+    """doc_id, key, n_shingles, component_id and component of each row of ``docs``.
+
+    ``component`` tells components apart where two of them have the same
+    smallest doc_id; it is null for a row that takes no part or has no words.
+    ``key`` (null by default) is handed on, to find a row again.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), (F.lit(None) if key is None else key).cast("binary").alias("key"))
+    signed = cut(source.mapInArrow(_sign, "doc_id long, key binary, n long, print binary, signature binary").withColumn("at", F.monotonically_increasing_id()))
     some = signed.filter("n > 0 AND doc_id IS NOT NULL")
     # One node for each distinct set: copies never meet in a pair.
     nodes = cut(some.groupBy("print").agg(F.min("at").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")))
@@ -271,42 +254,53 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = met.filter("kind = 'pair'").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     signs = nodes.select("node", "signature")
     pairs = found.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(signs.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-    pairs = cut(pairs.filter(F.pandas_udf(_agreeing, "int")("sa", "sb") >= agree).select("a", "b"))
+    pairs = cut(pairs.select("a", "b", "sa", "sb").mapInArrow(_agreeing(agree), "a long, b long"))
 
     crowds = met.filter("kind = 'crowd'").select("region", "node").distinct()
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowds.select("node")).distinct()
     wanted = needed.join(nodes.select("node", "doc_id", "print"), "node")
-    sets = source.join(wanted, "doc_id").select("node", "print", "text").mapInArrow(_full_sets, "node long, shingles binary")
+    sets = source.join(wanted, "doc_id").select("node", "print", "text").mapInArrow(_full_sets, "node long, shingles array<long>")
     sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    links = both.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
-    roots = components(links)
-
-    links = cut(_rest(crowds, roots, sets, percent).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    roots = components(links)
+    roots = components(_confirmed(pairs, sets, percent))
+    links = _confirmed(_rest(crowds, roots, sets, percent), sets, percent)
+    roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
-    rooted = nodes.join(roots, "node", "left").select("print", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(least, "root").select("print", "component_id")
-    out = some.select("doc_id", "n", "print").join(named, "print").select("doc_id", "n", "component_id")
-    alone = signed.filter("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+    # A component or a group of copies can hold a third of all rows; it is then the long side of these joins, which adaptive execution splits.
+    rooted = nodes.join(roots, "node", "left").select("print", "doc_id", F.coalesce("root", "node").alias("component"))
+    least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = rooted.join(least, "component").select("print", "component_id", "component")
+    columns = ["doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "component"]
+    alone = signed.filter("n = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
+    return some.join(named, "print").select(*columns).unionByName(alone.select(*columns))
 
 
 def _rest(crowds: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of larger regions between sets that are not in one component yet."""
+    """Pairs (a, b) of sets in larger regions that may be linked and are not in one component yet.
+
+    An exact prefix filter over the sets of all regions that hold several
+    components, one side outside its region's commonest component. Each set's
+    shingles are ordered from the rarest on. Of two linked sets, the first
+    common shingle lies among the first n - percent * n / 100 + 1 of each, and
+    all common ones are among those from there on; so pairs are only formed on
+    shingles of these prefixes, and only where enough shingles are left behind
+    the place. Shingles of one set alone take places but are never posted.
+    """
     member = crowds.join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
     share = member.groupBy("region", "root").agg(F.count("*").alias("n"))
-    mixed = share.groupBy("region").agg(F.count("*").alias("groups"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most")).filter("groups > 1")
-    blocks, chunks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("size", "rest"))
-    mixed = mixed.select("region", "most.root", "size", (F.col("size") - F.col("most.n")).alias("rest")).select("region", F.col("root").alias("main"), blocks.alias("blocks"), chunks.alias("chunks"))
-    full = member.join(mixed, "region").join(sets, "node")
-    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = full.select("region", place("blocks").alias("block"), every("chunks").alias("chunk"), "node", "root", "shingles")
-    left = left.toDF(*left.columns)  # names of its own: both sides come from ``full``
-    right = full.filter("root != main").select("region", place("chunks").alias("chunk"), every("blocks").alias("block"), "node", "root", "shingles")
-    right = right.toDF(*right.columns)
-    keys = ["region", "block", "chunk"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_settle(percent), "a long, b long")
+    mixed = share.groupBy("region").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root")).alias("most")).filter("groups > 1").select("region", F.col("most.root").alias("main"))
+    open_sets = member.join(mixed, "region").groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("outside"))
+    open_sets = cut(open_sets.join(sets, "node"))
+    shingles = open_sets.select("node", F.explode("shingles").alias("shingle"))
+    times = shingles.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")
+    ordered = shingles.join(times, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("known"))
+    placed = open_sets.select("node", "root", "outside", F.size("shingles").cast("long").alias("n")).join(ordered, "node").withColumn("alone", F.col("n") - F.size("known"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")
+    posted = placed.filter(prefix > 0).select("node", "root", "outside", "n", "alone", F.posexplode(F.slice("known", F.lit(1), prefix.cast("int"))).alias("k", "x"))
+    posted = cut(posted.select("node", "root", "outside", "n", F.col("x.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("k")).alias("left")))
+    l, r = posted.filter("outside").alias("l"), posted.alias("r")
+    may = F.expr(
+        f"l.root <> r.root AND (NOT r.outside OR l.node < r.node) AND 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) "
+        f"AND (100 + {percent}) * least(l.left, r.left) >= {percent} * (l.n + r.n)"
+    )
+    return l.join(r, (F.col("l.shingle") == F.col("r.shingle")) & may).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()

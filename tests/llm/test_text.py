@@ -126,6 +126,18 @@ def test_near_duplicates(spark, groups, copies):
     assert got == brute(rows)
 
 
+def test_large_region_of_unlinked_sets(spark):
+    """Changed copies of one text, most of them too far from each other and some only linked through a third one."""
+    rng, rows = random.Random(7), []
+    for k in range(260):
+        words = [f"w{i}" for i in range(150)]
+        for at in rng.sample(range(150), rng.choice([1, 1, 2, 2, 3, 4])):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    got = sorted(map(tuple, lsh_forest.near_duplicates(clashing(spark, rows)).collect()), key=repr)
+    assert got == brute(rows) and 20 < sum(r[3] for r in got) < 240
+
+
 def test_no_duplicates_and_empty_table(spark):
     assert lsh_forest.near_duplicates(clashing(spark, [])).collect() == []
     got = lsh_forest.near_duplicates(clashing(spark, [(2, "a b c"), (1, "a b d"), (3, "")])).collect()
