@@ -1,101 +1,156 @@
 """Masked pseudo-likelihood scores from a bidirectional window network (operator 6).
 
 The network predicts every word's symbol from the two words on either side:
-their embeddings, a hidden layer, a softmax over all symbols. The commonest
-``FREQUENT`` words of the whole corpus are symbols of their own; the others
-share ``SHARED`` symbols by hash. A word of a shared symbol also has its own
-share of it, (n + 1) / (N + T + 1), from its count n and the N words and T
-distinct words of the symbol in the whole corpus; n = 0 is a word never seen.
-A document's score is the sum of the conditional log-probabilities of its
-words, log P(symbol | both sides) + log P(word | symbol).
-
-The counts stay distributed. Texts are dealt into blocks; each block asks for
-its own distinct words, a shuffle by word adds their counts up, and the counts
-above one come back to the block (a word of which none comes was counted once).
-
-Word counts cover every word of every document. Training covers every position
-of every document: in each of ``ROUNDS`` rounds every partition runs gradient
-steps from the same start, on the round's share of its positions (dealt to the
-rounds by a hash of the word and its place), and the results are averaged,
-weighted by the number of positions. A small corpus goes over its positions
-more often, by its number of words and however it is partitioned. Only the network's ``N`` numbers, the frequent words and the
-totals of the shared symbols reach the driver.
+their embeddings, a hidden layer, a softmax over classes and one over the
+symbols of a class. The commonest ``FREQUENT`` words of the whole corpus are
+symbols of their own, in classes by rank; the others share ``SHARED`` symbols
+by hash. A word of a shared symbol also has its own share of it,
+(n + 1) / (N + T + 1), from its count n and the N words and T distinct words of
+the symbol in the whole corpus. A document's score is the sum of the
+conditional log-probabilities of its words, log P(symbol | both sides) +
+log P(word | symbol).
+
+1. Words are counted over all documents. Counts of the commonest words, at
+   most ``KNOWN``, are broadcast; those of all others stay distributed.
+2. Texts become sequences of symbols, dealt to trainers by a hash of the row
+   and sorted by it. The number of trainers follows the number of words.
+3. In each of ``ROUNDS`` rounds every trainer goes along its sequence from the
+   same start and learns from the round's share of the steps; the rounds
+   together learn from every position once (a corpus of fewer than
+   ``LEAST_WORDS`` words more often, by its number of words alone). Weights become integers and are
+   averaged by the number of steps.
+4. The sequences are scored; words whose count was not broadcast are joined
+   with the counts by word.
+
+Rows are dealt and sorted by their content, and what tasks give is added up as
+integers, so neither weights nor scores depend on how the table is partitioned.
+The driver gets the broadcast counts, sums by symbol, and the network's ``N``
+numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import splitmix, text_or_empty, word_hashes
-
-FREQUENT, SHARED = 224, 32
-SYMBOLS = FREQUENT + SHARED  # the symbol beyond the last one marks the edge of a document
-SIDE, WIDTH, HIDDEN = 2, 16, 16
-ROUNDS, RATE, STEP = 2, 0.1, 256
-LEAST_WORDS = 1 << 20  #: that a round goes over; the positions of a smaller corpus are repeated
-SHAPES = {"embed": (SYMBOLS + 1, WIDTH), "mix": (2 * SIDE * WIDTH, HIDDEN), "mix0": (HIDDEN,), "out": (HIDDEN, SYMBOLS), "out0": (SYMBOLS,)}
+from .common import cut, text_or_empty, word_hashes
+
+CLASSES, EACH = 16, 64
+SYMBOLS = CLASSES * EACH
+SHARED = 64
+FREQUENT = SYMBOLS - SHARED
+EDGE = SYMBOLS  #: stands before and after a document
+SIDE, WIDTH, HIDDEN = 2, 8, 16
+ROUNDS, RATE, STEP = 2, 0.1, 2048
+LEAST_WORDS = 1 << 20  #: that a round goes over; the positions of a smaller corpus are repeated, at most MOST_PASSES times
+MOST_PASSES = 100
+RUN = 1 << 15  #: positions laid out at once, about
+KNOWN = 1 << 18  #: words whose counts are broadcast, at most
+TRAINER, MOST_TRAINERS = 1 << 21, 1 << 12  #: words of a trainer, about; trainers (beyond, each gets more words)
+SHAPES = {"embed": (SYMBOLS + 1, WIDTH), "mix": (2 * SIDE * WIDTH, HIDDEN), "mix0": (HIDDEN,), "top": (HIDDEN, CLASSES), "top0": (CLASSES,), "out": (CLASSES, HIDDEN, EACH), "out0": (CLASSES, EACH)}
 N = sum(int(np.prod(s)) for s in SHAPES.values())
-CHUNK = 1 << 20
-BLOCK = 1 << 23  #: bytes of text that are scored together, about
+UNIT = 1 << 20  #: weights and log-probabilities are added up as integers of 1 / UNIT
+CHUNK = 1 << 19  #: bytes of text hashed at once
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * UNIT).astype(np.int64)
 
 
 class Network:
     def __init__(self, numbers: np.ndarray) -> None:
-        at = 0
-        self.numbers = numbers.astype(np.float32)
+        self.numbers, self.gains, at = numbers, None, 0
         for name, shape in SHAPES.items():
             n = int(np.prod(shape))
-            setattr(self, name, self.numbers[at : at + n].reshape(shape))
+            setattr(self, name, numbers[at : at + n].reshape(shape))
             at += n
-        self.gains = np.full(N, 1e-2, np.float32)
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 11) -> Network:
-        """Small random weights; the output bias is the symbols' log frequency."""
+        """Small random weights; the output biases are the log frequencies of classes and symbols."""
         rng = np.random.default_rng(seed)
         net = cls(np.zeros(N))
         net.embed[:] = rng.normal(0, 0.3, net.embed.shape)
-        net.mix[:] = rng.normal(0, 0.15, net.mix.shape)
+        net.mix[:] = rng.normal(0, 0.2, net.mix.shape)
+        net.top[:] = rng.normal(0, 0.05, net.top.shape)
         net.out[:] = rng.normal(0, 0.05, net.out.shape)
-        net.out0[:] = np.log((counts + 1) / (counts.sum() + len(counts)))
+        by_class = counts.reshape(CLASSES, EACH) + 1.0
+        net.top0[:] = np.log(by_class.sum(1) / by_class.sum())
+        net.out0[:] = np.log(by_class / by_class.sum(1, keepdims=True))
         return net
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = self.embed[context].reshape(len(context), -1)
-        hidden = np.tanh(x @ self.mix + self.mix0)
-        return x, hidden, hidden @ self.out + self.out0
+        return x, np.tanh(x @ self.mix + self.mix0)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        out = np.empty(len(target), np.float64)
-        for at in range(0, len(target), 4096):
-            logits = self.forward(context[at : at + 4096])[2]
-            top = logits.max(1)
-            total = np.log(np.exp(logits - top[:, None]).sum(1)) + top
-            out[at : at + 4096] = logits[np.arange(len(logits)), target[at : at + 4096]] - total
+        hidden, of, within = self.hidden(context)[1], target // EACH, target % EACH
+        out = _log_softmax(hidden @ self.top + self.top0)[np.arange(len(of)), of]
+        for k, rows in _by_class(of):
+            logits = _log_softmax(hidden[rows] @ self.out[k] + self.out0[k])
+            out[rows] += logits[np.arange(len(rows)), within[rows]]
         return out
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
-        """One pass of gradient steps with per-weight rates."""
-        for at in range(0, len(target), STEP):
-            c, t = context[at : at + STEP], target[at : at + STEP]
-            x, hidden, logits = self.forward(c)
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(t)), t] -= 1
-            p /= len(t)
-            back = (p @ self.out.T) * (1 - hidden * hidden)
-            cells = (c.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-            embed = np.bincount(cells, (back @ self.mix.T).ravel(), self.embed.size).astype(np.float32)
-            slope = np.concatenate([embed, (x.T @ back).ravel(), back.sum(0), (hidden.T @ p).ravel(), p.sum(0)])
-            self.gains += slope * slope
-            self.numbers -= RATE * slope / np.sqrt(self.gains)
-
-
-def symbols_of(texts: list[str], frequent: np.ndarray, rank: np.ndarray):
-    """Yields (word hashes, symbols, contexts, rounds to learn in, first word of each text) for runs of the texts."""
+        """One gradient step, with per-weight rates."""
+        if self.gains is None:
+            self.gains, self.slope = np.full(N, 1e-2, self.numbers.dtype), Network(np.zeros(N, self.numbers.dtype))
+        g, of, within = self.slope, target // EACH, target % EACH
+        x, hidden = self.hidden(context)
+        p = _error(hidden @ self.top + self.top0, of, len(of))
+        g.top[:], g.top0[:] = hidden.T @ p, p.sum(0)
+        back = p @ self.top.T
+        g.out[:], g.out0[:] = 0, 0
+        for k, rows in _by_class(of):
+            h = hidden[rows]
+            p = _error(h @ self.out[k] + self.out0[k], within[rows], len(of))
+            g.out[k], g.out0[k] = h.T @ p, p.sum(0)
+            back[rows] += p @ self.out[k].T
+        back *= 1 - hidden * hidden
+        g.mix[:], g.mix0[:] = x.T @ back, back.sum(0)
+        into = (back @ self.mix.T).reshape(-1, WIDTH)
+        seen = context.ravel()
+        for d in range(WIDTH):
+            g.embed[:, d] = np.bincount(seen, into[:, d], SYMBOLS + 1)
+        self.gains += g.numbers * g.numbers
+        self.numbers -= RATE * g.numbers / np.sqrt(self.gains)
+
+
+def _by_class(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(of.astype(np.uint8), kind="stable")
+    ends = np.cumsum(np.bincount(of, minlength=CLASSES))
+    for k, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True)):
+        if a < b:
+            yield k, order[a:b]
+
+
+def _log_softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(1, keepdims=True)
+    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+    return logits
+
+
+def _error(logits: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
+    """Softmax less the truth, over ``n``."""
+    logits -= logits.max(1, keepdims=True)
+    p = np.exp(logits, out=logits)
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(target)), target] -= 1
+    p /= n
+    return p
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+
+
+def _hashed(texts: list[str]):
+    """Yields (place of the first text, word hashes, where each text's words begin) for runs of the texts."""
     data = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
     at = 0
     while at < len(data):
@@ -103,127 +158,219 @@ def symbols_of(texts: list[str], frequent: np.ndarray, rank: np.ndarray):
         while to < len(data) and (to == at or size + len(data[to]) < CHUNK):
             size += len(data[to])
             to += 1
-        h, first = word_hashes(data[at:to])
-        found = np.searchsorted(frequent, h)
-        found[found == len(frequent)] = 0
-        known = frequent[found] == h if len(frequent) else np.zeros(len(h), bool)
-        symbol = np.where(known, rank[found] if len(frequent) else 0, FREQUENT + (h >> np.uint64(59)).astype(np.int64))
-        n = np.diff(first)
-        place = np.arange(len(h)) - np.repeat(first[:-1], n)
-        rest = np.repeat(n, n) - 1 - place
-        padded = np.concatenate((np.full(SIDE, SYMBOLS), symbol, np.full(SIDE, SYMBOLS)))
-        sides = [d for d in range(-SIDE, SIDE + 1) if d]
-        context = np.stack([np.where((place >= -d) & (rest >= d), padded[SIDE + d : SIDE + d + len(h)], SYMBOLS) for d in sides], 1)
-        learn = splitmix(h + place.astype(np.uint64)) % np.uint64(ROUNDS)
-        yield h, symbol, context, learn, first
+        yield at, *word_hashes(data[at:to])
         at = to
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): how often each word (by 64-bit hash, A-Z lower-cased) occurs in all documents."""
 
     def run(batches):
+        held, size = [], 0
+
+        def counted():
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
         for batch in batches:
-            data = [t.encode("utf-8", "surrogatepass").lower() for t in batch.column(0).to_pylist()]
-            for at in range(0, len(data), 1024):
-                words, n = np.unique(word_hashes(data[at : at + 1024])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+            for _, h, _ in _hashed(batch.column(0).to_pylist()):
+                held.append(h)
+                size += len(h)
+                if size >= 1 << 21:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
 
     return _texts(docs).select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def shares(n: np.ndarray, shared: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """log P(word | symbol) of words counted ``n`` times in the corpus whose shared symbols are ``shared``."""
-    return np.log(n + 1) - np.log(totals[shared].sum(1) + 1)
-
-
-def fit(docs: DataFrame) -> tuple[Network, np.ndarray, np.ndarray, np.ndarray]:
-    """The network, the frequent words with their symbols, and of each shared symbol its words and distinct words."""
-    spark: SparkSession = docs.sparkSession
-    counts = word_counts(docs)
-    symbol = F.shiftrightunsigned("word", 59).cast("int")
-    total = {r["s"]: (r["n"], r["words"]) for r in counts.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    frequent, rank = words[order], np.arange(len(words))[order]
-    seen, totals = np.zeros(SYMBOLS), np.zeros((SHARED, 2), np.int64)
-    for s, n in total.items():
-        totals[s] = n
-    for k, (r, w) in enumerate(zip(top, words, strict=True)):
-        seen[k] = r["n"]
-        totals[int(w) >> 59] -= (r["n"], 1)
-    seen[FREQUENT:] = totals[:, 0]
-    net = Network.start(seen)
-    passes = min(100, -(-LEAST_WORDS // max(1, int(seen.sum()))))
+@dataclass
+class Vocabulary:
+    """The commonest words (sorted hashes) with counts and symbols, and the count of each symbol's words and of its distinct ones."""
+
+    known: np.ndarray
+    times: np.ndarray
+    symbol: np.ndarray
+    words: np.ndarray
+    distinct: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.start = np.searchsorted(self.known, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+        self.start = np.append(self.start, np.int32(len(self.known)))
+        self.own = np.append(units(np.log(self.times + 1.0)), 0)
+        self.whole = units(np.log(self.words + self.distinct + 1.0))
+
+    @classmethod
+    def of(cls, counts: DataFrame) -> Vocabulary:
+        # Bins of counts, narrow enough that few words are lost to the last one; bounded, unlike the counts themselves.
+        fine = F.floor(F.log2(F.col("n")) * 64)
+        bins = sorted(((r["b"], r["k"]) for r in counts.groupBy(fine.alias("b")).agg(F.count("*").alias("k")).collect()), reverse=True)
+        taken, least = 0, None
+        for b, k in bins:
+            taken += k
+            if taken > KNOWN:
+                break
+            least = b
+        got = counts.filter(fine >= least if least is not None else F.lit(False)).select("word", "n").toArrow()
+        words, n = got["word"].to_numpy().view(np.uint64), got["n"].to_numpy()
+        rank = np.empty(len(words), np.int64)
+        rank[np.lexsort((words, -n))] = np.arange(len(words))
+        symbol = np.where(rank < FREQUENT, rank, shared_symbol(words))
+        seen, distinct = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)
+        for r in counts.groupBy(F.shiftrightunsigned("word", 58).cast("int").alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+            seen[FREQUENT + r["s"]], distinct[FREQUENT + r["s"]] = r["n"], r["k"]
+        for k in np.flatnonzero(rank < FREQUENT):
+            s = shared_symbol(words[k])
+            seen[s], distinct[s] = seen[s] - n[k], distinct[s] - 1
+            seen[rank[k]], distinct[rank[k]] = n[k], 1
+        order = np.argsort(words)
+        return cls(words[order], n[order], symbol[order].astype(np.int64), seen, distinct)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of words among the known ones; len(known) for others."""
+        top = (h >> np.uint64(44)).astype(np.int64)
+        at, end = self.start[top], self.start[top + 1]
+        found, todo = np.full(len(h), len(self.known)), np.flatnonzero(at < end)
+        while len(todo):
+            here = at[todo]
+            hit = self.known[here] == h[todo]
+            found[todo[hit]] = here[hit]
+            at[todo] += 1
+            todo = todo[~hit & (here + 1 < end[todo])]
+        return found
+
+
+def shared_symbol(words: np.ndarray):
+    return FREQUENT + (words >> np.uint64(58)).astype(np.int64)
+
+
+_ENCODED = "at long, trainer long, key long, doc_id long, share long, symbols binary, rare array<long>"
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Each row as symbols, with the sum of the known words' shares and the words whose counts must be looked up."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    trainers = min(MOST_TRAINERS, max(1, -(-int(vocabulary.words.sum()) // TRAINER)))
+
+    def run(batches):
+        v = shared.value
+        code, sized = np.append(v.symbol, -1), v.whole
+        for batch in batches:
+            for at, h, first in _hashed(batch.column("text").to_pylist()):
+                found = v.find(h)
+                symbol = code[found]
+                unknown = found == len(v.known)
+                symbol[unknown] = shared_symbol(h[unknown])
+                own = np.where(symbol >= FREQUENT, v.own[found] - sized[symbol], 0)
+                share = np.concatenate(([0], np.cumsum(own)))[first]
+                rare = np.concatenate(([0], np.cumsum(unknown)))[first]
+                n = len(first) - 1
+                symbols = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(symbol.astype("<u2").tobytes())])
+                words = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.array(h[unknown].view(np.int64)))
+                columns = [batch.column(c).slice(at, n) for c in ("at", "trainer", "key", "doc_id")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(share)), symbols, words], [x.split()[0] for x in _ENCODED.split(", ")])
+
+    texts = _texts(docs).withColumn("at", F.monotonically_increasing_id()).withColumn("key", F.xxhash64("doc_id", "text"))
+    made = texts.select("at", F.pmod("key", F.lit(trainers)).alias("trainer"), "key", "doc_id", "text").mapInArrow(run, _ENCODED)
+    return cut(made.repartition("trainer").sortWithinPartitions("trainer", "key"))
+
+
+def sequences(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
+    """Yields (trainer, laid-out symbols, places of the words among them, rows) for runs of rows of one trainer."""
+    edge, held, trainer, size = np.full(SIDE, EDGE, np.uint16), [], None, 0
+
+    def laid():
+        stream = np.concatenate([edge, *(x for r in held for x in (np.frombuffer(r["symbols"], "<u2"), edge))])
+        return trainer, stream, np.flatnonzero(stream != EDGE), held
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and (row["trainer"] != trainer or size >= RUN):
+                yield laid()
+                held, size = [], 0
+            trainer = row["trainer"]
+            held.append(row)
+            size += len(row["symbols"]) // 2
+    if held:
+        yield laid()
+
+
+def steps(stream: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(context, target) of STEP positions at a time; the word itself is never part of its context."""
+    for at in range(0, len(places), STEP):
+        here = places[at : at + STEP]
+        yield np.stack([stream[here + d] for d in range(-SIDE, SIDE + 1) if d], 1).astype(np.int64), stream[here].astype(np.int64)
+
+
+def fit(docs: DataFrame) -> tuple[Network, Vocabulary, DataFrame, DataFrame]:
+    """The network, the vocabulary, all word counts and the encoded rows."""
+    counts = cut(word_counts(docs))
+    vocabulary = Vocabulary.of(counts)
+    encoded = encode(docs, vocabulary)
+    net = Network.start(vocabulary.words)
+    passes = min(MOST_PASSES, -(-LEAST_WORDS // max(1, int(vocabulary.words.sum()))))
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((net.numbers, frequent, rank))
+        shared = docs.sparkSession.sparkContext.broadcast(net.numbers)
 
         def run(batches):
-            numbers, frequent, rank = shared.value
-            local, n, again = Network(numbers.copy()), 0, []
-            for batch in batches:
-                for _, symbol, context, learn, _ in symbols_of(batch.column(0).to_pylist(), frequent, rank):
-                    mine = learn == turn
-                    local.learn(context[mine], symbol[mine])
-                    n += int(mine.sum())
-                    if passes > 1:  # fewer than LEAST_WORDS in the whole corpus
-                        again.append((context[mine], symbol[mine]))
-            if n and again:
-                context, symbol = (np.concatenate(x) for x in zip(*again, strict=True))
-                for _ in range(passes - 1):
-                    local.learn(context, symbol)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(N, dtype=np.int32)), pa.array(local.numbers.astype(np.float64) * n), pa.array(np.full(N, n, np.int64))], ["i", "x", "n"])
+            total, weight = np.zeros(N, np.int64), 0
+            local, now, step, learned, again = None, None, 0, 0, []
 
-        mean = _texts(docs).select("text").mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
-        got = mean.toPandas()
+            def ended():
+                for _ in range(passes - 1):
+                    for context, target in again:
+                        local.learn(context, target)
+                return total + units(local.numbers.astype(np.float64)) * learned, weight + learned
+
+            for trainer, stream, places, _ in sequences(batches):
+                if trainer != now:
+                    if learned:
+                        total, weight = ended()
+                    local, now, step, learned, again = Network(shared.value.astype(np.float32)), trainer, 0, 0, []
+                for context, target in steps(stream, places):
+                    if step % ROUNDS == turn:
+                        local.learn(context, target)
+                        learned += 1
+                        if passes > 1:  # fewer than LEAST_WORDS in the whole corpus
+                            again.append((context, target))
+                    step += 1
+            if learned:
+                total, weight = ended()
+            if weight:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(N, dtype=np.int32)), pa.array(total), pa.array(np.full(N, weight, np.int64))], ["i", "x", "n"])
+
+        got = encoded.select("trainer", "symbols").mapInArrow(run, "i int, x long, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toArrow()
         if len(got):
-            net = Network(got.sort_values("i")["x"].to_numpy().round(5))
-    return net, frequent, rank, totals
+            numbers = np.empty(N)
+            numbers[got["i"].to_numpy()] = got["x"].to_numpy() / got["n"].to_numpy() / UNIT
+            net = Network(numbers)
+    return net, vocabulary, counts, encoded
 
 
 def document_scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_probability (the sum) and mean_log_probability of each row's whole text.
 
     A text without words, or a null one, has the sum 0 and a null mean.
-    Repeated rows get the same score.
+    Repeated rows and equal texts get the same score. An empty table gives no rows.
     """
-    net, frequent, rank, totals = fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((net.numbers, frequent, rank, totals))
-    size = docs.select(F.sum(F.octet_length(text_or_empty())).alias("n")).collect()[0]["n"] or 0
-    texts = _texts(docs)
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // BLOCK)))
-
-    def ask(table: pa.Table) -> pa.Table:
-        frequent, data = shared.value[1], [t.encode("utf-8", "surrogatepass").lower() for t in table["text"].to_pylist()]
-        words, n = np.unique(word_hashes(data)[0], return_counts=True)
-        rare = ~np.isin(words, frequent)
-        return pa.table({"block": pa.array(np.full(rare.sum(), table["block"][0].as_py(), np.int64)), "word": pa.array(words[rare].view(np.int64)), "n": pa.array(n[rare].astype(np.int64))})
-
-    def score(table: pa.Table, counts: pa.Table) -> pa.Table:
-        numbers, frequent, rank, totals = shared.value
-        network = Network(numbers)
-        known, times = counts["word"].to_numpy().view(np.uint64), counts["n"].to_numpy()
-        order = np.argsort(known)
-        # One more word that was counted once, so that the table is never empty.
-        known, times = np.append(known[order], np.uint64(2**64 - 1)), np.append(times[order], 1)
-        n, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for h, symbol, context, _, first in symbols_of(table["text"].to_pylist(), frequent, rank):
-            each = network.log_probability(context, symbol)
-            rare = symbol >= FREQUENT
-            found = np.searchsorted(known, h[rare])
-            each[rare] += shares(np.where(known[found] == h[rare], times[found], 1), symbol[rare] - FREQUENT, totals)
-            to = np.concatenate(([0.0], np.cumsum(each)))
-            n.append(np.diff(first))
-            sums.append(to[first[1:]] - to[first[:-1]])
-        return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(np.concatenate(n).astype(np.int64)), "log_probability": pa.array(np.concatenate(sums).round(4))})
-
-    asked = texts.groupBy("block").applyInArrow(ask, "block long, word long, n long")
-    counted = asked.withColumn("n", F.sum("n").over(Window.partitionBy("word"))).filter("n > 1")
-    scored = texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_probability double")
-    return scored.withColumn("mean_log_probability", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")))
+    net, _, counts, encoded = fit(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(net.numbers)
+
+    def run(batches):
+        network = Network(shared.value)
+        for _, stream, places, rows in sequences(batches):
+            each = np.concatenate([np.zeros(1, np.int64), *(units(network.log_probability(c, t)) for c, t in steps(stream, places))])
+            n = np.array([len(r["symbols"]) // 2 for r in rows])
+            ends = np.cumsum(n)
+            to = np.cumsum(each)
+            net_sum = to[ends] - to[ends - n]
+            share = np.array([r["share"] for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in ("at", "doc_id")] + [pa.array(n), pa.array(net_sum + share)], ["at", "doc_id", "n_words", "score"])
+
+    scored = encoded.select("at", "doc_id", "trainer", "share", "symbols").mapInArrow(run, "at long, doc_id long, n_words long, score long")
+    asked = encoded.select("at", F.explode("rare").alias("word"))
+    looked_up = asked.join(counts, "word").groupBy("at").agg(F.sum(F.rint(F.log(F.col("n") + 1) * UNIT).cast("long")).alias("rare"))
+    total = F.round((F.col("score") + F.coalesce("rare", F.lit(0))) / UNIT, 4)
+    out = scored.join(looked_up, "at", "left").select("doc_id", "n_words", total.alias("log_probability"))
+    return out.withColumn("mean_log_probability", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")))
