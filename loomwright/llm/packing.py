@@ -26,53 +26,81 @@ from .tokens import _encoded, texts_in, vocabulary
 BUCKET = 1_000_000
 
 
+class SumIndex:
+    """Combinations of one, two and three lengths, hashed by their sum, under availability counts.
+
+    Pairs lie by sum, the longest first length first; triples lie by sum as a
+    third length and the sum of a pair, the shortest third first. Counts only
+    go down, so a combination that has run out is passed over for good.
+    """
+
+    def __init__(self, have: np.ndarray, capacity: int) -> None:
+        self.have = have
+        sizes = np.flatnonzero(have[:capacity])
+        a, b = (x[::-1] for x in np.nonzero(np.tri(len(sizes), dtype=bool)))
+        self.pairs, self.pair_at = self._by_sum(sizes[a], sizes[b], capacity)
+        sums = np.flatnonzero(np.diff(self.pair_at))
+        c, s = np.repeat(np.arange(len(sizes)), len(sums)), np.tile(np.arange(len(sums)), len(sizes))
+        self.triples, self.triple_at = self._by_sum(sizes[c], sums[s], capacity)
+        self.pair_next, self.triple_next = self.pair_at[:-1].tolist(), self.triple_at[:-1].tolist()
+
+    @staticmethod
+    def _by_sum(x: np.ndarray, y: np.ndarray, capacity: int) -> tuple[list[list[int]], np.ndarray]:
+        """The rows (x, y) ordered by their sum, and where each sum up to ``capacity`` begins."""
+        total = x + y
+        rows = np.flatnonzero(total <= capacity)
+        rows = rows[np.argsort(total[rows], kind="stable")]
+        return np.stack([x[rows], y[rows]], 1).tolist(), np.searchsorted(total[rows], np.arange(capacity + 2))
+
+    def single(self, total: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        return (total,) if self.have[total] > held.count(total) else None
+
+    def pair(self, total: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        at, end = self.pair_next[total], self.pair_at[total + 1]
+        while at < end and not self._left(self.pairs[at]):
+            at += 1
+        self.pair_next[total] = at
+        return next((tuple(two) for two in self.pairs[at:end] if all(self.have[x] > held.count(x) + (k and two[0] == x) for k, x in enumerate(two))), None)
+
+    def triple(self, total: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        at, end = self.triple_next[total], self.triple_at[total + 1]
+        gone = True
+        for k in range(at, end):
+            third, rest = self.triples[k]
+            ran_out = not self.have[third] or self.pair_next[rest] == self.pair_at[rest + 1]
+            if gone and ran_out:
+                self.triple_next[total] = k + 1
+            gone &= ran_out
+            if not ran_out and self.have[third] > held.count(third) and (two := self.pair(rest, (*held, third))):
+                return (*two, third)
+        return None
+
+    def _left(self, two: list[int]) -> bool:
+        return self.have[two[0]] > (two[0] == two[1]) and self.have[two[1]] > 0
+
+    def filling(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        """One, two or three lengths with this sum that are available besides those held."""
+        return self.single(gap, held) or self.pair(gap, held) or self.triple(gap, held)
+
+
 def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, how many sequences hold exactly these) for ``counts`` pieces of each length.
 
-    From the longest length down, gaps are filled exactly by one, two or three
-    available lengths, looked up by their sum; what stays is packed best fit,
-    longest first.
+    From the longest length down, gaps are filled exactly by a combination of
+    one, two or three available lengths from the index; what stays is packed
+    best fit, longest first.
     """
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
     plan: dict[tuple[int, ...], int] = defaultdict(int)
-
-    def pair(total: int) -> tuple[int, int] | None:
-        """Two available lengths with this sum, the longest first one; two equal ones need two pieces."""
-        if total < 2:
-            return None
-        some = have[1:total] > 0
-        both = some & some[::-1]
-        if total % 2 == 0:
-            both[total // 2 - 1] = have[total // 2] >= 2
-        at = np.flatnonzero(both)
-        return (total - 1 - int(at[0]), int(at[0]) + 1) if len(at) else None
-
-    def filling(gap: int) -> tuple[int, ...] | None:
-        if have[gap] > 0:
-            return (gap,)
-        if two := pair(gap):
-            return two
-        for third in np.flatnonzero(have[1 : max(1, gap - 1)]) + 1:
-            have[third] -= 1
-            two = pair(gap - int(third))
-            have[third] += 1
-            if two:
-                return (*two, int(third))
-        return None
-
+    index = SumIndex(have, capacity)
     for length in range(capacity, 0, -1):
         while have[length]:
-            if length == capacity:
-                used: tuple[int, ...] = (length,)
-            else:
-                have[length] -= 1
-                rest = filling(capacity - length)
-                have[length] += 1
-                if rest is None:
-                    break
-                used = (length, *rest)
+            rest = () if length == capacity else index.filling(capacity - length, (length,))
+            if rest is None:
+                break
+            used = (length, *rest)
             need = {x: used.count(x) for x in used}
             n = min(int(have[x]) // k for x, k in need.items())
             for x, k in need.items():
