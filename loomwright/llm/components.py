@@ -15,8 +15,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     to their ends (the distance doubles each time), and contracts the edges.
     In two rounds every node that is left has taken in another one or gone
     into one, so rounds and doublings grow with the logarithm of the
-    component. Minima are combined before the shuffle, so a node with very many
-    edges is no hot spot.
+    component. Minima are combined before the shuffle. In the joins a node to
+    which very many others point is one key of the long side, which adaptive
+    execution splits (both sides are read from tables, so it can).
     """
 
     def normal(df: DataFrame, x, y) -> DataFrame:

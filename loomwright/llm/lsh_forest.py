@@ -266,9 +266,10 @@ def classes(docs: DataFrame, percent: int = 85, key: Column | None = None) -> Da
     links = _confirmed(_rest(crowds, roots, sets, percent), sets, percent)
     roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
-    # A component or a group of copies can hold a third of all rows; it is then the long side of these joins, which adaptive execution splits.
+    # A component or a group of copies can hold a third of all rows; it is then the long side of these joins, which adaptive
+    # execution splits. It can do so as the short side is read from a table (here and in _rest) or shuffled, not aggregated in place.
     rooted = nodes.join(roots, "node", "left").select("print", "doc_id", F.coalesce("root", "node").alias("component"))
-    least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = cut(rooted.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     named = rooted.join(least, "component").select("print", "component_id", "component")
     columns = ["doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "component"]
     alone = signed.filter("n = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
@@ -288,11 +289,11 @@ def _rest(crowds: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) ->
     """
     member = crowds.join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
     share = member.groupBy("region", "root").agg(F.count("*").alias("n"))
-    mixed = share.groupBy("region").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root")).alias("most")).filter("groups > 1").select("region", F.col("most.root").alias("main"))
+    mixed = cut(share.groupBy("region").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root")).alias("most")).filter("groups > 1").select("region", F.col("most.root").alias("main")))
     open_sets = member.join(mixed, "region").groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("outside"))
     open_sets = cut(open_sets.join(sets, "node"))
     shingles = open_sets.select("node", F.explode("shingles").alias("shingle"))
-    times = shingles.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")
+    times = cut(shingles.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1"))
     ordered = shingles.join(times, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("known"))
     placed = open_sets.select("node", "root", "outside", F.size("shingles").cast("long").alias("n")).join(ordered, "node").withColumn("alone", F.col("n") - F.size("known"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")
