@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 
 import numpy as np
@@ -14,7 +15,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 
     The folder is the one that ``spark.checkpoint.dir`` names; only where the
-    session has none (tests, a laptop) a temporary one is set.
+    session has none and runs on one machine (tests, a laptop) a temporary one
+    is set.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -24,7 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder in use, set first if need be."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-loomwright"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("-loomwright"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -1,5 +1,6 @@
 """Nearest neighbours, perspectives, components and the pipeline."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -147,6 +148,36 @@ def test_copies_between_80_and_85_go(spark, sf_dir):
     assert kept == {i for i, _ in rows} - gone and len(gone) == 120
 
 
+def test_rows_that_share_a_doc_id(spark, sf_dir):
+    """Unlike texts under one doc_id all stay; of copies the one with the smallest doc_id stays, once."""
+    import corpus_pipeline as p
+
+    a, b, c = ("one two three four five six " + x for x in ("alpha beta gamma", "delta", "epsilon zeta eta theta iota kappa"))
+    rows = [(5, a), (5, b), (5, c), (5, a), (5, a.upper()), (4, c), (6, b), (7, None), (7, None), (8, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, text_key int, component string")
+    got = sorted(((r["doc_id"], r["text"]) for r in p.dedup_stage(spark, docs, sf_dir).collect()), key=repr)
+    one = min((a, a.upper()), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert got == sorted([(5, one), (5, b), (4, c), (7, None), (7, None), (8, ""), (None, a), (None, a)], key=repr)
+
+
+def test_broken_run_goes_on(spark, sf_dir, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+
+    stages = p.STAGES
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(p, "STAGES", [*stages[:2], ("pii", broken), stages[3]])
+    with pytest.raises(RuntimeError):
+        p.run(spark, sf_dir, str(tmp_path))
+    monkeypatch.setattr(p, "STAGES", [("quality", broken), ("near_dedup", broken), *stages[2:]])
+    digest = lambda df: sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in df.collect())
+    got = digest(p.run(spark, sf_dir, str(tmp_path)))
+    monkeypatch.setattr(p, "STAGES", stages)
+    assert got == digest(p.run(spark, sf_dir)) and [x.name for x in tmp_path.iterdir()] == ["2-pii"]
+
+
 def test_run(spark, sf_dir):
     import corpus_pipeline as p
 

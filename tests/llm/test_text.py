@@ -277,28 +277,95 @@ def test_gradient():
     assert np.exp(net.log_probability(np.repeat(context[:1], pseudo_likelihood.SYMBOLS, 0), np.arange(pseudo_likelihood.SYMBOLS))).sum() == pytest.approx(1, abs=1e-4)
 
 
-def test_rare_words_have_their_own_share(spark, monkeypatch):
-    """Two rare words of one shared symbol are told apart by their counts, whatever the blocks; shares add up to one."""
+def brute_scores(model, texts):
+    """Log-probability of each text by plain loops over the network's numbers and a plain count of words."""
+    net, vocabulary = model[:2]
+    code = lambda w: int(pseudo_likelihood.word_hashes([w.encode("utf-8", "surrogatepass")])[0][0])
+    split = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) for t in texts]
+    times = collections.Counter(w for ws in split for w in ws)
+    own = dict(zip(vocabulary.known.tolist(), vocabulary.symbol.tolist(), strict=True))
+    of = {w: own.get(code(w), pseudo_likelihood.FREQUENT + (code(w) >> 58)) for w in times}
+    words, distinct = collections.Counter(), collections.Counter(of.values())
+    for w, n in times.items():
+        words[of[w]] += n
+
+    def softmax(z):
+        e = [np.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    out = []
+    for ws in split:
+        total = 0.0
+        for i, w in enumerate(ws):
+            x = []
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                x += net.embed[of[ws[j]] if 0 <= j < len(ws) else pseudo_likelihood.EDGE].tolist()
+            hidden = [np.tanh(sum(a * b for a, b in zip(x, net.mix[:, h], strict=True)) + net.mix0[h]) for h in range(len(net.mix0))]
+            k, e = divmod(of[w], pseudo_likelihood.EACH)
+            total += np.log(softmax([float(np.dot(hidden, net.top[:, c])) + net.top0[c] for c in range(len(net.top0))])[k])
+            total += np.log(softmax([float(np.dot(hidden, net.out[k][:, c])) + net.out0[k][c] for c in range(pseudo_likelihood.EACH)])[e])
+            if of[w] >= pseudo_likelihood.FREQUENT:
+                total += np.log((times[w] + 1) / (words[of[w]] + distinct[of[w]] + 1))
+        out.append(total)
+    return out
+
+
+def rare_texts(rng, n, common=1200):
+    """Texts of a few common words and of many that come once or twice."""
+    return [" ".join(rng.choice([f"w{int(common ** rng.random())}", f"W{rng.randrange(common)}", f"r{rng.randrange(400)}"]) for _ in range(rng.randrange(0, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("known", [pseudo_likelihood.KNOWN, 50])
+def test_score_is_the_sum_of_all_words(spark, monkeypatch, known):
+    """The query's sums equal plain ones, whether counts are broadcast or joined."""
+    monkeypatch.setattr(pseudo_likelihood, "KNOWN", known)
+    texts = rare_texts(random.Random(known), 60) + [None, "", "é\x0bÉ x" * 3]
+    docs = clashing(spark, list(enumerate(texts)))
+    want = brute_scores(pseudo_likelihood.fit(docs), texts)
+    got = {r["doc_id"]: r["log_probability"] for r in pseudo_likelihood.document_scores(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=2e-3)
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Several trainers, rounds and joined counts: the same scores from 2 and 13 partitions, and for equal texts."""
+    monkeypatch.setattr(pseudo_likelihood, "TRAINER", 1 << 12)
+    monkeypatch.setattr(pseudo_likelihood, "STEP", 128)
+    monkeypatch.setattr(pseudo_likelihood, "RUN", 500)
+    monkeypatch.setattr(pseudo_likelihood, "MOST_PASSES", 2)
+    monkeypatch.setattr(pseudo_likelihood, "KNOWN", 500)
+    texts = rare_texts(random.Random(9), 900)
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:50] + [None])), "doc_id long, text string")
+    a, b = ({r["doc_id"]: r["log_probability"] for r in pseudo_likelihood.document_scores(docs.repartition(n, *by)).collect()} for n, by in ((2, ["doc_id"]), (13, ["text"])))
+    assert a == b and all(a[900 + i] == a[i] for i in range(50))
+
+
+def test_rare_words_have_their_own_share(spark):
+    """Two rare words of one shared symbol are told apart by their counts; shares add up to one with that of an unseen word."""
     shared = {}
     for k in range(4000):
-        shared.setdefault(int(pseudo_likelihood.word_hashes([b"rare%d" % k])[0][0]) >> 59, []).append(f"rare{k}")
-    often, once = shared[0][:2]
-    common = " ".join(f"w{k}" for k in range(240))
-    rows = [(k, common + " " + common) for k in range(20)] + [(100 + k, often + " x" * 3) for k in range(5)] + [(200, once + " x" * 3)]
+        shared.setdefault(int(pseudo_likelihood.shared_symbol(pseudo_likelihood.word_hashes([b"rare%d" % k])[0])[0]), []).append(f"rare{k}")
+    often, once = next(iter(shared.values()))[:2]
+    common = " ".join(f"w{k}" for k in range(1000))
+    rows = [(k, common + " " + common) for k in range(20)] + [(100 + k, often + " w0" * 3) for k in range(5)] + [(200, once + " w0" * 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["log_probability"] for r in pseudo_likelihood.document_scores(docs).collect()}
     assert got[100] - got[200] == pytest.approx(np.log(6 / 2), abs=2e-4)
-    monkeypatch.setattr(pseudo_likelihood, "BLOCK", 500)
-    assert {r["doc_id"]: r["log_probability"] for r in pseudo_likelihood.document_scores(docs).collect()} == pytest.approx(got, abs=2e-3)
-    n = np.array([5, 1, 1, 0])  # the last one stands for all words that were never seen
-    assert np.exp(pseudo_likelihood.shares(n, np.zeros(4, int), np.array([[7, 3]]))).sum() == pytest.approx(1)
 
 
 def test_every_position_is_learned_once():
-    texts = [" ".join(f"w{i * k % 17}" for i in range(400)) for k in range(1, 30)]
-    turns = np.concatenate([learn for *_, learn, _ in pseudo_likelihood.symbols_of(texts, np.zeros(0, np.uint64), np.zeros(0, np.int64))])
-    used = [int((turns == turn).sum()) for turn in range(pseudo_likelihood.ROUNDS)]
-    assert sum(used) == len(turns) == 400 * 29 and min(used) > 0
+    """Steps of all runs cover every place of every text once, with the words beside it."""
+    rng = random.Random(2)
+    rows = [{"trainer": k // 40, "symbols": np.array([rng.randrange(pseudo_likelihood.SYMBOLS) for _ in range(rng.randrange(0, 3000))], "<u2").tobytes()} for k in range(60)]
+    batch = pa.RecordBatch.from_pylist(rows)
+    got = collections.defaultdict(list)
+    for trainer, stream, places, _ in pseudo_likelihood.sequences(iter([batch.slice(0, 13), batch.slice(13)])):
+        for context, target in pseudo_likelihood.steps(stream, places):
+            got[trainer] += [(*c[:2], t, *c[2:]) for c, t in zip(context.tolist(), target.tolist(), strict=True)]
+    want, edge = collections.defaultdict(list), [pseudo_likelihood.EDGE] * 2
+    for r in rows:
+        x = edge + np.frombuffer(r["symbols"], "<u2").tolist() + edge
+        want[r["trainer"]] += [tuple(x[i - 2 : i + 3]) for i in range(2, len(x) - 2)]
+    assert got == want
 
 
 def test_scores_of_odd_rows(spark):
