@@ -47,6 +47,7 @@ FREQUENT = SYMBOLS - SHARED
 EDGE = SYMBOLS  #: stands before and after a document
 SIDE, WIDTH, HIDDEN = 2, 8, 16
 ROUNDS, RATE, STEP = 2, 0.1, 2048
+SCORED = 4096  #: positions scored at once
 LEAST_WORDS = 1 << 20  #: that a round goes over; the positions of a smaller corpus are repeated, at most MOST_PASSES times
 MOST_PASSES = 100
 RUN = 1 << 15  #: positions laid out at once, about
@@ -90,10 +91,9 @@ class Network:
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         hidden, of, within = self.hidden(context)[1], target // EACH, target % EACH
-        out = _log_softmax(hidden @ self.top + self.top0)[np.arange(len(of)), of]
+        out = _log_softmax(hidden @ self.top + self.top0, of)
         for k, rows in _by_class(of):
-            logits = _log_softmax(hidden[rows] @ self.out[k] + self.out0[k])
-            out[rows] += logits[np.arange(len(rows)), within[rows]]
+            out[rows] += _log_softmax(hidden[rows] @ self.out[k] + self.out0[k], within[rows])
         return out
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
@@ -113,10 +113,10 @@ class Network:
             back[rows] += p @ self.out[k].T
         back *= 1 - hidden * hidden
         g.mix[:], g.mix0[:] = x.T @ back, back.sum(0)
-        into = (back @ self.mix.T).reshape(-1, WIDTH)
-        seen = context.ravel()
+        into = (self.mix @ back.T).reshape(2 * SIDE, WIDTH, -1).swapaxes(0, 1).reshape(WIDTH, -1)
+        seen = context.T.ravel()
         for d in range(WIDTH):
-            g.embed[:, d] = np.bincount(seen, into[:, d], SYMBOLS + 1)
+            g.embed[:, d] = np.bincount(seen, into[d], SYMBOLS + 1)
         self.gains += g.numbers * g.numbers
         self.numbers -= RATE * g.numbers / np.sqrt(self.gains)
 
@@ -129,19 +129,17 @@ def _by_class(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield k, order[a:b]
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-    return logits
+def _log_softmax(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probability of each row's target. A row's result does not depend on the others, as a shared maximum would make it."""
+    own = logits[np.arange(len(target)), target]
+    return own - np.log(np.exp(np.minimum(logits, 600, out=logits), out=logits) @ np.ones(logits.shape[1]))
 
 
 def _error(logits: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
     """Softmax less the truth, over ``n``."""
-    logits -= logits.max(1, keepdims=True)
-    p = np.exp(logits, out=logits)
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(target)), target] -= 1
-    p /= n
+    p = np.exp(np.clip(logits, -80, 80, out=logits), out=logits)
+    p *= (1 / (n * (p @ np.ones(p.shape[1], p.dtype))))[:, None]
+    p[np.arange(len(target)), target] -= 1 / n
     return p
 
 
@@ -296,10 +294,10 @@ def sequences(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
         yield laid()
 
 
-def steps(stream: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(context, target) of STEP positions at a time; the word itself is never part of its context."""
-    for at in range(0, len(places), STEP):
-        here = places[at : at + STEP]
+def steps(stream: np.ndarray, places: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(context, target) of ``size`` positions at a time; the word itself is never part of its context."""
+    for at in range(0, len(places), size):
+        here = places[at : at + size]
         yield np.stack([stream[here + d] for d in range(-SIDE, SIDE + 1) if d], 1).astype(np.int64), stream[here].astype(np.int64)
 
 
@@ -328,7 +326,7 @@ def fit(docs: DataFrame) -> tuple[Network, Vocabulary, DataFrame, DataFrame]:
                     if learned:
                         total, weight = ended()
                     local, now, step, learned, again = Network(shared.value.astype(np.float32)), trainer, 0, 0, []
-                for context, target in steps(stream, places):
+                for context, target in steps(stream, places, STEP):
                     if step % ROUNDS == turn:
                         local.learn(context, target)
                         learned += 1
@@ -360,7 +358,7 @@ def document_scores(docs: DataFrame) -> DataFrame:
     def run(batches):
         network = Network(shared.value)
         for _, stream, places, rows in sequences(batches):
-            each = np.concatenate([np.zeros(1, np.int64), *(units(network.log_probability(c, t)) for c, t in steps(stream, places))])
+            each = np.concatenate([np.zeros(1, np.int64), *(units(network.log_probability(c, t)) for c, t in steps(stream, places, SCORED))])
             n = np.array([len(r["symbols"]) // 2 for r in rows])
             ends = np.cumsum(n)
             to = np.cumsum(each)
