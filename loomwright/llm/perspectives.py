@@ -2,63 +2,89 @@
 
 For every participant, the dialogue is rendered with that participant as the
 assistant and the others as named users; masks cover what the assistant says.
-A dialogue is rendered in blocks of ``BLOCK`` turn numbers, so that no row and
-no task holds a whole dialogue of any length; ``start`` says where a block
-begins in the rendering of the whole.
+A dialogue is rendered in blocks of ``BLOCK`` turns; ``start`` says where a
+block begins in the rendering of the whole.
+
+No task holds a whole dialogue: turns are cut into ranges of their global
+order and get their places from the sizes of the ranges before; the blocks,
+not the turns, meet the participants; and starts come from sums of lengths in
+two steps, within and over runs of ``RUN`` blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 64
-LAST = (1 << 63) - 1
+from .common import cut
+
+BLOCK, RUN = 64, 4096
 SYSTEM, NOBODY, END = "system", "unknown", "<|end|>\n"
 
 
+def placed(turns: DataFrame) -> DataFrame:
+    """The distinct turns with ``place``, their number in the dialogue from 0: by turn (null last), speaker and text."""
+    role = F.coalesce(F.nullif(F.col("role").cast("string"), F.lit("")), F.lit(NOBODY))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    clean = turns.filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("speaker"), text.alias("text")).distinct()
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("speaker"), F.col("text")]
+    # Written, so that ranges and row numbers stay as they are when a task is lost.
+    ranged = cut(clean.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    sizes = ranged.groupBy("conv_id", "range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select("conv_id", "range", (before - F.col("first")).alias("base"))
+    return ranged.join(base, ["conv_id", "range"]).select("conv_id", "speaker", "text", (F.col("at") + F.col("base")).alias("place"))
+
+
+def _before(keys: list[str], by: str, value: Column) -> Column:
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+
+
 def rotate(turns: DataFrame) -> DataFrame:
     """conv_id, perspective, block, n_turns, start, rendered, masks.
 
     ``masks`` lists begin-end of the assistant's words and end marks in
     ``rendered`` (code points, end exclusive). Turns go by number, then
-    speaker, then text; a null number comes last; a null or empty role is
+    speaker, then text, and ``BLOCK`` of them make a block, whatever their
+    numbers are; a null number comes last; a null or empty role is
     ``unknown``; a null text is empty. A repeated row is one turn. System turns
     are shown to everyone and take no perspective, so a dialogue of system
-    turns only has no rows. Rows without conv_id take no part.
+    turns only has no rows. Rows without conv_id take no part. An empty table
+    gives no rows.
     """
-    role = F.coalesce(F.nullif(F.col("role").cast("string"), F.lit("")), F.lit(NOBODY))
-    clean = turns.filter("conv_id IS NOT NULL").select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(LAST)).alias("turn"), role.alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    clean = clean.distinct()
-    people = clean.filter(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    own = F.col("speaker") == F.col("perspective")
-    head = F.when(own, F.lit("<|assistant|>\n")).when(F.col("speaker") == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user|>"), "speaker", F.lit("\n")))
-    said = F.concat("text", F.lit(END))
-    shown = clean.join(people, "conv_id").select(
-        "conv_id", "perspective", F.floor(F.col("turn") / F.lit(BLOCK)).alias("block"), F.struct("turn", "speaker", "text", own.alias("own"), head.alias("head"), said.alias("said")).alias("x")
-    )
-    grouped = shown.groupBy("conv_id", "perspective", "block").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    said = placed(turns).withColumn("block", F.expr(f"place div {BLOCK}"))
+    blocks = said.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("place", "speaker", "text"))).alias("xs"))
+    people = cut(said.filter(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct())
+
+    def head(x: Column) -> Column:
+        return F.when(x["speaker"] == F.col("perspective"), F.lit("<|assistant|>\n")).when(x["speaker"] == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user|>"), x["speaker"], F.lit("\n")))
+
+    size = F.aggregate("xs", F.lit(0).cast("long"), lambda n, x: n + F.length(head(x)) + F.length(x["text"]) + len(END))
+    shown = cut(blocks).join(people, "conv_id").withColumn("run", F.expr(f"block div {RUN}"))
+    keys = ["conv_id", "perspective"]
+    lengths = shown.select(*keys, "run", "block", size.alias("size"))
+    runs = lengths.groupBy(*keys, "run").agg(F.sum("size").alias("size")).select(*keys, "run", _before(keys, "run", F.col("size")).alias("base"))
+    inside = lengths.withColumn("inside", _before([*keys, "run"], "block", F.col("size")))
+    starts = inside.join(runs, [*keys, "run"]).select(*keys, "block", (F.col("inside") + F.col("base")).alias("start"))
+
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def add(acc, x):
-        begin = acc["at"] + F.length(x["head"])
-        end = begin + F.length(x["said"])
-        return F.struct(end.alias("at"), F.when(x["own"], F.concat(acc["out"], F.array(F.concat_ws("-", begin, end)))).otherwise(acc["out"]).alias("out"))
+    def add(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(head(x))
+        end = begin + F.length(x["text"]) + len(END)
+        return F.struct(end.alias("at"), F.when(x["speaker"] == F.col("perspective"), F.concat(acc["out"], F.array(F.concat_ws("-", begin, end)))).otherwise(acc["out"]).alias("out"))
 
-    rendered = F.array_join(F.transform("xs", lambda x: F.concat(x["head"], x["said"])), "")
-    blocks = grouped.select("conv_id", "perspective", "block", F.size("xs").cast("long").alias("n_turns"), rendered.alias("rendered"), F.array_join(F.aggregate("xs", empty, add, lambda acc: acc["out"]), ",").alias("masks"))
-    before = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("rendered").cast("long")).over(before), F.lit(0))
-    return blocks.select("conv_id", "perspective", "block", "n_turns", start.alias("start"), "rendered", "masks")
+    rendered = F.array_join(F.transform("xs", lambda x: F.concat(head(x), x["text"], F.lit(END))), "")
+    masks = F.array_join(F.aggregate("xs", empty, add, lambda acc: acc["out"]), ",")
+    return shown.join(starts, [*keys, "block"]).select(*keys, "block", F.size("xs").cast("long").alias("n_turns"), "start", rendered.alias("rendered"), masks.alias("masks"))
 
 
-ORACLE = f"""WITH clean AS (SELECT DISTINCT conv_id, coalesce(turn, {LAST}) AS turn, coalesce(nullif(role, ''), '{NOBODY}') AS speaker, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ORACLE = f"""WITH clean AS (SELECT DISTINCT conv_id, turn, coalesce(nullif(role, ''), '{NOBODY}') AS speaker, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, speaker, text) - 1 AS place FROM clean),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM clean WHERE speaker <> '{SYSTEM}'),
-shown AS (SELECT conv_id, perspective, turn // {BLOCK} AS block, turn, speaker, text, speaker = perspective AS own,
-  CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = '{SYSTEM}' THEN '<|system|>' ELSE '<|user|>' || speaker END || chr(10) AS head, text || '<|end|>' || chr(10) AS said FROM clean JOIN people USING (conv_id)),
-placed AS (SELECT *, sum(length(head) + length(said)) OVER (PARTITION BY conv_id, perspective, block ORDER BY turn, speaker, text) AS ends FROM shown),
-blocks AS (SELECT conv_id, perspective, block, count(*) AS n_turns, string_agg(head || said, '' ORDER BY turn, speaker, text) AS rendered,
-  coalesce(string_agg(concat(ends - length(said), '-', ends), ',' ORDER BY turn, speaker, text) FILTER (own), '') AS masks FROM placed GROUP BY ALL)
+shown AS (SELECT conv_id, perspective, place, place // {BLOCK} AS block, speaker = perspective AS own,
+  CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = '{SYSTEM}' THEN '<|system|>' ELSE '<|user|>' || speaker END || chr(10) AS head, text || '<|end|>' || chr(10) AS said FROM placed JOIN people USING (conv_id)),
+summed AS (SELECT *, sum(length(head) + length(said)) OVER (PARTITION BY conv_id, perspective, block ORDER BY place) AS ends FROM shown),
+blocks AS (SELECT conv_id, perspective, block, count(*) AS n_turns, string_agg(head || said, '' ORDER BY place) AS rendered,
+  coalesce(string_agg(concat(ends - length(said), '-', ends), ',' ORDER BY place) FILTER (own), '') AS masks FROM summed GROUP BY ALL)
 SELECT conv_id, perspective, block, n_turns, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, rendered, masks FROM blocks"""
