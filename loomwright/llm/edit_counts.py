@@ -23,6 +23,8 @@ LEAF = 32  #: words in a leaf
 #: The public byte-level BPE pattern (a fixed value), for short windows of characters below ``SURE``, which all Unicode versions class alike.
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 SURE, SHORT, MEMO = "\u0220", 4096, 1 << 18
+#: What a kept tree consists of: characters and tokens of each word, words of each leaf, and the sums of both by node.
+STATE = ("lengths", "counts", "leaves", "chars", "tokens")
 EDITS = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -64,12 +66,16 @@ def split_words(encoder: BatchEncoder, text: str) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(lengths), np.concatenate(counts)) if lengths else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def margin_of(encoder: BatchEncoder) -> int:
+    return max(map(len, encoder.automaton.special), default=0)
+
+
 class TokenTree:
     """Token count of a text under edits. Positions are code points; out-of-range ones are moved into the text."""
 
     def __init__(self, encoder: BatchEncoder, text: str, words: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.encoder, self.text, self.reencoded = encoder, text, 0
-        self.margin = max(map(len, encoder.automaton.special), default=0)
+        self.margin = margin_of(encoder)
         self._build(*(words or split_words(encoder, text)))
 
     def _build(self, lengths: np.ndarray, counts: np.ndarray) -> None:
@@ -84,6 +90,23 @@ class TokenTree:
                 tree[level // 2 : level] = tree[level : 2 * level].reshape(-1, 2).sum(1)
                 level //= 2
 
+    def state(self) -> dict[str, np.ndarray]:
+        """All that the tree holds besides the text, as arrays."""
+        words = [np.concatenate([x[k] for x in self.leaves]) for k in (0, 1)]
+        return dict(zip(STATE, (*words, np.array([len(a) for a, _ in self.leaves]), self.chars, self.tokens), strict=True))
+
+    @classmethod
+    def restored(cls, encoder: BatchEncoder, text: str, state: dict[str, np.ndarray]) -> TokenTree:
+        """The tree of ``state()``; nothing is split, encoded or summed again."""
+        tree = cls.__new__(cls)
+        tree.encoder, tree.text, tree.reencoded, tree.margin = encoder, text, 0, margin_of(encoder)
+        ends = np.cumsum(state["leaves"])
+        cuts = list(zip((ends - state["leaves"]).tolist(), ends.tolist(), strict=True))
+        tree.leaves = [(state["lengths"][a:b], state["counts"][a:b]) for a, b in cuts]
+        tree.chars, tree.tokens = state["chars"].copy(), state["tokens"].copy()
+        tree.size = len(tree.chars) // 2
+        return tree
+
     @property
     def count(self) -> int:
         return int(self.tokens[1])
@@ -189,12 +212,69 @@ def standard_edits(text: Column) -> Column:
     return F.array(edit(at(1), 5, "edited"), edit(at(2), 0, " It's 2024, isn't it? "), edit(at(3), 7, ""), edit(n + (1 << 20), 0, "\n\nThe end.")).cast(EDITS)
 
 
+TREES = "doc_id long, text string, n_tokens long, reencoded long, " + ", ".join(f"{x} array<long>" for x in STATE)
+
+
+def _rows_of(trees: list[TokenTree], ids: pa.Array) -> pa.RecordBatch:
+    states = [t.state() for t in trees]
+    columns = [ids, pa.array([t.text for t in trees], pa.string()), pa.array([t.count for t in trees], pa.int64()), pa.array([t.reencoded for t in trees], pa.int64())]
+    columns += [pa.array([s[x] for s in states], pa.list_(pa.int64())) for x in STATE]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in TREES.split(", ")])
+
+
+def _edit(tree: TokenTree, changes: list | None) -> None:
+    for c in changes or []:
+        if c is not None:
+            tree.edit(c["start"] or 0, c["end"] or 0, c["text"] or "")
+
+
+def token_trees(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, text, n_tokens, reencoded (0) and the token tree of each row: a table to keep.
+
+    A null text counts as empty. Repeated rows give repeated results. An empty
+    table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    def run(batches):
+        encoder = encoder_for(shared.value)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            yield _rows_of([TokenTree(encoder, t, w) for t, w in zip(texts, _words_of(encoder, texts), strict=True)], batch.column(0))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, TREES)
+
+
+def edit_trees(trees: DataFrame, edits: Column, path: str) -> DataFrame:
+    """The rows of ``token_trees`` after ``edits`` (see ``edited_counts``): a table to keep, to which later edits can be applied.
+
+    Only the words that the edits can change are split and encoded again
+    (``reencoded``); a row without edits is handed on as it is.
+    """
+    shared = trees.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    def run(batches):
+        encoder = encoder_for(shared.value)
+        for batch in batches:
+            out = []
+            columns = [batch.column(x) for x in STATE]
+            for k, (text, changes) in enumerate(zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True)):
+                tree = TokenTree.restored(encoder, text, {x: c[k].values.to_numpy() for x, c in zip(STATE, columns, strict=True)})
+                _edit(tree, changes)
+                out.append(tree)
+            yield _rows_of(out, batch.column("doc_id"))
+
+    return trees.select("doc_id", "text", *STATE, edits.cast(EDITS).alias("edits")).mapInArrow(run, TREES)
+
+
 def edited_counts(docs: DataFrame, edits: Column, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens before, n_edits, n_tokens_after and reencoded (words split again) of each row.
 
     ``edits`` are applied one after another; positions count code points of
     the text as it then is. Null edits, and null fields, count as none, 0 and
     empty. A null text counts as empty. Repeated rows give repeated results.
+    Trees are built and edited in one pass; ``token_trees`` and ``edit_trees``
+    keep them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     schema = "doc_id long, n_words long, n_tokens long, n_edits long, n_tokens_after long, reencoded long"
@@ -208,9 +288,7 @@ def edited_counts(docs: DataFrame, edits: Column, path: str) -> DataFrame:
             for text, changes, words in zip(texts, batch.column(2).to_pylist(), _words_of(encoder, texts), strict=True):
                 tree = TokenTree(encoder, text, words)
                 n_words, n_tokens = tree.words, tree.count
-                for c in changes or []:
-                    if c is not None:
-                        tree.edit(c["start"] or 0, c["end"] or 0, c["text"] or "")
+                _edit(tree, changes)
                 rows.append((n_words, n_tokens, len(changes or []), tree.count, tree.reencoded))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(5))], names)
 
