@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,35 @@ def test_pivots_are_distinct(spark, monkeypatch):
     assert outside >= 0.9
 
 
+def test_recall_with_a_third_of_near_copies(spark):
+    """At the shipped constants, in and outside a dense group."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 64))
+    hot = rng.permutation(6000)[:2000]
+    x[hot] = x[hot[0]] + 0.1 * rng.normal(size=(2000, 64))
+    got = {}
+    for r in permutation_index.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want, inside = exact(range(6000), x), set(hot.tolist())
+    for some in ([q for q in want if q in inside], [q for q in want if q not in inside]):
+        assert np.mean([len(got[q] & {i for _, i in want[q]}) / 10 for q in some]) >= 0.9
+
+
+def test_cells_meet_in_every_partition(spark, monkeypatch):
+    """Many shards and blocks over many partitions: with everything reranked the result is exact."""
+    monkeypatch.setattr(permutation_index, "SHARD", 150)
+    monkeypatch.setattr(permutation_index, "BLOCK", 2)
+    monkeypatch.setattr(permutation_index, "SHARE", 1.0)
+    x = np.random.default_rng(5).normal(size=(1200, 8)).round(3)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        got = permutation_index.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    want = exact(range(1200), x)
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {(q, k, i) for q, near in want.items() for k, (_, i) in enumerate(near, 1)}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [inf, 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (200, [0.0, 0.0]), (9, [])]
@@ -101,13 +131,43 @@ def test_perspectives(spark):
     got = {(r["conv_id"], r["perspective"], r["block"]): r for r in perspectives.rotate(docs).collect()}
     assert {k[:2] for k in got} == {(1, "ann"), (1, "bob"), (1, "cy"), (1, "unknown"), (3, "ann"), (3, "bob")}
     bob = got[(1, "bob", 0)]
-    assert bob["rendered"] == "<|system|>\nbe kind<|end|>\n<|user|>ann\nhi<|end|>\n<|assistant|>\né 😀<|end|>\n<|user|>cy\n<|end|>\n"
+    assert bob["rendered"] == "<|system|>\nbe kind<|end|>\n<|user|>ann\nhi<|end|>\n<|assistant|>\né 😀<|end|>\n<|user|>cy\n<|end|>\n<|user|>unknown\n<|end|>\n"
     begin, end = map(int, bob["masks"].split("-"))
     assert bob["rendered"][begin:end] == "é 😀<|end|>\n"
-    assert got[(3, "bob", 1)]["start"] == len(got[(3, "bob", 0)]["rendered"]) and got[(3, "bob", 1)]["masks"] == ""
+    assert got[(3, "bob", 0)]["rendered"] == "<|user|>ann\nearly<|end|>\n<|assistant|>\ntie<|end|>\n<|user|>ann\nlate<|end|>\n"
     assert perspectives.rotate(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("run", [1, 2, 4096])
+def test_perspectives_equal_sql(spark, monkeypatch, tmp_path, run):
+    """Null, negative, equal and very large turn numbers, and a dialogue that holds most turns and lies in many ranges."""
+    monkeypatch.setattr(perspectives, "RUN", run)
+    rng = random.Random(run)
+    turns = [(1, rng.choice([None, -1, -5, 0, 3, 70, 2**62, -(2**63), 2**63 - 1]), rng.choice(["ann", "bob", "system", "", None]), f"t{k % 130}") for k in range(150)]
+    turns += [(2, k // 2, rng.choice(["ann", "bob", "cy é"]), "x" * (k % 7)) for k in range(900)] + [(None, 1, "ann", "x"), (3, None, None, None), (4, 1, "system", "x")]
+    docs = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    docs.write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    want = con.sql(perspectives.ORACLE)
+    df = perspectives.rotate(docs.repartition(7))
+    assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall()) and df.filter("conv_id = 2").count() >= 3 * 14
+
+
+def test_repeated_query_rows(spark):
+    """Each query row has ranks of its own; rows of one id are candidates for each other."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 4)).round(2)
+    rows = [(k, v) for k, v in enumerate(x.tolist(), 1)] + [(100, x[0].tolist()), (100, x[0].tolist()), (100, x[5].tolist()), (200, x[0].tolist())]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in permutation_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    want = []
+    for at, (i, q) in enumerate(rows):
+        if i % 100 == 0:
+            near = sorted((round(float(np.sqrt(((np.array(v) - q) ** 2).sum())), 9), j) for k, (j, v) in enumerate(rows) if k != at)[:10]
+            want += [(i, rank, j, d) for rank, (d, j) in enumerate(near, 1)]
+    assert got == sorted(want) and len(got) == 40
+
+
 def documents(spark):
     base = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{base}/documents.parquet")

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from loomwright.llm import packing, tokens
 from loomwright.llm.automaton import BatchEncoder, MergeAutomaton, explicit_table
-from loomwright.llm.edit_counts import EDITS, TokenTree, edited_counts
+from loomwright.llm.edit_counts import EDITS, TokenTree, edit_trees, edited_counts, token_trees
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 BITS = ["a", "b", "the ", "'s", "'", "'ll", "'re", " ", "  ", "\n", "\t", "1", "22", "é", "ñ", "!", "#", "re", "<|endoftext|>", "<|endo", "ftext|>", " word", "😀", "漢", "٣", "½", "\x85", "\x1c", "\0", "'S", "՘", "꟎", "\r\n", "é"]
@@ -215,3 +215,25 @@ def test_edited_counts(spark, library):
     want = {(k, count(t), count("So" + (t or "")[2:] + " end")) for k, t in ROWS} | {(8, count("abc"), count("abc")), (9, count("abc"), count("ac"))}
     assert got == want
     assert edited_counts(docs.limit(0), F.col("edits"), PATH).collect() == []
+
+
+def test_kept_trees_take_later_edits(spark, library, tmp_path):
+    """Trees are written, edited, written and edited again; each batch splits few words again and gives the count of the new text."""
+    rng = random.Random(12)
+    texts = [None, "", "abc", *("".join(rng.choice(BITS) for _ in range(900)) for _ in range(6)), "some words in a row " * 3000]
+    trees = token_trees(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH)
+    now = {k: t or "" for k, t in enumerate(texts)}
+    for batch in range(3):
+        trees.write.parquet(str(tmp_path / str(batch)))
+        changes = {k: [(rng.randrange(len(t) + 1), 0, " new"), (5, 9, None)] for k, t in now.items() if k % 2 == batch % 2}
+        for k, edits in changes.items():
+            for start, end, new in edits:
+                start = min(start, len(now[k]))
+                now[k] = now[k][:start] + (new or "") + now[k][max(start, end) :]
+        kept = spark.read.parquet(str(tmp_path / str(batch)))
+        edits = spark.createDataFrame([(k, [(a, max(a, b), c) for a, b, c in e]) for k, e in changes.items()], f"doc_id long, edits {EDITS}")
+        trees = edit_trees(kept.join(edits, "doc_id", "left"), F.col("edits"), PATH)
+        for r in trees.collect():
+            assert r["text"] == now[r["doc_id"]] and r["n_tokens"] == len(ids_of(library, r["text"])) == sum(r["counts"])
+            assert (r["reencoded"] > 0) <= (r["doc_id"] in changes) and r["reencoded"] < 600
+    assert trees.limit(0).collect() == []
