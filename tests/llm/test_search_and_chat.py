@@ -138,10 +138,11 @@ def test_perspectives(spark):
     assert perspectives.rotate(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("run", [1, 2, 4096])
-def test_perspectives_equal_sql(spark, monkeypatch, tmp_path, run):
+@pytest.mark.parametrize(("run", "long"), [(1, 0), (2, 200), (4096, 100), (4096, 4096)])
+def test_perspectives_equal_sql(spark, monkeypatch, tmp_path, run, long):
     """Null, negative, equal and very large turn numbers, and a dialogue that holds most turns and lies in many ranges."""
     monkeypatch.setattr(perspectives, "RUN", run)
+    monkeypatch.setattr(perspectives, "LONG", long)
     rng = random.Random(run)
     turns = [(1, rng.choice([None, -1, -5, 0, 3, 70, 2**62, -(2**63), 2**63 - 1]), rng.choice(["ann", "bob", "system", "", None]), f"t{k % 130}") for k in range(150)]
     turns += [(2, k // 2, rng.choice(["ann", "bob", "cy é"]), "x" * (k % 7)) for k in range(900)] + [(None, 1, "ann", "x"), (3, None, None, None), (4, 1, "system", "x")]
