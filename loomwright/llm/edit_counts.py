@@ -9,6 +9,9 @@ falls on an old one - and updates the sums on the paths to the root.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import BatchEncoder, encoder_for
-from .common import text_or_empty
+from .common import in_pieces, text_or_empty
 from .tokens import vocabulary
 
 LEAF = 32  #: words in a leaf
@@ -28,42 +31,39 @@ STATE = ("lengths", "counts", "leaves", "chars", "tokens")
 EDITS = "array<struct<start:int,end:int,text:string>>"
 
 
-def split_words(encoder: BatchEncoder, text: str) -> tuple[np.ndarray, np.ndarray]:
+def split_words(encoder: BatchEncoder, text: str) -> tuple[list[int], list[int]]:
     """Length and number of tokens of each word of ``text``; special tokens are words."""
-    lengths, counts = [], []
+    lengths, counts, memo = [], [], encoder.memo
     parts: list[str | int] = [text]
     for token, i in encoder.automaton.special.items():
         if token in text:
             parts = [y for x in parts for y in (encoder._between(x, token, i) if isinstance(x, str) else [x])]
     for part in parts:
         if isinstance(part, int):
-            lengths.append(np.array([len(encoder.automaton.labels[part].decode())]))
-            counts.append(np.ones(1, np.int64))
+            lengths.append(len(encoder.automaton.labels[part].decode()))
+            counts.append(1)
         elif part and len(part) < SHORT and max(part) < SURE:
             words = WORDS.findall(part)
-            memo = encoder.memo
-            if len(memo) > MEMO:
-                memo.clear()
-            per = []
-            for w in words:
-                n = memo.get(w)
-                if n is None:
-                    n = memo[w] = len(encoder.automaton.encode_word(w.encode()))
-                per.append(n)
-            lengths.append(np.fromiter(map(len, words), np.int64, len(words)))
-            counts.append(np.array(per, np.int64))
+            lengths += map(len, words)
+            try:
+                counts += [memo[w] for w in words]
+            except KeyError:
+                if len(memo) > MEMO:
+                    memo.clear()
+                for w in words:
+                    if w not in memo:
+                        memo[w] = len(encoder.automaton.encode_word(w.encode()))
+                counts += [memo[w] for w in words]
         elif part:
             got = encoder.words([part])
             if got is None:
                 words = encoder.library_words(part)
-                lengths.append(np.array([n for n, _ in words]))
-                counts.append(np.array([len(ids) for _, ids in words]))
+                lengths += [n for n, _ in words]
+                counts += [len(ids) for _, ids in words]
             else:
-                lengths.append(got[0][:-1])
-                counts.append(encoder.count[got[1][:-1]].astype(np.int64))
-    if len(lengths) == 1:
-        return lengths[0], counts[0]
-    return (np.concatenate(lengths), np.concatenate(counts)) if lengths else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                lengths += got[0][:-1].tolist()
+                counts += encoder.count[got[1][:-1]].tolist()
+    return lengths, counts
 
 
 def margin_of(encoder: BatchEncoder) -> int:
@@ -71,137 +71,145 @@ def margin_of(encoder: BatchEncoder) -> int:
 
 
 class TokenTree:
-    """Token count of a text under edits. Positions are code points; out-of-range ones are moved into the text."""
-
-    def __init__(self, encoder: BatchEncoder, text: str, words: tuple[np.ndarray, np.ndarray] | None = None) -> None:
-        self.encoder, self.text, self.reencoded = encoder, text, 0
-        self.margin = margin_of(encoder)
-        self._build(*(words or split_words(encoder, text)))
-
-    def _build(self, lengths: np.ndarray, counts: np.ndarray) -> None:
-        self.leaves = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(lengths), LEAF)] or [(lengths, counts)]
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = (np.zeros(2 * self.size, np.int64) for _ in range(2))
-        for k, (a, b) in enumerate(self.leaves):
-            self.chars[self.size + k], self.tokens[self.size + k] = a.sum(), b.sum()
+    """Token count of a text under edits. Positions are code points; out-of-range ones are moved into the text.
+
+    Each leaf holds a piece of the text, and characters and tokens of each of
+    its words, so that an edit copies a few leaves and not the text.
+    """
+
+    def __init__(self, encoder: BatchEncoder, text: str, words: tuple[list[int], list[int]] | None = None) -> None:
+        self.encoder, self.reencoded, self.margin = encoder, 0, margin_of(encoder)
+        self._build(text, *(words or split_words(encoder, text)))
+
+    def _build(self, text: str, lengths: list[int], counts: list[int]) -> None:
+        self.leaves, at = [], 0
+        for i in range(0, len(lengths) or 1, LEAF):
+            sizes = lengths[i : i + LEAF]
+            to = at + sum(sizes)
+            self.leaves.append((text[at:to], sizes, counts[i : i + LEAF]))
+            at = to
+        self.size = size = 1 << (len(self.leaves) - 1).bit_length()
+        none = [0] * (size - len(self.leaves))
+        self.chars = [0] * size + [len(x[0]) for x in self.leaves] + none
+        self.tokens = [0] * size + [sum(x[2]) for x in self.leaves] + none
         for tree in (self.chars, self.tokens):
-            level = self.size
-            while level > 1:
-                tree[level // 2 : level] = tree[level : 2 * level].reshape(-1, 2).sum(1)
-                level //= 2
+            for node in range(size - 1, 0, -1):
+                tree[node] = tree[2 * node] + tree[2 * node + 1]
 
-    def state(self) -> dict[str, np.ndarray]:
-        """All that the tree holds besides the text, as arrays."""
-        words = [np.concatenate([x[k] for x in self.leaves]) for k in (0, 1)]
-        return dict(zip(STATE, (*words, np.array([len(a) for a, _ in self.leaves]), self.chars, self.tokens), strict=True))
+    def state(self) -> dict[str, list[int]]:
+        """All that the tree holds besides the text."""
+        words = [[n for x in self.leaves for n in x[k]] for k in (1, 2)]
+        return dict(zip(STATE, (*words, [len(x[1]) for x in self.leaves], self.chars, self.tokens), strict=True))
 
     @classmethod
-    def restored(cls, encoder: BatchEncoder, text: str, state: dict[str, np.ndarray]) -> TokenTree:
+    def restored(cls, encoder: BatchEncoder, text: str, state: dict[str, list[int]]) -> TokenTree:
         """The tree of ``state()``; nothing is split, encoded or summed again."""
         tree = cls.__new__(cls)
-        tree.encoder, tree.text, tree.reencoded, tree.margin = encoder, text, 0, margin_of(encoder)
-        ends = np.cumsum(state["leaves"])
-        cuts = list(zip((ends - state["leaves"]).tolist(), ends.tolist(), strict=True))
-        tree.leaves = [(state["lengths"][a:b], state["counts"][a:b]) for a, b in cuts]
-        tree.chars, tree.tokens = state["chars"].copy(), state["tokens"].copy()
-        tree.size = len(tree.chars) // 2
+        tree.encoder, tree.reencoded, tree.margin = encoder, 0, margin_of(encoder)
+        tree.chars, tree.tokens = list(state["chars"]), list(state["tokens"])
+        tree.size, tree.leaves, word, at = len(tree.chars) // 2, [], 0, 0
+        for k, n in enumerate(state["leaves"]):
+            to = at + tree.chars[tree.size + k]
+            tree.leaves.append((text[at:to], state["lengths"][word : word + n], state["counts"][word : word + n]))
+            word, at = word + n, to
         return tree
 
+    @property
+    def text(self) -> str:
+        return "".join(x[0] for x in self.leaves)
+
     @property
     def count(self) -> int:
-        return int(self.tokens[1])
+        return self.tokens[1]
 
     @property
     def words(self) -> int:
-        return sum(len(a) for a, _ in self.leaves)
+        return sum(len(x[1]) for x in self.leaves)
 
     def _leaf_at(self, char: int) -> tuple[int, int]:
         """The leaf that holds a character, and where the leaf begins."""
-        node, before = 1, 0
+        node, before, chars = 1, 0, self.chars
         while node < self.size:
             node *= 2
-            if char >= before + self.chars[node] and self.chars[node + 1]:
-                before += int(self.chars[node])
+            if char >= before + chars[node] and chars[node + 1]:
+                before += chars[node]
                 node += 1
         return node - self.size, before
 
-    def _update(self, leaf: int) -> None:
+    def _put(self, leaf: int, text: str, lengths: list[int], counts: list[int]) -> None:
+        """Replace a leaf, and the sums on its path to the root."""
+        self.leaves[leaf] = (text, lengths, counts)
         node = self.size + leaf
-        a, b = self.leaves[leaf]
-        self.chars[node], self.tokens[node] = a.sum(), b.sum()
-        node //= 2
+        more, cost = len(text) - self.chars[node], sum(counts) - self.tokens[node]
         while node:
-            for tree in (self.chars, self.tokens):
-                tree[node] = tree[2 * node] + tree[2 * node + 1]
+            self.chars[node] += more
+            self.tokens[node] += cost
             node //= 2
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Put ``new`` in place of the characters from ``start`` to ``end``."""
-        n = len(self.text)
+        n = self.chars[1]
         start = min(max(start, 0), n)
         end = min(max(end, start), n)
         shift = len(new) - (end - start)
-        text = self.text[:start] + new + self.text[end:]
         if not n:
-            self.text = text
-            self._build(*split_words(self.encoder, text))
+            self._build(new, *split_words(self.encoder, new))
             self.reencoded += self.words
             return
         # Left: back from the word before the edit by two words more, and over the characters of a special token.
-        leaf, at = self._leaf_at(max(0, start - 1 - self.margin))
-        first = leaf
-        bounds = at + np.concatenate(([0], np.cumsum(self.leaves[first][0])))
-        inside = int(np.searchsorted(bounds, max(0, start - 1 - self.margin), "right")) - 1
-        keep = inside - 2
+        near = max(0, start - 1 - self.margin)
+        first, at = self._leaf_at(near)
+        keep = bisect_right(list(accumulate(self.leaves[first][1], initial=at)), near) - 3
         while keep < 0 and first > 0:
             first -= 1
-            at -= int(self.chars[self.size + first])
-            keep += len(self.leaves[first][0])
+            at -= self.chars[self.size + first]
+            keep += len(self.leaves[first][1])
         keep = max(0, keep)
-        bounds = at + np.concatenate(([0], np.cumsum(self.leaves[first][0])))
-        begin = int(bounds[keep])
+        begin = at + sum(self.leaves[first][1][:keep])
         # Right: widen the window until a new boundary after the edit falls on an old one, clear of the window's own end.
-        last, reach, wide = first, at + int(self.chars[self.size + first]), 1
-        olds = [bounds]
+        last, reach, wide = first, at + self.chars[self.size + first], 1
         while True:
             while last + 1 < len(self.leaves) and (reach <= end + self.margin or wide > 0):
                 last += 1
-                olds.append(reach + np.cumsum(self.leaves[last][0]))
-                reach += int(self.chars[self.size + last])
+                reach += self.chars[self.size + last]
                 wide -= reach > end + self.margin
-            whole = last + 1 >= len(self.leaves)
-            lengths, counts = split_words(self.encoder, text[begin : reach + shift])
+            held = "".join([x[0] for x in self.leaves[first : last + 1]])
+            text = held[: start - at] + new + held[end - at :]
+            lengths, counts = split_words(self.encoder, text[begin - at :])
             self.reencoded += len(lengths)
-            if whole:
-                stop, tail_leaf, tail = len(lengths), last, len(self.leaves[last][0])
+            if last + 1 >= len(self.leaves):
+                stop, to = len(lengths), reach
                 break
-            news = begin + np.cumsum(lengths)
-            old = np.concatenate(olds)
-            safe = (news >= start + len(new) + self.margin) & (news <= reach + shift - self.margin)
-            safe[-3:] = False
-            match = np.flatnonzero(safe & np.isin(news - shift, old[old >= end]))
-            if len(match):
-                stop = int(match[0]) + 1
-                join = int(news[match[0]]) - shift
-                tail_leaf, where = last, reach
-                while where - int(self.chars[self.size + tail_leaf]) > join:
-                    where -= int(self.chars[self.size + tail_leaf])
-                    tail_leaf -= 1
-                where -= int(self.chars[self.size + tail_leaf])
-                tail = int(np.searchsorted(where + np.concatenate(([0], np.cumsum(self.leaves[tail_leaf][0]))), join))
+            old = {x for x in accumulate((n for x in self.leaves[first : last + 1] for n in x[1]), initial=at) if x >= end}
+            news = list(accumulate(lengths, initial=begin))
+            safe = range(max(1, bisect_left(news, start + len(new) + self.margin)), min(len(news) - 3, bisect_right(news, reach + shift - self.margin)))
+            stop = next((k for k in safe if news[k] - shift in old), 0)
+            if stop:
+                to = news[stop] - shift
                 break
             wide = max(2, 2 * (last - first))
-        self.text = text
-        parts = [(self.leaves[first][k][:keep], (lengths, counts)[k][:stop], self.leaves[tail_leaf][k][tail:]) for k in (0, 1)]
-        merged = [np.concatenate(p) for p in parts]
-        held = tail_leaf - first + 1
-        if len(merged[0]) > 4 * LEAF * held:
-            everything = [np.concatenate([x[k] for x in self.leaves[:first]] + [merged[k]] + [x[k] for x in self.leaves[tail_leaf + 1 :]]) for k in (0, 1)]
-            self._build(*everything)
+        # Back to the leaf in which the old words go on.
+        while last > first and reach - self.chars[self.size + last] >= to:
+            reach -= self.chars[self.size + last]
+            last -= 1
+        where, sizes, of = self.leaves[last][0], self.leaves[last][1], self.leaves[last][2]
+        tail = len(sizes) if to == reach else bisect_left(list(accumulate(sizes, initial=reach - len(where))), to)
+        lengths = self.leaves[first][1][:keep] + lengths[:stop] + sizes[tail:]
+        counts = self.leaves[first][2][:keep] + counts[:stop] + of[tail:]
+        text, leaves = text[: reach + shift - at], last + 1 - first
+        if len(lengths) > 4 * LEAF * leaves:
+            before, after = self.leaves[:first], self.leaves[last + 1 :]
+            whole = ["".join([x[0] for x in before]) + text + "".join([x[0] for x in after])]
+            for k, some in ((1, lengths), (2, counts)):
+                whole.append([n for x in before for n in x[k]] + some + [n for x in after for n in x[k]])
+            self._build(*whole)
             return
-        for i, (a, b) in enumerate(zip(np.array_split(merged[0], held), np.array_split(merged[1], held), strict=True)):
-            self.leaves[first + i] = (a, b)
-            self._update(first + i)
+        begin = word = 0
+        for k in range(leaves):
+            cut = len(lengths) * (k + 1) // leaves
+            stop = begin + sum(lengths[word:cut])
+            self._put(first + k, text[begin:stop], lengths[word:cut], counts[word:cut])
+            begin, word = stop, cut
 
 
 def standard_edits(text: Column) -> Column:
@@ -242,7 +250,7 @@ def token_trees(docs: DataFrame, path: str) -> DataFrame:
             texts = batch.column(1).to_pylist()
             yield _rows_of([TokenTree(encoder, t, w) for t, w in zip(texts, _words_of(encoder, texts), strict=True)], batch.column(0))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, TREES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(in_pieces(run), TREES)
 
 
 def edit_trees(trees: DataFrame, edits: Column, path: str) -> DataFrame:
@@ -259,12 +267,12 @@ def edit_trees(trees: DataFrame, edits: Column, path: str) -> DataFrame:
             out = []
             columns = [batch.column(x) for x in STATE]
             for k, (text, changes) in enumerate(zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True)):
-                tree = TokenTree.restored(encoder, text, {x: c[k].values.to_numpy() for x, c in zip(STATE, columns, strict=True)})
+                tree = TokenTree.restored(encoder, text, {x: c[k].as_py() for x, c in zip(STATE, columns, strict=True)})
                 _edit(tree, changes)
                 out.append(tree)
             yield _rows_of(out, batch.column("doc_id"))
 
-    return trees.select("doc_id", "text", *STATE, edits.cast(EDITS).alias("edits")).mapInArrow(run, TREES)
+    return trees.select("doc_id", "text", *STATE, edits.cast(EDITS).alias("edits")).mapInArrow(in_pieces(run), TREES)
 
 
 def edited_counts(docs: DataFrame, edits: Column, path: str) -> DataFrame:
@@ -292,7 +300,7 @@ def edited_counts(docs: DataFrame, edits: Column, path: str) -> DataFrame:
                 rows.append((n_words, n_tokens, len(changes or []), tree.count, tree.reencoded))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(5))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), edits.cast(EDITS).alias("edits")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), edits.cast(EDITS).alias("edits")).mapInArrow(in_pieces(run), schema)
 
 
 def _words_of(encoder: BatchEncoder, texts: list[str]):
@@ -301,7 +309,7 @@ def _words_of(encoder: BatchEncoder, texts: list[str]):
     special = encoder.automaton.special
     while at < len(texts):
         to, size = at, 0
-        while to < len(texts) and size < 1 << 19 and not any(s in texts[to] for s in special):
+        while to < len(texts) and size < 1 << 17 and not any(s in texts[to] for s in special):
             size += len(texts[to]) + 1
             to += 1
         got = encoder.words(texts[at:to]) if to > at else None
@@ -311,7 +319,9 @@ def _words_of(encoder: BatchEncoder, texts: list[str]):
                 yield split_words(encoder, text)
         else:
             lengths, word, is_end = got
-            counts, ends = encoder.count[word].astype(np.int64), np.flatnonzero(is_end)
-            for a, b in zip(np.concatenate(([0], ends[:-1] + 1)).tolist(), ends.tolist(), strict=True):
+            ends, a = np.flatnonzero(is_end).tolist(), 0
+            lengths, counts = lengths.tolist(), encoder.count[word].tolist()
+            for b in ends:
                 yield lengths[a:b], counts[a:b]
+                a = b + 1
         at = to
