@@ -19,11 +19,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import splitmix, text_or_empty, word_hashes
+from .common import PIECE, in_pieces, release, splitmix, text_or_empty, word_hashes
 
 WORD_BINS = 1 << 15
 FACTORS = 8
@@ -71,7 +71,7 @@ def features(texts: list[str], stated: np.ndarray) -> tuple[np.ndarray, np.ndarr
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
     while at < len(data):
         to, size = at, 0
-        while to < len(data) and (to == at or size + len(data[to]) < 1 << 20):
+        while to < len(data) and (to == at or size + len(data[to]) < 1 << 18):
             size += len(data[to])
             to += 1
         parts.append(_features(data[at:to], stated[at:to]))
@@ -138,9 +138,7 @@ class Machine:
         return self.bias + linear + 0.5 * (summed * summed - squares).sum(1)
 
     def score(self, texts: list[str], stated: np.ndarray) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        return np.concatenate([1 / (1 + np.exp(-np.clip(self.raw(*features(texts[i : i + 256], stated[i : i + 256])), -30, 30).astype(np.float64))) for i in range(0, len(texts), 256)])
+        return 1 / (1 + np.exp(-np.clip(self.raw(*features(texts, stated)), -30, 30).astype(np.float64))) if texts else np.zeros(0)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Machine:
@@ -198,15 +196,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
 
     def run(batches):
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                indices, values, to = features([t or "" for t in part["text"]], part["stated"].to_numpy(np.float64))
-                cut = list(zip(to[:-1], to[1:], strict=True))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "label": part["label"].to_numpy(), "indices": [indices[x:y].astype("<i4").tobytes() for x, y in cut], "values": [values[x:y].astype("<f4").tobytes() for x, y in cut]})
+            indices, values, to = features(b["text"].to_pylist(), b["stated"].to_numpy(zero_copy_only=False))
+            cut = list(zip(to[:-1], to[1:], strict=True))
+            found = [pa.array([indices[x:y].astype("<i4").tobytes() for x, y in cut], pa.binary()), pa.array([values[x:y].astype("<f4").tobytes() for x, y in cut], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["label"], *found], ["doc_id", "label", "indices", "values"])
 
     # At most 2 * PER_CLASS rows of two numbers: small enough to send to every task, so no text is shuffled.
-    joined = docs.select("doc_id", text_or_empty().alias("text"), stated_length(docs).cast("double").alias("stated")).join(F.broadcast(picked), "doc_id")
-    got = joined.mapInPandas(run, "doc_id long, label int, indices binary, values binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    joined = docs.select("doc_id", text_or_empty().alias("text"), stated_length(docs).cast("double").alias("stated")).join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text", "stated")
+    made = joined.mapInArrow(in_pieces(run), "doc_id long, label int, indices binary, values binary")
+    # One row for each doc_id, the same whatever the partitions, also where one has several texts.
+    one = made.groupBy("doc_id", "label").agg(F.min(F.struct("indices", "values")).alias("x")).select("doc_id", "label", "x.*")
+    got = one.toPandas().sort_values("doc_id")
     rows = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4")) for i, v in zip(got["indices"], got["values"], strict=True)]
     y = got["label"].to_numpy(np.float64)
     seen = {k: max(1, int((y == k).sum())) for k in (0, 1)}
@@ -218,10 +218,15 @@ def scorer(docs: DataFrame, machine: Machine) -> Column:
     """Score of each row's whole text; the machine (about 1.2 MB) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def run(text: pd.Series, stated: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score([t or "" for t in text], stated.to_numpy(np.float64)))
+    def run(text: pa.Array, stated: pa.Array) -> pa.Array:
+        out = [np.zeros(0)]
+        for at in range(0, len(text), PIECE):
+            out.append(shared.value.score(text.slice(at, PIECE).to_pylist(), stated.slice(at, PIECE).to_numpy(zero_copy_only=False)))
+        release()
+        return pa.array(np.concatenate(out))
 
-    return F.pandas_udf(run, "double")(text_or_empty(), stated_length(docs).cast("double"))
+    run.__annotations__ = {"text": pa.Array, "stated": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "double")(text_or_empty(), stated_length(docs).cast("double"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
