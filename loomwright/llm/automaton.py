@@ -222,7 +222,7 @@ def character_classes() -> np.ndarray:
 class BatchEncoder:
     """Encodes whole texts: pre-splits in numpy, looks words up in a hash table, sends new words through the automaton."""
 
-    CHUNK = 1 << 19  # code points handled at once
+    CHUNK = 1 << 17  # code points handled at once
     WORDS = 1 << 20  # words remembered, at most
     LONG = 48  # code points; longer words are not remembered
 

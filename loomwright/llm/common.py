@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,30 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+PIECE = 512  #: rows of a batch that are turned into Python values at once
+
+
+def release() -> None:
+    """Give memory that is free back to the system: workers wait for later tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_pieces(run):
+    """``run`` for mapInArrow, on batches of at most PIECE rows."""
+
+    def whole(batches):
+        try:
+            yield from run(batch.slice(at, PIECE) for batch in batches for at in range(0, len(batch), PIECE))
+        finally:
+            release()
+
+    return whole
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

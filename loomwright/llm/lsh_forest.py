@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, splitmix, text_or_empty, word_hashes
+from .common import cut, in_pieces, splitmix, text_or_empty, word_hashes
 from .components import components
 
 TREES, DEPTH = 20, 4
@@ -238,7 +238,7 @@ def classes(docs: DataFrame, percent: int = 85, key: Column | None = None) -> Da
     ``key`` (null by default) is handed on, to find a row again.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), (F.lit(None) if key is None else key).cast("binary").alias("key"))
-    signed = cut(source.mapInArrow(_sign, "doc_id long, key binary, n long, print binary, signature binary").withColumn("at", F.monotonically_increasing_id()))
+    signed = cut(source.mapInArrow(in_pieces(_sign), "doc_id long, key binary, n long, print binary, signature binary").withColumn("at", F.monotonically_increasing_id()))
     some = signed.filter("n > 0 AND doc_id IS NOT NULL")
     # One node for each distinct set: copies never meet in a pair.
     nodes = cut(some.groupBy("print").agg(F.min("at").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")))
@@ -259,7 +259,7 @@ def classes(docs: DataFrame, percent: int = 85, key: Column | None = None) -> Da
     crowds = met.filter("kind = 'crowd'").select("region", "node").distinct()
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowds.select("node")).distinct()
     wanted = needed.join(nodes.select("node", "doc_id", "print"), "node")
-    sets = source.join(wanted, "doc_id").select("node", "print", "text").mapInArrow(_full_sets, "node long, shingles array<long>")
+    sets = source.join(wanted, "doc_id").select("node", "print", "text").mapInArrow(in_pieces(_full_sets), "node long, shingles array<long>")
     sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     roots = components(_confirmed(pairs, sets, percent))

@@ -14,12 +14,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, in_pieces, text_or_empty
 from .tokens import _encoded, texts_in, vocabulary
 
 #: Pieces in a bucket of one length, about.
@@ -180,7 +179,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
                 ids_of = batch.column("doc_id").take(pa.array(begin + doc))
                 yield pa.RecordBatch.from_arrays([ids_of, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(in_pieces(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -200,10 +199,10 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("at")).cast("long") + F.col("before") - 1
     ranked = pieces.join(before, ["length", "bucket"]).withColumn("rank", rank)
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        want = (length.to_numpy(np.int64) << 44) | rank.to_numpy(np.int64)
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        want = (length.to_numpy() << 44) | rank.to_numpy()
         at = np.searchsorted(table["key"], want, "right") - 1
-        return pd.DataFrame({"sequence_id": table["sequence"][at] + want - table["key"][at], "offset": table["offset"][at]})
+        return pa.StructArray.from_arrays([pa.array(table["sequence"][at] + want - table["key"][at]), pa.array(table["offset"][at])], ["sequence_id", "offset"])
 
-    return ranked.withColumn("slot", place("length", "rank")).select("doc_id", "piece", "start", "length", "ids_crc32", "slot.sequence_id", "slot.offset")
+    place.__annotations__ = {"length": pa.Array, "rank": pa.Array, "return": pa.Array}
+    return ranked.withColumn("slot", F.arrow_udf(place, "sequence_id long, offset long")("length", "rank")).select("doc_id", "piece", "start", "length", "ids_crc32", "slot.sequence_id", "slot.offset")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty, word_hashes
+from .common import cut, in_pieces, text_or_empty, word_hashes
 
 CLASSES, EACH = 16, 64
 SYMBOLS = CLASSES * EACH
@@ -180,7 +180,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if size:
             yield counted()
 
-    return _texts(docs).select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return _texts(docs).select("text").mapInArrow(in_pieces(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -270,7 +270,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(share)), symbols, words], [x.split()[0] for x in _ENCODED.split(", ")])
 
     texts = _texts(docs).withColumn("at", F.monotonically_increasing_id()).withColumn("key", F.xxhash64("doc_id", "text"))
-    made = texts.select("at", F.pmod("key", F.lit(trainers)).alias("trainer"), "key", "doc_id", "text").mapInArrow(run, _ENCODED)
+    made = texts.select("at", F.pmod("key", F.lit(trainers)).alias("trainer"), "key", "doc_id", "text").mapInArrow(in_pieces(run), _ENCODED)
     return cut(made.repartition("trainer").sortWithinPartitions("trainer", "key"))
 
 
@@ -338,7 +338,7 @@ def fit(docs: DataFrame) -> tuple[Network, Vocabulary, DataFrame, DataFrame]:
             if weight:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(N, dtype=np.int32)), pa.array(total), pa.array(np.full(N, weight, np.int64))], ["i", "x", "n"])
 
-        got = encoded.select("trainer", "symbols").mapInArrow(run, "i int, x long, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toArrow()
+        got = encoded.select("trainer", "symbols").mapInArrow(in_pieces(run), "i int, x long, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toArrow()
         if len(got):
             numbers = np.empty(N)
             numbers[got["i"].to_numpy()] = got["x"].to_numpy() / got["n"].to_numpy() / UNIT
@@ -366,7 +366,7 @@ def document_scores(docs: DataFrame) -> DataFrame:
             share = np.array([r["share"] for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in ("at", "doc_id")] + [pa.array(n), pa.array(net_sum + share)], ["at", "doc_id", "n_words", "score"])
 
-    scored = encoded.select("at", "doc_id", "trainer", "share", "symbols").mapInArrow(run, "at long, doc_id long, n_words long, score long")
+    scored = encoded.select("at", "doc_id", "trainer", "share", "symbols").mapInArrow(in_pieces(run), "at long, doc_id long, n_words long, score long")
     asked = encoded.select("at", F.explode("rare").alias("word"))
     looked_up = asked.join(counts, "word").groupBy("at").agg(F.sum(F.rint(F.log(F.col("n") + 1) * UNIT).cast("long")).alias("rare"))
     total = F.round((F.col("score") + F.coalesce("rare", F.lit(0))) / UNIT, 4)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import encoder_for
-from .common import text_or_empty
+from .common import in_pieces, text_or_empty
 
 
 def vocabulary(path: str) -> bytes:
@@ -41,7 +41,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 out += [ids[a:b] for a, b in zip(to[:-1], to[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int32) for x in out], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(in_pieces(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -54,7 +54,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             out = [automaton.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(in_pieces(run), "doc_id long, text string")
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -83,4 +83,4 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
                     text_hash.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(in_pieces(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

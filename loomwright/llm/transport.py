@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import in_pieces, text_or_empty
 
 # Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC, NULL_PID, PAT_PID = 188, 0x47, 0x1FFF, 0
@@ -306,7 +306,7 @@ def parse_column(df: DataFrame, key: str, media: str) -> DataFrame:
                 rows.append({"key": k, "packets": r.packets, "skipped_bytes": r.skipped_bytes, "flawed_packets": r.flawed_packets, "table_errors": r.table_errors, "programs": list(r.programs.items()), "streams": streams})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return df.select(F.col(key).alias("key"), F.col(media).cast("binary").alias("media")).mapInArrow(run, schema)
+    return df.select(F.col(key).alias("key"), F.col(media).cast("binary").alias("media")).mapInArrow(in_pieces(run), schema)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
             made = [padded(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([store(p) for p, _ in made], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(in_pieces(run), "doc_id long, n_bytes long, media binary")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
@@ -341,4 +341,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(in_pieces(run), schema)
