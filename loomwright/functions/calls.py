@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 CALL = "struct<name:string,arguments:string>"
 CALLS = f"array<{CALL}>"
 ENTRY = "struct<k:string,tag:string,text:string>"
@@ -26,17 +28,14 @@ def texts(arguments: Column) -> Column:
     return F.when(arguments.rlike(r"^\s*\{"), F.from_json(arguments, "map<string,string>"))
 
 
-def _tags(arguments: Column) -> Column:
-    variants = F.when(arguments.rlike(r"^\s*\{"), F.from_json(arguments, "map<string,variant>"))
-    kind = lambda v: F.regexp_extract(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), "^[A-Z]+", 0)
-    return F.transform_values(variants, lambda k, v: kind(v))
-
-
 def entries(arguments: Column) -> Column:
     """Sorted (k, tag, text) of a JSON object; NULL if the text is none."""
-    t, tags = texts(arguments), _tags(arguments)
+    variants = F.when(arguments.rlike(r"^\s*\{"), F.from_json(arguments, "map<string,variant>"))
+    kind = lambda v: F.regexp_extract(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), "^[A-Z]+", 0)
     fold = lambda tag: F.when(tag.isin("DECIMAL", "DOUBLE", "FLOAT"), F.lit("FLOAT")).when(tag.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("INT")).otherwise(tag)
-    return F.transform(F.array_sort(F.map_keys(t)), lambda k: F.struct(k.alias("k"), fold(F.element_at(tags, k)).alias("tag"), F.element_at(t, k).alias("text")))
+    ordered = lambda m: F.array_sort(F.map_entries(m))
+    tags = ordered(F.transform_values(variants, lambda k, v: kind(v)))
+    return F.zip_with(ordered(texts(arguments)), tags, lambda t, v: F.struct(t["key"].alias("k"), fold(v["value"]).alias("tag"), t["value"].alias("text")))
 
 
 def canonical(calls: Column) -> Column:
@@ -65,14 +64,14 @@ def loads(text: Column) -> Column:
     parsed again; missing arguments are ``{}``; null ones make the whole
     malformed, as does any item without a name or whose arguments are no object.
     """
-    valid = F.try_parse_json(text).isNotNull()
     listed = F.when(text.rlike(r"^\s*\["), text).when(text.rlike(r"^\s*\{"), F.concat(F.lit("["), text, F.lit("]")))
-    items = F.from_json(listed, "array<map<string,string>>")
     has = lambda m, k: F.coalesce(F.map_contains_key(m, k), F.lit(False))
     arguments = lambda m: F.when(has(m, "arguments"), F.element_at(m, "arguments")).otherwise(F.lit("{}"))
-    sound = lambda m: has(m, "name") & F.coalesce(texts(arguments(m)).isNotNull() & F.try_parse_json(arguments(m)).isNotNull(), F.lit(False))
-    calls = F.transform(items, lambda m: F.struct(F.coalesce(F.element_at(m, "name"), F.lit("None")).alias("name"), arguments(m).alias("arguments")))
-    return F.when(valid & items.isNotNull() & F.forall(items, sound), calls)
+    an_object = lambda a: F.coalesce((a == "{}") | (texts(a).isNotNull() & F.try_parse_json(a).isNotNull()), F.lit(False))
+    sound = lambda m: has(m, "name") & let(arguments(m), an_object)
+    calls = lambda items: F.transform(items, lambda m: F.struct(F.coalesce(F.element_at(m, "name"), F.lit("None")).alias("name"), arguments(m).alias("arguments")))
+    whole = let(F.from_json(listed, "array<map<string,string>>"), lambda items: F.when(F.forall(items, sound), calls(items)))
+    return F.when(F.try_parse_json(text).isNotNull(), whole)
 
 
 def strict_equal(a: Column, b: Column) -> Column:

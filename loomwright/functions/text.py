@@ -24,6 +24,11 @@ PUNCTUATION = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it (inside lambdas nothing else shares work)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squash(c: Column) -> Column:
     """Lower case, runs of non-word characters as one space, no space at the ends."""
     return F.trim(F.regexp_replace(F.lower(c), NON_WORD, " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, ngrams, order_key, squash, uniform, words
+from ..functions.text import collapse, let, ngrams, order_key, squash, uniform, words
 
 GRAM = 8
 TOLERATED = 0.05
@@ -22,11 +22,23 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _marks(text: Column, n: int) -> Column:
+    """Hashes of the runs of ``n`` words, or of the whole of a shorter text; none for a null text."""
+    runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n)))
+    marks = let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= n, F.array_distinct(runs(h))).otherwise(F.array(F.xxhash64(h))))
+    return F.when(text.isNotNull(), marks)
+
+
 def overlapping(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", n: int = GRAM) -> DataFrame:
-    """Keys of the rows that share a run of ``n`` words with any item, or, having fewer words, equal a short item."""
-    w = docs.select(key, words(F.col(text)).alias("w"))
-    grams = w.select(key, F.explode(ngrams(F.col("w"), n)).alias("gram"))
-    long = grams.join(_small(eval_grams(items, text, n), BROADCAST_GRAMS), "gram", "left_semi").select(key)
+    """Keys of the rows that share a run of ``n`` words with any item, or, having fewer words, equal a short item.
+
+    One pass over the rows finds those that share a 64-bit mark; runs of words
+    are only spelled out for them.
+    """
+    wanted = items.select(F.explode(_marks(F.col(text), n)).alias("mark")).distinct()
+    maybe = docs.select(key, F.explode(_marks(F.col(text), n)).alias("mark")).join(_small(wanted, BROADCAST_GRAMS), "mark", "left_semi").select(key).distinct()
+    w = docs.select(key, text).join(maybe, key, "left_semi").select(key, words(F.col(text)).alias("w"))
+    long = w.select(key, F.explode(ngrams(F.col("w"), n)).alias("gram")).join(_small(eval_grams(items, text, n), BROADCAST_GRAMS), "gram", "left_semi").select(key)
     short_items = items.select(words(F.col(text)).alias("iw")).filter(F.size("iw") < n).select(F.array_join("iw", " ").alias("line")).distinct()
     short = w.filter(F.size("w") < n).select(key, F.array_join("w", " ").alias("line")).join(_small(short_items, BROADCAST_GRAMS), "line", "left_semi").select(key)
     return long.unionByName(short).distinct()
@@ -53,8 +65,9 @@ def first_wins(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
 
 def unseen(rows: DataFrame, history: DataFrame, text: str = "text", *order: Column) -> DataFrame:
     """Rows whose collapsed text does not occur in ``history``; given an order, only the first of those with equal texts."""
-    seen = history.select(collapse(F.col(text)).alias("k__")).distinct()
-    new = rows.withColumn("k__", collapse(F.col(text))).join(seen, "k__", "left_anti")
+    key = F.md5(collapse(F.col(text)))  # digests are shuffled, not texts
+    seen = history.select(key.alias("k__")).distinct()
+    new = rows.withColumn("k__", key).join(seen, "k__", "left_anti")
     return (first_wins(new, F.col("k__"), *order) if order else new).drop("k__")
 
 
@@ -63,7 +76,8 @@ def capped(rows: DataFrame, caps: dict[str, int], source: str, *order: Column) -
     cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col(source)] if caps else F.lit(None)
     limited = rows.withColumn("cap__", cap)
     w = Window.partitionBy(source).orderBy(*order)
-    some = limited.filter("cap__ IS NOT NULL").withColumn("rn__", F.row_number().over(w)).filter("rn__ <= cap__").drop("rn__")
+    # The largest cap is a literal, so that every task cuts its rows before the shuffle.
+    some = limited.filter("cap__ IS NOT NULL").withColumn("rn__", F.row_number().over(w)).filter(F.col("rn__") <= max(caps.values(), default=0)).filter("rn__ <= cap__").drop("rn__")
     return limited.filter("cap__ IS NULL").unionByName(some).drop("cap__")
 
 
@@ -82,7 +96,7 @@ def stratified(rows: DataFrame, stratum: Column, sizes: dict, key: str, seed: in
     """``sizes[s]`` rows of each stratum ``s``, first in the seeded order."""
     cap = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("stratum")]
     w = Window.partitionBy("stratum").orderBy(order_key(seed, F.col(key)), key)
-    return rows.withColumn("stratum", stratum).withColumn("rn__", F.row_number().over(w)).filter(F.col("rn__") <= cap).drop("rn__")
+    return rows.withColumn("stratum", stratum).withColumn("rn__", F.row_number().over(w)).filter(F.col("rn__") <= max(sizes.values(), default=0)).filter(F.col("rn__") <= cap).drop("rn__")
 
 
 def holdout(rows: DataFrame, n: int, key: str) -> DataFrame:
