@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -23,6 +24,16 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; without one, a temporary folder where everything runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp("-loomwright")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once, so that Python workers find it wherever the driver was started."""
     context = spark.sparkContext

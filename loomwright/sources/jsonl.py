@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,29 @@ def read_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, D
     return rows, lines.agg(F.count_if(~F.col("ok")).alias("skipped"))
 
 
+READERS = {"parquet": "parquet", "json": "json", "jsonl": "json"}
+
+
+def scan(spark: SparkSession, path: str, where: Column | str | None = None, columns: list[str] | None = None, kind: str | None = None) -> DataFrame:
+    """Rows of a Parquet or JSON dataset that satisfy ``where``; filter and columns reach the reader.
+
+    ``kind`` is taken from the path's ending by default. A condition that is
+    null for a row drops it.
+    """
+    kind = kind or READERS.get(path.rstrip("/").rpartition(".")[2])
+    if kind not in READERS.values():
+        raise ValueError(f"no reader for {path}")
+    rows = spark.read.format(kind).load(path)
+    rows = rows if where is None else rows.filter(where)
+    return rows.select(*columns) if columns else rows
+
+
+def scan_split(spark: SparkSession, path: str, column: str, held: str, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``column`` is ``held``, all others, null ones too): the evaluation and training parts of one dataset."""
+    mine = F.col(column).eqNullSafe(held)
+    return scan(spark, path, mine, kind=kind), scan(spark, path, ~mine, kind=kind)
+
+
 def write_rows(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines in UTF-8, nulls left out."""
     rows.write.mode(mode).json(path)

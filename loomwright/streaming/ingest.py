@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import collapse
 from ..operators.training import COMPLETION_PRICE, PROMPT_PRICE
+from ..session import shared_folder
 from ..sources.jsonl import mark_lines
 
 
@@ -47,13 +51,57 @@ def stream_spending(rows: DataFrame, account: str, prompt: str, completion: str,
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a bounded stream to its end in memory, for tests and small folders."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a bounded stream to its end; what each micro-batch gave, from the shared folder.
+
+    A micro-batch that is run again replaces its own files, so every result is
+    there once. ``mode`` may be ``update``, which file sinks don't take.
+    """
+    folder = f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    kinds = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    return stream.sparkSession.read.schema(kinds).parquet(f"{folder}/rows*").drop("batch")
+
+
+def counted(rows: DataFrame, ok: Column, cost: Column, name: str = "progress") -> DataFrame:
+    """``rows``, with running counts for ``Progress`` gathered as they pass; no second pass."""
+    return rows.observe(name, F.count_if(ok).alias("ok"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("rejected"), F.coalesce(F.sum(cost.cast("double")), F.lit(0.0)).alias("spent"))
+
+
+class Progress(StreamingQueryListener):
+    """Running totals of streams that pass through ``counted``, and a line for every ``every`` rows more."""
+
+    def __init__(self, every: int = 2000, name: str = "progress", say: Callable[[str], None] = print) -> None:
+        self.every, self.name, self.say = every, name, say
+        self.ok, self.rejected, self.spent, self.told = 0, 0, 0.0, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.name)
+        if seen is None:
+            return
+        self.ok, self.rejected, self.spent = self.ok + seen["ok"], self.rejected + seen["rejected"], self.spent + seen["spent"]
+        if (self.ok + self.rejected) // self.every > self.told:
+            self.told = (self.ok + self.rejected) // self.every
+            self.say(self.line())
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.say("final: " + self.line())
+
+    def line(self) -> str:
+        return f"{self.ok} ok / {self.rejected} rejected, ~${self.spent:.2f} spent"
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str):
