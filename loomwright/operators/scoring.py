@@ -7,11 +7,15 @@ greedy one. Everything is one aggregation, or one grouping by row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calls as C
+from ..functions.text import normalized_example
 
+# Above these shares search, assembly from a pool, and unconstrained drafts are worth building.
 SEARCH_HEADROOM, COMPOSITION, PROJECTION_TAX = 0.10, 0.05, 0.02
 
 
@@ -58,6 +62,20 @@ def score_table(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def parse_and_score(rows: DataFrame, *by: str, text: str = "pred_text") -> DataFrame:
+    """Scores of rows that hold the prediction as text; text that can't be read is malformed."""
+    return score_table(rows.withColumn("pred", C.loads(F.col(text))), *by)
+
+
+def score_predictor(rows: DataFrame, predict: Callable[[DataFrame], DataFrame], *by: str) -> DataFrame:
+    """Scores of a predictor: ``predict`` adds ``pred`` (a call list, null if malformed) to rows with ``query``, ``tools`` and ``answers``.
+
+    Query and answers (JSON text) are normalised first, as for training.
+    """
+    clean = normalized_example(rows)
+    return score_table(predict(clean).withColumn("gold", C.loads(F.col("answers"))), *by)
+
+
 def category_accuracy(rows: DataFrame, category: str, hit: Column, over: Column) -> DataFrame:
     """Per category: n, rows over the context, and percent right; a row over the context is a miss and stays in n."""
     ok = F.coalesce(hit, F.lit(False)) & ~F.coalesce(over, F.lit(False))
@@ -69,45 +87,64 @@ def macro_mean(per: DataFrame, value: str) -> DataFrame:
     return per.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("macro_mean"))
 
 
-def failure_table(rows: DataFrame) -> DataFrame:
-    """Per number of gold calls: exact, right count, right names in any order, right names in order (values compared loosely)."""
+def with_names_of(calls: Column, gold: Column) -> Column:
+    """Calls with the gold calls' names, position by position: what is left when names are picked perfectly."""
+    return F.when(F.size(calls) == F.size(gold), F.zip_with(calls, gold, lambda c, g: F.struct(g["name"].alias("name"), c["arguments"].alias("arguments")))).otherwise(calls)
+
+
+def failure_table(rows: DataFrame, oracle: Column | None = None) -> DataFrame:
+    """Per number of gold calls: exact, right count, right names in any order, right names in order (values compared loosely), and exact for calls made with the gold names.
+
+    ``oracle`` holds the calls made with the gold names; by default the
+    predicted ones are given these names.
+    """
     gold, pred = F.col("gold"), F.col("pred")
+    named = with_names_of(pred, gold) if oracle is None else oracle
     return rows.groupBy(F.size(gold).alias("n_gold")).agg(
         F.count("*").alias("n"),
         F.count_if(C.loose_equal(pred, gold)).alias("exact"),
         F.count_if(F.coalesce(F.size(pred) == F.size(gold), F.lit(False)) & pred.isNotNull()).alias("count_ok"),
         F.count_if(F.coalesce(F.array_sort(C.names(pred)) == F.array_sort(C.names(gold)), F.lit(False))).alias("multiset_ok"),
         F.count_if(C.name_equal(pred, gold)).alias("seq_ok"),
+        F.count_if(C.loose_equal(named, gold)).alias("oracle_exact"),
     )
 
 
 def argument_errors(rows: DataFrame) -> DataFrame:
-    """Calls paired by position whose arguments differ, by kind: key sets (missing and extra keys) or values only."""
+    """Calls paired by position that differ, by kind: key sets (missing and extra keys) or values only; and as ``bad_value`` the number of values that differ in the latter."""
     pairs = rows.select(F.explode(F.arrays_zip(C.loose(F.col("gold")).alias("g"), C.loose(F.col("pred")).alias("p"))).alias("x")).select("x.*").filter("g IS NOT NULL AND p IS NOT NULL AND g <> p")
     keys = lambda c: F.transform(F.col(c)["entries"], lambda e: e["k"])
     missing, extra = F.size(F.array_except(keys("g"), keys("p"))), F.size(F.array_except(keys("p"), keys("g")))
     kind = F.when((missing > 0) | (extra > 0), F.concat(F.lit("missing="), missing, F.lit(" extra="), extra)).when(keys("g") == keys("p"), F.lit("values_only"))
-    return pairs.groupBy(F.coalesce(kind, F.lit("values_only")).alias("kind")).agg(F.count("*").alias("n"))
+    bad = F.when(keys("g") == keys("p"), F.size(F.filter(F.zip_with(F.col("g")["entries"], F.col("p")["entries"], lambda a, b: a != b), lambda x: x))).otherwise(0)
+    kinds = F.array(F.struct(F.coalesce(kind, F.lit("values_only")).alias("kind"), F.lit(1).alias("n")), F.struct(F.lit("bad_value").alias("kind"), bad.alias("n")))
+    return pairs.select(F.explode(kinds).alias("x")).groupBy("x.kind").agg(F.sum("x.n").alias("n")).filter("n > 0")
 
 
 def pass_at_k(pool: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """For j up to ``k``: rows right within samples 0..j, their share, and the headroom over the greedy sample."""
-    hits = pool.join(gold, "row_id").groupBy("row_id").agg(F.min(F.when(C.loose_equal(F.col("calls"), F.col("gold")), F.col("sample_id"))).alias("first"))
+    """For j up to ``k``: rows right within samples 0..j, their share, the headroom over the greedy sample, and whether that is enough for search to pay (``search_helps``)."""
+    # Both sides are reduced once, before the join, in which gold meets every sample.
+    right = gold.select("row_id", C.loose(F.col("gold")).alias("right__"))
+    given = pool.select("row_id", "sample_id", C.loose(F.col("calls")).alias("given__"))
+    hits = given.join(right, "row_id").groupBy("row_id").agg(F.min(F.when(F.col("given__") == F.col("right__"), F.col("sample_id"))).alias("first"))
     per = hits.agg(F.count("*").alias("n"), *[F.count_if(F.col("first") <= j).alias(f"j{j}") for j in range(k + 1)])
     curve = per.select("n", "j0", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"j{j}").alias("hits")) for j in range(k + 1)])).alias("x"))
     share = ratio(F.col("hits"), F.col("n"))
-    return curve.select(F.col("x.j").alias("j"), F.col("x.hits").alias("hits"), "n", "j0").select("j", "hits", share.alias("share"), (share - ratio(F.col("j0"), F.col("n"))).alias("headroom"))
+    headroom = share - ratio(F.col("j0"), F.col("n"))
+    return curve.select(F.col("x.j").alias("j"), F.col("x.hits").alias("hits"), "n", "j0").select("j", "hits", share.alias("share"), headroom.alias("headroom"), (headroom > SEARCH_HEADROOM).alias("search_helps"))
 
 
 def agreement(rows: DataFrame, a: Column, b: Column) -> DataFrame:
-    """Two decoders on the same rows: both, either, only one right; what ``a`` fixes and breaks of ``b``; change of accuracy."""
+    """Two decoders on the same rows: both, either, only one right; what ``a`` fixes and breaks of ``b``; change of accuracy, and whether ``b`` costs enough for ``a`` to be worth building (``drafts_pay``)."""
+    delta = ratio(F.count_if(a) - F.count_if(b), F.count("*"))
     return rows.agg(
         F.count("*").alias("n"),
         F.count_if(a & b).alias("both"),
         F.count_if(a | b).alias("either"),
         F.count_if(a & ~b).alias("fixed"),
         F.count_if(~a & b).alias("broke"),
-        ratio(F.count_if(a) - F.count_if(b), F.count("*")).alias("delta"),
+        delta.alias("delta"),
+        (delta > PROJECTION_TAX).alias("drafts_pay"),
     )
 
 
@@ -125,7 +162,8 @@ def field_oracle(pool: DataFrame, gold: DataFrame) -> DataFrame:
     keys = lambda c: F.transform(c, lambda e: e["k"])
     both = want.join(have, ["row_id", "pos"], "left")
     named = F.coalesce(F.col("name") == F.col("g.name"), F.lit(False))
-    got = both.groupBy("row_id", "pos", "g").agg(
+    got = both.groupBy("row_id", "pos").agg(
+        F.first("g").alias("g"),
         F.coalesce(F.bool_or((F.col("sample_id") == 0) & named & (F.col("entries") == F.col("g.entries"))), F.lit(False)).alias("greedy"),
         F.bool_or(named).alias("name_avail"),
         F.bool_or(named & (keys(F.col("entries")) == keys(F.col("g.entries")))).alias("keyset_avail"),
@@ -142,6 +180,12 @@ def field_summary(per_call: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_rows"), F.sum("calls").alias("n_calls"), *[F.sum(c).alias(c) for c in ("greedy", "name_avail", "keyset_avail", "fields_avail", "assembled")], F.count_if(F.col("assembled_row")).alias("assembled_rows"))
 
 
+def composes(summary: DataFrame, whole: str) -> DataFrame:
+    """A ``field_summary`` with the gain of rows assembled from a pool over rows some sample has whole (``whole``), and whether re-ranking pays."""
+    gain = ratio(F.col("assembled_rows") - F.col(whole), F.col("n_rows"))
+    return summary.withColumn("gain", gain).withColumn("rerank_pays", gain > COMPOSITION)
+
+
 def _modal(values: Column) -> Column:
     """(value, n) of the commonest value; the first seen of equally common ones."""
     distinct = F.array_distinct(values)

@@ -69,9 +69,17 @@ def rate_factor(step: Column, total: int, warmup: int | None = None) -> Column:
 
 
 def moving_average(rows: DataFrame, series: str, step: str, value: str, beta: float = 0.999) -> DataFrame:
-    """Exponential moving average of each series after its last step; it starts at the first value."""
-    ordered = F.array_sort(F.collect_list(F.struct(step, value)))
-    return rows.groupBy(series).agg(ordered.alias("xs")).select(series, F.aggregate("xs", F.element_at("xs", 1)[value], lambda v, x: beta * v + (1 - beta) * x[value]).alias("ema"))
+    """Exponential moving average of each series after its last step; it starts at the first value.
+
+    As a sum of values times the weight that their place leaves them, so no
+    task holds a series.
+    """
+    sizes = rows.groupBy(series).agg(F.count("*").alias("size__"))
+    largest = sizes.agg(F.max("size__")).collect()[0][0] or 0
+    placed = numbered(rows, series, step, largest).join(sizes, series)
+    later = F.pow(F.lit(beta), F.col("size__") - 1 - F.col("rank__"))
+    weight = F.when(F.col("rank__") == 0, later).otherwise((1 - beta) * later)
+    return placed.groupBy(series).agg(F.sum(F.col(value) * weight).alias("ema"))
 
 
 def best_so_far(rows: DataFrame, series: str, step: str, loss: str) -> DataFrame:

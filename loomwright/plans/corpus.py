@@ -55,10 +55,10 @@ def short_query_firewall(spark: SparkSession, d: str) -> DataFrame:
     return op.overlapping(ASKED.frame(spark), SHORT.frame(spark))
 
 
-@query("exact_firewall", f"SELECT doc_id FROM documents WHERE {SQUASH.format('text')} NOT IN (SELECT {SQUASH.format('text')} FROM documents WHERE doc_id % 50 = 0)")
+@query("exact_firewall", f"SELECT doc_id FROM documents WHERE {SQUASH.format('text')} NOT IN (SELECT {SQUASH.format('text')} FROM benchmark)")
 def exact_firewall(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return op.exact_firewall(docs, docs.filter("doc_id % 50 = 0")).select("doc_id")
+    """Documents, all of them, whose squashed text is no benchmark item's."""
+    return op.exact_firewall(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark")).select("doc_id")
 
 
 @query("dedup_first_wins", f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY {COLLAPSE.format('text')} ORDER BY source, doc_id) = 1")
@@ -67,23 +67,24 @@ def dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return op.first_wins(docs, F.col("k"), F.col("source"), F.col("doc_id")).select("doc_id", "source")
 
 
-@query("dedup_vs_history", f"SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND {COLLAPSE.format('text')} NOT IN (SELECT {COLLAPSE.format('text')} FROM documents WHERE doc_id % 2 = 0)")
-def dedup_vs_history(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.md5(collapse(F.col("text"))).alias("text"))
-    return op.unseen(docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0")).select("doc_id")
+HISTORY = f"SELECT {COLLAPSE.format('text')} FROM benchmark UNION ALL SELECT {COLLAPSE.format('text')} FROM conversations"
 
 
-@query("dedup_vs_history_and_batch", f"SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND {COLLAPSE.format('text')} NOT IN (SELECT {COLLAPSE.format('text')} FROM documents WHERE doc_id % 2 = 0) QUALIFY row_number() OVER (PARTITION BY {COLLAPSE.format('text')} ORDER BY doc_id) = 1")
-def dedup_vs_history_and_batch(spark: SparkSession, d: str) -> DataFrame:
-    """As dedup_vs_history, and of equal new texts only the first stays."""
-    docs = table(spark, d, "documents").select("doc_id", F.md5(collapse(F.col("text"))).alias("text"))
-    return op.unseen(docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0"), "text", F.col("doc_id")).select("doc_id")
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    """What earlier runs have: the texts of the benchmark and of all turns."""
+    return table(spark, d, "benchmark").select("text").unionByName(table(spark, d, "conversations").select("text"))
 
 
-@query("benchmark_firewall", f"SELECT doc_id FROM documents WHERE {SQUASH.format('text')} NOT IN (SELECT {SQUASH.format('text')} FROM benchmark)")
-def benchmark_firewall(spark: SparkSession, d: str) -> DataFrame:
-    """Documents, all of them, whose squashed text is no benchmark item's."""
-    return op.exact_firewall(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark")).select("doc_id")
+@query("dedup_vs_history", f"SELECT conv_id, turn FROM conversations WHERE {COLLAPSE.format('text')} NOT IN (SELECT {COLLAPSE.format('text')} FROM documents)")
+def dedup_vs_history(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations, all of them, whose text is no document's."""
+    return op.unseen(table(spark, d, "conversations"), table(spark, d, "documents").select("text")).select("conv_id", "turn")
+
+
+@query("dedup_vs_history_and_batch", f"SELECT doc_id FROM documents WHERE {COLLAPSE.format('text')} NOT IN ({HISTORY}) QUALIFY row_number() OVER (PARTITION BY {COLLAPSE.format('text')} ORDER BY doc_id) = 1")
+def dedup_vs_history_and_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, all of them, whose text is not in the history, and of equal ones only the first."""
+    return op.unseen(table(spark, d, "documents").select("doc_id", "text"), _history(spark, d), "text", F.col("doc_id")).select("doc_id")
 
 
 MIX = {"src0": 1, "src1": 3, "src2": 6, "src3": 2, "src4": 1}

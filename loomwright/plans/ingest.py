@@ -26,6 +26,14 @@ def json_tolerant_scan(spark: SparkSession, d: str) -> DataFrame:
     return jsonl.mark_lines(LINES.frame(spark)).select("id", "ok")
 
 
+@query("split_scan", "SELECT CASE WHEN source = 'src3' THEN 'eval' ELSE 'train' END AS part, lang, count(*) AS n FROM documents GROUP BY ALL")
+def split_scan(spark: SparkSession, d: str) -> DataFrame:
+    """One dataset read as two parts by a predicate on a column."""
+    held, rest = jsonl.scan_split(spark, f"{d}/documents.parquet", "source", "src3")
+    both = held.select("lang", F.lit("eval").alias("part")).unionByName(rest.select("lang", F.lit("train").alias("part")))
+    return both.groupBy("part", "lang").agg(F.count("*").alias("n"))
+
+
 PROPS = "concat('{\"k\":', json_extract_string(props, '$.k'), '}')"
 
 
@@ -138,22 +146,28 @@ def generated_mix(spark: SparkSession, d: str) -> DataFrame:
     return G.generate(spark, 2000, 3).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("generated_valid", "SELECT CASE WHEN g % 2 = 1 THEN 'ood' ELSE 'train' END AS split, CAST(300 AS BIGINT) AS n, CAST(0 AS BIGINT) AS unknown_calls, CAST(0 AS BIGINT) AS ungrounded, CAST(0 AS BIGINT) AS odd_catalogs FROM range(0, 2) t(g)")
+U = lambda seed, key="i": f"(CAST('0x' || substr(md5(concat('{seed}|', {key})), 1, 7) AS BIGINT) / 268435456.0)"
+MADE = lambda split, seed: f"""SELECT '{split}' AS split, count(*) AS n, CAST(sum(CASE WHEN {U(seed)} < 0.15 THEN 0 WHEN {U(seed)} < 0.4 THEN 2 ELSE 1 END) AS BIGINT) AS n_calls,
+CAST(sum(3 + floor({U(seed + 4)} * 4)) AS BIGINT) AS n_distractors, CAST(0 AS BIGINT) AS unknown_calls, CAST(0 AS BIGINT) AS ungrounded FROM range(0, 300) t(i)"""
+
+
+@query("generated_valid", f"{MADE('train', 5)} UNION ALL {MADE('ood', 6)}")
 def generated_valid(spark: SparkSession, d: str) -> DataFrame:
-    """Generated calls use their catalog, numbers and modes are stated in the query, catalogs have the promised size."""
+    """Generated calls and distractors are as many as drawn; calls use their catalog, and the query states what they hold."""
     rows = G.generate(spark, 300, 5).unionByName(G.generate(spark, 300, 6, ood=True))
     tools, answers = T.parse(F.col("tools")), C.loads(F.col("answers"))
-    size = F.size(tools) - F.size(F.array_distinct(C.names(answers)))
-    return rows.groupBy("split").agg(F.count("*").alias("n"), F.count_if(~V.well_formed(tools, answers)).alias("unknown_calls"), F.count_if(~V.grounded(F.col("query"), answers)).alias("ungrounded"), F.count_if(~size.between(3, 6)).alias("odd_catalogs"))
+    others = F.size(tools) - F.size(F.array_distinct(C.names(answers)))
+    return rows.groupBy("split").agg(
+        F.count("*").alias("n"), F.sum(F.size(answers)).alias("n_calls"), F.sum(others).alias("n_distractors"), F.count_if(~V.well_formed(tools, answers)).alias("unknown_calls"), F.count_if(~V.grounded(F.col("query"), answers)).alias("ungrounded")
+    )
 
 
-@query("augmented_shares", "SELECT true AS topped_up, true AS dated, true AS kept_calls")
+@query("augmented_shares", f"SELECT count(*) FILTER ({U(11)} < 0.4) AS topped_up, count(*) FILTER ({U(21)} < 0.35) AS dated, CAST(0 AS BIGINT) AS broken_calls FROM range(0, 2000) t(i)")
 def augmented_shares(spark: SparkSession, d: str) -> DataFrame:
-    rows = G.generate(spark, 2000, 3).withColumn("tools", F.transform(F.from_json("tools", "array<string>"), lambda t: t))
+    rows = G.generate(spark, 2000, 3).withColumn("tools", F.from_json("tools", "array<string>"))
     out = G.augment(rows, "row")
-    dated = F.startswith("query", F.lit(G.PREAMBLE))
     text = F.concat(F.lit("["), F.array_join("tools", ","), F.lit("]"))
-    return out.agg(F.avg(F.when(F.size("tools") >= 10, 1.0).otherwise(0.0)).between(0.35, 0.45).alias("topped_up"), F.avg(F.when(dated, 1.0).otherwise(0.0)).between(0.30, 0.40).alias("dated"), F.bool_and(V.well_formed(T.parse(text), C.loads(F.col("answers")))).alias("kept_calls"))
+    return out.agg(F.count_if(F.size("tools") >= 10).alias("topped_up"), F.count_if(F.startswith("query", F.lit(G.PREAMBLE))).alias("dated"), F.count_if(~V.well_formed(T.parse(text), C.loads(F.col("answers")))).alias("broken_calls"))
 
 
 @query("catalog_tools", "SELECT * FROM (VALUES ('train', CAST(17 AS BIGINT)), ('ood', 5)) t(split, n)")

@@ -81,7 +81,8 @@ def score_macro_mean(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "failure_buckets",
     f"""WITH {VARIANTS} SELECT CAST(n_gold AS INTEGER) AS n_gold, count(*) AS n, count(*) FILTER (hit) AS exact, count(*) FILTER (CASE WHEN m = 0 THEN hit ELSE NOT torn END) AS count_ok,
-count(*) FILTER (CASE WHEN m = 0 THEN hit ELSE v <> 'name' AND NOT torn END) AS multiset_ok, count(*) FILTER (CASE WHEN m = 0 THEN hit ELSE v <> 'name' AND NOT torn END) AS seq_ok FROM j WHERE sample_id = 0 GROUP BY n_gold""",
+count(*) FILTER (CASE WHEN m = 0 THEN hit ELSE v <> 'name' AND NOT torn END) AS multiset_ok, count(*) FILTER (CASE WHEN m = 0 THEN hit ELSE v <> 'name' AND NOT torn END) AS seq_ok,
+count(*) FILTER (hit OR v = 'name' AND m <> 0) AS oracle_exact FROM j WHERE sample_id = 0 GROUP BY n_gold""",
 )
 def failure_buckets(spark: SparkSession, d: str) -> DataFrame:
     return op.failure_table(greedy(spark, d))
@@ -90,7 +91,8 @@ def failure_buckets(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "argument_errors",
     f"""WITH {VARIANTS} SELECT CASE v WHEN 'extra' THEN 'missing=0 extra=1' WHEN 'empty' THEN 'missing=1 extra=0' ELSE 'values_only' END AS kind, CAST(sum(n_gold) AS BIGINT) AS n
-FROM j WHERE sample_id = 0 AND n_gold > 0 AND v <> 'ok' AND NOT torn GROUP BY kind""",
+FROM j WHERE sample_id = 0 AND n_gold > 0 AND v <> 'ok' AND NOT torn GROUP BY kind
+UNION ALL SELECT 'bad_value', CAST(sum(n_gold) AS BIGINT) FROM j WHERE sample_id = 0 AND n_gold > 0 AND v = 'value' HAVING sum(n_gold) > 0""",
 )
 def argument_errors(spark: SparkSession, d: str) -> DataFrame:
     return op.argument_errors(greedy(spark, d))
@@ -99,17 +101,18 @@ def argument_errors(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "passk_curve",
     f"""WITH {VARIANTS}, f AS (SELECT row_id, min(sample_id) FILTER (hit) AS first FROM j GROUP BY row_id), c AS (SELECT CAST(k AS INTEGER) AS j, count(*) FILTER (first <= k) AS hits, count(*) AS n FROM f, range(0, {SAMPLES}) t(k) GROUP BY k)
-SELECT j, hits, hits / n AS share, hits / n - first_value(hits / n) OVER (ORDER BY j) AS headroom FROM c""",
+SELECT j, hits, hits / n AS share, hits / n - first_value(hits / n) OVER (ORDER BY j) AS headroom, hits / n - first_value(hits / n) OVER (ORDER BY j) > 0.1 AS search_helps FROM c""",
 )
 def passk_curve(spark: SparkSession, d: str) -> DataFrame:
     return op.pass_at_k(*pool_and_gold(spark, d), SAMPLES - 1)
 
 
-@query("decoder_agreement", f"WITH {VARIANTS}, h AS (SELECT row_id, bool_or(hit) FILTER (sample_id = 0) AS a, bool_or(hit) FILTER (sample_id = 1) AS b FROM j GROUP BY row_id) SELECT count(*) AS n, count(*) FILTER (a AND b) AS both, count(*) FILTER (a OR b) AS either, count(*) FILTER (a AND NOT b) AS fixed, count(*) FILTER (b AND NOT a) AS broke, (count(*) FILTER (a) - count(*) FILTER (b)) / count(*) AS delta FROM h")
+@query("decoder_agreement", f"WITH {VARIANTS}, h AS (SELECT row_id, bool_or(hit) FILTER (sample_id = 0) AS a, bool_or(hit) FILTER (sample_id = 1) AS b FROM j GROUP BY row_id) SELECT count(*) AS n, count(*) FILTER (a AND b) AS both, count(*) FILTER (a OR b) AS either, count(*) FILTER (a AND NOT b) AS fixed, count(*) FILTER (b AND NOT a) AS broke, (count(*) FILTER (a) - count(*) FILTER (b)) / count(*) AS delta, (count(*) FILTER (a) - count(*) FILTER (b)) / count(*) > 0.02 AS drafts_pay FROM h")
 def decoder_agreement(spark: SparkSession, d: str) -> DataFrame:
     pool, gold = pool_and_gold(spark, d)
-    hit = C.loose_equal(F.col("calls"), F.col("gold"))
-    rows = pool.join(gold, "row_id").groupBy("row_id").agg(F.bool_or(hit & (F.col("sample_id") == 0)).alias("a"), F.bool_or(hit & (F.col("sample_id") == 1)).alias("b"))
+    given = pool.filter("sample_id < 2").select("row_id", "sample_id", C.loose(F.col("calls")).alias("given"))
+    hit = F.coalesce(F.col("given") == F.col("right"), F.lit(False))
+    rows = given.join(gold.select("row_id", C.loose(F.col("gold")).alias("right")), "row_id").groupBy("row_id").agg(F.bool_or(hit & (F.col("sample_id") == 0)).alias("a"), F.bool_or(hit & (F.col("sample_id") == 1)).alias("b"))
     return op.agreement(rows, F.col("a"), F.col("b"))
 
 
@@ -241,6 +244,28 @@ def bfcl_category_mean(spark: SparkSession, d: str) -> DataFrame:
     return op.macro_mean(op.category_accuracy(rows, "category", F.col("hit"), F.lit(False)), "accuracy").select(F.round("macro_mean", 6).alias("macro_mean"))
 
 
+SHIFTED = "SELECT event_type AS suite, event_id % 3 AS r, json_extract_string(props, '$.k') AS k FROM events"
+
+
+@query(
+    "score_predictor",
+    f"""WITH p AS ({SHIFTED}) SELECT suite, count(*) AS n, count(*) FILTER (r = 0) / count(*) AS accuracy, count(*) FILTER (r < 2) / count(*) AS name_acc, count(*) FILTER (r < 2) / count(*) AS well_formed,
+count(*) FILTER (r < 2) / count(*) AS non_empty, count(*) FILTER (r = 0) / count(*) AS one_call, CAST(0 AS DOUBLE) AS two_plus, CAST(0 AS DOUBLE) AS refuse, count(*) AS n_one, CAST(0 AS BIGINT) AS n_two_plus, CAST(0 AS BIGINT) AS n_refuse FROM p GROUP BY suite""",
+)
+def score_predictor(spark: SparkSession, d: str) -> DataFrame:
+    """A predictor that reads the query of every event: right, with another value, or torn by the remainder of the event's number."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("suite"), (F.col("event_id") % 3).alias("r"), F.get_json_object("props", "$.k").alias("k"))
+    rows = e.select("suite", "r", F.concat(F.lit("run "), "suite", F.lit(" with "), "k").alias("query"), F.lit("[]").alias("tools"), F.concat(F.lit('[{"name":"'), "suite", F.lit('","arguments":{"k":'), "k", F.lit("}}]")).alias("answers"))
+
+    def predict(rows: DataFrame) -> DataFrame:
+        said = F.split("query", " ")
+        value = F.when(F.col("r") == 0, said[3]).otherwise(F.lit("-1"))
+        text = F.concat(F.lit('[{"name":"'), said[1], F.lit('","arguments":{"k":'), value, F.lit("}}]"))
+        return rows.withColumn("pred", C.loads(F.when(F.col("r") < 2, text).otherwise(F.substring(text, 1, 9))))
+
+    return op.score_predictor(rows, predict, "suite")
+
+
 @query("max_calls_ab", f"WITH {VARIANTS} SELECT cap, count(*) AS n, count(*) FILTER (hit AND (n_gold <= cap)) AS exact FROM j, (VALUES (1), (4)) t(cap) WHERE sample_id = 0 GROUP BY cap")
 def max_calls_ab(spark: SparkSession, d: str) -> DataFrame:
     caps = F.explode(F.array(F.lit(1), F.lit(4)))

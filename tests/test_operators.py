@@ -182,6 +182,21 @@ def test_python_calls():
     assert adapters.greedy_object('say {"a":{"b":1}} ok') == {"a": {"b": 1}} and adapters.greedy_object("no") is None
 
 
+def test_described_tools():
+    source = "def f(a: int, b: List[str], c=1):\n    \'\'\'Says: this.\n\n    And more.\n    :param a: first: one\n    :param c: third\n    :returns: x\n    \'\'\'\nclass C:\n    def g(self): pass\ndef h(): pass"
+    f, h = adapters.defined_tools(source)
+    assert f["description"] == "Says: this.\n\nAnd more." and f["parameters"]["required"] == ["a", "b"] and h["description"] == "" and h["name"] == "h"
+    assert f["parameters"]["properties"] == {"a": {"type": "integer", "description": "first: one"}, "b": {"type": "array", "description": ""}, "c": {"type": "string", "description": "third"}}
+    assert adapters.defined_tools("def f(:") == []
+
+
+def test_seal_prompt():
+    assert adapters.seal_prompt('Hi api_list = [{\'a\': 1}, 2]\n\ntask_instruction = "say \\"x\\" = 1\nnow"\n  Output : ') == ("[{'a': 1}, 2]", 'say \\"x\\" = 1\nnow')
+    for bad in ("", "api_list = []", 'api_list = []\ntask_instruction = "q"', 'api_list = x\ntask_instruction = "q"\nOutput:', "api_list = []\ntask_instruction = q\nOutput:"):
+        with pytest.raises(adapters.Drop):
+            adapters.seal_prompt(bad)
+
+
 def test_streams(spark, tmp_path):
     lines = tmp_path / "in"
     lines.mkdir()
@@ -221,3 +236,79 @@ def test_characters_of_uncommon_words_get_ids(spark):
     texts = spark.createDataFrame([("common common common ж😀",)], "text string")
     v = tokenizer.train(texts, 400, most_words=2)
     assert v.decode(v.encode("ж 😀")) == "ж 😀"
+
+
+def test_progress(spark, tmp_path):
+    rows = [(k % 3 > 0, 0.5) for k in range(30)]
+    for k in range(3):
+        spark.createDataFrame(rows[10 * k : 10 * k + 10], "ok boolean, cost double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    said = []
+    progress = ingest.Progress(10, say=said.append)
+    spark.streams.addListener(progress)
+    try:
+        stream = spark.readStream.schema("ok boolean, cost double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = ingest.drain(ingest.counted(stream, F.col("ok"), F.col("cost")), "t_progress")
+        assert got.count() == 30
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(progress)
+    assert (progress.ok, progress.rejected, progress.spent) == (20, 10, 15.0)
+    assert said[-1] == "final: 20 ok / 10 rejected, ~$15.00 spent" and 2 <= len(said) <= 4
+
+
+def test_scan(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "eval"), (2, "train"), (3, None)], "id long, part string")
+    rows.write.parquet(str(tmp_path / "a.parquet"))
+    rows.write.json(str(tmp_path / "a.jsonl"))
+    for name in ("a.parquet", "a.jsonl"):
+        held, rest = jsonl.scan_split(spark, str(tmp_path / name), "part", "eval")
+        assert [r["id"] for r in held.collect()] == [1] and sorted(r["id"] for r in rest.collect()) == [2, 3]
+    some = jsonl.scan(spark, str(tmp_path / "a.parquet"), "id > 1", ["id"])
+    assert sorted(map(tuple, some.collect())) == [(2,), (3,)]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,1)" in plan and "ReadSchema: struct<id:bigint>" in plan
+    with pytest.raises(ValueError):
+        jsonl.scan(spark, str(tmp_path / "a.csv"))
+
+
+def test_parse_and_score(spark):
+    rows = spark.createDataFrame([([("f", '{"a":1}')], '[{"name":"f","arguments":{"a":1}}]'), ([("f", "{}")], "torn"), ([], None)], f"gold {C.CALLS}, pred_text string")
+    r = scoring.parse_and_score(rows).collect()[0]
+    assert (r["n"], r["accuracy"], r["well_formed"]) == (3, pytest.approx(1 / 3), pytest.approx(1 / 3))
+
+
+def test_composition_verdict(spark):
+    rows = spark.createDataFrame([(120, 47, 40), (100, 42, 40), (0, 0, 0)], "n_rows long, assembled_rows long, pool long")
+    assert [r["rerank_pays"] for r in scoring.composes(rows, "pool").collect()] == [True, False, False]
+
+
+def test_documents_encode_as_plain_merges(spark, sf_dir):
+    """bpe_encode, fragmentation, pointer_spans and nfkc_normalize on the smallest tables, against plain Python."""
+    import unicodedata
+
+    from loomwright.functions.text import PUNCTUATION
+    from loomwright.plans import tokens as plans
+    from loomwright.registry import queries
+
+    v = plans._vocabulary(spark, sf_dir)
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+    def plain(text):
+        return [v.ids.get(s, tokenizer.UNK) for w in v.pattern.findall(text) for s in ([w] if w in v.ids else naive_merge(w, v))]
+
+    got = {r["doc_id"]: r["ids"] for r in queries()["bpe_encode"](spark, sf_dir).collect()}
+    some = sorted(docs, key=lambda i: len(docs[i]["text"]))[:60]
+    assert got.keys() == docs.keys() and all(got[i] == plain(docs[i]["text"]) for i in some)
+    shares = {}
+    for i, r in docs.items():
+        shares.setdefault(r["lang"], []).append(len(got[i]) / max(1, len(r["text"].split())))
+    assert {r["lang"]: r["tokens_per_word"] for r in queries()["fragmentation"](spark, sf_dir).collect()} == pytest.approx({k: sum(x) / len(x) for k, x in shares.items()}, abs=1e-3)
+    for r in queries()["nfkc_normalize"](spark, sf_dir).collect():
+        assert r["text"] == unicodedata.normalize("NFKC", docs[r["doc_id"]]["text"]).translate(str.maketrans(PUNCTUATION))
+    gold = {(r["row_id"], k): c["name"] for r in plans.pool_and_gold(spark, sf_dir)[1].collect() for k, c in enumerate(r["gold"])}
+    spans = {(r["row_id"], r["pos"]): (r["start"], r["n"]) for r in queries()["pointer_spans"](spark, sf_dir).collect()}
+    want = {}
+    for k, name in gold.items():
+        hay, needle = plain(f"please {name} now"), plain(name)
+        want[k] = (next((i for i in range(len(hay)) if hay[i : i + len(needle)] == needle), -1), len(needle))
+    assert spans == want
