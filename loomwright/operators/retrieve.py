@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calls as C
 from ..functions import tools as T
-from ..functions.text import lexical_tokens
+from ..functions.text import let, lexical_tokens
 
 # Fixed values of the gates.
 GATE_STRONG, GATE_WEAK, GATE_MARGIN = 0.25, 0.08, 0.35
@@ -113,9 +113,13 @@ def spans(query: Column, hint: Column, longest: int = 8, k: int = 24) -> Column:
 
 def find_sub(hay: Column, needle: Column) -> Column:
     """First place (from 0) of a contiguous sub-array, or -1."""
-    n = F.size(needle)
-    places = F.when((n > 0) & (F.size(hay) >= n), F.filter(F.sequence(F.lit(1), F.size(hay) - n + 1), lambda i: F.slice(hay, i, n) == needle))
-    return F.coalesce(F.try_element_at(places, F.lit(1)) - 1, F.lit(-1))
+
+    def first(x: Column) -> Column:
+        n = F.size(x["needle"])
+        places = F.filter(F.sequence(F.lit(1), F.size(x["hay"]) - n + 1), lambda i: F.slice(x["hay"], i, n) == x["needle"])
+        return F.when((n > 0) & (F.size(x["hay"]) >= n), F.try_element_at(places, F.lit(1)) - 1)
+
+    return F.coalesce(let(F.struct(hay.alias("hay"), needle.alias("needle")), first), F.lit(-1))
 
 
 def loops(ids: Column) -> Column:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("corpus", "scoring", "validation", "tokens", "ingest")
+MODULES = ("corpus", "scoring", "validation", "tokens", "ingest", "tables")
 
 
 def load() -> None:

@@ -12,7 +12,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mark_lines(lines: DataFrame) -> DataFrame:
-    return lines.filter(F.trim("value") != "").withColumn("ok", F.try_parse_json("value").isNotNull())
+    return lines.filter(F.col("value").rlike(r"\S")).withColumn("ok", F.try_parse_json("value").isNotNull())
 
 
 def read_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
