@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,24 +14,42 @@ ROUND, MOST_ROWS = 64, 128
 CHUNK = 1_000_000
 
 
-def numbered(rows: DataFrame, group: str, key: str, largest: int) -> DataFrame:
-    """``rank__``: place of each row in its group by ``key``, from 0.
+def _largest(rows: DataFrame, group: str) -> int:
+    return rows.groupBy(group).agg(F.count("*").alias("n__")).agg(F.max("n__")).collect()[0][0] or 0
 
-    Keys are cut into ranges, so that no task numbers a whole large group;
-    ranges are counted first and their sizes added up.
-    """
+
+def _ranged(rows: DataFrame, key: str, largest: int) -> DataFrame:
+    """``part__``: the range of keys a row is in, such that no group has many more than CHUNK rows of one."""
     ranges = 1 + largest // CHUNK
     cuts = rows.stat.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.001) if ranges > 1 else []
     part = F.lit(0)
     for c in cuts:
         part = part + (F.col(key) >= c).cast("int")
-    r = rows.withColumn("part__", part)
+    return rows.withColumn("part__", part)
+
+
+def numbered(rows: DataFrame, group: str, key: str, largest: int) -> DataFrame:
+    """``rank__``: place of each row in its group by ``key``, from 0.
+
+    Keys are cut into ranges, so that no task numbers a whole large group;
+    ranges are counted first and their sizes added up.
+    """
+    r = _ranged(rows, key, largest)
     w = Window.partitionBy(group).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
     before = r.groupBy(group, "part__").agg(F.count("*").alias("n__")).withColumn("before__", F.coalesce(F.sum("n__").over(w), F.lit(0))).drop("n__")
     inner = Window.partitionBy(group, "part__").orderBy(key)
     return r.join(before, [group, "part__"]).withColumn("rank__", F.col("before__") + F.row_number().over(inner) - 1).drop("part__", "before__")
 
 
+def running(rows: DataFrame, group: str, key: str, value: Column, how: Callable, own: bool) -> DataFrame:
+    """``earlier__`` and ``inside__``: ``how`` (a sum or minimum) of the values in earlier ranges of keys, and in the row's own range up to the row, with it if ``own``."""
+    r = _ranged(rows.withColumn("value__", value), key, _largest(rows, group))
+    ranges = Window.partitionBy(group).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = r.groupBy(group, "part__").agg(how("value__").alias("t__")).withColumn("earlier__", how("t__").over(ranges)).drop("t__")
+    inside = how("value__").over(Window.partitionBy(group, "part__").orderBy(key).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+    return r.join(earlier, [group, "part__"]).withColumn("inside__", inside).drop("part__", "value__")
+
+
 def batch_limits(counts: dict[int, int], length: int, budget: int) -> np.ndarray:
     """First row of every batch, for rows sorted by real length: a batch closes where one more row would exceed the token budget, or at 128 rows.
 
@@ -75,8 +95,7 @@ def moving_average(rows: DataFrame, series: str, step: str, value: str, beta: fl
     task holds a series.
     """
     sizes = rows.groupBy(series).agg(F.count("*").alias("size__"))
-    largest = sizes.agg(F.max("size__")).collect()[0][0] or 0
-    placed = numbered(rows, series, step, largest).join(sizes, series)
+    placed = numbered(rows, series, step, _largest(rows, series)).join(sizes, series)
     later = F.pow(F.lit(beta), F.col("size__") - 1 - F.col("rank__"))
     weight = F.when(F.col("rank__") == 0, later).otherwise((1 - beta) * later)
     return placed.groupBy(series).agg(F.sum(F.col(value) * weight).alias("ema"))
@@ -84,8 +103,8 @@ def moving_average(rows: DataFrame, series: str, step: str, value: str, beta: fl
 
 def best_so_far(rows: DataFrame, series: str, step: str, loss: str) -> DataFrame:
     """Whether a loss is below all earlier ones of its series."""
-    before = F.min(loss).over(Window.partitionBy(series).orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("new_best", before.isNull() | (F.col(loss) < before))
+    before = F.least("earlier__", "inside__")
+    return running(rows, series, step, F.col(loss), F.min, False).withColumn("new_best", before.isNull() | (F.col(loss) < before)).drop("earlier__", "inside__")
 
 
 def best_candidate(rows: DataFrame, name: str, loss: str) -> DataFrame:
@@ -111,5 +130,6 @@ PROMPT_PRICE, COMPLETION_PRICE = 0.14e-6, 0.28e-6
 
 def spending(rows: DataFrame, account: str, order: str, prompt: str, completion: str, cap: float) -> DataFrame:
     """Running cost per account, and whether it is above the cap (work stops there)."""
-    cost = F.sum(F.col(prompt) * PROMPT_PRICE + F.col(completion) * COMPLETION_PRICE).over(Window.partitionBy(account).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("cost", cost).withColumn("over", F.col("cost") > cap)
+    each = F.col(prompt) * PROMPT_PRICE + F.col(completion) * COMPLETION_PRICE
+    cost = F.coalesce("earlier__", F.lit(0.0)) + F.coalesce("inside__", F.lit(0.0))
+    return running(rows, account, order, each, F.sum, True).withColumn("cost", cost).withColumn("over", F.col("cost") > cap).drop("earlier__", "inside__")

@@ -97,6 +97,25 @@ def test_numbering_in_ranges(spark, monkeypatch):
     assert got == {(i % 2, i): i // 2 for i in range(600)}
 
 
+def test_running_values_over_ranges(spark, monkeypatch):
+    """Sums, minima and averages of long series are the same from many ranges of keys."""
+    rng = random.Random(5)
+    data = [(k % 3, k, rng.random(), rng.randrange(500)) for k in range(900)]
+    rows = spark.createDataFrame(data, "s int, k long, x double, p int").withColumn("c", F.lit(0))
+    monkeypatch.setattr(training, "CHUNK", 40)
+    best = {r["k"]: r["new_best"] for r in training.best_so_far(rows, "s", "k", "x").collect()}
+    spent = {r["k"]: (r["cost"], r["over"]) for r in training.spending(rows, "s", "k", "p", "c", 0.005).collect()}
+    average = {r["s"]: r["ema"] for r in training.moving_average(rows, "s", "k", "x", 0.9).collect()}
+    least, cost, ema = {}, dict.fromkeys(range(3), 0.0), {}
+    for s, k, x, p in data:
+        assert best[k] == (x < least.get(s, 9))
+        least[s] = min(x, least.get(s, 9))
+        cost[s] += p * training.PROMPT_PRICE
+        assert spent[k][0] == pytest.approx(cost[s]) and spent[k][1] == (cost[s] > 0.005)
+        ema[s] = 0.9 * ema[s] + 0.1 * x if s in ema else x
+    assert average == pytest.approx(ema)
+
+
 def test_loads_rules(spark):
     cases = {"[]": [], '{"name":"x","arguments":{}}': [("x", "{}")], "not json": None, '[{"no_name": 1}]': None, '[{"name":"x","arguments":"{\\"a\\":1}"}]': [("x", '{"a":1}')], '[{"name":"x"}]': [("x", "{}")], '[{"name":"x","arguments":null}]': None, "3": None, "": None, '[{"name":"x","arguments":[1]}]': None, '[{"name":7}]': [("7", "{}")]}
     rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", C.loads(F.col("t")).alias("c")).collect()
