@@ -145,10 +145,10 @@ def _agreeing(least: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b, and what else they carry) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select("a", "b")
+    return both.filter((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select(*pairs.columns)
 
 
 _WALKED = "kind string, region long, deeper binary, node long, n long, other long"
@@ -263,12 +263,13 @@ def classes(docs: DataFrame, percent: int = 85, key: Column | None = None) -> Da
     sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     roots = components(_confirmed(pairs, sets, percent))
-    links = _confirmed(_rest(crowds, roots, sets, percent), sets, percent)
-    roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    # Links found late join whole components, so only these are gone through again.
+    above = components(_confirmed(_rest(crowds, roots, sets, percent), sets, percent), "root_a", "root_b")
+    above = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
 
     # A component or a group of copies can hold a third of all rows; it is then the long side of these joins, which adaptive
     # execution splits. It can do so as the short side is read from a table (here and in _rest) or shuffled, not aggregated in place.
-    rooted = nodes.join(roots, "node", "left").select("print", "doc_id", F.coalesce("root", "node").alias("component"))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(above, "root", "left").select("print", "doc_id", F.coalesce("top", "root").alias("component"))
     least = cut(rooted.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     named = rooted.join(least, "component").select("print", "component_id", "component")
     columns = ["doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "component"]
@@ -277,7 +278,7 @@ def classes(docs: DataFrame, percent: int = 85, key: Column | None = None) -> Da
 
 
 def _rest(crowds: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets in larger regions that may be linked and are not in one component yet.
+    """Pairs (a, b, root_a, root_b) of sets in larger regions that may be linked and are not in one component yet.
 
     An exact prefix filter over the sets of all regions that hold several
     components, one side outside its region's commonest component. Each set's
@@ -304,4 +305,4 @@ def _rest(crowds: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) ->
         f"l.root <> r.root AND (NOT r.outside OR l.node < r.node) AND 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) "
         f"AND (100 + {percent}) * least(l.left, r.left) >= {percent} * (l.n + r.n)"
     )
-    return l.join(r, (F.col("l.shingle") == F.col("r.shingle")) & may).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    return l.join(r, (F.col("l.shingle") == F.col("r.shingle")) & may).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.root").alias("root_a"), F.col("r.root").alias("root_b")).distinct()

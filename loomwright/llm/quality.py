@@ -206,12 +206,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     made = joined.mapInArrow(in_pieces(run), "doc_id long, label int, indices binary, values binary")
     # One row for each doc_id, the same whatever the partitions, also where one has several texts.
     one = made.groupBy("doc_id", "label").agg(F.min(F.struct("indices", "values")).alias("x")).select("doc_id", "label", "x.*")
-    got = one.toPandas().sort_values("doc_id")
-    rows = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4")) for i, v in zip(got["indices"], got["values"], strict=True)]
-    y = got["label"].to_numpy(np.float64)
+    got = one.toArrow().sort_by("doc_id")
+    rows = [(np.frombuffer(i.as_buffer(), "<i4").astype(np.int64), np.frombuffer(v.as_buffer(), "<f4")) for i, v in zip(got["indices"], got["values"], strict=True)]
+    y = got["label"].to_numpy().astype(np.float64)
     seen = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     share = {k: totals.get(k, 0) / sum(totals.values()) for k in (0, 1)}
-    return fit(rows, y, np.array([share[int(k)] * len(y) / seen[int(k)] for k in y]))
+    machine = fit(rows, y, np.array([share[int(k)] * len(y) / seen[int(k)] for k in y]))
+    del got, rows
+    release()
+    return machine
 
 
 def scorer(docs: DataFrame, machine: Machine) -> Column:
