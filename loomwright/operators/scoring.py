@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calls as C
-from ..functions.text import normalized_example
+from ..functions.text import let, normalized_example
 
 # Above these shares search, assembly from a pool, and unconstrained drafts are worth building.
 SEARCH_HEADROOM, COMPOSITION, PROJECTION_TAX = 0.10, 0.05, 0.02
@@ -188,9 +188,12 @@ def composes(summary: DataFrame, whole: str) -> DataFrame:
 
 def _modal(values: Column) -> Column:
     """(value, n) of the commonest value; the first seen of equally common ones."""
-    distinct = F.array_distinct(values)
-    counted = F.transform(distinct, lambda v, i: F.struct((-F.size(F.filter(values, lambda x: x == v))).alias("n"), i.alias("i"), v.alias("v")))
-    return F.try_element_at(F.array_sort(counted), F.lit(1))
+
+    def of(vs: Column) -> Column:
+        counted = F.transform(F.array_distinct(vs), lambda v, i: F.struct((-F.size(F.filter(vs, lambda x: x == v))).alias("n"), i.alias("i"), v.alias("v")))
+        return F.try_element_at(F.array_sort(counted), F.lit(1))
+
+    return let(values, of)
 
 
 def rerank(pool: DataFrame) -> DataFrame:
@@ -202,16 +205,15 @@ def rerank(pool: DataFrame) -> DataFrame:
     sample seen first.
     """
     calls = pool.select("row_id", "sample_id", F.posexplode(C.canonical(F.col("calls"))).alias("pos", "call")).select("row_id", "pos", "sample_id", F.col("call.name").alias("name"), F.col("call.entries").alias("entries"))
-    greedy = calls.filter("sample_id = 0").select("row_id", "pos", "name", F.col("entries").alias("greedy"))
-    grouped = calls.groupBy("row_id", "pos", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "entries"))), lambda x: x["entries"]).alias("cands"))
-    both = greedy.join(grouped, ["row_id", "pos", "name"])
+    grouped = calls.groupBy("row_id", "pos", "name").agg(F.array_sort(F.collect_list(F.struct("sample_id", "entries"))).alias("xs")).filter(F.col("xs")[0]["sample_id"] == 0)
+    both = grouped.select("row_id", "pos", "name", F.col("xs")[0]["entries"].alias("greedy"), F.transform("xs", lambda x: x["entries"]).alias("cands"))
     keys = lambda c: F.transform(c, lambda e: e["k"])
     both = both.withColumn("top", _modal(F.transform("cands", keys)))
     chosen = F.when((F.col("top.v") != keys(F.col("greedy"))) & (-2 * F.col("top.n") > F.size("cands")), F.col("top.v")).otherwise(keys(F.col("greedy")))
     both = both.withColumn("chosen", chosen)
     own = lambda k: F.filter("greedy", lambda e: e["k"] == k)
     offered = lambda k: F.flatten(F.transform("cands", lambda c: F.filter(c, lambda e: e["k"] == k)))
-    value = lambda k: F.when(F.size(own(k)) > 0, F.try_element_at(own(k), F.lit(1))).otherwise(_modal(offered(k))["v"])
+    value = lambda k: let(own(k), lambda o: F.when(F.size(o) > 0, F.try_element_at(o, F.lit(1))).otherwise(_modal(offered(k))["v"]))
     return both.select("row_id", "pos", "name", F.transform("chosen", value).alias("entries"))
 
 

@@ -9,7 +9,7 @@ from ..functions import calls as C
 from ..functions import tools as T
 from ..functions.text import glue, iso_date_evidenced
 
-# Calls that a template asks for.
+# Calls that a template asks for; and, in ``error``, the texts of the errors, which are results.
 TEMPLATES = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5}
 
 
