@@ -62,9 +62,11 @@ def bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
 GATE = Literal("id long, passed boolean", [(1, True)])
 
 
-@query("tokenizer_gate", f"SELECT passed AS digits_alone, passed AS structural_alone, passed AS lossless, passed AS values_alone, passed AS unfragmented, passed AS no_digit_tokens FROM {GATE.sql()}")
+@query("tokenizer_gate", f"""SELECT passed AS digits_alone, passed AS structural_alone, passed AS lossless, passed AS values_alone, passed AS unfragmented, passed AS no_digit_tokens,
+(SELECT count(DISTINCT w) FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE regexp_full_match(w, '[a-z]+')) AS n_words,
+(SELECT count(DISTINCT c) FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents UNION ALL SELECT chr(CAST(i AS INTEGER)) FROM range(32, 127) t(i) UNION ALL SELECT chr(CAST(i AS INTEGER)) FROM range(9, 14) t(i))) AS n_letters FROM {GATE.sql()}""")
 def tokenizer_gate(spark: SparkSession, d: str) -> DataFrame:
-    """The checks that a vocabulary must pass before packing."""
+    """The checks that a vocabulary must pass before packing, over how many words, and its single characters."""
     ship(spark)
     v = K.train(table(spark, d, "documents"), 2000)
     words = table(spark, d, "benchmark").select(F.explode(F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]+$"))).alias("w")).distinct()
@@ -74,9 +76,9 @@ def tokenizer_gate(spark: SparkSession, d: str) -> DataFrame:
     digits = values.select(F.forall(encode("x"), lambda i: ~(F.element_at(digit, i + 1) & (F.element_at(lengths, i + 1) > 1))).alias("ok")).agg(F.bool_and("ok").alias("digits_alone"))
     structure = spark.createDataFrame([(c,) for c in K.STRUCTURAL], "x string").agg(F.bool_and(F.size(encode("x")) == 1).alias("structural_alone"))
     plain = words.select("w", encode("w").alias("a"), encode(F.concat(F.lit(" "), "w")).alias("b"), K.decoder(v, words)(encode("w")).alias("back"))
-    checks = plain.agg(F.bool_and(F.col("back") == F.col("w")).alias("lossless"), F.bool_and(F.slice("b", F.lit(2), F.size("b")) == F.col("a")).alias("values_alone"), (F.avg(F.size("a")) < 6).alias("unfragmented"))
+    checks = plain.agg(F.bool_and(F.col("back") == F.col("w")).alias("lossless"), F.bool_and(F.slice("b", F.lit(2), F.size("b")) == F.col("a")).alias("values_alone"), (F.avg(F.size("a")) < 6).alias("unfragmented"), F.count("*").alias("n_words"))
     none = not any(len(t) > 1 and any(c.isdigit() for c in t) for t in v.ids if t not in K.SPECIALS)
-    return digits.crossJoin(structure).crossJoin(checks).withColumn("no_digit_tokens", F.lit(none))
+    return digits.crossJoin(structure).crossJoin(checks).withColumns({"no_digit_tokens": F.lit(none), "n_letters": F.lit(sum(len(t) == 1 for t in v.ids)).cast("long")})
 
 
 def _ids(spark: SparkSession, d: str) -> DataFrame:
