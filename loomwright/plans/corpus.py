@@ -9,10 +9,11 @@ from ..functions.literals import Literal
 from ..functions.text import collapse, lexical_tokens, squash
 from ..operators import corpus as op
 from ..registry import query
+from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 W = r"list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')), ' '), lambda x: x <> '')"

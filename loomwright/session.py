@@ -7,7 +7,7 @@ import re
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
@@ -24,6 +24,21 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
     )
 
 
+#: Bytes from which on a table is worth dealing out.
+SPREAD = 1 << 20
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan; one of fewer partitions than cores (a file of few large row groups) is dealt to all cores.
+
+    Partitions are counted by planning the scan, so nothing runs here.
+    """
+    execution = scan._jdf.queryExecution()
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    few = execution.toRdd().getNumPartitions() < cores and int(str(execution.optimizedPlan().stats().sizeInBytes())) > SPREAD
+    return scan.repartition(cores) if few else scan
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; without one, a temporary folder where everything runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
