@@ -58,6 +58,11 @@ def explicit_table(n_symbols: int, merges: list[tuple[int, int]]) -> np.ndarray:
     return allowed
 
 
+ARCS = 1 << 20  #: arcs that are kept, at most
+_NONE: dict[int, bool] = {}
+FOLLOWED = 1 << 18  #: transitions along shorter suffixes that are kept, at most
+
+
 class MergeAutomaton:
     """Compiled from a byte-level ``tokenizers`` JSON file's vocabulary and merges."""
 
@@ -85,7 +90,8 @@ class MergeAutomaton:
         #: Labels that the merges can spell; others are never emitted.
         self.emitted = {label: i for label, i in vocab.items() if i in alive}
         self._alive = alive
-        self._arcs: dict[int, bool] = {}
+        self._arcs: list[dict[int, bool]] = [_NONE] * size  # by label: state -> whether it has the arc
+        self._known = 0
         self._compile_labels()
 
     def _compile_labels(self) -> None:
@@ -115,6 +121,7 @@ class MergeAutomaton:
                 back[to] = step.get(f << 8 | byte, 0)
                 queue.append(to)
         self._step, self._back, self._ends = step, back, own
+        self.most_steps = len(step) + FOLLOWED
 
     @classmethod
     def from_json(cls, data: bytes | str) -> MergeAutomaton:
@@ -128,12 +135,14 @@ class MergeAutomaton:
 
     def arc(self, t: int, x: int) -> bool:
         """Whether state ``t`` has an arc ``x``; filled in on first use."""
-        key = t << 32 | x
-        known = self._arcs.get(key)
+        known = self._arcs[x].get(t)
         if known is None:
-            if len(self._arcs) > 4_000_000:
-                self._arcs.clear()
-            known = self._arcs[key] = t in self._alive and x in self._alive and self._build(t, x)
+            if self._known >= ARCS:
+                self._arcs, self._known = [_NONE] * len(self._arcs), 0
+            if self._arcs[x] is _NONE:
+                self._arcs[x] = {}
+            known = self._arcs[x][t] = t in self._alive and x in self._alive and self._build(t, x)
+            self._known += 1
         return known
 
     def _build(self, t: int, x: int) -> bool:
@@ -151,31 +160,46 @@ class MergeAutomaton:
             else:  # a state copied from its right part, before the removal
                 t, before = self.right[t], bt
 
+    def _follow(self, key: int) -> int:
+        """The state after a byte that does not go on with the label at hand: along the shorter suffixes. Kept with the transitions, while there is room."""
+        step, back, s, byte = self._step, self._back, key >> 8, key & 255
+        while s:
+            s = back[s]
+            to = step.get(s << 8 | byte)
+            if to is not None:
+                break
+        else:
+            to = 0
+        if len(step) < self.most_steps:
+            step[key] = to
+        return to
+
     def encode_word(self, word: bytes) -> list[int]:
         """Token ids of one pre-split word."""
         emitted = self.emitted
         whole = emitted.get(word)
         if whole is not None:
             return [whole]
-        n, arcs, step, back, ends = len(word), self._arcs, self._step, self._back, self._ends
+        n, arcs, step, ends = len(word), self._arcs, self._step, self._ends
         state: list[int] = [-1] * (n + 1)
         begin = [0] * (n + 1)
         s = 0
         for i, byte in enumerate(word, 1):
-            to = step.get(s << 8 | byte)
-            while to is None and s:
-                s = back[s]
-                to = step.get(s << 8 | byte)
-            s = to or 0
+            key = s << 8 | byte
+            to = step.get(key)
+            if to is None:
+                to = self._follow(key)
+            s = to
             for length, x in ends[s]:
                 j = i - length
                 if j:
                     t = state[j]
                     if t < 0:
                         continue
-                    ok = arcs.get(t << 32 | x)
+                    ok = arcs[x].get(t)
                     if ok is None:
                         ok = self.arc(t, x)
+                        arcs = self._arcs
                     if not ok:
                         continue
                 state[i], begin[i] = x, j
@@ -225,6 +249,7 @@ class BatchEncoder:
     CHUNK = 1 << 17  # code points handled at once
     WORDS = 1 << 20  # words remembered, at most
     LONG = 48  # code points; longer words are not remembered
+    SURE_PART = 256  # code points of a part, about, where some part of a text must be split by the library
 
     def __init__(self, data: bytes) -> None:
         self.automaton = MergeAutomaton.from_json(data)
@@ -412,6 +437,10 @@ class BatchEncoder:
         got = self.words(texts)
         if got is None:
             if len(texts) == 1:
+                parts = self._splits(texts[0], self.SURE_PART)
+                if len(parts) > 1:  # only parts with such characters go to the library
+                    ids = np.concatenate([self._texts([p])[0] for p in parts])
+                    return ids, np.array([len(ids)])
                 words = self.library_words(texts[0])
                 ids = np.fromiter((i for _, w in words for i in w), np.uint32)
                 return ids, np.array([len(ids)])
