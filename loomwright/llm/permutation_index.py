@@ -29,7 +29,7 @@ from .common import cut
 PIVOTS, PREFIX = 256, 64
 SAMPLE, APART = 1024, 0.25  #: vectors that pivots are chosen from; least distance of two pivots, as a share of the sample's median distance
 SHARE, LEAST = 0.2, 100
-SHARD, BLOCK = 8192, 1024  #: vectors and queries in a task, about
+SHARD, BLOCK = 16384, 8192  #: vectors and queries in a task, about; a vector is copied once for each block, a query once for each shard
 
 
 def choose_pivots(sample: np.ndarray) -> np.ndarray:
@@ -57,7 +57,7 @@ class InvertedFiles:
         self.n, self.prefix = orders.shape
         flat = orders.ravel()
         by = np.argsort(flat, kind="stable")
-        self.row, self.place = by // self.prefix, by % self.prefix
+        self.row, self.place = (by // self.prefix).astype(np.int32), (by % self.prefix).astype(np.int32)
         self.start = np.searchsorted(flat[by], np.arange(n_pivots + 1))
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
