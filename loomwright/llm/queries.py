@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import ship, spread
 
 
 def vocabulary_path() -> str:
@@ -18,7 +18,7 @@ def vocabulary_path() -> str:
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

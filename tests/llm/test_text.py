@@ -252,6 +252,15 @@ def test_other_columns_are_no_inputs(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_machine_does_not_depend_on_partitions(spark):
+    """Also where a labelled doc_id has several unlike texts."""
+    base = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    docs = docs.unionByName(docs.withColumn("text", F.concat(F.lit("!!! | buy "), "doc_id", F.lit(" now "), F.substring("text", 1, 80))))
+    a, b = (sorted((r["doc_id"], r["score"]) for r in quality.quality_scores(docs.repartition(n, by), labels.repartition(n)).collect()) for n, by in ((2, "doc_id"), (13, "text")))
+    assert a == b
+
+
 # Language model
 
 
