@@ -61,13 +61,14 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch=-1")  # also there if nothing comes
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
     kinds = StructType([*stream.schema.fields, StructField("batch", LongType())])
-    return stream.sparkSession.read.schema(kinds).parquet(f"{folder}/rows*").drop("batch")
+    return stream.sparkSession.read.schema(kinds).parquet(f"{folder}/rows").drop("batch")
 
 
 def counted(rows: DataFrame, ok: Column, cost: Column, name: str = "progress") -> DataFrame:

@@ -226,6 +226,8 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("A  b",), ("a B",), ("c",)], "text string").write.parquet(str(texts))
     stream = spark.readStream.schema("text string").parquet(str(texts))
     assert ingest.drain(ingest.stream_new(stream), "t_new").count() == 2
+    (tmp_path / "none").mkdir()
+    assert ingest.drain(ingest.stream_new(spark.readStream.schema("text string").parquet(str(tmp_path / "none"))), "t_none").collect() == []
     ingest.append_to(ingest.stream_new(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
