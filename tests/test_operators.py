@@ -333,3 +333,30 @@ def test_documents_encode_as_plain_merges(spark, sf_dir):
         hay, needle = plain(f"please {name} now"), plain(name)
         want[k] = (next((i for i in range(len(hay)) if hay[i : i + len(needle)] == needle), -1), len(needle))
     assert spans == want
+
+
+def test_pack_drops_what_it_cannot_hold(spark, vocabulary):
+    """Texts with unknown characters and long ones are left out whole; the others hold their texts, tags and padding."""
+    call = '[{"name":"f","arguments":{"a":1}}]'
+    rows = [(1, "ab - f (a=int) do", call, ["f"]), (2, "ab 中", call, ["f"]), (3, "ab", call.replace("f", "é"), ["f"]), (4, "ab " * 60, call, ["f"])]
+    got = tokenizer.pack(spark.createDataFrame(rows, "id long, prompt string, call string, names array<string>"), vocabulary, 128).collect()
+    assert [r["id"] for r in got] == [1]
+    r = got[0]
+    real = r["ids"][: r["real_len"]]
+    assert len(r["ids"]) == len(r["tags"]) == 128 and set(r["ids"][r["real_len"] :]) == {tokenizer.PAD} and real[0] == tokenizer.BOS and real[-1] == tokenizer.EOS
+    assert vocabulary.decode(real) == rows[0][1] + call
+    parts, at = [vocabulary.tokens[i] for i in vocabulary.encode(call)], 0
+    for part, tag in zip(parts, r["tags"][r["real_len"] - 1 - len(parts) :], strict=False):
+        assert tag == tokenizer.tags_of(call)[at]
+        at += len(part)
+    assert [d["name"] for d in r["decisions"]] == ["f"] and r["decisions"][0]["gold"] == 0
+
+
+def test_pack_statistics(spark, sf_dir):
+    from loomwright.plans import tokens as plans
+    from loomwright.registry import queries
+
+    rows = plans._packed(spark, sf_dir).collect()
+    r = queries()["pack_statistics"](spark, sf_dir).collect()[0]
+    assert (r["kept"], r["mean_len"]) == (len(rows), pytest.approx(sum(x["real_len"] for x in rows) / len(rows)))
+    assert r["weight"] == pytest.approx(sum(tokenizer.WEIGHTS[t] for x in rows for t in x["tags"]))
