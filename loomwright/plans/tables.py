@@ -124,6 +124,36 @@ def rejections_over_events(spark: SparkSession, d: str) -> DataFrame:
     return validate_over_events(spark, d).filter("error IS NOT NULL").groupBy(F.substring("error", 1, 25).alias("reason")).agg(F.count("*").alias("n"))
 
 
+# (name, python, bfcl, lowered, annotation), dealt to parts; the part's own type is a name that no source knows.
+NAMES = [
+    ("str", "string", "str", "str", "string"),
+    ("int, optional", "integer", "int, optional", "int, optional", "string"),
+    ("float", "number", "number", "float", "number"),
+    ("OBJECT", "object", "OBJECT", "object", "string"),
+    ("List[int]", "string", "List[int]", "list[int]", "array"),
+    ("Optional[float]", "string", "Optional[float]", "optional[float]", "number"),
+]
+
+
+def _named(i: int, other: str) -> str:
+    return "CASE p_partkey % 7 " + " ".join(f"WHEN {k} THEN '{n[i]}'" for k, n in enumerate(NAMES)) + f" ELSE {other} END"
+
+
+@query("types_over_parts", f"SELECT p_partkey, {_named(1, repr('string'))} AS python, {_named(2, 'p_type')} AS bfcl, {_named(3, 'lower(p_type)')} AS lowered, {_named(4, repr('string'))} AS annotation FROM part")
+def types_over_parts(spark: SparkSession, d: str) -> DataFrame:
+    n = F.expr(_named(0, "p_type"))
+    return table(spark, d, "part").select("p_partkey", T.python_type(n).alias("python"), T.bfcl_type(n).alias("bfcl"), T.lower_type(n).alias("lowered"), T.annotation_type(n).alias("annotation"))
+
+
+CATALOG = ['[{"name":"{t}","parameters":{"properties":{"k":{"type":"integer"}}}},{"name":"b{k}"}]', '[{"name":"{t}"}]', '[{"name":"{t}"},{"name":" {t} "}]', '[{"name":"{t}"},{"name":"b","parameters":{"properties":{"k":{"type":"{t}"}}}}]', '[{"name":{k}},{"name":"b"}]', '{"name":"{t}"}', "{t}"]
+
+
+@query("catalogs_over_events", f"WITH {EVENTS} SELECT event_id, event_id % 7 = 0 AS sound FROM e")
+def catalogs_over_events(spark: SparkSession, d: str) -> DataFrame:
+    """A sound catalog, one tool, two of one name, an unknown type, a name that is no text, an object, no JSON."""
+    return events(spark, d).select("event_id", V.sound_catalog(one_of(F.col("event_id"), CATALOG)).alias("sound"))
+
+
 ORDER_DATE = "1990 + o_orderkey % 30 AS y, 1 + o_orderkey % 12 AS m, 1 + o_orderkey % 28 AS d"
 
 

@@ -360,3 +360,28 @@ def test_pack_statistics(spark, sf_dir):
     r = queries()["pack_statistics"](spark, sf_dir).collect()[0]
     assert (r["kept"], r["mean_len"]) == (len(rows), pytest.approx(sum(x["real_len"] for x in rows) / len(rows)))
     assert r["weight"] == pytest.approx(sum(tokenizer.WEIGHTS[t] for x in rows for t in x["tags"]))
+
+
+def test_spans_of_benchmark_texts(spark, sf_dir):
+    """Candidate spans against a plain version, for every benchmark text and hints from its own words."""
+    import re
+
+    from loomwright.operators.retrieve import spans
+
+    def tokens(t):
+        t = re.sub("([A-Z])([A-Z][a-z])", r"\1 \2", re.sub("([a-z0-9])([A-Z])", r"\1 \2", t))
+        return set(re.findall("[a-z0-9]+", t.lower()))
+
+    def plain(q, hint):
+        w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", q) if x]
+        if not w or len(w) > 120:
+            return None
+        runs = [" ".join(w[i : i + n]).strip(".,;:!?\"\'()[]") for i in range(len(w)) for n in range(1, min(8, len(w) - i) + 1)]
+        distinct = list(dict.fromkeys(r for r in runs if r))
+        ranked = sorted(distinct, key=lambda s: -(2.0 * len(tokens(s) & tokens(hint)) - 0.15 * len(s.split(" "))))
+        return ranked[:24] if len(distinct) > 24 else distinct
+
+    rows = [(r["text"], " ".join(r["text"].split()[k::7])) for k, r in enumerate(spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect())]
+    rows += [("", "x"), ("one", ""), ("play 'Hey Jude' now!", "songTitle jude"), ("a " * 121, "a")]
+    got = spark.createDataFrame(rows, "q string, h string").select("q", "h", spans(F.col("q"), F.col("h")).alias("s")).collect()
+    assert len(got) == len(rows) and all(r["s"] == plain(r["q"], r["h"]) for r in got)
