@@ -84,13 +84,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_digests
+
+    return line_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .heap_lloyd import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
+    from .heap_lloyd import oracle as heap_lloyd
+    from .line_dedup import ORACLE as line_dedup
     from .perspectives import ORACLE as perspectives
     from .pii import ORACLE as personal_data
 
-    return {"op5_personal_data": personal_data, "op8_perspective_rotation": perspectives}
+    return {"op5_personal_data": personal_data, "op8_perspective_rotation": perspectives, "op12_line_dedup": line_dedup, "op13_heap_lloyd": heap_lloyd()}
