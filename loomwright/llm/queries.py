@@ -84,6 +84,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_click_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .attribution import attributed_sales
+
+    return attributed_sales(_table(spark, sf_dir, "clicks"), _table(spark, sf_dir, "sales"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_digests
 
@@ -102,9 +108,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .attribution import ORACLE as attribution
     from .heap_lloyd import oracle as heap_lloyd
     from .line_dedup import ORACLE as line_dedup
     from .perspectives import ORACLE as perspectives
     from .pii import ORACLE as personal_data
 
-    return {"op5_personal_data": personal_data, "op8_perspective_rotation": perspectives, "op12_line_dedup": line_dedup, "op13_heap_lloyd": heap_lloyd()}
+    return {"op5_personal_data": personal_data, "op8_perspective_rotation": perspectives, "op11_click_attribution": attribution, "op12_line_dedup": line_dedup, "op13_heap_lloyd": heap_lloyd()}
