@@ -367,6 +367,8 @@ def attribution_stream(rows: DataFrame, watermark: int, buckets: int) -> DataFra
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # A start has one micro-batch: a store that stayed open after it would only take disk.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
