@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, MapType, StringType, StructField, StructType
 
 from .text import let
 
@@ -23,19 +24,126 @@ ENTRY = "struct<k:string,tag:string,text:string>"
 ENTRIES = f"array<{ENTRY}>"
 
 
+# JSON is read with every scalar turned into a marked string first, as Spark's reader would print numbers anew
+# and take text that looks like an object for one. A string x becomes STRING x SCALAR, a literal becomes STRING
+# SCALAR literal; so a marked text that ends with SCALAR is a string, whatever it holds.
+STRING, SCALAR = "\x02", "\x01"
+_BODY = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+_LITERAL = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity"
+_MARKED_LITERAL = r'"\\u0002\\u0001([^"\\]+)"'
+
+
+def marked(text: Column) -> Column:
+    return F.regexp_replace(text, f'"({_BODY})"|({_LITERAL})', r'"\\u0002$1\\u0001$2"')
+
+
+#: Marked arguments by key, and items of a call list; a struct takes the last of repeated keys.
+ARGUMENTS = MapType(StringType(), StringType())
+ITEMS = ArrayType(StructType([StructField(STRING + k + SCALAR, StringType()) for k in ("name", "arguments")]))
+
+
+def _parsed(text: Column, kind: DataType) -> Column:
+    """JSON text read as ``kind`` with marked keys and values; NULL if it is malformed or goes on after its end. The key at the end can't come from the text, whose keys are marked."""
+    whole = F.from_json(F.concat(F.lit('{"a":'), marked(text), F.lit(',"z":1}')), StructType([StructField("a", kind), StructField("z", IntegerType())]))
+    return let(whole, lambda x: F.when(x["z"] == 1, x["a"]))
+
+
+# Literals that Python prints as they are: integers, short decimals without needless digits, and words.
+_AS_WRITTEN = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.(?:0|[0-9]*[1-9]))?|-?[A-Za-z]+)$"
+_TINY = r"^-?0\.0000"
+
+
+def python_number(literal: Column) -> Column:
+    """The text that Python gives a JSON number (NaN, true and other words stay): integers as they are, floats with the fewest digits that tell them apart.
+
+    Up to 15 digits are told apart as written; longer ones take the JVM's digits.
+    """
+
+    def shape(text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, r"^-?([0-9]+)(?:\.([0-9]+))?(?:[eE]\+?(-?[0-9]+))?$", i)
+        power = F.coalesce(part(3).try_cast("int"), F.lit(0))
+        whole = F.struct(F.concat(part(1), part(2)).alias("all"), (F.length(part(1)) + power).alias("point"))
+        bare = lambda x: F.struct(x["point"].alias("point"), F.length(x["all"]).alias("size"), F.ltrim(x["all"], F.lit("0")).alias("short"))
+        return let(let(whole, bare), lambda x: F.struct(F.rtrim(x["short"], F.lit("0")).alias("digits"), (x["point"] - x["size"] + F.length(x["short"])).alias("point")))
+
+    def printed(x: Column) -> Column:
+        digits, point, n = x["digits"], x["point"], F.length(x["digits"])
+        zeros = lambda k: F.repeat(F.lit("0"), k)
+        plain = (
+            F.when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits))
+            .when(point >= n, F.concat(digits, zeros(point - n), F.lit(".0")))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+        )
+        power = F.abs(point - 1).cast("string")
+        tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(F.lit(""))
+        spread = F.concat(F.substring(digits, 1, 1), tail, F.lit("e"), F.when(point < 1, "-").otherwise("+"), F.lpad(power, F.greatest(F.lit(2), F.length(power)), F.lit("0")))
+        return F.when(n == 0, F.lit("0.0")).when(point.between(-3, 16), plain).otherwise(spread)
+
+    def a_float(text: Column) -> Column:
+        short = text.rlike(r"^-?[0-9.]{1,16}(?:[eE][+-]?[0-9]{1,2})?$")
+        source = F.when(short, text).otherwise(text.try_cast("double").cast("string"))
+        number = let(source, lambda t: F.when(F.endswith(t, F.lit("Infinity")), F.lit("Infinity")).otherwise(let(shape(t), printed)))
+        return F.concat(F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit("")), number)
+
+    written = literal.rlike(_AS_WRITTEN) & ((F.length(literal) <= 16) & ~literal.rlike(_TINY) | ~F.contains(literal, F.lit(".")))
+    return F.when(literal == "-0", F.lit("0")).when(written, literal).otherwise(a_float(literal))
+
+
+def _unmarked(text: Column) -> Column:
+    """Nested JSON text as it was."""
+    return F.regexp_replace(F.regexp_replace(text, _MARKED_LITERAL, "$1"), rf'"\\u0002({_BODY.replace("*+", "*?")})\\u0001"', '"$1"')
+
+
+def _content(value: Column) -> Column:
+    """The text of a marked string."""
+    return F.substring(value, F.lit(2), F.length(value) - 2)
+
+
+def _read(value: Column) -> Column:
+    """(tag, text) of a marked value; the text of a null is NULL."""
+    scalar = F.substring(value, F.lit(3), F.length(value))
+    tag = (
+        F.when(F.endswith(value, F.lit(SCALAR)), F.lit("STRING"))
+        .when(F.startswith(value, F.lit("{")), F.lit("OBJECT"))
+        .when(F.startswith(value, F.lit("[")), F.lit("ARRAY"))
+        .when(scalar == "null", F.lit("VOID"))
+        .when(scalar.isin("true", "false"), F.lit("BOOLEAN"))
+        .when(scalar.rlike("^-?[0-9]+$"), F.lit("INT"))
+        .otherwise(F.lit("FLOAT"))
+    )
+    # Numbers to print: the value itself, or those of a nested one; integers need no look, which are most.
+    numbers = F.when(F.startswith(value, F.lit(STRING + SCALAR)), F.array(scalar)).when(value.rlike(r'\\u0001-?(?:0"|[0-9]+[.eE])'), F.regexp_extract_all(value, F.lit(_MARKED_LITERAL), F.lit(1)))
+
+    def text(x: Column) -> Column:
+        t, printed = x["tag"], x["numbers"]
+        between = F.zip_with(F.split(value, _MARKED_LITERAL, -1), F.concat(printed, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+        nested = _unmarked(F.when(F.size(printed) > 0, F.array_join(between, "")).otherwise(value))
+        return F.when(t == "STRING", _content(value)).when(t.isin("OBJECT", "ARRAY"), nested).when(t != "VOID", printed[0])
+
+    return let(F.struct(tag.alias("tag"), F.transform(numbers, python_number).alias("numbers")), lambda x: F.struct(x["tag"].alias("tag"), text(x).alias("text")))
+
+
+def listed(arguments: Column) -> Column:
+    """(k, tag, text) of a JSON object by first occurrence of the keys, a repeated one with its last value; NULL if the text is no object."""
+
+    def once(items: Column) -> Column:
+        keys = F.array_distinct(F.transform(items, lambda e: e["key"]))
+        last = lambda k: F.element_at(F.filter(items, lambda e: e["key"] == k), -1)
+        return F.when(F.size(keys) == F.size(items), items).otherwise(F.transform(keys, last))
+
+    one = lambda e: let(_read(e["value"]), lambda v: F.struct(_content(e["key"]).alias("k"), v["tag"].alias("tag"), v["text"].alias("text")))
+    items = let(F.map_entries(_parsed(arguments, ARGUMENTS)), once)
+    return F.when(arguments.rlike(r"^\s*\{"), F.transform(items, one))
+
+
 def texts(arguments: Column) -> Column:
-    """Key -> raw text of the value; NULL if the text is no JSON object."""
-    return F.when(arguments.rlike(r"^\s*\{"), F.from_json(arguments, "map<string,string>"))
+    """Key -> text of the value, as Python would print a number; NULL if the text is no JSON object."""
+    return F.map_from_entries(F.transform(listed(arguments), lambda e: F.struct(e["k"], e["text"])))
 
 
 def entries(arguments: Column) -> Column:
     """Sorted (k, tag, text) of a JSON object; NULL if the text is none."""
-    variants = F.when(arguments.rlike(r"^\s*\{"), F.from_json(arguments, "map<string,variant>"))
-    kind = lambda v: F.regexp_extract(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), "^[A-Z]+", 0)
-    fold = lambda tag: F.when(tag.isin("DECIMAL", "DOUBLE", "FLOAT"), F.lit("FLOAT")).when(tag.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("INT")).otherwise(tag)
-    ordered = lambda m: F.array_sort(F.map_entries(m))
-    tags = ordered(F.transform_values(variants, lambda k, v: kind(v)))
-    return F.zip_with(ordered(texts(arguments)), tags, lambda t, v: F.struct(t["key"].alias("k"), fold(v["value"]).alias("tag"), t["value"].alias("text")))
+    return F.array_sort(listed(arguments))
 
 
 def canonical(calls: Column) -> Column:
@@ -64,14 +172,15 @@ def loads(text: Column) -> Column:
     parsed again; missing arguments are ``{}``; null ones make the whole
     malformed, as does any item without a name or whose arguments are no object.
     """
-    listed = F.when(text.rlike(r"^\s*\["), text).when(text.rlike(r"^\s*\{"), F.concat(F.lit("["), text, F.lit("]")))
-    has = lambda m, k: F.coalesce(F.map_contains_key(m, k), F.lit(False))
-    arguments = lambda m: F.when(has(m, "arguments"), F.element_at(m, "arguments")).otherwise(F.lit("{}"))
-    an_object = lambda a: F.coalesce((a == "{}") | (texts(a).isNotNull() & F.try_parse_json(a).isNotNull()), F.lit(False))
-    sound = lambda m: has(m, "name") & let(arguments(m), an_object)
-    calls = lambda items: F.transform(items, lambda m: F.struct(F.coalesce(F.element_at(m, "name"), F.lit("None")).alias("name"), arguments(m).alias("arguments")))
-    whole = let(F.from_json(listed, "array<map<string,string>>"), lambda items: F.when(F.forall(items, sound), calls(items)))
-    return F.when(F.try_parse_json(text).isNotNull(), whole)
+    list_text = F.when(text.rlike(r"^\s*\["), text).when(text.rlike(r"^\s*\{"), F.concat(F.lit("["), text, F.lit("]")))
+    spoken = lambda t: F.when(t == "null", F.lit("None")).when(t.isin("true", "false"), F.initcap(t)).otherwise(t)
+    name = lambda v: F.when(F.endswith(v, F.lit(SCALAR)), _content(v)).when(F.startswith(v, F.lit(STRING)), spoken(F.substring(v, F.lit(3), F.length(v)))).otherwise(_unmarked(v))
+    # Arguments as text, NULL unless they are an object or a string that holds one.
+    arguments = lambda v: F.when(v.isNull(), F.lit("{}")).when(F.startswith(v, F.lit("{")), _unmarked(v)).when(F.endswith(v, F.lit(SCALAR)), let(_content(v), lambda a: F.when(a.rlike(r"^\s*\{") & _parsed(a, ARGUMENTS).isNotNull(), a)))
+    own = lambda m, k: m[STRING + k + SCALAR]
+    call = lambda m: F.when(own(m, "name").isNotNull(), F.struct(name(own(m, "name")).alias("name"), arguments(own(m, "arguments")).alias("arguments")))
+    calls = F.transform(_parsed(list_text, ITEMS), call)
+    return let(calls, lambda cs: F.when(F.forall(cs, lambda c: F.coalesce(c["arguments"].isNotNull(), F.lit(False))), cs))
 
 
 def strict_equal(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, let, ngrams, order_key, squash, uniform, words
+from ..session import free
 
 GRAM = 8
 TOLERATED = 0.05
@@ -46,8 +47,8 @@ def overlapping(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
 
 def exact_firewall(docs: DataFrame, banned: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose squashed text is not in ``banned``; an empty list keeps all rows."""
-    lines = banned.select(squash(F.col(text)).alias("line")).distinct()
-    return docs.withColumn("line", squash(F.col(text))).join(lines, "line", "left_anti").drop("line")
+    lines = banned.select(squash(F.col(text)).alias("line__")).distinct()
+    return docs.withColumn("line__", squash(F.col(text))).join(lines, "line__", "left_anti").drop("line__")
 
 
 def quarantine(docs: DataFrame, bad: DataFrame, key: str = "doc_id", source: str = "source", tolerated: float = TOLERATED, exempt: tuple[str, ...] = ()) -> DataFrame:
@@ -82,9 +83,9 @@ def capped(rows: DataFrame, caps: dict[str, int], source: str, *order: Column) -
 
 
 def mixed(rows: DataFrame, weights: dict[str, int], source: str = "source") -> DataFrame:
-    """Every row as often as its source's weight says, with the number of the copy; sources without a weight are left out."""
+    """Every row as often as its source's weight says, with the number of the copy in ``copy`` (or ``copy_``, if there is such a column); sources without a weight are left out."""
     times = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(source)]
-    return rows.withColumn("n__", times).filter("n__ > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "n__"))).drop("n__")
+    return rows.withColumn("n__", times).filter("n__ > 0").withColumn(free(rows, "copy"), F.explode(F.sequence(F.lit(1), "n__"))).drop("n__")
 
 
 def sampled(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
@@ -92,19 +93,62 @@ def sampled(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     return rows.withColumn("o__", order_key(seed, F.col(key))).orderBy("o__", key).limit(n).drop("o__")
 
 
+def weighted_sample(rows: DataFrame, n: int, key: str, weight: Column, seed: int) -> DataFrame:
+    """``n`` rows without replacement, each draw in proportion to ``weight``: those whose seeded exponential times come first.
+
+    Rows whose weight is null or not above 0 are never drawn. Each task hands
+    on its first ``n`` rows only.
+    """
+    u = uniform(seed, F.col(key)) + 2.0**-29  # never 0
+    timed = rows.withColumn("w__", weight.cast("double")).filter("w__ > 0").withColumn("o__", -F.ln(u) / F.col("w__"))
+    return timed.orderBy("o__", key).limit(n).drop("o__", "w__")
+
+
+def weighted_choice(seed: int, key: Column, weights: dict[str, float]) -> Column:
+    """One of the names, with replacement, in proportion to its weight, by an alias table: a place and a coin from one seeded digest, whatever the number of names.
+
+    The first 28 bits of the digest choose a place, the next 28 whether it
+    keeps its own name or gives that of its alias.
+    """
+    names, keep, alias = alias_table(weights)
+    part = lambda at: F.conv(F.substring(order_key(seed, key), at, 7), 16, 10).cast("double") / float(1 << 28)
+    values = lambda xs: F.array(*[F.lit(x) for x in xs])
+    place = F.floor(part(1) * len(names)).cast("int") + 1
+    return let(place, lambda p: F.when(part(8) < F.element_at(values(keep), p), F.element_at(values(names), p)).otherwise(F.element_at(values(alias), p)))
+
+
+def alias_table(weights: dict[str, float]) -> tuple[list[str], list[float], list[str]]:
+    """(names, share of its place that a name keeps, the name that takes the rest): places of equal size whose shares add up to the weights."""
+    names = [n for n, w in weights.items() if w > 0]
+    if not names:
+        raise ValueError("no name has a weight above 0")
+    mean = sum(weights[n] for n in names) / len(names)
+    left = {n: weights[n] / mean for n in names}
+    keep, alias = dict.fromkeys(names, 1.0), {n: n for n in names}
+    small, large = [n for n in names if left[n] < 1], [n for n in names if left[n] >= 1]
+    while small and large:
+        s, rich = small.pop(), large[-1]
+        keep[s], alias[s] = left[s], rich
+        left[rich] -= 1 - left[s]
+        if left[rich] < 1:
+            small.append(large.pop())
+    return names, [keep[n] for n in names], [alias[n] for n in names]
+
+
 def stratified(rows: DataFrame, stratum: Column, sizes: dict, key: str, seed: int) -> DataFrame:
-    """``sizes[s]`` rows of each stratum ``s``, first in the seeded order."""
-    cap = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("stratum")]
-    w = Window.partitionBy("stratum").orderBy(order_key(seed, F.col(key)), key)
-    return rows.withColumn("stratum", stratum).withColumn("rn__", F.row_number().over(w)).filter(F.col("rn__") <= max(sizes.values(), default=0)).filter(F.col("rn__") <= cap).drop("rn__")
+    """``sizes[s]`` rows of each stratum ``s``, first in the seeded order; the stratum is in ``stratum`` (or ``stratum_``, if there is such a column)."""
+    name = free(rows, "stratum")
+    cap = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col(name)]
+    w = Window.partitionBy(name).orderBy(order_key(seed, F.col(key)), key)
+    return rows.withColumn(name, stratum).withColumn("rn__", F.row_number().over(w)).filter(F.col("rn__") <= max(sizes.values(), default=0)).filter(F.col("rn__") <= cap).drop("rn__")
 
 
 def holdout(rows: DataFrame, n: int, key: str) -> DataFrame:
     """All rows, marked ``dev`` if among the last ``n`` by key, else ``train``. The limit value is found by a top-n, not a global sort."""
     least = rows.select(key).orderBy(F.desc(key)).limit(n).agg(F.min(key).alias("least__"))
-    return rows.crossJoin(F.broadcast(least)).withColumn("part", F.when(F.col(key) >= F.col("least__"), "dev").otherwise("train")).drop("least__")
+    return rows.crossJoin(F.broadcast(least)).withColumn(free(rows, "part"), F.when(F.col(key) >= F.col("least__"), "dev").otherwise("train")).drop("least__")
 
 
 def split_by_share(rows: DataFrame, key: str, seed: int, dev: float) -> DataFrame:
     """Rows marked ``dev`` or ``train`` by a seeded share, without any shuffle."""
-    return rows.withColumn("part", F.when(uniform(seed, F.col(key)) < dev, "dev").otherwise("train"))
+    return rows.withColumn(free(rows, "part"), F.when(uniform(seed, F.col(key)) < dev, "dev").otherwise("train"))

@@ -110,15 +110,28 @@ def failure_table(rows: DataFrame, oracle: Column | None = None) -> DataFrame:
     )
 
 
-def argument_errors(rows: DataFrame) -> DataFrame:
-    """Calls paired by position that differ, by kind: key sets (missing and extra keys) or values only; and as ``bad_value`` the number of values that differ in the latter."""
-    pairs = rows.select(F.explode(F.arrays_zip(C.loose(F.col("gold")).alias("g"), C.loose(F.col("pred")).alias("p"))).alias("x")).select("x.*").filter("g IS NOT NULL AND p IS NOT NULL AND g <> p")
+def argument_errors(rows: DataFrame, oracle: Column | None = None) -> DataFrame:
+    """Calls under the gold names, paired by position, that differ from the gold ones, by kind.
+
+    ``key_set``: other keys, and the same again by how many are missing and
+    extra; ``values_only``: the same keys; ``bad_value``: the number of values
+    that differ in the latter. A wrong name alone is no argument error.
+    ``oracle`` holds the calls made with the gold names; by default the
+    predicted ones are given these names.
+    """
+    gold = F.col("gold")
+    named = with_names_of(F.col("pred"), gold) if oracle is None else oracle
+    pairs = rows.select(F.explode(F.arrays_zip(C.loose(gold).alias("g"), C.loose(named).alias("p"))).alias("x")).select("x.*").filter("g IS NOT NULL AND p IS NOT NULL AND g <> p")
     keys = lambda c: F.transform(F.col(c)["entries"], lambda e: e["k"])
     missing, extra = F.size(F.array_except(keys("g"), keys("p"))), F.size(F.array_except(keys("p"), keys("g")))
-    kind = F.when((missing > 0) | (extra > 0), F.concat(F.lit("missing="), missing, F.lit(" extra="), extra)).when(keys("g") == keys("p"), F.lit("values_only"))
-    bad = F.when(keys("g") == keys("p"), F.size(F.filter(F.zip_with(F.col("g")["entries"], F.col("p")["entries"], lambda a, b: a != b), lambda x: x))).otherwise(0)
-    kinds = F.array(F.struct(F.coalesce(kind, F.lit("values_only")).alias("kind"), F.lit(1).alias("n")), F.struct(F.lit("bad_value").alias("kind"), bad.alias("n")))
-    return pairs.select(F.explode(kinds).alias("x")).groupBy("x.kind").agg(F.sum("x.n").alias("n")).filter("n > 0")
+    bad = F.size(F.filter(F.zip_with(F.col("g")["entries"], F.col("p")["entries"], lambda a, b: a != b), lambda x: x))
+    kind = lambda name, n: F.struct(name.alias("kind"), n.cast("long").alias("n"))
+    one = F.lit(1)
+    sets = F.array(kind(F.lit("key_set"), one), kind(F.concat(F.lit("missing="), missing, F.lit(" extra="), extra), one))
+    values = F.array(kind(F.lit("values_only"), one), kind(F.lit("bad_value"), bad))
+    # With names that differ, too (where the numbers of calls do), equal arguments count nowhere.
+    kinds = F.when(keys("g") != keys("p"), sets).when(F.col("g")["entries"] != F.col("p")["entries"], values)
+    return pairs.select(F.explode(kinds).alias("x")).groupBy("x.kind").agg(F.sum("x.n").alias("n"))
 
 
 def pass_at_k(pool: DataFrame, gold: DataFrame, k: int) -> DataFrame:

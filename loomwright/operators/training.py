@@ -9,76 +9,91 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 ROUND, MOST_ROWS = 64, 128
-#: Rows of one group that are numbered in one task, about.
+#: Rows that one task numbers, about.
 CHUNK = 1_000_000
 
 
-def _largest(rows: DataFrame, group: str) -> int:
-    return rows.groupBy(group).agg(F.count("*").alias("n__")).agg(F.max("n__")).collect()[0][0] or 0
+def _ranged(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """``part__``: runs of the order by group and key of about CHUNK rows, so a large group is cut by its own keys.
+
+    Rows with equal group and key are in one run; nulls are groups and keys
+    like others and come first. Runs are found by sampling, so they are
+    written once for all who read them.
+    """
+    ranges = 1 + rows.count() // CHUNK
+    if ranges == 1:
+        return rows.withColumn("part__", F.lit(0))
+    return checkpointed(rows.repartitionByRange(ranges, group, key).withColumn("part__", F.spark_partition_id()))
 
 
-def _ranged(rows: DataFrame, key: str, largest: int) -> DataFrame:
-    """``part__``: the range of keys a row is in, such that no group has many more than CHUNK rows of one."""
-    ranges = 1 + largest // CHUNK
-    cuts = rows.stat.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.001) if ranges > 1 else []
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col(key) >= c).cast("int")
-    return rows.withColumn("part__", part)
+def _with_earlier(rows: DataFrame, group: str, each: Column, over: Callable, name: str) -> DataFrame:
+    """``name``: ``over`` of ``each``, an aggregate of every earlier run of a row's group; NULL in its first."""
+    earlier = Window.partitionBy("group__").orderBy("run__").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(F.col(group).alias("group__"), F.col("part__").alias("run__")).agg(each.alias("t__")).select("group__", "run__", over("t__").over(earlier).alias(name))
+    return rows.join(totals, F.col(group).eqNullSafe(F.col("group__")) & (F.col("part__") == F.col("run__"))).drop("group__", "run__")
 
 
-def numbered(rows: DataFrame, group: str, key: str, largest: int) -> DataFrame:
-    """``rank__``: place of each row in its group by ``key``, from 0.
+def numbered(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """``rank__``: place of each row in its group by ``key``, from 0; null groups and keys too.
 
-    Keys are cut into ranges, so that no task numbers a whole large group;
-    ranges are counted first and their sizes added up.
+    No task numbers more than a run of a group; runs are counted first and
+    their sizes added up.
     """
-    r = _ranged(rows, key, largest)
-    w = Window.partitionBy(group).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
-    before = r.groupBy(group, "part__").agg(F.count("*").alias("n__")).withColumn("before__", F.coalesce(F.sum("n__").over(w), F.lit(0))).drop("n__")
+    r = _with_earlier(_ranged(rows, group, key), group, F.count("*"), F.sum, "before__")
     inner = Window.partitionBy(group, "part__").orderBy(key)
-    return r.join(before, [group, "part__"]).withColumn("rank__", F.col("before__") + F.row_number().over(inner) - 1).drop("part__", "before__")
+    return r.withColumn("rank__", F.coalesce("before__", F.lit(0)) + F.row_number().over(inner) - 1).drop("part__", "before__")
 
 
 def running(rows: DataFrame, group: str, key: str, value: Column, how: Callable, own: bool) -> DataFrame:
-    """``earlier__`` and ``inside__``: ``how`` (a sum or minimum) of the values in earlier ranges of keys, and in the row's own range up to the row, with it if ``own``."""
-    r = _ranged(rows.withColumn("value__", value), key, _largest(rows, group))
-    ranges = Window.partitionBy(group).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = r.groupBy(group, "part__").agg(how("value__").alias("t__")).withColumn("earlier__", how("t__").over(ranges)).drop("t__")
+    """``earlier__`` and ``inside__``: ``how`` (a sum or minimum) of the values in earlier runs of the group, and in the row's own run up to the row, with it if ``own``."""
+    r = _with_earlier(_ranged(rows.withColumn("value__", value), group, key), group, how("value__"), how, "earlier__")
     inside = how("value__").over(Window.partitionBy(group, "part__").orderBy(key).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
-    return r.join(earlier, [group, "part__"]).withColumn("inside__", inside).drop("part__", "value__")
+    return r.withColumn("inside__", inside).drop("part__", "value__")
 
 
-def batch_limits(counts: dict[int, int], length: int, budget: int) -> np.ndarray:
-    """First row of every batch, for rows sorted by real length: a batch closes where one more row would exceed the token budget, or at 128 rows.
+def batch_runs(counts: dict[int, int], length: int, budget: int) -> np.ndarray:
+    """(first place, first batch, batch size) of runs of equal batches, for rows sorted by real length: a batch closes where one more row would exceed the token budget, or at 128 rows.
 
-    Rows of one real length are taken many at a time.
+    Batches of one real length are taken all at once, so there are a few runs
+    for each length, however many rows.
     """
-    limits, held, widest, at = [0], 0, 0, 0
+    runs, held, widest, at, batch = [], 0, 0, 0, 0
     for real in sorted(counts):
         padded, left = min(length, -(-real // ROUND) * ROUND), counts[real]
-        while left:
+        if held and left:
             room = min(MOST_ROWS, budget // max(widest, padded)) - held
-            if held and room <= 0:
-                limits.append(at)
-                held, widest = 0, 0
-                continue
-            take = min(left, max(1, room))
-            held, widest, at, left = held + take, max(widest, padded), at + take, left - take
-    return np.array(limits)
+            take = max(0, min(left, room))
+            if take:
+                runs.append((at, batch, MOST_ROWS))
+                held, widest, at, left = held + take, max(widest, padded), at + take, left - take
+            if left:
+                batch, held, widest = batch + 1, 0, 0
+        if left:
+            size = max(1, min(MOST_ROWS, budget // max(1, padded)))
+            runs.append((at, batch, size))
+            full, held = divmod(left, size)
+            at, batch, widest = at + left, batch + full, padded
+    return np.array(runs or [(0, 0, 1)], np.int64)
 
 
 def token_budget_batches(rows: DataFrame, key: str, real: str, length: int, budget: int) -> DataFrame:
-    """``batch`` and place in the sorted order of every row; only the number of rows per length (at most ``length``) is collected."""
-    counts = {r[real]: r["n"] for r in rows.groupBy(real).agg(F.count("*").alias("n")).collect()}
-    limits = batch_limits(counts, length, budget)
-    sizes = sorted(counts)
-    starts = dict(zip(sizes, np.concatenate(([0], np.cumsum([counts[s] for s in sizes])))[:-1].tolist(), strict=True)) if sizes else {}
-    base = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col(real)] if starts else F.lit(0)
-    placed = numbered(rows, real, key, max(counts.values(), default=0)).withColumn("place", (base + F.col("rank__")).cast("long")).drop("rank__")
-    batch_of = F.pandas_udf(lambda s: pd.Series(np.searchsorted(limits, s.to_numpy(), "right") - 1), "long")
-    return placed.withColumn("batch", batch_of("place"))
+    """``batch`` and place in the sorted order of every row; only the number of rows per length (at most ``length``) is collected. A null length counts as 0."""
+    own = F.coalesce(F.col(real), F.lit(0))
+    counts = {r["real__"]: r["n"] for r in rows.groupBy(own.alias("real__")).agg(F.count("*").alias("n")).collect()}
+    starts, first, sizes = batch_runs(counts, length, budget).T
+    lengths = sorted(counts)
+    begin = dict(zip(lengths, np.concatenate(([0], np.cumsum([counts[s] for s in lengths])))[:-1].tolist(), strict=True)) if lengths else {}
+    base = F.create_map(*[F.lit(x) for kv in begin.items() for x in kv])[own] if begin else F.lit(0)
+    placed = numbered(rows.withColumn("real__", own), "real__", key).withColumn("place", (base + F.col("rank__")).cast("long")).drop("rank__", "real__")
+
+    def batch_of(s: pd.Series) -> pd.Series:
+        run = np.searchsorted(starts, s.to_numpy(), "right") - 1
+        return pd.Series(first[run] + (s.to_numpy() - starts[run]) // sizes[run])
+
+    return placed.withColumn("batch", F.pandas_udf(batch_of, "long")("place"))
 
 
 def rate_factor(step: Column, total: int, warmup: int | None = None) -> Column:
@@ -94,8 +109,8 @@ def moving_average(rows: DataFrame, series: str, step: str, value: str, beta: fl
     As a sum of values times the weight that their place leaves them, so no
     task holds a series.
     """
-    sizes = rows.groupBy(series).agg(F.count("*").alias("size__"))
-    placed = numbered(rows, series, step, _largest(rows, series)).join(sizes, series)
+    sizes = rows.groupBy(F.col(series).alias("series__")).agg(F.count("*").alias("size__"))
+    placed = numbered(rows, series, step).join(sizes, F.col(series).eqNullSafe(F.col("series__"))).drop("series__")
     later = F.pow(F.lit(beta), F.col("size__") - 1 - F.col("rank__"))
     weight = F.when(F.col("rank__") == 0, later).otherwise((1 - beta) * later)
     return placed.groupBy(series).agg(F.sum(F.col(value) * weight).alias("ema"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.literals import Literal
 from ..functions.text import collapse, lexical_tokens, squash
 from ..operators import corpus as op
-from ..registry import query
+from ..registry import fixture, query
 from ..session import spread
 
 
@@ -51,7 +51,7 @@ SHORT = Literal("item_id long, text string", [(1, "Play the song!"), (2, "turn
 ASKED = Literal("doc_id long, text string", [(1, "play THE song"), (2, "turn it off, now"), (3, "Turn it off."), (4, "would you dim the kitchen lights to thirty percent right now"), (5, ""), (6, None)])
 
 
-@query("short_query_firewall", f"WITH documents AS (SELECT * FROM {ASKED.sql()}), benchmark AS (SELECT * FROM {SHORT.sql()}), {HITS} SELECT doc_id FROM hits")
+@fixture("short_query_firewall", f"WITH documents AS (SELECT * FROM {ASKED.sql()}), benchmark AS (SELECT * FROM {SHORT.sql()}), {HITS} SELECT doc_id FROM hits")
 def short_query_firewall(spark: SparkSession, d: str) -> DataFrame:
     return op.overlapping(ASKED.frame(spark), SHORT.frame(spark))
 
@@ -120,6 +120,26 @@ def sample_seeded(spark: SparkSession, d: str) -> DataFrame:
     return op.sampled(table(spark, d, "documents").select("doc_id", "source"), 100, "doc_id", 11)
 
 
+WEIGHT = "(CAST('0x' || substr(md5(concat('13|', doc_id)), {0}, 7) AS BIGINT) / 268435456.0)"
+CHOICES = {"one": 5, "two": 3, "refuse": 1.5, "three": 0.5}
+
+
+@query("sample_weighted", f"SELECT doc_id FROM documents WHERE n_chars > 0 ORDER BY -ln({WEIGHT.format(1)} + pow(2.0, -29)) / n_chars, doc_id LIMIT 200")
+def sample_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Documents drawn in proportion to their length."""
+    return op.weighted_sample(table(spark, d, "documents").select("doc_id", "n_chars"), 200, "doc_id", F.col("n_chars"), 13).select("doc_id")
+
+
+def _choices() -> str:
+    rows = ", ".join(f"({i}, '{n}', {k!r}, '{a}')" for i, (n, k, a) in enumerate(zip(*op.alias_table(CHOICES), strict=True)))
+    return f"(VALUES {rows}) c(i, own, share, other)"
+
+
+@query("choice_weighted", f"SELECT doc_id, CASE WHEN {WEIGHT.format(8)} < share THEN own ELSE other END AS choice FROM documents JOIN {_choices()} ON i = CAST(floor({WEIGHT.format(1)} * {len(CHOICES)}) AS INTEGER)")
+def choice_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", op.weighted_choice(13, F.col("doc_id"), CHOICES).alias("choice"))
+
+
 @query(
     "stratified_sample",
     """SELECT doc_id, CASE WHEN n_chars >= 2000 THEN 'long' ELSE 'short' END AS stratum FROM documents

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +13,16 @@ from ..functions import tools as T
 from ..functions.literals import Literal
 from ..operators import generate as G
 from ..operators import validate as V
-from ..registry import query
-from ..session import ship
-from ..sources import adapters, jsonl
+from ..registry import fixture, query
+from ..session import shared_folder, ship
+from ..sources import adapters, growing, jsonl
 from ..streaming import ingest as S
 from .corpus import COLLAPSE, table
 
 LINES = Literal("id long, value string", [(1, '{"query":"a"}'), (2, ""), (3, "  "), (4, '{"query":"b"'), (5, "[1]"), (6, "nul")])
 
 
-@query("json_tolerant_scan", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), true), (4, false), (5, true), (6, false)) t(id, ok)")
+@fixture("json_tolerant_scan", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), true), (4, false), (5, true), (6, false)) t(id, ok)")
 def json_tolerant_scan(spark: SparkSession, d: str) -> DataFrame:
     return jsonl.mark_lines(LINES.frame(spark)).select("id", "ok")
 
@@ -114,7 +115,7 @@ def converted(spark: SparkSession) -> DataFrame:
     return out
 
 
-@query("convert_sources", f"SELECT * FROM {EXPECTED.sql()}")
+@fixture("convert_sources", f"SELECT * FROM {EXPECTED.sql()}")
 def convert_sources(spark: SparkSession, d: str) -> DataFrame:
     entry = lambda e: F.concat(e["k"], F.lit("="), C.quoted(e["text"]))
     call = lambda c: F.concat(c["name"], F.lit("("), F.array_join(F.transform(C.entries(c["arguments"]), entry), ", "), F.lit(")"))
@@ -123,7 +124,7 @@ def convert_sources(spark: SparkSession, d: str) -> DataFrame:
     return converted(spark).select("kind", "row_idx", "query", answers.alias("answers"), required.alias("required"), "split")
 
 
-@query("convert_grounded", f"SELECT kind, row_idx FROM {EXPECTED.sql()}")
+@fixture("convert_grounded", f"SELECT kind, row_idx FROM {EXPECTED.sql()}")
 def convert_grounded(spark: SparkSession, d: str) -> DataFrame:
     return converted(spark).filter(V.grounded(F.col("query"), C.loads(F.col("answers")))).select("kind", "row_idx")
 
@@ -131,7 +132,7 @@ def convert_grounded(spark: SparkSession, d: str) -> DataFrame:
 BFCL_ANSWERS = Literal("row_idx long, id string, ground_truth string", [(0, "a", '[{"f":{"x":[1]}}]'), (1, "a", '[{"f":{"x":[2]}}]')])
 
 
-@query("bfcl_join", """SELECT * FROM (VALUES ('a', 'one' || chr(10) || 'two', '[{"f":{"x":[2]}}]'), ('b', 'alone', '[]')) t(id, query, gt)""")
+@fixture("bfcl_join", """SELECT * FROM (VALUES ('a', 'one' || chr(10) || 'two', '[{"f":{"x":[2]}}]'), ('b', 'alone', '[]')) t(id, query, gt)""")
 def bfcl_join(spark: SparkSession, d: str) -> DataFrame:
     text = Literal("id string, q string", [("a", '[[{"role":"user","content":"one"},{"role":"system","content":"no"},{"role":"user","content":"two"}]]'), ("b", '[[{"role":"user","content":"alone"}]]')])
     questions = text.frame(spark).select("id", F.from_json("q", "array<array<struct<role:string,content:string>>>").alias("question"), F.lit("[]").alias("function"))
@@ -141,7 +142,7 @@ def bfcl_join(spark: SparkSession, d: str) -> DataFrame:
 ROLL = "CAST('0x' || substr(md5(concat('3|', i)), 1, 7) AS BIGINT) / 268435456.0"
 
 
-@query("generated_mix", f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN {ROLL} < 0.15 THEN 'refuse' WHEN {ROLL} < 0.4 THEN 'two' ELSE 'one' END AS kind FROM range(0, 2000) t(i)) GROUP BY kind")
+@fixture("generated_mix", f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN {ROLL} < 0.15 THEN 'refuse' WHEN {ROLL} < 0.4 THEN 'two' ELSE 'one' END AS kind FROM range(0, 2000) t(i)) GROUP BY kind")
 def generated_mix(spark: SparkSession, d: str) -> DataFrame:
     return G.generate(spark, 2000, 3).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -151,7 +152,7 @@ MADE = lambda split, seed: f"""SELECT '{split}' AS split, count(*) AS n, CAST(su
 CAST(sum(3 + floor({U(seed + 4)} * 4)) AS BIGINT) AS n_distractors, CAST(0 AS BIGINT) AS unknown_calls, CAST(0 AS BIGINT) AS ungrounded FROM range(0, 300) t(i)"""
 
 
-@query("generated_valid", f"{MADE('train', 5)} UNION ALL {MADE('ood', 6)}")
+@fixture("generated_valid", f"{MADE('train', 5)} UNION ALL {MADE('ood', 6)}")
 def generated_valid(spark: SparkSession, d: str) -> DataFrame:
     """Generated calls and distractors are as many as drawn; calls use their catalog, and the query states what they hold."""
     rows = G.generate(spark, 300, 5).unionByName(G.generate(spark, 300, 6, ood=True))
@@ -162,7 +163,7 @@ def generated_valid(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("augmented_shares", f"SELECT count(*) FILTER ({U(11)} < 0.4) AS topped_up, count(*) FILTER ({U(21)} < 0.35) AS dated, CAST(0 AS BIGINT) AS broken_calls FROM range(0, 2000) t(i)")
+@fixture("augmented_shares", f"SELECT count(*) FILTER ({U(11)} < 0.4) AS topped_up, count(*) FILTER ({U(21)} < 0.35) AS dated, CAST(0 AS BIGINT) AS broken_calls FROM range(0, 2000) t(i)")
 def augmented_shares(spark: SparkSession, d: str) -> DataFrame:
     rows = G.generate(spark, 2000, 3).withColumn("tools", F.from_json("tools", "array<string>"))
     out = G.augment(rows, "row")
@@ -170,7 +171,7 @@ def augmented_shares(spark: SparkSession, d: str) -> DataFrame:
     return out.agg(F.count_if(F.size("tools") >= 10).alias("topped_up"), F.count_if(F.startswith("query", F.lit(G.PREAMBLE))).alias("dated"), F.count_if(~V.well_formed(T.parse(text), C.loads(F.col("answers")))).alias("broken_calls"))
 
 
-@query("catalog_tools", "SELECT * FROM (VALUES ('train', CAST(17 AS BIGINT)), ('ood', 5)) t(split, n)")
+@fixture("catalog_tools", "SELECT * FROM (VALUES ('train', CAST(17 AS BIGINT)), ('ood', 5)) t(split, n)")
 def catalog_tools(spark: SparkSession, d: str) -> DataFrame:
     rows = Literal("i int, name string", [(i, t[0]) for i, t in enumerate(G.TOOLS)]).frame(spark)
     return rows.groupBy(F.when(F.col("i") < G.N_TRAIN, "train").otherwise("ood").alias("split")).agg(F.count("*").alias("n"))
@@ -178,7 +179,7 @@ def catalog_tools(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_dedup", f"SELECT DISTINCT sha256({COLLAPSE.format('text')}) AS key FROM documents")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """The documents table as a file stream, repeats left out; drained into memory by one trigger."""
+    """The documents table as a file stream, repeats left out; drained by one trigger."""
     from ..functions.text import collapse
 
     schema = table(spark, d, "documents").schema
@@ -193,6 +194,39 @@ def _one_folder(spark: SparkSession, path: str) -> str:
     return path[:-1] + "?"
 
 
+@query("stream_growing", "SELECT event_id, 1 AS n, event_type AS kind FROM events")
+def stream_growing(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON lines in files that grow between two starts of one stream: each arrives once."""
+    ship(spark)
+    top = f"{shared_folder(spark)}/growing-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(top).getFileSystem(spark._jsc.hadoopConfiguration())
+    events = table(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("value"), (F.col("event_id") % 8).alias("file"))
+    half = events.agg(F.max("event_id")).collect()[0][0] // 2
+    folders = []
+    for k, some in enumerate((events.filter(F.col("event_id") <= half), events)):
+        # The second writing holds the same lines and more; its files take the place of the first.
+        some.repartition(8, "file").sortWithinPartitions("event_id").select("value", "file").write.partitionBy("file").text(f"{top}/{k}")
+        for status in files.globStatus(hadoop(f"{top}/{k}/file=*/part-*")):
+            own = hadoop(f"{top}/in/{status.getPath().getParent().getName()}.jsonl")
+            files.mkdirs(own.getParent())
+            files.delete(own, False)
+            files.rename(status.getPath(), own)
+        stream = growing.stream_growing(spark, f"{top}/in").select(F.from_json("value", "event_id long, event_type string").alias("e")).select("e.*")
+
+        def write(batch: DataFrame, number: int, k: int = k) -> None:
+            batch.write.mode("overwrite").parquet(f"{top}/out/{k}/{number}")
+
+        running = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+        try:
+            running.awaitTermination()
+        finally:
+            running.stop()
+        folders.append(f"{top}/out/{k}")
+    out = spark.read.schema("event_id long, event_type string").parquet(*[f"{f}/*" for f in folders])
+    return out.groupBy("event_id").agg(F.count("*").alias("n"), F.min("event_type").alias("kind"))
+
+
 @query("stream_spend", "SELECT event_type AS account, count(*) AS n, round(sum((event_id % 900) * 0.14e-6 + (event_id % 300) * 0.28e-6), 6) AS cost FROM events GROUP BY event_type")
 def stream_spend(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calls as C
 from ..functions.literals import Literal
 from ..operators import scoring as op
-from ..registry import query
+from ..registry import fixture, query
 from .corpus import table
 
 SAMPLES = 5
@@ -90,8 +90,9 @@ def failure_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "argument_errors",
-    f"""WITH {VARIANTS} SELECT CASE v WHEN 'extra' THEN 'missing=0 extra=1' WHEN 'empty' THEN 'missing=1 extra=0' ELSE 'values_only' END AS kind, CAST(sum(n_gold) AS BIGINT) AS n
-FROM j WHERE sample_id = 0 AND n_gold > 0 AND v <> 'ok' AND NOT torn GROUP BY kind
+    f"""WITH {VARIANTS}, k AS (SELECT n_gold, unnest(CASE v WHEN 'extra' THEN ['key_set', 'missing=0 extra=1'] WHEN 'empty' THEN ['key_set', 'missing=1 extra=0'] WHEN 'value' THEN ['values_only'] END) AS kind
+FROM j WHERE sample_id = 0 AND n_gold > 0 AND NOT torn)
+SELECT kind, CAST(sum(n_gold) AS BIGINT) AS n FROM k GROUP BY kind
 UNION ALL SELECT 'bad_value', CAST(sum(n_gold) AS BIGINT) FROM j WHERE sample_id = 0 AND n_gold > 0 AND v = 'value' HAVING sum(n_gold) > 0""",
 )
 def argument_errors(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +184,7 @@ CASES = Literal(
 )
 
 
-@query("call_equality", f"SELECT id, strict, loose FROM {CASES.sql()}")
+@fixture("call_equality", f"SELECT id, strict, loose FROM {CASES.sql()}")
 def call_equality(spark: SparkSession, d: str) -> DataFrame:
     a, b = C.loads(F.col("a")), C.loads(F.col("b"))
     return CASES.frame(spark).select("id", C.strict_equal(a, b).alias("strict"), C.loose_equal(a, b).alias("loose"))
@@ -203,7 +204,7 @@ DUMPS = Literal(
 )
 
 
-@query("json_args_canonical", f"SELECT id, dumped FROM {DUMPS.sql()}")
+@fixture("json_args_canonical", f"SELECT id, dumped FROM {DUMPS.sql()}")
 def json_args_canonical(spark: SparkSession, d: str) -> DataFrame:
     return DUMPS.frame(spark).select("id", C.dumps(C.loads(F.col("text"))).alias("dumped"))
 
@@ -227,18 +228,18 @@ BFCL = Literal(
 )
 
 
-@query("bfcl_score", f"SELECT id, ok FROM {BFCL.sql()}")
+@fixture("bfcl_score", f"SELECT id, ok FROM {BFCL.sql()}")
 def bfcl_score(spark: SparkSession, d: str) -> DataFrame:
     return BFCL.frame(spark).select("id", op.row_accepted(F.col("category"), C.loads(F.col("pred")), F.col("truth")).alias("ok"))
 
 
-@query("bfcl_representative", f"SELECT id, gold FROM {BFCL.sql()}")
+@fixture("bfcl_representative", f"SELECT id, gold FROM {BFCL.sql()}")
 def bfcl_representative(spark: SparkSession, d: str) -> DataFrame:
     line = lambda c: F.concat_ws(" ", c["name"], F.array_join(F.transform(F.map_entries(c["arguments"]), lambda kv: F.concat_ws("=", kv["key"], kv["value"])), " "))
     return BFCL.frame(spark).select("id", F.array_join(F.transform(op.representative(F.col("truth")), line), ";").alias("gold"))
 
 
-@query("bfcl_category_mean", f"SELECT round(avg(a), 6) AS macro_mean FROM (SELECT category, 100.0 * count(*) FILTER (ok) / count(*) AS a FROM {BFCL.sql()} GROUP BY category)")
+@fixture("bfcl_category_mean", f"SELECT round(avg(a), 6) AS macro_mean FROM (SELECT category, 100.0 * count(*) FILTER (ok) / count(*) AS a FROM {BFCL.sql()} GROUP BY category)")
 def bfcl_category_mean(spark: SparkSession, d: str) -> DataFrame:
     rows = BFCL.frame(spark).withColumn("hit", op.row_accepted(F.col("category"), C.loads(F.col("pred")), F.col("truth")))
     return op.macro_mean(op.category_accuracy(rows, "category", F.col("hit"), F.lit(False)), "accuracy").select(F.round("macro_mean", 6).alias("macro_mean"))

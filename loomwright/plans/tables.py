@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -233,3 +235,32 @@ def convert_over_events(spark: SparkSession, d: str) -> DataFrame:
     lines = events(spark, d).select(one_of(F.col("event_id"), RAW).alias("value"), F.col("event_id").alias("row_idx"))
     line = T.signature(T.parse(F.col("tools"))[0])
     return adapters.convert(lines, "apigen").select("row_idx", "query", "answers", F.concat(*(F.regexp_extract(line, r"^- (\w+) (\(.*\))", i) for i in (1, 2))).alias("tool"))
+
+
+#: One amount in several notations; ``c`` is the price in cents.
+NOTATIONS = {"plain": "{0}.{1}", "point": "{2}e-2", "large": "{2}E+20", "small": "{2}.0e-9", "many": "{2}000000.5", "whole": "{2}"}
+
+
+def _notation(form: str, dialect: str) -> str:
+    """A notation as SQL over ``c``; it reads the same in both engines."""
+    kinds = {"{0}": "CAST(c {div} 100 AS {text})", "{1}": "lpad(CAST(c % 100 AS {text}), 2, '0')", "{2}": "CAST(c AS {text})"}
+    parts = [kinds[x] if x in kinds else f"'{x}'" for x in re.split(r"(\{[012]\})", form) if x]
+    div, text = ("div", "STRING") if dialect == "spark" else ("//", "VARCHAR")
+    return "concat(" + ", ".join(parts).format(div=div, text=text) + ")"
+
+
+_FLOAT = lambda form: f"CAST(CAST({_notation(form, 'duckdb')} AS DOUBLE) AS VARCHAR)"
+_PRICES = ", ".join(f"""'"{k}":', {_FLOAT(f) if k != "whole" else _notation(f, "duckdb")}, '{"," if k != sorted(NOTATIONS)[-1] else "}"}'""" for k, f in sorted(NOTATIONS.items()))
+
+
+@query("prices_canonical", f"SELECT o_orderkey, concat('{{\"again\":', {_FLOAT(NOTATIONS['plain'])}, ',', {_PRICES}) AS arguments, true AS stated FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders)")
+def prices_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments whose numbers are written in several ways, one of them under a repeated key; the query states each as it is printed."""
+    cents = table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("c"))
+    forms = {k: F.expr(_notation(f, "spark")) for k, f in NOTATIONS.items()}
+    pairs = [x for k, v in forms.items() for x in (F.lit(f', "{k}": '), v)]
+    given = F.concat(F.lit('{"again": {"x": 1}'), *pairs, F.lit(', "again": '), forms["plain"], F.lit("}"))
+    calls = C.loads(F.concat(F.lit('{"name": "pay", "arguments": '), given, F.lit("}")))
+    printed = F.regexp_extract(C.dumps(calls), r'"arguments":(.*)\}\]$', 1)
+    said = F.concat(F.lit("pay "), F.array_join(F.transform(C.listed(given), lambda e: e["text"]), " and "))
+    return cents.select("o_orderkey", printed.alias("arguments"), V.grounded(said, calls).alias("stated"))

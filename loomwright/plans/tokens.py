@@ -11,7 +11,7 @@ from ..functions.literals import Literal
 from ..functions.text import nfkc
 from ..operators import tokenizer as K
 from ..operators import training as tr
-from ..registry import query
+from ..registry import fixture, query
 from ..session import ship
 from .corpus import table
 from .scoring import pool_and_gold
@@ -102,7 +102,7 @@ TAGGED = Literal(
 )
 
 
-@query("tag_chars", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 0, 0, 1, 1), (2, 13, 1, 0, 1, 14), (3, 27, 2, 1, 2, 30)) t(id, n_key, n_name, n_value, n_stop, n_struct)")
+@fixture("tag_chars", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 0, 0, 1, 1), (2, 13, 1, 0, 1, 14), (3, 27, 2, 1, 2, 30)) t(id, n_key, n_name, n_value, n_stop, n_struct)")
 def tag_chars(spark: SparkSession, d: str) -> DataFrame:
     """How many characters of each kind the tagger finds; tests compare the tags themselves."""
     ship(spark)
@@ -119,20 +119,20 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
     return K.pack(rows, v, 256)
 
 
-@query("pack_fixed", f"SELECT id, CAST(256 AS INTEGER) AS length, 1 AS bos, true AS padded FROM {EXAMPLES.sql()} WHERE error IS NULL")
+@fixture("pack_fixed", f"SELECT id, CAST(256 AS INTEGER) AS length, 1 AS bos, true AS padded FROM {EXAMPLES.sql()} WHERE error IS NULL")
 def pack_fixed(spark: SparkSession, d: str) -> DataFrame:
     p = _packed(spark, d)
     tail = F.slice("ids", F.col("real_len") + 1, 256 - F.col("real_len"))
     return p.select("id", F.size("ids").alias("length"), F.element_at("ids", 1).alias("bos"), (F.forall(tail, lambda x: x == K.PAD) & (F.element_at("ids", F.col("real_len")) == K.EOS) & (F.size("tags") == 256)).alias("padded"))
 
 
-@query("name_decisions", f"SELECT id, CAST(CASE WHEN contains(answers, 'setTimer') THEN 1 ELSE 0 END AS INTEGER) AS gold, true AS inside FROM {EXAMPLES.sql()} WHERE error IS NULL AND answers <> '[]'")
+@fixture("name_decisions", f"SELECT id, CAST(CASE WHEN contains(answers, 'setTimer') THEN 1 ELSE 0 END AS INTEGER) AS gold, true AS inside FROM {EXAMPLES.sql()} WHERE error IS NULL AND answers <> '[]'")
 def name_decisions(spark: SparkSession, d: str) -> DataFrame:
     p = _packed(spark, d).select("id", "real_len", "ids", "tags", F.explode("decisions").alias("x"))
     return p.select("id", F.col("x.gold").alias("gold"), ((F.element_at("tags", F.col("x.pos") + 2) == K.NAME) & (F.element_at("tags", F.col("x.pos") + 1) != K.NAME)).alias("inside"))
 
 
-@query("pack_statistics")
+@fixture("pack_statistics")
 def pack_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).agg(F.count("*").alias("kept"), F.avg("real_len").alias("mean_len"), F.sum(F.aggregate(K.weights(F.col("tags")), F.lit(0.0), lambda a, x: a + x)).alias("weight"))
 

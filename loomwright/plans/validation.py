@@ -11,7 +11,7 @@ from ..functions.literals import Literal
 from ..functions.text import iso_date_evidenced
 from ..operators import retrieve as R
 from ..operators import validate as V
-from ..registry import query
+from ..registry import fixture, query
 from .corpus import table
 
 LIGHTS = '[{"name":"set_lights","description":"Dim or color the lights","parameters":{"type":"object","properties":{"room":{"type":"string"},"brightness":{"type":"integer"},"mode":{"type":"string","enum":["warm","cool"]},"on":{"type":"boolean"}},"required":["room"]}},{"name":"setTimer","description":"Start a timer","parameters":{"type":"object","properties":{"minutes":{"type":"number"},"day":{"type":"string"}},"required":["minutes"]}}]'
@@ -51,28 +51,28 @@ def examples(spark: SparkSession) -> DataFrame:
     return EXAMPLES.frame(spark).select("id", "query", "template", C.loads(F.col("answers")).alias("answers"), T.parse(F.lit(LIGHTS)).alias("tools"))
 
 
-@query("validate_examples", f"SELECT id, error FROM {EXAMPLES.sql()}")
+@fixture("validate_examples", f"SELECT id, error FROM {EXAMPLES.sql()}")
 def validate_examples(spark: SparkSession, d: str) -> DataFrame:
     return examples(spark).select("id", V.error(F.col("query"), F.col("tools"), F.col("answers"), F.col("template")).alias("error"))
 
 
-@query("grounded_examples", f"SELECT id, grounded FROM {EXAMPLES.sql()}")
+@fixture("grounded_examples", f"SELECT id, grounded FROM {EXAMPLES.sql()}")
 def grounded_examples(spark: SparkSession, d: str) -> DataFrame:
     return examples(spark).select("id", V.grounded(F.col("query"), F.col("answers")).alias("grounded"))
 
 
-@query("omission_exemplars", f"SELECT id, omits FROM {EXAMPLES.sql()}")
+@fixture("omission_exemplars", f"SELECT id, omits FROM {EXAMPLES.sql()}")
 def omission_exemplars(spark: SparkSession, d: str) -> DataFrame:
     return examples(spark).select("id", V.omits_option(F.col("tools"), F.col("answers")).alias("omits"))
 
 
-@query("strip_unevidenced", f"SELECT id, repaired FROM {EXAMPLES.sql()} WHERE repaired IS NOT NULL")
+@fixture("strip_unevidenced", f"SELECT id, repaired FROM {EXAMPLES.sql()} WHERE repaired IS NOT NULL")
 def strip_unevidenced(spark: SparkSession, d: str) -> DataFrame:
     fixed = V.repaired(F.col("query"), F.col("tools"), F.col("answers"))
     return examples(spark).filter("size(answers) > 0").select("id", F.array_join(F.transform(fixed[0]["entries"], lambda e: F.concat_ws("=", e["k"], e["text"])), ",").alias("repaired"))
 
 
-@query("rejection_reasons", f"SELECT substr(error, 1, 60) AS reason, count(*) AS n FROM {EXAMPLES.sql()} WHERE error IS NOT NULL GROUP BY reason ORDER BY n DESC, reason LIMIT 8")
+@fixture("rejection_reasons", f"SELECT substr(error, 1, 60) AS reason, count(*) AS n FROM {EXAMPLES.sql()} WHERE error IS NOT NULL GROUP BY reason ORDER BY n DESC, reason LIMIT 8")
 def rejection_reasons(spark: SparkSession, d: str) -> DataFrame:
     return validate_examples(spark, d).filter("error IS NOT NULL").groupBy(F.substring("error", 1, 60).alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(8)
 
@@ -111,7 +111,7 @@ DATES = Literal(
 )
 
 
-@query("iso_date_evidence", f"SELECT id, told FROM {DATES.sql()}")
+@fixture("iso_date_evidence", f"SELECT id, told FROM {DATES.sql()}")
 def iso_date_evidence(spark: SparkSession, d: str) -> DataFrame:
     return DATES.frame(spark).select("id", iso_date_evidenced(F.col("value"), F.col("query")).alias("told"))
 
@@ -132,7 +132,7 @@ CATALOGS = Literal(
 )
 
 
-@query("invented_catalogs", f"SELECT id, sound FROM {CATALOGS.sql()}")
+@fixture("invented_catalogs", f"SELECT id, sound FROM {CATALOGS.sql()}")
 def invented_catalogs(spark: SparkSession, d: str) -> DataFrame:
     return CATALOGS.frame(spark).select("id", V.sound_catalog(F.col("catalog")).alias("sound"))
 
@@ -141,7 +141,7 @@ PROMPT = "<tools>\n- set_lights (brightness=int mode=enum(warm|cool) on=bool roo
 RENDERED = Literal("id long, prompt string", [(1, PROMPT)])
 
 
-@query("render_prompt", f"SELECT id, prompt FROM {RENDERED.sql()}")
+@fixture("render_prompt", f"SELECT id, prompt FROM {RENDERED.sql()}")
 def render_prompt(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1, 2).select("id", T.prompt(F.lit("dim it"), T.parse(F.lit(LIGHTS))).alias("prompt"))
 
@@ -164,7 +164,7 @@ TYPE_NAMES = Literal(
 )
 
 
-@query("type_names", f"SELECT id, python, bfcl, lowered, annotation FROM {TYPE_NAMES.sql()}")
+@fixture("type_names", f"SELECT id, python, bfcl, lowered, annotation FROM {TYPE_NAMES.sql()}")
 def type_names(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("name")
     return TYPE_NAMES.frame(spark).select("id", T.python_type(n).alias("python"), T.bfcl_type(n).alias("bfcl"), T.lower_type(n).alias("lowered"), T.annotation_type(n).alias("annotation"))
@@ -223,7 +223,7 @@ def baseline_names(spark: SparkSession, d: str) -> DataFrame:
 NUMBERS = Literal("id long, text string, kind string, value double", [(1, "1-2", "integer", 1.0), (2, "3.4.5", "number", 3.4), (3, "-", "number", 0.0), (4, "-2.7", "integer", -2.0), (5, "007", "integer", 0.0), (6, "1e3x", "number", 1000.0), (7, "", "integer", 0.0), (8, "12", "integer", 12.0)])
 
 
-@query("numeric_repair", f"SELECT id, value FROM {NUMBERS.sql()}")
+@fixture("numeric_repair", f"SELECT id, value FROM {NUMBERS.sql()}")
 def numeric_repair(spark: SparkSession, d: str) -> DataFrame:
     return NUMBERS.frame(spark).select("id", R.numeric_repair(F.col("text"), F.col("kind")).alias("value"))
 
@@ -231,7 +231,7 @@ def numeric_repair(spark: SparkSession, d: str) -> DataFrame:
 ARRAYS = Literal("id long, hay string, needle string, found int, looped boolean", [(1, "1 2 3 4", "2 3", 1, False), (2, "1 2 1 2 1 2", "1 2", 0, True), (3, "1 2 3", "", -1, False), (4, "5", "5 5", -1, False), (5, "9 1 2 3 1 2 3 1 2 3", "3 1", 3, True), (6, "7 7 7", "8", -1, False)])
 
 
-@query("subarray_search", f"SELECT id, found, looped FROM {ARRAYS.sql()}")
+@fixture("subarray_search", f"SELECT id, found, looped FROM {ARRAYS.sql()}")
 def subarray_search(spark: SparkSession, d: str) -> DataFrame:
     ids = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
     return ARRAYS.frame(spark).select("id", R.find_sub(ids("hay"), ids("needle")).alias("found"), R.loops(ids("hay")).alias("looped"))
@@ -240,6 +240,6 @@ def subarray_search(spark: SparkSession, d: str) -> DataFrame:
 SPANS = Literal("id long, query string, hint string, spans string", [(1, "play 'Hey Jude' now", "song", "play|play 'Hey|play 'Hey Jude|play 'Hey Jude' now|Hey|Hey Jude|Hey Jude' now|Jude|Jude' now|now"), (2, "", "x", None)])
 
 
-@query("span_candidates", f"SELECT id, spans FROM {SPANS.sql()}")
+@fixture("span_candidates", f"SELECT id, spans FROM {SPANS.sql()}")
 def span_candidates(spark: SparkSession, d: str) -> DataFrame:
     return SPANS.frame(spark).select("id", F.array_join(R.spans(F.col("query"), F.col("hint")), "|").alias("spans"))

@@ -49,6 +49,21 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp("-loomwright")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder once, so that what depends on its partitions is the same for all its readers."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it while ``df`` has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once, so that Python workers find it wherever the driver was started."""
     context = spark.sparkContext

@@ -83,7 +83,10 @@ def test_batches_match_a_plain_loop(spark):
             held, widest = 0, 0
         held, widest = held + 1, max(widest, size)
     counts = {r: real.count(r) for r in set(real)}
-    assert training.batch_limits(counts, 512, 16384).tolist() == limits
+    runs = training.batch_runs(counts, 512, 16384).tolist()
+    batch_at = [b + (i - at) // size for (at, b, size), end in zip(runs, [r[0] for r in runs[1:]] + [len(real)], strict=True) for i in range(at, end)]
+    assert [i for i, b in enumerate(batch_at) if i == 0 or b != batch_at[i - 1]] == limits
+    assert len(training.batch_runs({600: 10**10, 90: 10**9}, 512, 16384)) <= 4
     rows = training.token_budget_batches(spark.createDataFrame(list(enumerate(real)), "k long, r long"), "k", "r", 512, 16384).collect()
     order = [i for i, _ in sorted(enumerate(real), key=lambda x: (x[1], x[0]))]
     assert [r["k"] for r in sorted(rows, key=lambda r: r["place"])] == order
@@ -93,7 +96,7 @@ def test_batches_match_a_plain_loop(spark):
 def test_numbering_in_ranges(spark, monkeypatch):
     monkeypatch.setattr(training, "CHUNK", 50)
     rows = spark.createDataFrame([(i % 2, i) for i in range(600)], "g int, k long")
-    got = {(r["g"], r["k"]): r["rank__"] for r in training.numbered(rows, "g", "k", 300).collect()}
+    got = {(r["g"], r["k"]): r["rank__"] for r in training.numbered(rows, "g", "k").collect()}
     assert got == {(i % 2, i): i // 2 for i in range(600)}
 
 
@@ -385,3 +388,139 @@ def test_spans_of_benchmark_texts(spark, sf_dir):
     rows += [("", "x"), ("one", ""), ("play 'Hey Jude' now!", "songTitle jude"), ("a " * 121, "a")]
     got = spark.createDataFrame(rows, "q string, h string").select("q", "h", spans(F.col("q"), F.col("h")).alias("s")).collect()
     assert len(got) == len(rows) and all(r["s"] == plain(r["q"], r["h"]) for r in got)
+
+
+def test_numbers_as_python_prints_them(spark):
+    """Large and small floats, long ones, infinities, minus zero and large integers; repeated keys give their last value."""
+    rng = random.Random(11)
+    written = ["12345678.5", "0.0005", "1e22", "1e16", "1e15", "1E5", "0.00001", "-0.0", "-0", "1.50", "1e400", "-1e400", "1e-400", "9007199254740993", "12345678901234567890", "0.1", "2.5e-7", "NaN", "-Infinity", "1.7976931348623157e308"]
+    written += [repr(rng.uniform(-1e9, 1e9)) for _ in range(20)] + [f"{rng.randint(1, 10**9)}e{rng.randint(-30, 30)}" for _ in range(40)]
+    rows = spark.createDataFrame([(x,) for x in written], "x string")
+    call = F.concat(F.lit('[{"name": "f", "arguments": {"a": 0, "n": [{"v": '), "x", F.lit('}], "a": '), "x", F.lit("}}]"))
+    for r in rows.select("x", C.dumps(C.loads(call)).alias("d")).collect():
+        assert r["d"] == '[{"name":"f","arguments":{"a":%s,"n":[{"v":%s}]}}]' % (json.dumps(json.loads(r["x"])), json.dumps(json.loads(r["x"])))
+
+
+def test_loads_like_python(spark):
+    def plain(text):
+        try:
+            raw = json.loads(text)
+        except json.JSONDecodeError:
+            return None
+        raw = [raw] if isinstance(raw, dict) and "name" in raw else raw
+        if not isinstance(raw, list):
+            return None
+        out = []
+        for item in raw:
+            if not isinstance(item, dict) or "name" not in item:
+                return None
+            a = item.get("arguments", {})
+            try:
+                a = json.loads(a) if isinstance(a, str) else a
+            except json.JSONDecodeError:
+                return None
+            if not isinstance(a, dict):
+                return None
+            out.append({"name": str(item["name"]), "arguments": {k: a[k] for k in sorted(a)}})
+        return json.dumps(out, separators=(",", ":"), ensure_ascii=False)
+
+    call = '[{"name":"f","arguments":%s}]'
+    texts = ["[]", "{}", "[{}]", "[1]", "nul", "", "[null]", '"s"', "12", '[{"name":"f"}] , [2]', '[{"name":"f"}]]', '[{"name":"f"},]', '[[{"name":"f"}]]', '{"name":"f","name":"g","arguments":{}}', '[{"name":null}]', '[{"name":true}]', '[{"name":1.0}]', call % "null", call % '"x"', call % r'"{\"x\": 1.50}"']
+    texts += [call % a for a in ('{"x":01}', '{"x":1.}', '{"k":"a\\u0001"}', '{"s":"[1]","t":"true","u":"1.0","v":"","w":" a\\"b\\\\ "}', '{"q":{"q":"{","w":"\\u0001x"}}', '{"a":true,"b":false,"c":null,"d":[],"e":{},"f":[null,true]}', '{"x":"\t"}', '{} } ]', '{"é":"ü\\n"}')]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", C.dumps(C.loads(F.col("x"))).alias("d")).collect()
+    # Control characters inside nested text keep the case of the reader's escapes.
+    assert [(r["x"], r["d"]) for r in rows] == [(x, plain(x)) for x in texts]
+
+
+@pytest.mark.parametrize("chunk", [2, 1_000_000])
+def test_null_groups_and_keys_stay(spark, monkeypatch, chunk):
+    """Rows without group or key are rows of their own group and come first, below and above CHUNK."""
+    monkeypatch.setattr(training, "CHUNK", chunk)
+    data = [(g, k, float(10 - k)) for g in ("a", None) for k in range(1, 7)] + [("a", None, 50.0), (None, None, 60.0)]
+    rows = spark.createDataFrame(data, "g string, k int, x double").withColumns({"p": F.lit(100), "c": F.lit(0)})
+    ranks = {(r["g"], r["k"]): r["rank__"] for r in training.numbered(rows, "g", "k").collect()}
+    assert ranks == {(g, k): k or 0 for g in ("a", None) for k in (None, 1, 2, 3, 4, 5, 6)}
+    assert [r["new_best"] for r in training.best_so_far(rows, "g", "k", "x").collect()] == [True] * 14
+    assert training.spending(rows, "g", "k", "p", "c", 1.0).count() == 14
+    assert training.moving_average(rows, "g", "k", "x", 0.5).count() == 2
+    lengths = spark.createDataFrame([(1, None), (2, 70), (3, 10)], "k long, r long")
+    assert {r["k"]: r["place"] for r in training.token_budget_batches(lengths, "k", "r", 512, 16384).collect()} == {1: 0, 3: 1, 2: 2}
+
+
+def test_a_large_group_is_cut_by_its_own_keys(spark, monkeypatch):
+    monkeypatch.setattr(training, "CHUNK", 100)
+    rows = spark.createDataFrame([(g, g * 10_000 + k) for g in range(3) for k in range(500)], "g int, k long")
+    most = training._ranged(rows, "g", "k").groupBy("g", "part__").count().agg(F.max("count")).collect()[0][0]
+    assert most < 250
+
+
+def test_clashing_columns_stay(spark):
+    rows = spark.createDataFrame([("x y", "s", 7, 8, 9, 10)], "text string, source string, line int, copy int, stratum int, part int")
+    assert corpus.exact_firewall(rows, rows.limit(0)).columns == rows.columns
+    out = corpus.mixed(rows, {"s": 2}).select("copy", "copy_").collect()
+    assert sorted((r["copy"], r["copy_"]) for r in out) == [(8, 1), (8, 2)]
+    assert corpus.stratified(rows, F.lit("u"), {"u": 1}, "line", 1).select("stratum", "stratum_").first() == (9, "u")
+    assert corpus.holdout(rows, 1, "line").select("part", "part_").first() == (10, "dev")
+    assert corpus.split_by_share(rows, "line", 1, 1.0).select("part", "part_").first() == (10, "dev")
+
+
+def test_a_wrong_name_is_no_argument_error(spark):
+    call = lambda name, args: '[{"name":"%s","arguments":%s}]' % (name, args)
+    data = [(call("f", '{"a":1}'), p) for p in (call("g", '{"a":1}'), call("g", '{"a":2}'), call("f", '{"b":1,"c":1}'), "[]", None)]
+    rows = spark.createDataFrame(data, "g string, p string").select(C.loads(F.col("g")).alias("gold"), C.loads(F.col("p")).alias("pred"))
+    assert {r["kind"]: r["n"] for r in scoring.argument_errors(rows).collect()} == {"values_only": 1, "bad_value": 1, "key_set": 1, "missing=1 extra=2": 1}
+
+
+def test_growing_files(spark, tmp_path):
+    """Appended lines arrive once, a torn line waits for its end, and a restart goes on from the checkpoint."""
+    from loomwright.sources import growing
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    got = []
+
+    def start():
+        seen = []
+        q = growing.stream_growing(spark, str(folder)).writeStream.foreachBatch(lambda b, n: seen.extend((r["file"][-1], r["position"], r["value"]) for r in b.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got.append(sorted(seen))
+
+    (folder / "a").write_bytes(b"one\r\n\ntw")
+    start()
+    with open(folder / "a", "ab") as f:
+        f.write(b"o\nthr")
+    (folder / "b").write_bytes("é\n".encode())
+    start()
+    start()
+    with open(folder / "a", "ab") as f:
+        f.write(b"ee\n")
+    start()
+    assert got == [[("a", 0, "one"), ("a", 5, "")], [("a", 6, "two"), ("b", 0, "é")], [], [("a", 10, "three")]]
+
+
+def test_stretches_share_lines_out(tmp_path):
+    from loomwright.sources import growing
+
+    rng = random.Random(2)
+    data = b"".join(b"x" * rng.choice((0, 1, 5, 30)) + b"\n" for _ in range(200))
+    (tmp_path / "f").write_bytes(data)
+    want, at = [], 0
+    for line in data.split(b"\n")[:-1]:
+        want.append((at, line))
+        at += len(line) + 1
+    for first in (0, want[7][0]):
+        for size in (1, 7, 64, 10_000):
+            got = []
+            for begin in range(first, len(data), size):
+                with open(tmp_path / "f", "rb") as f:
+                    got += growing.whole_lines(f, growing.Stretch("f", first, begin, min(begin + size, len(data)), len(data)))
+            assert got == [w for w in want if w[0] >= first]
+
+
+def test_alias_table():
+    names, keep, alias = corpus.alias_table({"a": 5, "b": 3, "c": 1.5, "d": 0.5, "e": 0})
+    share = dict.fromkeys(names, 0.0)
+    for n, k, a in zip(names, keep, alias, strict=True):
+        share[n] += k / 4
+        share[a] += (1 - k) / 4
+    assert share == pytest.approx({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05})
