@@ -173,7 +173,7 @@ def documents(spark):
     base = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{base}/documents.parquet")
     odd = [(90_001, None, "en", "s", 0), (90_002, "", "en", "s", None), (None, "Erinst resh the of and to in is, by as was.", None, None, 10), (90_004, "Mail me: x@y.zz the of and to in is by as.", "en", "s", 44), (90_004, "Mail me: x@y.zz the of and to in is by as.", "en", "s", 44)]
-    return docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({"spans": F.lit(1), "score": F.lit("x"), "kept": F.lit(True)})
+    return docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({"spans": F.lit(1), "score": F.lit("x"), "kept": F.lit(True)} | {c: F.lit(2) for c in ("n", "id", "stays", "its_id", "its_key", "text_key", "component", "key")})
 
 
 def test_stages(spark, sf_dir):
