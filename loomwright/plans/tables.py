@@ -14,6 +14,7 @@ from ..operators import retrieve as R
 from ..operators import scoring as S
 from ..operators import tokenizer as K
 from ..operators import validate as V
+from ..operators.catalog import retrieve_global as retrieve_all
 from ..registry import query
 from ..session import ship
 from ..sources import adapters, jsonl
@@ -264,3 +265,21 @@ def prices_canonical(spark: SparkSession, d: str) -> DataFrame:
     printed = F.regexp_extract(C.dumps(calls), r'"arguments":(.*)\}\]$', 1)
     said = F.concat(F.lit("pay "), F.array_join(F.transform(C.listed(given), lambda e: e["text"]), " and "))
     return cents.select("o_orderkey", printed.alias("arguments"), V.grounded(said, calls).alias("stated"))
+
+
+_WORDS = "list_sort(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')))"
+
+
+@query(
+    "retrieve_global",
+    f"""WITH q AS (SELECT item_id AS query_id, {_WORDS.format("concat_ws(' ', name, kind, size)")} AS w FROM items),
+t AS (SELECT p_partkey AS tool_id, {_WORDS.format("concat_ws(' ', p_name, p_brand, p_size)")} AS w FROM part),
+s AS (SELECT query_id, tool_id, len(list_intersect(q.w, t.w)) AS score FROM q JOIN t ON list_has_any(q.w, t.w))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tool_id) AS INTEGER) AS rank, tool_id, CAST(score AS INTEGER) AS score FROM s
+QUALIFY rank <= 5""",
+)
+def retrieve_global(spark: SparkSession, d: str) -> DataFrame:
+    """The five best parts of the whole catalog for each item of the shop."""
+    items = table(spark, d, "items").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", "name", "kind", "size").alias("text"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("tool_id"), F.concat_ws(" ", "p_name", "p_brand", "p_size").alias("text"))
+    return retrieve_all(items, parts, 5)

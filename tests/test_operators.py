@@ -524,3 +524,22 @@ def test_alias_table():
         share[n] += k / 4
         share[a] += (1 - k) / 4
     assert share == pytest.approx({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05})
+
+
+@pytest.mark.parametrize("read", [0, 3, 2000])
+def test_global_retrieval_equals_scoring_all(spark, monkeypatch, read):
+    """Few, some and all postings read at first; repeated tools, ties, hot tokens, nulls and texts without tokens."""
+    from loomwright.operators import catalog
+
+    monkeypatch.setattr(catalog, "READ", read)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)] + ["hot"] * 6
+    tools = [(i, " ".join(rng.choices(words, k=rng.randint(1, 4)))) for i in range(60)] + [(70, None), (71, "--"), (5, "hot w1")]
+    queries = [(i, " ".join(rng.choices(words, k=rng.randint(1, 5)))) for i in range(30)] + [(40, None), (41, "unknown"), (42, "Hot")]
+    got = sorted(tuple(r) for r in catalog.retrieve_global(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(tools, "tool_id long, text string"), 3).collect())
+    want = []
+    for q, text in queries:
+        own = set((text or "").lower().split())
+        scored = sorted((-len(own & set((t or "").split())), i) for i, t in tools)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate([x for x in scored if x[0] < 0][:3])]
+    assert got == sorted(want)
