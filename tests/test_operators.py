@@ -357,10 +357,9 @@ def test_pack_drops_what_it_cannot_hold(spark, vocabulary):
 
 def test_pack_statistics(spark, sf_dir):
     from loomwright.plans import tokens as plans
-    from loomwright.registry import queries
 
     rows = plans._packed(spark, sf_dir).collect()
-    r = queries()["pack_statistics"](spark, sf_dir).collect()[0]
+    r = plans.pack_statistics(spark, sf_dir).collect()[0]
     assert (r["kept"], r["mean_len"]) == (len(rows), pytest.approx(sum(x["real_len"] for x in rows) / len(rows)))
     assert r["weight"] == pytest.approx(sum(tokenizer.WEIGHTS[t] for x in rows for t in x["tags"]))
 
