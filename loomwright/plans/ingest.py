@@ -15,7 +15,7 @@ from ..operators import generate as G
 from ..operators import validate as V
 from ..registry import fixture, query
 from ..session import shared_folder, ship
-from ..sources import adapters, growing, jsonl
+from ..sources import adapters, growing, jsonl, publish
 from ..streaming import ingest as S
 from .corpus import COLLAPSE, table
 
@@ -177,6 +177,18 @@ def catalog_tools(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.when(F.col("i") < G.N_TRAIN, "train").otherwise("ood").alias("split")).agg(F.count("*").alias("n"))
 
 
+@query("published_versions", "SELECT 1 AS version, source, doc_id, n_chars FROM documents UNION ALL SELECT 2, source, doc_id, n_chars FROM documents WHERE lang = 'en' AND source = 'src1'")
+def published_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents published twice: the first version whole, of the second the rows of one split."""
+    docs = table(spark, d, "documents")
+    top = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    jsonl.publish_packed(docs.select("source", "doc_id", "n_chars"), top, "source")
+    jsonl.publish_packed(docs.filter("lang = 'en'").select("source", "doc_id", "n_chars"), top, "source")
+    first = publish.read_published(spark, top, 1).select(F.lit(1).alias("version"), "source", "doc_id", "n_chars")
+    second = jsonl.read_packed(spark, top, "src1", column="source").select(F.lit(2).alias("version"), F.lit("src1").alias("source"), "doc_id", "n_chars")
+    return first.unionByName(second)
+
+
 @query("stream_dedup", f"SELECT DISTINCT sha256({COLLAPSE.format('text')}) AS key FROM documents")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The documents table as a file stream, repeats left out; drained by one trigger."""

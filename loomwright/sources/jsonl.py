@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .publish import publish, read_published
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines with ``ok``: whether the line is JSON. The torn last line of a file that is still being written is not ok."""
@@ -55,6 +57,16 @@ def write_packed(rows: DataFrame, path: str, split: str = "split") -> None:
     rows.write.mode("overwrite").partitionBy(split).parquet(path)
 
 
+def publish_packed(rows: DataFrame, path: str, split: str = "split") -> int:
+    """Packed sequences as the next version of a published set, a folder per split; the version's number."""
+    return publish(rows, path, by=(split,))
+
+
+def read_packed(spark: SparkSession, path: str, split: str, version: int | None = None, column: str = "split") -> DataFrame:
+    """Packed sequences of one split, by default of the latest version; only its folder is read."""
+    return read_published(spark, path, version).filter(F.col(column) == split).drop(column)
+
+
 def write_by_status(rows: DataFrame, quarantined: DataFrame, source: str, path: str) -> None:
     """Rows in folders ``status=kept`` and ``status=quarantined``; input files are never changed in place."""
     flags = quarantined.select(source, "quarantined")

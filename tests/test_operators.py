@@ -542,3 +542,26 @@ def test_global_retrieval_equals_scoring_all(spark, monkeypatch, read):
         scored = sorted((-len(own & set((t or "").split())), i) for i, t in tools)
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate([x for x in scored if x[0] < 0][:3])]
     assert got == sorted(want)
+
+
+def test_publication(spark, tmp_path):
+    """A broken-off write is never seen, of two writers one is refused, and a reader keeps its version."""
+    from loomwright.sources import publish
+
+    top = str(tmp_path / "set")
+    rows = lambda *xs: spark.createDataFrame([(x, "a" if x % 2 else "b") for x in xs], "x long, split string")
+    ids = lambda df: sorted(r["x"] for r in df.collect())
+    with pytest.raises(FileNotFoundError):
+        publish.read_published(spark, top)
+    assert jsonl.publish_packed(rows(1, 2), top) == 1
+    reader = publish.read_published(spark, top)
+    broken = rows(3, 4).withColumn("x", F.when(F.col("x") == 4, F.raise_error(F.lit("lost"))).otherwise(F.col("x")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        publish.publish(broken, top)
+    assert publish.versions(spark, top) == [1]
+    assert publish.publish(rows(5, 6, 7), top, base=1, by=("split",)) == 2
+    with pytest.raises(publish.Conflict):
+        publish.publish(rows(8), top, base=1)
+    assert ids(reader) == [1, 2] and ids(publish.read_published(spark, top)) == [5, 6, 7]
+    assert ids(jsonl.read_packed(spark, top, "a")) == [5, 7] and ids(jsonl.read_packed(spark, top, "b", 1)) == [2]
+    assert "split" not in jsonl.read_packed(spark, top, "a").columns
