@@ -5,11 +5,11 @@ by postings of their tokens, rarest first. Both sides are reduced to distinct
 sets of tokens before anything meets: tools with equal tokens score alike, so
 the first ``k`` of them stand for all.
 
-The tokens of a query that are rare enough for their postings to be read
-(``READ`` in all) give candidates; these are scored in full. A set that none of
+The rarest token of a query, and others while their postings are few (``READ`` in
+all), give candidates; these are scored in full. A set that none of
 them holds shares at most the tokens left over. Where the k-th best score is
-above that bound, the answer is final; all other queries read the postings of
-all their tokens, so results are exact.
+above that bound, the answer is final; all other queries read further tokens
+until fewer than that score are left, so results are exact.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import lexical_tokens
 from ..session import checkpointed
 
-READ = 2000  #: sets that a query's rare tokens may bring up in the first pass
+READ = 500  #: sets that a query's rare tokens may bring up in the first pass; its rarest one is read in any case
 
 
 def _sets(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -55,14 +55,17 @@ def retrieve_global(queries: DataFrame, catalog: DataFrame, k: int = 5, query: s
     postings = kept.select(F.explode("tokens").alias("token"), F.col("set").alias("tools"))
     found = asked.select("set", F.explode("tokens").alias("token")).join(postings.groupBy("token").agg(F.count("*").alias("n")), "token")
     rare = Window.partitionBy("set").orderBy("n", "token")
-    by_rarity = checkpointed(found.withColumn("cost", F.sum("n").over(rare.rowsBetween(Window.unboundedPreceding, 0))))
-    left_over = by_rarity.groupBy("set").agg(F.count_if(F.col("cost") > READ).alias("unread"))
-    pairs = by_rarity.filter(F.col("cost") <= READ).join(postings, "token").select("set", "tools").distinct()
+    cost = F.sum("n").over(rare.rowsBetween(Window.unboundedPreceding, 0))
+    place = F.row_number().over(rare)
+    by_rarity = checkpointed(found.withColumn("place", place).withColumn("read", (cost <= READ) | (F.col("place") == 1)))
+    held = by_rarity.groupBy("set").agg(F.count("*").alias("size"), F.count_if(~F.col("read")).alias("unread"))
+    pairs = by_rarity.filter("read").join(postings, "token").select("set", "tools").distinct()
     best = checkpointed(_scored(pairs, asked, kept, k))
 
+    # To be as good as the k-th best a set must hold one of so many of the rarest tokens that fewer than its score are left.
     reached = best.groupBy("set").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    final = left_over.join(reached, "set", "left").withColumn("final", (F.col("unread") == 0) | ((F.col("n") == k) & (F.col("least") > F.col("unread"))))
-    open_sets = final.filter("NOT coalesce(final, false)").select("set")
-    again = by_rarity.join(open_sets, "set", "left_semi").join(postings, "token").select("set", "tools").distinct()
-    answers = best.join(open_sets, "set", "left_anti").unionByName(_scored(again, asked, kept, k))
+    least = F.when(F.col("n") == k, F.col("least")).otherwise(F.lit(1))
+    open_sets = held.join(reached, "set", "left").select("set", "unread", (F.col("size") - least + 1).alias("enough"), least.alias("bound")).filter(F.col("unread") >= F.col("bound")).select("set", "enough")
+    again = by_rarity.join(open_sets, "set").filter(F.col("read") | (F.col("place") <= F.col("enough"))).join(postings, "token").select("set", "tools").distinct()
+    answers = best.join(open_sets.select("set"), "set", "left_anti").unionByName(_scored(again, asked, kept, k))
     return asked_rows.select("key", "set").join(answers, "set").select(F.col("key").alias(query), "rank", F.col("tool").alias(tool), "score")

@@ -20,7 +20,10 @@ from ..sources.jsonl import mark_lines
 
 
 def stream_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a folder that grows, blank ones left out, marked ``ok`` if they are JSON."""
+    """Lines of a folder to which whole files are added, blank ones left out, marked ``ok`` if they are JSON.
+
+    A file that grows after it was read needs ``sources.growing.stream_growing``.
+    """
     return mark_lines(spark.readStream.text(path))
 
 
