@@ -1,23 +1,29 @@
 """Word-level BPE with structural singletons: counting, training, encoding, tagging, packing.
 
 Words never hold structural characters or newlines; digits never merge. Words
-are counted in Spark; only distinct words (bounded by ``most_words``) reach the
-driver, which grows the merges. Encoding runs in Arrow batches with a memo of
-words.
+are counted in Spark; merges grow on the driver while the distinct words are
+few, else in Spark. Encoding runs in Arrow batches with a memo of words.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import json
 import re
 import string
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, ship
+
 # Special tokens (ids 0 to 9), structural characters, pre-token pattern, tags and their loss weights.
 SPECIALS = ("<pad>", "<bos>", "<eos>", "<unk>", "<tools>", "</tools>", "<query>", "</query>", "<call>", "</call>")
 PAD, BOS, EOS, UNK = range(4)
@@ -102,24 +108,33 @@ class Vocabulary:
         return "".join(self.tokens.get(i, "") for i in ids if i not in (PAD, BOS, EOS))
 
 
-def grow(counts: dict[str, int], size: int, letters: frozenset[str] = frozenset()) -> Vocabulary:
+def _first_ids(letters: Iterable[str]) -> dict[str, int]:
+    """Specials, printable ASCII, structural characters and ``letters``."""
+    ids: dict[str, int] = {}
+    for token in (*SPECIALS, *string.printable, *STRUCTURAL, *sorted(letters)):
+        ids.setdefault(token, len(ids))
+    return ids
+
+
+def _fine(pair: tuple[str, str]) -> bool:
+    return not any(c.isdigit() for c in pair[0] + pair[1])
+
+
+def grow(counts: dict[str, int], size: int) -> Vocabulary:
     """A vocabulary of at most ``size`` tokens from word counts.
 
     Specials, printable ASCII, structural characters and all characters of the
-    words, and ``letters``, come first, then merges of the commonest pair, the smaller pair of
+    words come first, then merges of the commonest pair, the smaller pair of
     equally common ones, while it occurs twice. Only words that hold the merged
     pair are touched.
     """
-    ids: dict[str, int] = {}
-    for token in (*SPECIALS, *string.printable, *STRUCTURAL, *sorted({c for w in counts for c in w} | letters)):
-        ids.setdefault(token, len(ids))
+    ids = _first_ids({c for w in counts for c in w})
     words = [(list(w), n) for w, n in sorted(counts.items()) if not (len(w) == 1 and w in STRUCTURAL)]
     total: dict[tuple[str, str], int] = defaultdict(int)
     holders: dict[tuple[str, str], set[int]] = defaultdict(set)
-    fine = lambda p: not any(c.isdigit() for c in p[0] + p[1])
     for k, (w, n) in enumerate(words):
         for p in zip(w, w[1:], strict=False):
-            if fine(p):
+            if _fine(p):
                 total[p] += n
                 holders[p].add(k)
     heap = [(-n, p) for p, n in total.items()]
@@ -137,7 +152,7 @@ def grow(counts: dict[str, int], size: int, letters: frozenset[str] = frozenset(
         for k in sorted(holders.pop(pair)):
             w, times = words[k]
             for p in zip(w, w[1:], strict=False):
-                if fine(p):
+                if _fine(p):
                     total[p] -= times
                     changed.add(p)
             new, i = [], 0
@@ -147,7 +162,7 @@ def grow(counts: dict[str, int], size: int, letters: frozenset[str] = frozenset(
                 i += 1 + both
             words[k] = (new, times)
             for p in zip(new, new[1:], strict=False):
-                if fine(p):
+                if _fine(p):
                     total[p] += times
                     holders[p].add(k)
                     changed.add(p)
@@ -157,12 +172,156 @@ def grow(counts: dict[str, int], size: int, letters: frozenset[str] = frozenset(
     return Vocabulary(ids, merges)
 
 
+#: Pairs whose totals the driver knows while merges grow in Spark, and merges that one round may take.
+KNOWN_PAIRS, ROUND_MERGES = 100_000, 64
+
+
+def _split(word: str, ranks: dict[tuple[str, str], list[int]], upto: int) -> list[str]:
+    """The symbols of a word after the merges before ``upto``, one after another, each from the left.
+
+    A pair may be merged more than once: its parts can come about again in
+    another way. So each pair has all its places in the list of merges.
+    """
+    symbols: list[str | None] = list(word)
+    after, before = [*range(1, len(word)), -1], [*range(-1, len(word) - 1)]
+    heap: list[tuple[int, int]] = []
+
+    def offer(i: int, done: int) -> None:
+        places = ranks.get((symbols[i], symbols[after[i]])) if i >= 0 and after[i] >= 0 else None
+        if places and (k := bisect.bisect_right(places, done)) < len(places) and places[k] < upto:
+            heapq.heappush(heap, (places[k], i))
+
+    for i in range(len(word) - 1):
+        offer(i, -1)
+    while heap:
+        r, i = heapq.heappop(heap)
+        j = after[i]
+        if symbols[i] is None or j < 0 or r not in ranks.get((symbols[i], symbols[j]), ()):
+            continue
+        symbols[i], symbols[j], after[i] = symbols[i] + symbols[j], None, after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        offer(before[i], r)
+        offer(i, r)
+    return [s for s in symbols if s is not None]
+
+
+def _pair_changes(words: DataFrame, merges: list[tuple[str, str]], done: int | None) -> DataFrame:
+    """(a, b, n): pair totals of all words after ``merges``; with ``done``, how much the merges from that place on changed them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for i, m in enumerate(merges):
+            ranks[m].append(i)
+        for b in batches:
+            total: dict[tuple[str, str], int] = defaultdict(int)
+            for w, n in zip(b["piece"], b["n"], strict=True):
+                for upto, sign in ((len(merges), 1),) if done is None else ((len(merges), 1), (done, -1)):
+                    s = _split(w, ranks, upto)
+                    for p in zip(s, s[1:], strict=False):
+                        total[p] += sign * n
+            rows = [(*p, n) for p, n in total.items() if n and _fine(p)]
+            yield pd.DataFrame(rows, columns=["a", "b", "n"]).astype({"n": "int64"})
+
+    if done is not None:  # a word without the text of a merged pair stays as it is
+        words = words.filter(reduce(or_, [F.contains("piece", F.lit(a + b)) for a, b in dict.fromkeys(merges[done:])]))
+    return words.mapInPandas(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def _order(item: tuple[tuple[str, str], int]) -> tuple[int, str, str]:
+    """Commoner pairs first, then the smaller."""
+    return (-item[1], *item[0])
+
+
+def _next_merges(known: dict[tuple[str, str], int], floor: tuple[int, str, str] | None, ids: dict[str, int], most: int) -> list[tuple[str, str]]:
+    """The next merges, as many as the totals at hand settle.
+
+    A merge of (c, d) changes only pairs that end with c or begin with d, and
+    a pair that it makes is no commoner than the one of these that it comes
+    from. So the merges after the first are settled while no pair that is as
+    common as they are touches an earlier one. Pairs that are not known come
+    after ``floor``. A merge whose text is a token already, and one of equal
+    parts, goes alone or last.
+    """
+    top = heapq.nsmallest(4 * ROUND_MERGES, known.items(), key=_order)
+    whole = len(top) == len(known)
+    chosen: list[tuple[str, str]] = []
+    begins, ends, made = set(), set(), set()
+    touches = lambda q: q[1] in begins or q[0] in ends
+    for pair, n in top:
+        if n < 2 or len(chosen) == min(most, ROUND_MERGES) or (floor and (-n, *pair) > floor):
+            break
+        text = pair[0] + pair[1]
+        again = text in ids or text in made
+        if chosen:
+            unsure = (floor and n <= -floor[0]) or (not whole and n == top[-1][1])
+            if unsure or again or any(touches(q) for q, m in top if m == n):
+                break
+        chosen.append(pair)
+        if again or pair[0] == pair[1]:
+            break
+        begins.add(pair[0])
+        ends.add(pair[1])
+        made.add(text)
+    return chosen
+
+
+def grow_spread(counts: DataFrame, size: int) -> Vocabulary:
+    """``grow`` of any number of words: (piece, n) stays in Spark, the driver holds merges and the totals of at most a few KNOWN_PAIRS.
+
+    A round takes all merges that are settled, has Spark look at the words
+    that hold their texts, and takes in by how much pair totals change. When
+    the known pairs run out, or a token comes about in a second way, totals are
+    counted anew. Words are split from their letters each time, so nothing
+    but the word counts is kept between rounds.
+    """
+    ship(counts.sparkSession)
+    words = checkpointed(counts)
+    letters = words.select(F.explode(F.split("piece", "")).alias("c")).filter("c <> ''").distinct().collect()
+    words = words.filter(F.length("piece") > 1)
+    ids = _first_ids(r["c"] for r in letters)
+    merges: list[tuple[str, str]] = []
+    known: dict[tuple[str, str], int] = {}
+    floor: tuple[int, str, str] | None = (-(1 << 62), "", "")  # nothing is known yet
+    while len(ids) < size:
+        chosen = _next_merges(known, floor, ids, size - len(ids))
+        if not chosen:
+            if floor is None:
+                break
+            rows = _pair_changes(words, merges, None).orderBy(F.desc("n"), "a", "b").limit(KNOWN_PAIRS).collect()
+            known = {(r["a"], r["b"]): r["n"] for r in rows}
+            floor = _order(((rows[-1]["a"], rows[-1]["b"]), rows[-1]["n"])) if len(rows) == KNOWN_PAIRS else None
+            chosen = _next_merges(known, floor, ids, size - len(ids))
+            if not chosen:
+                break
+        made = {a + b for a, b in chosen}
+        again = any(t in ids for t in made)
+        done = len(merges)
+        merges += chosen
+        for a, b in chosen:
+            ids.setdefault(a + b, len(ids))
+        if again:
+            known, floor = {}, (-(1 << 62), "", "")
+            continue
+        for r in _pair_changes(words, merges, done).collect():  # at most two pairs of each token for each merge
+            p = (r["a"], r["b"])
+            if p in known or p[0] in made or p[1] in made:
+                known[p] = known.get(p, 0) + r["n"]
+                if known[p] <= 0:
+                    del known[p]
+        if len(known) > 4 * KNOWN_PAIRS:
+            kept = heapq.nsmallest(KNOWN_PAIRS, known.items(), key=_order)
+            known, floor = dict(kept), min(_order(kept[-1]), floor) if floor else _order(kept[-1])
+    return Vocabulary(ids, merges)
+
+
 def train(texts: DataFrame, size: int, column: str = "text", most_words: int = 500_000) -> Vocabulary:
-    """Train on all characters and the ``most_words`` commonest words of all texts; the bound keeps the driver's table small."""
+    """Train on all words of all texts: on the driver if there are at most ``most_words`` distinct ones, else in Spark; both give the same vocabulary."""
     counts = piece_counts(texts, column)
-    rows = counts.orderBy(F.desc("n"), "piece").limit(most_words).collect()
-    letters = counts.select(F.explode(F.split("piece", "")).alias("c")).filter("c <> ''").distinct().collect()
-    return grow({r["piece"]: r["n"] for r in rows}, size, frozenset(r["c"] for r in letters))
+    rows = counts.limit(most_words + 1).collect()
+    if len(rows) > most_words:
+        return grow_spread(counts, size)
+    return grow({r["piece"]: r["n"] for r in rows}, size)
 
 
 def encoder(vocabulary: Vocabulary, df: DataFrame):
@@ -184,6 +343,53 @@ def decoder(vocabulary: Vocabulary, df: DataFrame):
     return F.pandas_udf(run, "string")
 
 
+POINTERS = "array<struct<key:string,pos:int,start:int,last:int>>"
+
+
+def copied_values(vocabulary: Vocabulary, prompt: str, call: str, length: int) -> list[tuple[str, int, int, int]]:
+    """(key, pos, start, last) of each argument of compact call text whose value the prompt's tokens hold.
+
+    ``pos`` is the token before the value in BOS, prompt, call; ``start`` and
+    ``last`` are the first place of the value's tokens in the prompt. Values
+    are texts of two characters and more, by call and key, each looked for in
+    the call after the one before. None if all is longer than ``length``.
+    """
+    try:
+        made = json.loads(call)
+    except ValueError:
+        return []
+    p, c = vocabulary.encode(prompt), vocabulary.encode(call)
+    if 1 + len(p) + len(c) > length:
+        return []
+    text = lambda ids: "".join(map(chr, ids))
+    hay, out, cursor = text(p), [], 0
+    for one in made:
+        for key, value in sorted(one["arguments"].items()):
+            if not isinstance(value, str) or len(value) < 2:
+                continue
+            marker = f'"{key}":"'
+            at = call.find(marker + value, cursor)
+            if at < 0:
+                continue
+            cursor = at + len(marker) + len(value)
+            pos = len(p) + len(vocabulary.encode(call[: at + len(marker)]))
+            needle = vocabulary.encode(value)
+            start = hay.find(text(needle))
+            if start >= 0 and pos <= len(p) + len(c):
+                out.append((key, pos, start, start + len(needle) - 1))
+    return out
+
+
+def pointers(vocabulary: Vocabulary, df: DataFrame, prompt: str, call: str, length: int = 512) -> Column:
+    """``copied_values`` of every row; no pointers for a null or torn call or a null prompt."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(prompts: pd.Series, calls: pd.Series) -> pd.Series:
+        return pd.Series([[] if p is None or c is None else copied_values(shared.value, p, c, length) for p, c in zip(prompts, calls, strict=True)])
+
+    return F.pandas_udf(run, POINTERS)(prompt, call)
+
+
 _LEX = re.compile(r'"(?:\\.|[^"\\])*"|[\[\]{},:]|[^\[\]{},:"]+', re.S)
 
 
