@@ -1,4 +1,4 @@
-"""Structured Streaming forms of ingest: append-only lines, running duplicates, a spending cap."""
+"""Structured Streaming forms of ingest: append-only lines, running duplicates, spending and its cap."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import collapse
-from ..operators.training import COMPLETION_PRICE, PROMPT_PRICE
+from ..operators.training import COMPLETION_PRICE, PROMPT_PRICE, running
 from ..session import shared_folder
 from ..sources.jsonl import mark_lines
 
@@ -53,6 +53,56 @@ def stream_spending(rows: DataFrame, account: str, prompt: str, completion: str,
     return rows.groupBy(account).applyInPandasWithState(add, "account string, n long, cost double, over boolean", "cost double", "update", GroupStateTimeout.NoTimeout)
 
 
+def run_to_cap(stream: DataFrame, order: str, cost: Column, cap: int, folder: str) -> bool:
+    """Process a stream until its rows have cost more than ``cap`` in all, then end the query; whether that happened.
+
+    Rows come in the order of micro-batches, within one of ``order``; costs
+    are whole and not negative, a null costs nothing. Rows up to the cap go to
+    ``folder``/rows (``capped_rows`` reads them). The row that exceeds it, rows
+    of the same place in the order and all later ones don't, in a restarted
+    query either; null places come first. Running costs are sums over ranges of
+    the order, so no task sees all rows of a micro-batch.
+
+    ``folder``/spent holds what was spent after each micro-batch. A micro-batch
+    that is run again reads the one before and replaces its own.
+    """
+    spark = stream.sparkSession
+    schema, over = "spent long, over boolean", []
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(schema).parquet(f"{folder}/spent/{number - 1}").collect()[0] if number else None
+        spent, done = (before["spent"], before["over"]) if before else (0, False)
+        if not done:
+            each = batch.groupBy(F.col(order).alias("at__")).agg(F.coalesce(F.sum(cost), F.lit(0)).cast("long").alias("cost__"))
+            total = spent + (each.agg(F.sum("cost__")).collect()[0][0] or 0)
+            if total > cap:
+                sums = running(each.withColumn("all__", F.lit(0)), "all__", "at__", F.col("cost__"), F.sum, True)
+                sums = sums.withColumn("sum__", F.coalesce("earlier__", F.lit(0)) + F.col("inside__") + spent)
+                cut = sums.filter(F.col("sum__") > cap).agg(F.min(F.struct("at__", F.col("sum__") - F.col("cost__"))).alias("first")).collect()[0]["first"]
+                at, total, done = cut[0], cut[1], True
+                batch = batch.filter(F.lit(False) if at is None else F.col(order).isNull() | (F.col(order) < F.lit(at)))
+            batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+            spent = total
+        spark.createDataFrame([(spent, done)], schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/spent/{number}")
+        over.append(done)
+
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")  # also there if nothing comes
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    try:
+        while not query.awaitTermination(1):
+            if over and over[-1]:
+                break
+    finally:
+        query.stop()
+    return bool(over and over[-1])
+
+
+def capped_rows(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The rows that ``run_to_cap`` let through to ``folder``."""
+    kinds = StructType([*schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(kinds).parquet(f"{folder}/rows").drop("batch")
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a bounded stream to its end; what each micro-batch gave, from the shared folder.
 
