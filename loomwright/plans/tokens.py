@@ -223,3 +223,19 @@ def pointer_spans(spark: SparkSession, d: str) -> DataFrame:
     encode = K.encoder(v, rows)
     ids = rows.withColumns({"hay": encode("prompt"), "needle": encode("name")})
     return ids.select("row_id", "pos", find_sub(F.col("hay"), F.col("needle")).alias("start"), F.size("needle").alias("n"))
+
+
+def quotes(spark: SparkSession, d: str) -> DataFrame:
+    """For every document a call that takes over its language, a run of its words, its source in capitals and its length, and a prompt of the text and the language."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    arguments = F.struct(F.col("lang").alias("lang"), F.col("n_chars").alias("n"), F.array_join(F.slice(words, 4, 3), " ").alias("quote"), F.upper("source").alias("source"))
+    call = F.to_json(F.array(F.struct(F.lit("cite").alias("name"), arguments.alias("arguments"))))
+    return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), "lang").alias("prompt"), call.alias("call"))
+
+
+@query("pointer_values")
+def pointer_values(spark: SparkSession, d: str) -> DataFrame:
+    """Which argument values are copied from the prompt, and where, for every document; tests compare with a plain search."""
+    rows = quotes(spark, d)
+    found = K.pointers(_vocabulary(spark, d), rows, "prompt", "call", 1 << 30)
+    return rows.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")

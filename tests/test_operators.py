@@ -262,6 +262,89 @@ def test_characters_of_uncommon_words_get_ids(spark):
     assert v.decode(v.encode("ж 😀")) == "ж 😀"
 
 
+@pytest.mark.parametrize(("letters", "known"), [("ab", 5), ("abcdeé1", 40)])
+def test_merges_grown_in_spark(spark, monkeypatch, letters, known):
+    """Equal to growth on the driver, also where few pairs are known at once, many are equally common and tokens come about in two ways."""
+    monkeypatch.setattr(tokenizer, "KNOWN_PAIRS", known)
+    rng = random.Random(3)
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 9))): rng.randint(1, 4) for _ in range(120)}
+    counts = spark.createDataFrame(list(words.items()), "piece string, n long").repartition(3)
+    size = len(tokenizer._first_ids(letters)) + 40
+    want, got = tokenizer.grow(words, size), tokenizer.grow_spread(counts, size)
+    assert len(want.merges) > 30 and got.merges == want.merges and got.ids == want.ids
+    nothing = tokenizer.grow_spread(counts.limit(0), size)
+    assert nothing.merges == [] and nothing.ids == tokenizer.grow({}, size).ids
+
+
+def test_merges_settled_together():
+    """Every list of merges taken in one round is the start of what one by one gives."""
+    rng = random.Random(5)
+    together = 0
+    for _ in range(200):
+        words = {"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))): rng.randint(1, 9) for _ in range(rng.randint(2, 40))}
+        total = {}
+        for w, n in words.items():
+            for p in zip(w, w[1:], strict=False):
+                total[p] = total.get(p, 0) + n
+        ids = tokenizer._first_ids("")
+        chosen = tokenizer._next_merges(total, None, ids, 64)
+        assert tokenizer.grow(words, 10_000).merges[: len(chosen)] == chosen
+        together += len(chosen) > 1
+    assert together > 20
+
+
+def test_run_to_cap(spark, tmp_path):
+    """The query ends in the middle of a micro-batch; what comes later, and after a restart, is not processed."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "at long, cost long"
+
+    def deliver(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        return ingest.run_to_cap(spark.readStream.schema(schema).parquet(source), "at", F.col("cost"), 100, out)
+
+    def kept():
+        rows = ingest.capped_rows(spark, out, spark.createDataFrame([], schema).schema).collect()
+        return sorted((tuple(r) for r in rows), key=repr)
+
+    assert not deliver([])
+    assert not deliver([(5, 30), (2, None), (None, 10)])
+    first = kept()
+    assert len(first) == 3
+    assert deliver([(9, 1), (8, 30), (8, 1), (7, 25), (6, 35)])  # 75, 100, then two rows of one place
+    assert kept() == sorted([*first, (6, 35), (7, 25)], key=repr)
+    assert deliver([(1, 0), (20, 1)])
+    assert len(kept()) == 5
+    empty = str(tmp_path / "none")
+    (tmp_path / "nothing").mkdir()
+    assert not ingest.run_to_cap(spark.readStream.schema(schema).parquet(str(tmp_path / "nothing")), "at", F.col("cost"), 1, empty)
+    assert ingest.capped_rows(spark, empty, spark.createDataFrame([], schema).schema).collect() == []
+
+
+def test_pointers_to_argument_values(spark, sf_dir, vocabulary):
+    """Every document's copied values against a plain search; odd calls."""
+    from loomwright.plans import tokens as plans
+    from loomwright.registry import queries
+
+    v = plans._vocabulary(spark, sf_dir)
+    want = set()
+    for r in plans.quotes(spark, sf_dir).collect():
+        p = v.encode(r["prompt"])
+        for key, value in json.loads(r["call"])[0]["arguments"].items():
+            if not isinstance(value, str) or len(value) < 2 or f'"{key}":"{value}"' not in r["call"]:
+                continue
+            needle, before = v.encode(value), v.encode(r["call"][: r["call"].index(f'"{key}":"{value}"') + len(key) + 4])
+            start = next((i for i in range(len(p)) if p[i : i + len(needle)] == needle), None)
+            if start is not None:
+                want.add((r["doc_id"], key, len(p) + len(before), start, start + len(needle) - 1))
+    got = [tuple(r) for r in queries()["pointer_values"](spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {k for _, k, *_ in want} >= {"lang", "quote"}
+    call = '[{"name":"f","arguments":{"b":"cab","a":"cab"}},{"name":"f","arguments":{"a":"cab","n":1,"s":"x"}}]'
+    rows = spark.createDataFrame([(1, "abba cab cab", call), (2, "abba", call), (3, "cab", None), (4, None, call), (5, "cab", call[:9])], "id long, p string, c string")
+    found = {r["id"]: r["x"] for r in rows.select("id", tokenizer.pointers(vocabulary, rows, "p", "c").alias("x")).collect()}
+    assert [x["key"] for x in found[1]] == ["a", "a"] and found[1][0]["start"] == found[1][1]["start"] and not any(found[i] for i in (2, 3, 4, 5))
+    assert found[1][0]["pos"] > 0 and found[1][0]["pos"] < found[1][1]["pos"]
+
+
 def test_progress(spark, tmp_path):
     rows = [(k % 3 > 0, 0.5) for k in range(30)]
     for k in range(3):
