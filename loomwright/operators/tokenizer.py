@@ -334,6 +334,17 @@ def encoder(vocabulary: Vocabulary, df: DataFrame):
     return F.pandas_udf(run, "array<int>")
 
 
+def exact_encoder(vocabulary: Vocabulary, df: DataFrame):
+    """A column function: ids of a text that decodes to itself, else NULL. Filters on it are not pushed below it, so each text is encoded once."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def ids(text: str | None) -> list[int] | None:
+        found = None if text is None else shared.value.encode(text)
+        return found if found is not None and shared.value.decode(found) == text else None
+
+    return F.pandas_udf(lambda s: s.map(ids), "array<int>").asNondeterministic()
+
+
 def decoder(vocabulary: Vocabulary, df: DataFrame):
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -444,11 +455,11 @@ def pack(examples: DataFrame, vocabulary: Vocabulary, length: int = 512) -> Data
     it is. Texts that don't decode to themselves and sequences that are too long
     are left out, not cut.
     """
-    encode, decode = encoder(vocabulary, examples), decoder(vocabulary, examples)
+    encode = exact_encoder(vocabulary, examples)
     sizes = F.array(*[F.lit(len(vocabulary.tokens.get(i, ""))) for i in range(len(vocabulary.ids))])
     at = lambda ids: F.aggregate(ids, F.array(F.lit(0)), lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(sizes, i + 1))))
     e = examples.withColumns({"p": encode("prompt"), "c": encode("call"), "char_tags": tag_column(F.col("call"))})
-    e = e.filter((decode("p") == F.col("prompt")) & (decode("c") == F.col("call")))
+    e = e.filter(F.col("p").isNotNull() & F.col("c").isNotNull())
     e = e.withColumn("real_len", F.size("p") + F.size("c") + 2).filter(F.col("real_len") <= length)
     e = e.withColumns({"p_at": at(F.col("p")), "c_at": at(F.col("c"))})
     pad = F.lit(length) - F.col("real_len")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("corpus", "scoring", "validation", "tokens", "ingest", "tables")
+MODULES = ("corpus", "scoring", "validation", "tokens", "ingest", "tables", "corpora")
 
 
 def load() -> None:
