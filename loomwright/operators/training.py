@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +118,66 @@ def moving_average(rows: DataFrame, series: str, step: str, value: str, beta: fl
     return placed.groupBy(series).agg(F.sum(F.col(value) * weight).alias("ema"))
 
 
+def moving_averages(rows: DataFrame, series: str, step: str, value: str, beta: float = 0.999) -> DataFrame:
+    """``ema``: the moving average of a row's series after its step; it starts at the first value.
+
+    A run of steps turns the average before it into one after it by a factor
+    and a summand, so runs are looked at by themselves, their maps are put
+    together in order (one row for each run of a series), and each run then
+    starts from its own average. Null and NaN values leave the average as it is;
+    null series and steps are like others, null steps first. Steps that occur
+    twice are taken in the order of their values.
+    """
+    runs = checkpointed(_ranged(rows, series, step))
+    names = [f"{c}__at" for c in runs.columns]
+    kept = runs.toDF(*names)
+    group, part, at, v = f"{series}__at", "part____at", f"{step}__at", f"{value}__at"
+
+    def ordered(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the rows in order, and their values, NaN for null."""
+        places = pc.sort_indices(t, sort_keys=[(at, "ascending"), (v, "ascending")], null_placement="at_start").to_numpy()
+        return places, t[v].cast(pa.float64()).to_numpy()[places]
+
+    def whole(t: pa.Table) -> pa.Table:
+        x = ordered(t)[1]
+        x = x[~np.isnan(x)]
+        weight = (1 - beta) * beta ** np.arange(len(x) - 1, -1, -1.0)
+        numbers = {"factor__": float(beta ** len(x)), "add__": float(x @ weight), "first__": float(x[0]) if len(x) else None}
+        return pa.table({"group__": t[group].slice(0, 1), "run__": t[part].slice(0, 1), **{k: pa.array([n], pa.float64()) for k, n in numbers.items()}})
+
+    kind = rows.schema[series].dataType.simpleString()
+    maps = kept.groupBy(group, part).applyInArrow(whole, f"group__ {kind}, run__ int, factor__ double, add__ double, first__ double")
+
+    def starts(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("run__")
+        known = b["first__"].dropna()
+        average, out = (known.iloc[0] if len(known) else None), []
+        for factor, add in zip(b["factor__"], b["add__"], strict=True):
+            out.append(average)
+            average = None if average is None else factor * average + add
+        return pd.DataFrame({"group__": b["group__"], "run__": b["run__"], "start__": pd.Series(out, b.index, "float64")})
+
+    begun = maps.groupBy("group__").applyInPandas(starts, f"group__ {kind}, run__ int, start__ double")
+
+    def along(t: pa.Table) -> pa.Table:
+        places, x = ordered(t)
+        average, seen = t["start__"][0].as_py(), t["seen__"][0].as_py()
+        out: list[float | None] = [None] * len(x)
+        for place, value in zip(places.tolist(), x.tolist(), strict=True):
+            if value == value:
+                average, seen = beta * average + (1 - beta) * value, True
+            out[place] = average if seen else None
+        return t.select(names).append_column("ema", pa.array(out, pa.float64()))
+
+    # Before the first value of a series there is no average yet.
+    order = Window.partitionBy("group__").orderBy("run__").rowsBetween(Window.unboundedPreceding, -1)
+    seen = maps.select("group__", "run__", F.coalesce(F.max(F.col("first__").isNotNull()).over(order), F.lit(False)).alias("seen__"))
+    begun = begun.join(seen.withColumnRenamed("group__", "g__"), F.col("group__").eqNullSafe(F.col("g__")) & (begun["run__"] == seen["run__"])).select("group__", begun["run__"], "start__", "seen__")
+    both = kept.join(begun, F.col(group).eqNullSafe(F.col("group__")) & (F.col(part) == F.col("run__")))
+    out = both.groupBy(group, part).applyInArrow(along, kept.withColumn("ema", F.lit(None).cast("double")).schema)
+    return out.drop(part).toDF(*rows.columns, "ema")
+
+
 def best_so_far(rows: DataFrame, series: str, step: str, loss: str) -> DataFrame:
     """Whether a loss is below all earlier ones of its series."""
     before = F.least("earlier__", "inside__")

@@ -183,6 +183,17 @@ def loss_average(spark: SparkSession, d: str) -> DataFrame:
     return tr.moving_average(table(spark, d, "events"), "event_type", "event_id", "value", 0.9).withColumn("ema", F.round("ema", 6))
 
 
+@query(
+    "loss_averages",
+    """WITH o AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events)
+SELECT a.event_id, round(sum(b.value * CASE WHEN b.i = 1 THEN power(0.9, a.i - 1) ELSE 0.1 * power(0.9, a.i - b.i) END), 6) AS ema FROM o a JOIN o b ON a.event_type = b.event_type AND b.i <= a.i AND (b.i > a.i - 400 OR b.i = 1) GROUP BY a.event_id""",
+)
+def loss_averages(spark: SparkSession, d: str) -> DataFrame:
+    """The average after every step; the SQL sums up to the 400th step before, whose weight is below 1e-18."""
+    rows = table(spark, d, "events").select("event_id", "event_type", "value")
+    return tr.moving_averages(rows, "event_type", "event_id", "value", 0.9).select("event_id", F.round("ema", 6).alias("ema"))
+
+
 @query("best_so_far", "SELECT event_id, coalesce(value < min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new_best FROM events")
 def best_so_far(spark: SparkSession, d: str) -> DataFrame:
     return tr.best_so_far(table(spark, d, "events"), "event_type", "event_id", "value").select("event_id", "new_best")

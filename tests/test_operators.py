@@ -648,3 +648,32 @@ def test_publication(spark, tmp_path):
     assert ids(reader) == [1, 2] and ids(publish.read_published(spark, top)) == [5, 6, 7]
     assert ids(jsonl.read_packed(spark, top, "a")) == [5, 7] and ids(jsonl.read_packed(spark, top, "b", 1)) == [2]
     assert "split" not in jsonl.read_packed(spark, top, "a").columns
+
+
+@pytest.mark.parametrize("chunk", [7, 1_000_000])
+def test_averages_after_every_step(spark, monkeypatch, chunk):
+    """Runs of one series and of many, null groups, steps and values, repeated steps, against a plain loop."""
+    monkeypatch.setattr(training, "CHUNK", chunk)
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(30)]), rng.choice([None, *map(float, range(9))]), k) for k in range(90)]
+    rows += [("c", 1, None, 90), ("c", 2, 4.0, 91), ("d", 1, None, 92)]
+    got = {r["id"]: r for r in training.moving_averages(spark.createDataFrame(rows, "s string, step long, ema_of double, id long"), "s", "step", "ema_of", 0.7).collect()}
+    assert len(got) == len(rows) and {(r["s"], r["step"], r["ema_of"], i) for i, r in got.items()} == set(rows)
+    for s in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or 0))
+        average, want = None, []
+        for _, step, x, _ in own:
+            average = average if x is None else x if average is None else 0.7 * average + 0.3 * x
+            want.append((step, x, None if average is None else round(average, 9)))
+        found = [(got[r[3]]["step"], got[r[3]]["ema_of"], None if got[r[3]]["ema"] is None else round(got[r[3]]["ema"], 9)) for r in own]
+        assert sorted(found, key=repr) == sorted(want, key=repr)
+    assert training.moving_averages(spark.createDataFrame([], "s string, step long, v double"), "s", "step", "v").collect() == []
+
+
+def test_annotations_and_json_values():
+    import ast
+
+    kinds = {"int": "integer", "List[int]": "array", "List": "string", "list[int]": "string", "Optional[Optional[Dict[str, int]]]": "object", "Optional": "string", "t.List[int]": "string", "List[int] | None": "string", "Any": "string", "None": "string", "list": "array"}
+    assert {k: adapters.annotation(ast.parse(k, mode="eval").body) for k in kinds} == kinds and adapters.annotation(None) == "string"
+    assert all(map(adapters.expressible, [None, [1, {"a": [True, 1.5, "é"]}], {}, ""]))
+    assert not any(map(adapters.expressible, [(1,), {1: 2}, {1}, [b"x"], 1j, ..., {"a": (1,)}, {None: 1}]))
