@@ -1,4 +1,4 @@
-"""Nine raw corpora, a benchmark and packed sequences written from whole tables; the SQL derives each result from the tables' values."""
+"""Eight raw corpora, a benchmark and packed sequences written from whole tables; the SQL derives each result from the tables' values."""
 
 from __future__ import annotations
 
