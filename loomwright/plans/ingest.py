@@ -15,7 +15,7 @@ from ..operators import generate as G
 from ..operators import validate as V
 from ..registry import fixture, query
 from ..session import shared_folder, ship
-from ..sources import adapters, growing, jsonl, publish
+from ..sources import adapters, arrays, growing, jsonl, publish
 from ..streaming import ingest as S
 from .corpus import COLLAPSE, table
 
@@ -189,6 +189,16 @@ def published_versions(spark: SparkSession, d: str) -> DataFrame:
     return first.unionByName(second)
 
 
+@query("array_elements", "SELECT doc_id, concat(lang, ',', source) AS tags, md5(text) AS digest, CAST(length(text) AS BIGINT) AS n FROM documents")
+def array_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON arrays, one array a file, and read back by blocks."""
+    top = f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents")
+    arrays.write_arrays(docs.select(F.to_json(F.struct("doc_id", F.array("lang", "source").alias("tags"), "text")).alias("value")), top)
+    e = F.from_json("value", "doc_id long, tags array<string>, text string").alias("e")
+    return arrays.read_array(spark, top).select(e).select("e.doc_id", F.array_join("e.tags", ",").alias("tags"), F.md5("e.text").alias("digest"), F.length("e.text").cast("long").alias("n"))
+
+
 @query("stream_dedup", f"SELECT DISTINCT sha256({COLLAPSE.format('text')}) AS key FROM documents")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The documents table as a file stream, repeats left out; drained by one trigger."""

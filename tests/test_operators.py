@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import calls as C
 from loomwright.functions.text import iso_date_evidenced, nfkc
 from loomwright.operators import corpus, scoring, tokenizer, training
-from loomwright.sources import adapters, jsonl
+from loomwright.sources import adapters, arrays, jsonl
 from loomwright.streaming import ingest
 
 
@@ -677,3 +677,47 @@ def test_annotations_and_json_values():
     assert {k: adapters.annotation(ast.parse(k, mode="eval").body) for k in kinds} == kinds and adapters.annotation(None) == "string"
     assert all(map(adapters.expressible, [None, [1, {"a": [True, 1.5, "é"]}], {}, ""]))
     assert not any(map(adapters.expressible, [(1,), {1: 2}, {1}, [b"x"], 1j, ..., {"a": (1,)}, {None: 1}]))
+
+
+def _json_value(rng, depth=0):
+    k = rng.random()
+    if depth > 3 or k < 0.45:
+        return "".join(rng.choice('a,"\\[]{}\n:é😀 ') for _ in range(rng.randrange(25)))
+    if k < 0.6:
+        return rng.choice([1, -2.5, None, True])
+    if k < 0.8:
+        return [_json_value(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return {_json_value(rng, 9) + str(i): _json_value(rng, depth + 1) for i in range(rng.randrange(4))}
+
+
+@pytest.mark.parametrize("block", [200, 4096])
+def test_arrays_read_by_blocks(spark, tmp_path, block):
+    """Arrays in one file each equal a whole parse wherever blocks cut them: in strings, behind escapes, between elements."""
+    rng, want = random.Random(block), {}
+    for i, (n, how) in enumerate([(0, {}), (1, {}), (40, {"indent": 1}), (60, {"ensure_ascii": False, "separators": (",", ":")})]):
+        want[f"f{i}.json"] = [_json_value(rng) for _ in range(n)]
+        (tmp_path / f"f{i}.json").write_text(json.dumps(want[f"f{i}.json"], **how))
+    want["long.json"] = ["x,[" * 300, {"k": ['",' * 200]}, 1]
+    (tmp_path / "long.json").write_text(json.dumps(want["long.json"]))
+    (tmp_path / "object.json").write_text('{"a": [1, 2]}')
+    (tmp_path / "empty.json").write_text("")
+    for name, value in (("maxPartitionBytes", block), ("openCostInBytes", 8)):
+        spark.conf.set(f"spark.sql.files.{name}", value)
+    try:
+        found = {}
+        for r in arrays.read_array(spark, str(tmp_path)).collect():
+            found.setdefault(r["file"].rpartition("/")[2], {})[r["row_idx"]] = json.loads(r["value"])
+    finally:
+        for name in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+    assert {f: [rows[i] for i in range(len(rows))] for f, rows in found.items()} == {f: x for f, x in want.items() if x}
+
+
+def test_torn_arrays_and_nulls(spark, tmp_path):
+    """A torn array gives its last element as it stands; nulls are written as null and files without rows not at all."""
+    (tmp_path / "torn.json").write_text('[{"a": 1}, {"b": "x, ')
+    assert [r["value"] for r in arrays.read_array(spark, str(tmp_path)).orderBy("row_idx").collect()] == ['{"a": 1}', '{"b": "x,']
+    arrays.write_arrays(spark.createDataFrame([("1",), (None,)], "value string").coalesce(1), str(tmp_path / "out"))
+    assert [r["value"] for r in arrays.read_array(spark, str(tmp_path / "out")).orderBy("row_idx").collect()] == ["1", "null"]
+    arrays.write_arrays(spark.createDataFrame([], "value string"), str(tmp_path / "none"))
+    assert arrays.read_array(spark, str(tmp_path / "none")).count() == 0
