@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("corpus", "scoring", "validation", "tokens", "ingest", "tables", "corpora")
+MODULES = ("corpus", "scoring", "validation", "tokens", "ingest", "tables", "corpora", "generated")
 
 
 def load() -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import calls as C
 from loomwright.functions.text import iso_date_evidenced, nfkc
-from loomwright.operators import corpus, scoring, tokenizer, training
+from loomwright.operators import corpus, generate, scoring, tokenizer, training
 from loomwright.sources import adapters, arrays, jsonl
 from loomwright.streaming import ingest
 
@@ -721,3 +721,25 @@ def test_torn_arrays_and_nulls(spark, tmp_path):
     assert [r["value"] for r in arrays.read_array(spark, str(tmp_path / "out")).orderBy("row_idx").collect()] == ["1", "null"]
     arrays.write_arrays(spark.createDataFrame([], "value string"), str(tmp_path / "none"))
     assert arrays.read_array(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_examples_for_rows(spark):
+    """Given texts stay whole in JSON, whatever they hold; null texts are drawn, equal and null keys have defined examples."""
+    texts = ['a "quoted" \\ name', "{degrees} {level}", None, "é\n"]
+    rows = spark.createDataFrame([(k, texts[k % 4], "kind") for k in range(400)] + [(None, "x", "y"), (7, texts[3], "kind")], "id long, who string, query string")
+    out = generate.generate_for(rows, "id", 5, True, {"handle": "who"}).collect()
+    assert len(out) == 402
+    told = set()
+    for r in out:
+        for c in json.loads(r["answers"]):
+            if "to" in c["arguments"] and "body" in c["arguments"]:
+                told.add(c["arguments"]["to"])
+                assert c["arguments"]["to"] in r["query"]
+            assert c["name"] in {t["name"] for t in json.loads(r["tools"])}
+    assert {t for t in texts if t} < told and told - set(texts) - {"x"} <= set(generate.SLOTS["handle"])
+    assert len({(r["query"], r["answers"], r["tools"]) for r in out if r["row"] == 7}) == 1
+    plain = generate.generate(spark, 50, 5, True).collect()
+    assert plain == generate.generate_for(spark.range(50), "id", 5, True).collect()
+    with pytest.raises(ValueError, match="level"):
+        generate.generate_for(rows, "id", given={"level": "who"})
+    assert generate.generate_for(rows.limit(0), "id").count() == 0
