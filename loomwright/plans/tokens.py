@@ -12,7 +12,7 @@ from ..functions.text import nfkc
 from ..operators import tokenizer as K
 from ..operators import training as tr
 from ..registry import fixture, query
-from ..session import ship
+from ..session import checkpointed, ship
 from .corpus import table
 from .scoring import pool_and_gold
 from .validation import EXAMPLES, LIGHTS
@@ -59,26 +59,35 @@ def bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", (K.decoder(v, docs)(K.encoder(v, docs)("text")) == F.col("text")).alias("same"))
 
 
-GATE = Literal("id long, passed boolean", [(1, True)])
+STRUCTURE = r"""[{}\[\],:"]"""
 
 
-@query("tokenizer_gate", f"""SELECT passed AS digits_alone, passed AS structural_alone, passed AS lossless, passed AS values_alone, passed AS unfragmented, passed AS no_digit_tokens,
-(SELECT count(DISTINCT w) FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE regexp_full_match(w, '[a-z]+')) AS n_words,
-(SELECT count(DISTINCT c) FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents UNION ALL SELECT chr(CAST(i AS INTEGER)) FROM range(32, 127) t(i) UNION ALL SELECT chr(CAST(i AS INTEGER)) FROM range(9, 14) t(i))) AS n_letters FROM {GATE.sql()}""")
+@query("tokenizer_gate", rf"""WITH {COUNTS}, letters AS (SELECT DISTINCT c FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents UNION ALL SELECT chr(CAST(i AS INTEGER)) FROM range(32, 127) t(i) UNION ALL SELECT chr(CAST(i AS INTEGER)) FROM range(9, 14) t(i))),
+prices AS (SELECT DISTINCT CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) || '.5' AS x FROM orders)
+SELECT (SELECT count(*) FROM prices) AS n_values, (SELECT CAST(sum(length(x)) AS BIGINT) FROM prices) AS n_value_tokens,
+(SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM counts WHERE regexp_full_match(piece, '{STRUCTURE}')) AS n_structural_tokens,
+count(*) AS n_words, count(*) AS n_back, count(*) AS n_same_after_space,
+(SELECT count(*) FROM letters WHERE regexp_matches(c, '\p{{Nd}}')) AS n_digit_tokens, (SELECT count(*) FROM letters) AS n_letters, true AS unfragmented FROM counts WHERE regexp_matches(piece, '\S')""")
 def tokenizer_gate(spark: SparkSession, d: str) -> DataFrame:
-    """The checks that a vocabulary must pass before packing, over how many words, and its single characters."""
+    """What a vocabulary must hold before packing, as counts over whole tables.
+
+    A price takes a token for each character, a structural character one token;
+    words decode to themselves and have the same tokens after a space; only
+    single characters hold digits; a word has fewer than six tokens on average.
+    """
     ship(spark)
+    counts = checkpointed(K.piece_counts(table(spark, d, "documents")))
     v = K.train(table(spark, d, "documents"), 2000)
-    words = table(spark, d, "benchmark").select(F.explode(F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]+$"))).alias("w")).distinct()
-    values = spark.createDataFrame([("2021",), ("38.0",), ("20.8",), ("0.9",), ("2022-12-31",), ("300",), ("T1001",), ("60.7",)], "x string")
-    encode, lengths = K.encoder(v, words), F.array(*[F.lit(len(v.tokens[i])) for i in range(len(v.ids))])
-    digit = F.array(*[F.lit(any(c.isdigit() for c in v.tokens[i])) for i in range(len(v.ids))])
-    digits = values.select(F.forall(encode("x"), lambda i: ~(F.element_at(digit, i + 1) & (F.element_at(lengths, i + 1) > 1))).alias("ok")).agg(F.bool_and("ok").alias("digits_alone"))
-    structure = spark.createDataFrame([(c,) for c in K.STRUCTURAL], "x string").agg(F.bool_and(F.size(encode("x")) == 1).alias("structural_alone"))
-    plain = words.select("w", encode("w").alias("a"), encode(F.concat(F.lit(" "), "w")).alias("b"), K.decoder(v, words)(encode("w")).alias("back"))
-    checks = plain.agg(F.bool_and(F.col("back") == F.col("w")).alias("lossless"), F.bool_and(F.slice("b", F.lit(2), F.size("b")) == F.col("a")).alias("values_alone"), (F.avg(F.size("a")) < 6).alias("unfragmented"), F.count("*").alias("n_words"))
-    none = not any(len(t) > 1 and any(c.isdigit() for c in t) for t in v.ids if t not in K.SPECIALS)
-    return digits.crossJoin(structure).crossJoin(checks).withColumns({"no_digit_tokens": F.lit(none), "n_letters": F.lit(sum(len(t) == 1 for t in v.ids)).cast("long")})
+    encode, decode = K.encoder(v, counts), K.decoder(v, counts)
+    price = F.concat(F.round(F.col("o_totalprice") * 100).cast("long").cast("string"), F.lit(".5"))
+    values = table(spark, d, "orders").select(price.alias("x")).distinct().agg(F.count("*").alias("n_values"), F.sum(F.size(encode("x"))).alias("n_value_tokens"))
+    structural = counts.filter(F.col("piece").rlike(f"^{STRUCTURE}$")).agg(F.coalesce(F.sum(F.size(encode("piece")) * F.col("n")), F.lit(0)).alias("n_structural_tokens"))
+    words = counts.filter(F.col("piece").rlike(r"\S")).select("piece", encode("piece").alias("a"), encode(F.concat(F.lit(" "), "piece")).alias("b"))
+    checks = words.select("a", (decode("a") == F.col("piece")).alias("back"), (F.slice("b", F.lit(2), F.size("b")) == F.col("a")).alias("same"))
+    checks = checks.agg(F.count("*").alias("n_words"), F.count_if("back").alias("n_back"), F.count_if("same").alias("n_same_after_space"), F.coalesce(F.avg(F.size("a")) < 6, F.lit(True)).alias("unfragmented"))
+    tokens = [t for t in v.ids if t not in K.SPECIALS]
+    known = {"n_digit_tokens": sum(any(c.isdigit() for c in t) for t in tokens), "n_letters": sum(len(t) == 1 for t in tokens)}
+    return values.crossJoin(structural).crossJoin(checks).withColumns({k: F.lit(n).cast("long") for k, n in known.items()})
 
 
 def _ids(spark: SparkSession, d: str) -> DataFrame:
