@@ -35,9 +35,13 @@ def _turn(text: Column) -> Column:
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """The pieces of all files with what they do: ``flips`` (1 if quotes leave a piece in the other state), ``turn0`` and ``turn1`` (change of depth if it begins outside or inside a string)."""
     read = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    has = lambda c: F.contains("value", F.lit(c))
+    bare = F.when(has("\\"), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
     quotes = F.length(bare) - F.length(F.translate(bare, '"', ""))
-    return read.withColumns({"flips": (quotes % 2).cast("int"), "turn0": _turn(bare), "turn1": _turn(F.concat(F.lit('"'), bare))})
+    # Most pieces of texts have neither quotes nor brackets; a search of bytes tells.
+    brackets = has("[") | has("]") | has("{") | has("}")
+    turn = lambda text: F.when(brackets, _turn(text)).otherwise(F.lit(0).cast("long"))
+    return read.withColumns({"flips": F.when(has('"'), quotes % 2).otherwise(0).cast("int"), "turn0": turn(bare), "turn1": turn(F.concat(F.lit('"'), bare))})
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], slice]]:
