@@ -228,7 +228,8 @@ def stream_growing(spark: SparkSession, d: str) -> DataFrame:
     folders = []
     for k, some in enumerate((events.filter(F.col("event_id") <= half), events)):
         # The second writing holds the same lines and more; its files take the place of the first.
-        some.repartition(8, "file").sortWithinPartitions("event_id").select("value", "file").write.partitionBy("file").text(f"{top}/{k}")
+        # Sorted by file first: the writer would sort by it anew and so undo an order by number alone.
+        some.repartition(8, "file").sortWithinPartitions("file", "event_id").select("value", "file").write.partitionBy("file").text(f"{top}/{k}")
         for status in files.globStatus(hadoop(f"{top}/{k}/file=*/part-*")):
             own = hadoop(f"{top}/in/{status.getPath().getParent().getName()}.jsonl")
             files.mkdirs(own.getParent())

@@ -743,3 +743,13 @@ def test_examples_for_rows(spark):
     with pytest.raises(ValueError, match="level"):
         generate.generate_for(rows, "id", given={"level": "who"})
     assert generate.generate_for(rows.limit(0), "id").count() == 0
+
+
+def test_growing_files_keep_their_order(spark, tmp_path):
+    """Events from several files in any order: the second delivery only appends to the first, so each event arrives once."""
+    from loomwright.registry import queries
+
+    rows = spark.range(4000).select(F.col("id").alias("event_id"), F.concat(F.lit("kind"), F.col("id") % 3).alias("event_type"))
+    rows.repartition(4, F.md5(F.col("event_id").cast("string"))).sortWithinPartitions(F.md5(F.col("event_id").cast("string"))).write.parquet(str(tmp_path / "events.parquet"))
+    out = {r["event_id"]: (r["n"], r["kind"]) for r in queries()["stream_growing"](spark, str(tmp_path)).collect()}
+    assert out == {i: (1, f"kind{i % 3}") for i in range(4000)}
