@@ -209,7 +209,12 @@ def loose_value(e: Column) -> Column:
 
 def loose(calls: Column) -> Column:
     """Calls reduced to what value equality sees."""
-    return F.transform(canonical(calls), lambda c: F.struct(c["name"].alias("name"), F.transform(c["entries"], lambda e: F.struct(e["k"].alias("k"), loose_value(e).alias("v"))).alias("entries")))
+    return loosened(canonical(calls))
+
+
+def loosened(canonical: Column) -> Column:
+    """``loose`` of calls in canonical form."""
+    return F.transform(canonical, lambda c: F.struct(c["name"].alias("name"), F.transform(c["entries"], lambda e: F.struct(e["k"].alias("k"), loose_value(e).alias("v"))).alias("entries")))
 
 
 def loose_equal(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calls as C
 from ..functions import tools as T
-from ..functions.text import glue, iso_date_evidenced
+from ..functions.text import glue, iso_date_evidenced, let
 
 # Calls that a template asks for; and, in ``error``, the texts of the errors, which are results.
 TEMPLATES = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5}
@@ -15,10 +15,9 @@ TEMPLATES = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5}
 
 def grounded(query: Column, calls: Column) -> Column:
     """Whether the query tells every argument: strings of more than two characters and all numbers, without regard to punctuation; other values pass."""
-    q = glue(query)
-    told = lambda e: F.contains(q, glue(e["text"]))
-    fine = lambda e: F.when((e["tag"] == "STRING") & (F.length(e["text"]) > 2), told(e)).when(e["tag"].isin("INT", "FLOAT"), told(e)).otherwise(F.lit(True))
-    return F.forall(calls, lambda c: F.coalesce(F.forall(C.entries(c["arguments"]), fine), F.lit(False)))
+    told = lambda q, e: F.contains(q, glue(e["text"]))
+    fine = lambda q, e: F.when((e["tag"] == "STRING") & (F.length(e["text"]) > 2), told(q, e)).when(e["tag"].isin("INT", "FLOAT"), told(q, e)).otherwise(F.lit(True))
+    return let(glue(query), lambda q: F.forall(calls, lambda c: F.coalesce(F.forall(C.listed(c["arguments"]), lambda e: fine(q, e)), F.lit(False))))
 
 
 def _first(errors: Column) -> Column:
@@ -37,12 +36,11 @@ def error(query: Column, tools: Column, answers: Column, template: Column) -> Co
     parameter, its enum, its type, and evidence in the query.
     """
     want = F.try_element_at(F.create_map(*[F.lit(x) for kv in TEMPLATES.items() for x in kv]), template)
-    q = F.lower(query)
 
-    def argument(tool: Column, name: Column, tags: Column, texts: Column, k: Column) -> Column:
-        spec, tag, text = F.try_element_at(tool["props"], k), F.try_element_at(tags, k), F.try_element_at(texts, k)
+    def argument(tool: Column, name: Column, spec: Column, e: Column) -> Column:
+        k, tag, text = e["k"], e["tag"], e["text"]
         kind = F.coalesce(spec["type"], F.lit("string"))
-        told = F.contains(q, F.lower(text)) | iso_date_evidenced(text, query)
+        told = F.contains(F.lower(query), F.lower(text)) | iso_date_evidenced(text, query)
         number = tag.isin("INT", "FLOAT")
         return (
             F.when(~F.map_contains_key(tool["props"], k), F.concat(name, F.lit(" has no parameter "), k))
@@ -55,18 +53,20 @@ def error(query: Column, tools: Column, answers: Column, template: Column) -> Co
             .when(kind.isin("integer", "number") & number & ~F.contains(query, text) & _large(text), F.concat(F.lit("number "), text, F.lit(" for "), k, F.lit(" not evidenced in query")))
         )
 
-    def call(c: Column) -> Column:
-        tool, texts = T.named(tools, c["name"]), C.texts(c["arguments"])
-        entries = C.entries(c["arguments"])
-        tags = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["k"], e["tag"])))
-        missing = F.array_sort(F.array_except(tool["required"], F.map_keys(texts)))
+    def judged(x: Column) -> Column:
+        name, tool, given = x["name"], x["tool"], x["given"]
+        missing = F.array_sort(F.array_except(tool["required"], F.transform(given, lambda e: e["k"])))
+        each = F.transform(given, lambda e: let(F.try_element_at(tool["props"], e["k"]), lambda spec: argument(tool, name, spec, e)))
         return (
-            F.when(tool.isNull(), F.concat(F.lit("unknown tool "), c["name"]))
-            .when(texts.isNull(), F.lit("arguments must be an object"))
-            .when(F.size(missing) > 0, F.concat(c["name"], F.lit(" missing required ['"), F.array_join(missing, "', '"), F.lit("']")))
-            .otherwise(_first(F.transform(F.map_keys(texts), lambda k: argument(tool, c["name"], tags, texts, k))))
+            F.when(tool.isNull(), F.concat(F.lit("unknown tool "), name))
+            .when(given.isNull(), F.lit("arguments must be an object"))
+            .when(F.size(missing) > 0, F.concat(name, F.lit(" missing required ['"), F.array_join(missing, "', '"), F.lit("']")))
+            .otherwise(_first(each))
         )
 
+    # The tool is looked up and the arguments are read once for each call.
+    call = lambda c: let(F.struct(c["name"].alias("name"), T.named(tools, c["name"]).alias("tool"), C.listed(c["arguments"]).alias("given")), judged)
+
     return (
         F.when(F.coalesce(F.trim(query), F.lit("")) == "", "missing query")
         .when(answers.isNull(), "answers must be a list")
@@ -87,7 +87,8 @@ def repaired(query: Column, tools: Column, answers: Column) -> Column:
         number = e["tag"].isin("INT", "FLOAT") & ~F.contains(query, text) & _large(text)
         return tool.isNull() | F.array_contains(tool["required"], e["k"]) | ~(vague | number)
 
-    return F.transform(C.canonical(answers), lambda c: F.struct(c["name"].alias("name"), F.filter(c["entries"], lambda e: stays(T.named(tools, c["name"]), e)).alias("entries")))
+    kept = lambda c: let(T.named(tools, c["name"]), lambda tool: F.filter(c["entries"], lambda e: stays(tool, e)))
+    return F.transform(C.canonical(answers), lambda c: F.struct(c["name"].alias("name"), kept(c).alias("entries")))
 
 
 def sound_catalog(text: Column) -> Column:
@@ -110,9 +111,10 @@ def omits_option(tools: Column, answers: Column) -> Column:
     """Whether some call leaves out an optional parameter while it uses another one."""
 
     def one(c: Column) -> Column:
-        tool, used = T.named(tools, c["name"]), F.map_keys(C.texts(c["arguments"]))
-        optional = F.array_except(F.map_keys(tool["props"]), tool["required"])
-        return (F.size(F.array_except(optional, used)) > 0) & (F.size(F.array_intersect(optional, used)) > 0)
+        optional = let(T.named(tools, c["name"]), lambda tool: F.array_except(F.map_keys(tool["props"]), tool["required"]))
+        used = F.transform(C.listed(c["arguments"]), lambda e: e["k"])
+        both = F.struct(optional.alias("optional"), used.alias("used"))
+        return let(both, lambda x: (F.size(F.array_except(x["optional"], x["used"])) > 0) & (F.size(F.array_intersect(x["optional"], x["used"])) > 0))
 
     return F.coalesce(F.exists(answers, lambda c: F.coalesce(one(c), F.lit(False))), F.lit(False))
 

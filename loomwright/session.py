@@ -6,7 +6,9 @@ import os
 import re
 import tempfile
 import zipfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,6 +41,26 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if few else scan
 
 
+#: Bytes of a scan for each partition that ``dealt`` makes.
+DEALT = 1 << 18
+
+
+def dealt(scan: DataFrame) -> DataFrame:
+    """A plain scan of short rows that cost much work each, dealt to as many partitions as its size asks for; so no task grows with the table, however its files are cut."""
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(max(scan.sparkSession.sparkContext.defaultParallelism, size // DEALT)) if size > SPREAD else scan
+
+
+def in_pieces(one: Callable, kind: pa.DataType, rows: int = 64) -> Callable[[pa.Array], pa.Array]:
+    """``one`` over an Arrow batch, a few values at a time: only their Python objects exist at once, however long the values are. Nulls stay."""
+
+    def run(values: pa.Array) -> pa.Array:
+        parts = [pa.array([None if x is None else one(x) for x in values.slice(at, rows).to_pylist()], kind) for at in range(0, len(values), rows)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return run
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; without one, a temporary folder where everything runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
