@@ -232,7 +232,13 @@ def rerank(pool: DataFrame) -> DataFrame:
 
 def reward(pred: Column, gold: Column) -> Column:
     """Share of gold calls matched by position, less 0.1 for each call too many; 1 or 0 where nothing should be called."""
-    g, p = C.loose(gold), C.loose(F.coalesce(pred, F.array().cast(C.CALLS)))
+    both = F.struct(C.loose(gold).alias("g"), C.loose(pred).alias("p"))
+    return let(both, lambda x: loose_reward(x["p"], x["g"]))
+
+
+def loose_reward(pred: Column, gold: Column) -> Column:
+    """``reward`` of calls in loose form, which are named often here and so should be columns."""
+    g, p = gold, F.coalesce(pred, F.array())
     pairs = F.zip_with(g, p, lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
     matched = F.aggregate(F.slice(pairs, F.lit(1), F.size(g)), F.lit(0), lambda acc, x: acc + x)
     over = F.greatest(F.lit(0), F.size(p) - F.size(g))
@@ -270,19 +276,25 @@ def accepted(truth: Column) -> Column:
 
 def call_accepted(call: Column, truth: Column) -> Column:
     """Same name, every parameter acceptable or optional and absent, no other argument."""
-    args = F.coalesce(C.entries(call["arguments"]), F.array().cast(C.ENTRIES))
+    read = lambda e: F.struct(e["k"].alias("k"), C.loose_value(e).alias("v"), F.when(e["tag"] == "STRING", F.trim(e["text"])).alias("s"))
+    args = F.transform(F.coalesce(C.listed(call["arguments"]), F.array().cast(C.ENTRIES)), read)
+    return let(args, lambda given: _given_accepted(call["name"], given, truth))
+
+
+def _given_accepted(name: Column, args: Column, truth: Column) -> Column:
     optional = lambda p: F.exists(p["options"], lambda o: F.coalesce(o["s"] == "", F.lit(False)) & (o["v"] == "s:"))
-    right = lambda e, p: F.exists(p["options"], lambda o: (C.loose_value(e) == o["v"]) | ((e["tag"] == "STRING") & F.coalesce(F.trim(e["text"]) == o["s"], F.lit(False))))
+    right = lambda e, p: F.exists(p["options"], lambda o: (e["v"] == o["v"]) | F.coalesce(e["s"] == o["s"], F.lit(False)))
     given = lambda p: F.filter(args, lambda e: e["k"] == p["k"])
-    each = F.forall(truth["params"], lambda p: F.when(F.size(given(p)) == 0, optional(p)).otherwise(F.exists(given(p), lambda e: right(e, p))))
+    each = F.forall(truth["params"], lambda p: let(given(p), lambda own: F.when(F.size(own) == 0, optional(p)).otherwise(F.exists(own, lambda e: right(e, p)))))
     known = F.forall(args, lambda e: F.exists(truth["params"], lambda p: p["k"] == e["k"]))
-    return F.coalesce((call["name"] == truth["name"]) & each & known, F.lit(False))
+    return F.coalesce((name == truth["name"]) & each & known, F.lit(False))
 
 
 def row_accepted(category: Column, pred: Column, truth: Column) -> Column:
     """Refusals and any-call categories by emptiness; others need as many calls as the truth, acceptable in order. Malformed text is an empty list here."""
-    p, t = F.coalesce(pred, F.array().cast(C.CALLS)), accepted(truth)
-    ordered = (F.size(p) == F.size(t)) & F.forall(F.zip_with(p, t, lambda a, b: call_accepted(a, b)), lambda x: x)
+    p = F.coalesce(pred, F.array().cast(C.CALLS))
+    each = lambda x: F.forall(F.zip_with(x["p"], x["t"], lambda a, b: call_accepted(a, b)), lambda ok: ok)
+    ordered = let(F.struct(p.alias("p"), accepted(truth).alias("t")), lambda x: (F.size(x["p"]) == F.size(x["t"])) & each(x))
     return F.when(category.isin(*NO_CALL), F.size(p) == 0).when(category.isin(*ANY_CALL), F.size(p) > 0).otherwise(F.coalesce(ordered, F.lit(False)))
 
 
