@@ -9,6 +9,7 @@ from ..functions import calls as C
 from ..functions.literals import Literal
 from ..operators import scoring as op
 from ..registry import fixture, query
+from ..session import dealt
 from .corpus import table
 
 SAMPLES = 5
@@ -16,7 +17,7 @@ SAMPLES = 5
 
 def pool_and_gold(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Gold calls from events (every tenth row refuses, every next has two calls), and five samples of each, altered by a hash."""
-    e = table(spark, d, "events").select(F.col("event_id").alias("row_id"), F.col("event_type").alias("suite"), F.get_json_object("props", "$.k").alias("k"))
+    e = dealt(spark.read.parquet(f"{d}/events.parquet")).select(F.col("event_id").alias("row_id"), F.col("event_type").alias("suite"), F.get_json_object("props", "$.k").alias("k"))
     digit = F.conv(F.substring(F.md5(F.concat("sample_id", F.lit("|"), "row_id")), 1, 1), 16, 10).cast("int")
     variant = F.when(digit < 6, "ok").when(digit < 8, "name").when(digit < 11, "value").when(digit < 13, "extra").otherwise("empty")
     call = lambda name, args: F.concat(F.lit('{"name":"'), name, F.lit('","arguments":'), args, F.lit("}"))
@@ -155,7 +156,10 @@ REWARDS = f"""{VARIANTS}, r AS (SELECT row_id, CAST(sample_id AS INTEGER) AS sam
 @query("sample_rewards", f"WITH {REWARDS} SELECT row_id, sample_id, CAST(reward AS DOUBLE) AS reward FROM r")
 def sample_rewards(spark: SparkSession, d: str) -> DataFrame:
     pool, gold = pool_and_gold(spark, d)
-    return pool.join(gold, "row_id").select("row_id", "sample_id", op.reward(F.col("calls"), F.col("gold")).alias("reward"))
+    # Both sides are reduced once, before the join, in which gold meets every sample.
+    given = pool.select("row_id", "sample_id", C.loose(F.col("calls")).alias("p"))
+    right = gold.select("row_id", C.loose(F.col("gold")).alias("g"))
+    return given.join(right, "row_id").select("row_id", "sample_id", op.loose_reward(F.col("p"), F.col("g")).alias("reward"))
 
 
 @query("leave_one_out", f"WITH {REWARDS} SELECT row_id, sample_id, CAST(reward AS DOUBLE) AS reward, round(CAST(reward - (sum(reward) OVER w - reward) / ({SAMPLES} - 1) AS DOUBLE), 6) AS advantage FROM r WINDOW w AS (PARTITION BY row_id) QUALIFY max(reward) OVER w > min(reward) OVER w")

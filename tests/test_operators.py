@@ -753,3 +753,41 @@ def test_growing_files_keep_their_order(spark, tmp_path):
     rows.repartition(4, F.md5(F.col("event_id").cast("string"))).sortWithinPartitions(F.md5(F.col("event_id").cast("string"))).write.parquet(str(tmp_path / "events.parquet"))
     out = {r["event_id"]: (r["n"], r["kind"]) for r in queries()["stream_growing"](spark, str(tmp_path)).collect()}
     assert out == {i: (1, f"kind{i % 3}") for i in range(4000)}
+
+
+@pytest.mark.parametrize("name, most", [("rejections_over_events", 8), ("validate_over_events", 12), ("accepted_over_events", 14), ("calls_equal_over_events", 6), ("sample_rewards", 6)])
+def test_json_is_read_once(spark, sf_dir, name, most):
+    """Each text is read in one place of the plan, however many results name it."""
+    from loomwright.registry import queries
+
+    settings = {"spark.sql.maxToStringFields": "100000", "spark.sql.maxPlanStringLength": str(1 << 30)}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        plan = queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert 0 < plan.count("from_json(") <= most
+
+
+def test_dealt_by_size(spark, tmp_path, monkeypatch):
+    """A table in one file is dealt to as many tasks as its size asks for, not to the cores alone."""
+    from loomwright import session
+
+    monkeypatch.setattr(session, "SPREAD", 1 << 10)
+    monkeypatch.setattr(session, "DEALT", 1 << 12)
+    rows = spark.range(40_000).select(F.md5(F.col("id").cast("string")).alias("x"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "t"))
+    out = session.dealt(spark.read.parquet(str(tmp_path / "t")))
+    assert out.rdd.getNumPartitions() > 100 and out.distinct().count() == 40_000
+
+
+def test_pieces_of_batches():
+    """A batch is worked on in pieces, nulls stay, an empty batch is one."""
+    import pyarrow as pa
+    from loomwright.session import in_pieces
+
+    run = in_pieces(str.upper, pa.string(), 3)
+    assert run(pa.array(["a", None, "b", "c", "", "d", "e"])).to_pylist() == ["A", None, "B", "C", "", "D", "E"]
+    assert run(pa.array([], pa.string())).to_pylist() == []
