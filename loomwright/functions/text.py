@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import in_pieces
+
 NON_WORD = r"[^\p{L}\p{N}_]+"
 BLANKS = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]+"
 
@@ -78,9 +80,9 @@ def nfkc(c: Column) -> Column:
     """NFKC, then plain quotes, dashes, spaces and dots. Text that is ASCII already stays in the JVM."""
     table = str.maketrans(PUNCTUATION)
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t).translate(table))
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return in_pieces(lambda t: unicodedata.normalize("NFKC", t).translate(table), pa.string())(texts)
 
     return F.when(c.rlike(r"^[\x00-\x7f]*$"), c).otherwise(run(F.when(~c.rlike(r"^[\x00-\x7f]*$"), c)))
 
