@@ -77,7 +77,7 @@ def tokenizer_gate(spark: SparkSession, d: str) -> DataFrame:
     """
     ship(spark)
     counts = checkpointed(K.piece_counts(table(spark, d, "documents")))
-    v = K.train(table(spark, d, "documents"), 2000)
+    v = K.train_counts(counts, 2000)
     encode, decode = K.encoder(v, counts), K.decoder(v, counts)
     price = F.concat(F.round(F.col("o_totalprice") * 100).cast("long").cast("string"), F.lit(".5"))
     values = table(spark, d, "orders").select(price.alias("x")).distinct().agg(F.count("*").alias("n_values"), F.sum(F.size(encode("x"))).alias("n_value_tokens"))

@@ -1,6 +1,7 @@
 """Operators that SQL can't express, and invariants, against plain Python."""
 
 import json
+import os
 import random
 
 import pytest
@@ -276,6 +277,55 @@ def test_merges_grown_in_spark(spark, monkeypatch, letters, known):
     assert nothing.merges == [] and nothing.ids == tokenizer.grow({}, size).ids
 
 
+def grow_plainly(words, size):
+    """Merges one after another, all pairs counted anew for each."""
+    ids, merges = tokenizer._first_ids({c for w in words for c in w}), []
+    words = [(list(w), n) for w, n in words.items()]
+    while len(ids) < size:
+        total = {}
+        for w, n in words:
+            for p in zip(w, w[1:], strict=False):
+                if not any(c.isdigit() for c in p[0] + p[1]):
+                    total[p] = total.get(p, 0) + n
+        pair, n = min(total.items(), key=lambda x: (-x[1], x[0]), default=(None, 0))
+        if n < 2:
+            break
+        merges.append(pair)
+        ids.setdefault(pair[0] + pair[1], len(ids))
+        for w, _ in words:
+            i = 0
+            while i + 1 < len(w):
+                if (w[i], w[i + 1]) == pair:
+                    w[i : i + 2] = [w[i] + w[i + 1]]
+                i += 1
+    return ids, merges
+
+
+@pytest.mark.parametrize("known", [3, 40, 100_000])
+def test_merges_of_blocks(monkeypatch, known):
+    """Blocks of symbols grow the merges of plain counting: with runs of one letter, digits, specials, tokens made in two ways and few known pairs."""
+    monkeypatch.setattr(tokenizer, "KNOWN_PAIRS", known)
+    monkeypatch.setattr(tokenizer, "BLOCK_WORDS", 16)
+    rng = random.Random(known)
+    for letters in ("a", "ab", "abc", "abcdeé1²", "<pad>ab", "ж😀a") * 5:
+        words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))): rng.randint(1, 9) for _ in range(rng.randint(0, 40))}
+        got = tokenizer.grow(words, 100_000)
+        assert (got.ids, got.merges) == grow_plainly(words, 100_000)
+
+
+def test_blocks_written_in_between(spark, monkeypatch):
+    """Rounds go on from written blocks, of which none is left at the end; words that are given as counts are not counted again."""
+    monkeypatch.setattr(tokenizer, "ROUNDS_KEPT", 3)
+    rng = random.Random(8)
+    words = {"".join(rng.choice("abcde") for _ in range(rng.randint(2, 9))): rng.randint(1, 4) for _ in range(120)}
+    counts = spark.createDataFrame(list(words.items()), "piece string, n long").repartition(3)
+    blocks = []
+    monkeypatch.setattr(tokenizer, "SparkBlocks", type("Kept", (tokenizer.SparkBlocks,), {"__init__": lambda self, w: (super(type(self), self).__init__(w), blocks.append(self))[0]}))
+    got = tokenizer.train_counts(counts, 10_000, most_words=5)
+    assert (got.ids, got.merges) == grow_plainly(words, 10_000)
+    assert blocks[0].rounds > 6 and blocks[0].written and not os.path.exists(blocks[0].written.removeprefix("file:"))
+
+
 def test_merges_settled_together():
     """Every list of merges taken in one round is the start of what one by one gives."""
     rng = random.Random(5)
