@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import in_pieces
 
-NON_WORD = r"[^\p{L}\p{N}_]+"
+WORD, NON_WORD = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
 BLANKS = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]+"
 
 # Punctuation that normalisation maps to ASCII after NFKC.
@@ -47,7 +47,8 @@ def collapse(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(squash(c), " "), lambda w: w != "")
+    """Runs of word characters, in lower case."""
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
 def ngrams(w: Column, n: int) -> Column:

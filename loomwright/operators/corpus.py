@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, let, ngrams, order_key, squash, uniform, words
-from ..session import free
+from ..session import checkpointed, free
 
 GRAM = 8
 TOLERATED = 0.05
@@ -23,10 +23,19 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _runs(hashes: Column, n: int) -> Column:
+    """Hashes of the runs of ``n`` words, of which there is one at least: those of one word are put together to two, four and so on, so that a run costs a few steps however long it is."""
+    pairs = lambda k: lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - (k + 1)), lambda i: F.xxhash64(F.get(x, i), F.get(x, i + k)))
+    width = 1
+    while width < n:
+        step = min(width, n - width)
+        hashes, width = let(hashes, pairs(step)), width + step
+    return hashes
+
+
 def _marks(text: Column, n: int) -> Column:
     """Hashes of the runs of ``n`` words, or of the whole of a shorter text; none for a null text."""
-    runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n)))
-    marks = let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= n, F.array_distinct(runs(h))).otherwise(F.array(F.xxhash64(h))))
+    marks = let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= n, _runs(h, n)).otherwise(F.array(F.xxhash64(h))))
     return F.when(text.isNotNull(), marks)
 
 
@@ -34,15 +43,17 @@ def overlapping(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     """Keys of the rows that share a run of ``n`` words with any item, or, having fewer words, equal a short item.
 
     One pass over the rows finds those that share a 64-bit mark; runs of words
-    are only spelled out for them.
+    are only spelled out for them, in a second one. While they are few, their
+    keys are broadcast and no text is shuffled.
     """
     wanted = items.select(F.explode(_marks(F.col(text), n)).alias("mark")).distinct()
-    maybe = docs.select(key, F.explode(_marks(F.col(text), n)).alias("mark")).join(_small(wanted, BROADCAST_GRAMS), "mark", "left_semi").select(key).distinct()
-    w = docs.select(key, text).join(maybe, key, "left_semi").select(key, words(F.col(text)).alias("w"))
-    long = w.select(key, F.explode(ngrams(F.col("w"), n)).alias("gram")).join(_small(eval_grams(items, text, n), BROADCAST_GRAMS), "gram", "left_semi").select(key)
-    short_items = items.select(words(F.col(text)).alias("iw")).filter(F.size("iw") < n).select(F.array_join("iw", " ").alias("line")).distinct()
-    short = w.filter(F.size("w") < n).select(key, F.array_join("w", " ").alias("line")).join(_small(short_items, BROADCAST_GRAMS), "line", "left_semi").select(key)
-    return long.unionByName(short).distinct()
+    maybe = checkpointed(docs.select(key, F.explode(_marks(F.col(text), n)).alias("mark")).join(_small(wanted, BROADCAST_GRAMS), "mark", "left_semi").select(key).distinct())
+    # An inner explode would have a filter on its array, which Spark moves below the join, so that all rows' runs would be spelled out.
+    short = F.size("w") < n
+    spelled = lambda rows, *keys: rows.select(*keys, short.alias("short"), F.explode_outer(F.when(short, F.array(F.array_join("w", " "))).otherwise(ngrams(F.col("w"), n))).alias("gram"))
+    grams = spelled(items.filter(F.col(text).isNotNull()).select(words(F.col(text)).alias("w"))).distinct()
+    w = docs.select(key, text).join(_small(maybe, BROADCAST_GRAMS), key, "left_semi").select(key, words(F.col(text)).alias("w"))
+    return spelled(w, key).join(_small(grams, BROADCAST_GRAMS), ["short", "gram"], "left_semi").select(key).distinct()
 
 
 def exact_firewall(docs: DataFrame, banned: DataFrame, text: str = "text") -> DataFrame:

@@ -257,6 +257,34 @@ def test_unseen_keeps_one_of_equal_new_rows(spark):
     assert got == sorted(i for k, i in keys.items() if i != 5) and len(got) < 4
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8])
+def test_runs_of_words_have_one_mark_each(spark, n):
+    """Equal runs of ``n`` words, and only these, have equal marks, whatever ``n`` is; a shorter text has one, a null text none."""
+    rng = random.Random(n)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 14))) for _ in range(60)] + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", corpus._marks(F.col("text"), n).alias("marks")).collect()
+    of_run, of_mark = {}, {}
+    for text, marks in rows:
+        if text is None:
+            assert marks is None
+            continue
+        w = text.split()
+        runs = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)] or [("short", *w)]
+        assert len(marks) == len(runs)
+        for run, mark in zip(runs, marks, strict=True):
+            assert of_run.setdefault(run, mark) == mark and of_mark.setdefault(mark, run) == run
+
+
+def test_texts_are_not_shuffled_to_find_overlaps(spark):
+    """Only rows that share a mark are read again, by keys that are broadcast; before, all texts went through a shuffle."""
+    item = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(i, f"{i} " + (item if i % 50 == 0 else "other words")) for i in range(200)] + [(200, "two"), (201, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(item,), ("TWO!",), (None,)], "text string")
+    found = corpus.overlapping(docs, items)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in found.collect()) == [0, 50, 100, 150, 200]
+
+
 def test_characters_of_uncommon_words_get_ids(spark):
     texts = spark.createDataFrame([("common common common ж😀",)], "text string")
     v = tokenizer.train(texts, 400, most_words=2)
