@@ -30,11 +30,17 @@ def _sets(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _scored(pairs: DataFrame, asked: DataFrame, kept: DataFrame, k: int) -> DataFrame:
-    """(set, tool, score) of the ``k`` best tools of each query set among (set, tools) pairs."""
-    both = pairs.join(asked.select("set", "tokens"), "set").join(kept.select(F.col("set").alias("tools"), F.col("tokens").alias("own"), "firsts"), "tools")
-    each = both.select("set", F.size(F.array_intersect("tokens", "own")).alias("score"), F.explode("firsts").alias("tool"))
+    """(set, tool, score) of the ``k`` best tools of each query set among (set, tools) pairs.
+
+    A set of tools stands where its first tool does, so the ``k`` best sets
+    hold the ``k`` best tools; only these sets' tools are listed.
+    """
+    both = pairs.join(asked.select("set", "tokens"), "set").join(kept.select(F.col("set").alias("tools"), F.col("tokens").alias("own"), F.element_at("firsts", 1).alias("tool")), "tools")
+    each = both.select("set", "tools", F.size(F.array_intersect("tokens", "own")).alias("score"), "tool")
     w = Window.partitionBy("set").orderBy(F.desc("score"), "tool")
-    return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    sets = best(each).select("set", "tools", "score").join(kept.select(F.col("set").alias("tools"), "firsts"), "tools")
+    return best(sets.select("set", "score", F.explode("firsts").alias("tool")))
 
 
 def retrieve_global(queries: DataFrame, catalog: DataFrame, k: int = 5, query: str = "query_id", tool: str = "tool_id", text: str = "text") -> DataFrame:

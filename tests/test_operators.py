@@ -869,3 +869,27 @@ def test_pieces_of_batches():
     run = in_pieces(str.upper, pa.string(), 3)
     assert run(pa.array(["a", None, "b", "c", "", "d", "e"])).to_pylist() == ["A", None, "B", "C", "", "D", "E"]
     assert run(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_only_the_best_sets_list_their_tools(spark):
+    """Many tools with equal tokens: the best are found by sets of tokens, so that no candidate set is multiplied by its tools before they are ranked."""
+    from loomwright.operators import catalog
+
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choices("abcdef", k=3))
+    tools = [(rng.randint(1, 400), text()) for _ in range(400)]
+    queries = [(i, text()) for i in range(30)]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    got = sorted(tuple(r) for r in catalog.retrieve_global(frame(queries, "query_id"), frame(tools, "tool_id"), 4).select("query_id", "rank", "tool_id", "score").collect())
+    want = []
+    for q, a in queries:
+        scores = sorted((-len(set(a.split()) & set(b.split())), key) for key, b in tools if set(a.split()) & set(b.split()))
+        want += [(q, rank, key, -score) for rank, (score, key) in enumerate(scores[:4], 1)]
+    assert got == sorted(want)
+    pairs = spark.createDataFrame([("q", str(i)) for i in range(20)], "set string, tools string")
+    asked = spark.createDataFrame([("q", ["a"])], "set string, tokens array<string>")
+    kept = spark.createDataFrame([(str(i), ["a"], [i, i + 100, i + 200]) for i in range(20)], "set string, tokens array<string>, firsts array<long>")
+    scored = catalog._scored(pairs, asked, kept, 3)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number()") == 2 and plan.index("explode(firsts") < plan.rindex("Window [row_number()")
+    assert sorted(r["tool"] for r in scored.collect()) == [0, 1, 2]
