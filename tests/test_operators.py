@@ -893,3 +893,15 @@ def test_only_the_best_sets_list_their_tools(spark):
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [row_number()") == 2 and plan.index("explode(firsts") < plan.rindex("Window [row_number()")
     assert sorted(r["tool"] for r in scored.collect()) == [0, 1, 2]
+
+
+def test_events_are_dealt_by_size(spark, tmp_path):
+    """A table of one row group is read by one task; the rows are then dealt by the size of the table, so that no task of dumps_over_events grows with it."""
+    from loomwright.plans import tables
+
+    parts = {}
+    for name, n in (("small", 150_000), ("large", 600_000)):
+        rows = spark.range(n).select(F.col("id").alias("event_id"), F.md5(F.col("id").cast("string")).alias("event_type"), F.lit('{"k": 7}').alias("props"))
+        rows.coalesce(1).write.parquet(str(tmp_path / name / "events.parquet"))
+        parts[name] = tables.dumps_over_events(spark, str(tmp_path / name)).rdd.getNumPartitions()
+    assert parts["small"] > 8 and parts["large"] > 3 * parts["small"]
