@@ -1,44 +1,44 @@
 """Clicks credited with sales in a stateful stream (operator 11).
 
 Clicks and sales arrive in batches, each a start of one streaming query on one
-checkpoint. Two stateful steps follow each other:
-
-* ``Interval`` is the inner join of clicks and sales by client and time. It
-  holds what later rows may still match and emits matches eagerly, as partial
-  results (number of clicks, latest click), never as pairs. Time is cut into
-  cells of ``WIDTH``. A sale reaches back ``REACH``, a whole number of cells,
-  so it sees the end of one cell, the start of another, and all cells between.
-  Clicks of the two outer cells are found by binary search among the clicks of
-  that client and cell; for the cells between, clicks are added up by cell
-  before they are dealt out, and sales ask once for each cell. So a client with
-  any share of all rows is spread over as many groups as it has cells.
-* ``Credit`` takes these matches together with a sentinel for each sale. Its
-  entries are kept by sale_id, in buckets by client and cell; it adds up
-  counts, keeps the best click, and closes what the watermark has passed,
-  matched or not.
+checkpoint. Its state is an interval join of clicks and sales by client and
+time, held until the watermark closes a sale; what it emits then are partial
+results (number of clicks, latest click), never pairs, which the sink puts
+together for each sale. Time is cut into cells of ``WIDTH``. A sale reaches
+back ``REACH``, a whole number of cells, so it sees the end of one cell, the
+start of another, and all cells between:
+
+* Clicks of the two outer cells are found by binary search. Rows are dealt to
+  buckets by client and the cell's place within ``REACH``, which is the same for
+  both, so a click is sent and held once, and a client with any share of all
+  rows is spread over as many buckets as there are cells in ``REACH``.
+* For the cells between, clicks are added up by cell before they are dealt out
+  by client, and sales ask once for each cell: a client has no more of these
+  rows than there are cells in the batch's time.
 
 Buckets hold thousands of rows and keep their state as one value of packed
 arrays, as a call to the state store for each sale would cost more than all
-else. The watermark is made from the batches themselves, in microseconds:
-Spark's own is in milliseconds and forgets on a restart how far each side had
-come. A clock row in every batch wakes all buckets, also if nothing else comes.
+else. The store is the one in the executor's heap: a RocksDB store leaves
+half a MB of native statistics behind each time that it is opened, and a start
+opens one for each partition. The watermark is made from the batches
+themselves, in microseconds: Spark's own is in milliseconds and forgets on a
+restart how far each side had come. A clock row in every batch wakes all
+buckets, also if nothing else comes.
 """
 
 from __future__ import annotations
 
-import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .common import shared_folder, tasks
+from .common import shared_folder, splitmix, tasks
 
 BATCHES = 12
 HOUR = 3_600_000_000
@@ -47,15 +47,17 @@ WIDTH = HOUR // 6  #: microseconds of a cell
 CELLS = REACH // WIDTH
 LATE_HOURS = 240  #: a quarter of the rows arrives so much later
 BUCKET_ROWS = 8000  #: rows of a batch in one bucket, about
+PART_BUCKETS = 8  #: buckets in a partition of the state, about
 NEVER, ALWAYS = -(1 << 62), 1 << 62
 MISSING = -(1 << 63)  #: stands for a null id inside the stream
 
 CLOCK, CLICK, SALE = 0, 1, 2
 ROW = "kind int, client long, t long, id long, n long, born int"
-BEGIN, END, SOLD, CELL, ASK = 1, 2, 3, 4, 5  # kinds of rows that Interval gets, besides CLOCK
-ROUTED = "kind int, client long, cell long, home long, t long, id long, n long, born int"
-MATCH, BETWEEN, SENTINEL = 1, 2, 3  # kinds of rows that Credit gets, besides CLOCK
-MATCHED = "kind int, client long, cell long, id long, t long, born int, n long, best_t long, best_id long"
+BEGIN, END = 1, 2  # what a click is for a sale: in its own cell, or CELLS cells before it
+SOLD, CELL, ASK, LATE = 2, 3, 4, 5  # kinds of rows in buckets, besides CLOCK and CLICK
+ROUTED = "bucket int, kind int, client long, t long, id long, n long"
+STATE = "clicks binary, sales binary, cells binary, asks binary"
+PARTIAL = "kind long, client long, cell long, id long, copies long, n long, t long, best long"
 CLOSED = "sale_id long, late boolean, click_id long, n_clicks long"
 
 
@@ -194,180 +196,122 @@ def between(cells: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return n, t, ids
 
 
-def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the stream to what ``Interval`` gets; clicks are added up by cell, sales ask once for a cell."""
+def route(watermark: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of the stream to rows of buckets; clicks are added up by cell, sales ask once for a cell, clicks before the watermark are left out."""
     names = [x.split()[0] for x in ROUTED.split(", ")]
 
-    def rows(kind: int, client, cell, home, t, ids, n, born) -> list[np.ndarray]:
-        size = len(client)
-        return [np.broadcast_to(np.asarray(x, np.int32 if i in (0, 7) else np.int64), size) for i, x in enumerate((kind, client, cell, home, t, ids, n, born))]
-
-    for b in batches:
-        kind, client, t, ids, n, born = (np.asarray(b.column(c)) for c in ("kind", "client", "t", "id", "n", "born"))
-        cell = t // WIDTH
-        out = []
-        c = np.flatnonzero(kind == CLICK)
-        if len(c):
-            out.append(rows(BEGIN, client[c], cell[c], cell[c], t[c], ids[c], 1, 0))
-            out.append(rows(END, client[c], cell[c] + CELLS, cell[c] + CELLS, t[c], ids[c], 1, 0))
-            (codes,) = numbered(np.stack((client[c], cell[c]), 1))
-            _, total, best_t, best_id = best_by(codes, np.ones(len(c), np.int64), t[c], ids[c])
-            first = c[np.unique(codes, return_index=True)[1]]
-            near, far = cell[first] // CELLS, (cell[first] + CELLS - 1) // CELLS
-            out.append(rows(CELL, client[first], cell[first], near, best_t, best_id, total, 0))
-            two = far != near
-            out.append(rows(CELL, client[first][two], cell[first][two], far[two], best_t[two], best_id[two], total[two], 0))
-        s = np.flatnonzero(kind == SALE)
-        if len(s):
-            out.append(rows(SOLD, client[s], cell[s], cell[s], t[s], ids[s], n[s], born[s]))
-            asks = np.unique(np.stack((client[s], cell[s]), 1), axis=0)
-            out.append(rows(ASK, asks[:, 0], asks[:, 1], asks[:, 1] // CELLS, 0, 0, 0, 0))
-        for columns in out:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
-
-
-class Interval(StatefulProcessor):
-    """The join of a bucket: what is new meets all that is held, what is held meets what is new."""
-
-    def __init__(self, watermark: int) -> None:
-        self.watermark = watermark
-
-    def init(self, handle) -> None:
-        self.held = handle.getValueState("held", "clicks binary, sales binary, cells binary, asks binary")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        pick = lambda kinds, *columns: new.loc[new["kind"].isin(kinds), list(columns)].to_numpy(np.int64)
-        alive = self.watermark // WIDTH  # the first cell that a sale to come, or an open one, may be in
-        old = self.held.get() if self.held.exists() else (b"", b"", b"", b"")
-        clicks, sales, cells, asks = (unpacked(x, width) for x, width in zip(old, (5, 5, 6, 2), strict=True))
-        clicks, asks = clicks[clicks[:, 1] >= alive], asks[asks[:, 1] >= alive]
-        sales = sales[sales[:, 2] >= self.watermark]
-        cells = cells[(cells[:, 2] > alive - CELLS) & ((cells[:, 1] + 1) * CELLS > alive)]
-        new_clicks, new_sales = pick((BEGIN, END), "client", "cell", "kind", "t", "id"), pick((SOLD,), "client", "cell", "t", "id", "born")
-        new_cells, new_asks = pick((CELL,), "client", "home", "cell", "n", "t", "id"), pick((ASK,), "client", "cell")
-        new_asks = np.unique(new_asks, axis=0)
-        if len(asks) and len(new_asks):
-            known, asked = numbered(asks, new_asks)
-            new_asks = new_asks[~np.isin(asked, known)]
-        all_clicks, all_cells = np.concatenate((clicks, new_clicks)), np.concatenate((cells, new_cells))
-        for some, against in ((new_sales, all_clicks), (sales, new_clicks)):
-            n, t, ids = edges(against, some)
-            hit = n > 0
-            if hit.any():
-                yield self.frame(MATCH, some[hit, 0], some[hit, 1], some[hit, 3], some[hit, 2], some[hit, 4], n[hit], t[hit], ids[hit])
-        for some, against in ((new_asks, all_cells), (asks, new_cells)):
-            n, t, ids = between(against, some)
-            hit = n > 0
-            if hit.any():
-                yield self.frame(BETWEEN, some[hit, 0], some[hit, 1], 0, 0, 0, n[hit], t[hit], ids[hit])
-        keep = (all_clicks[all_clicks[:, 1] >= alive], np.concatenate((sales, new_sales)), all_cells, np.concatenate((asks, new_asks)))
-        if self.watermark == ALWAYS or not any(map(len, keep)):
-            self.held.clear()
-        else:
-            self.held.update(tuple(map(packed, keep)))
-
-    @staticmethod
-    def frame(kind, client, cell, ids, t, born, n, best_t, best_id) -> pd.DataFrame:
-        names = [x.split()[0] for x in MATCHED.split(", ")]
-        return pd.DataFrame(dict(zip(names, (np.int32(kind), client, cell, ids, t, born, n, best_t, best_id), strict=True))).astype({"kind": np.int32, "born": np.int32})
-
-    def close(self) -> None:
-        pass
-
-
-class Credit(StatefulProcessor):
-    """Open sales of a bucket by sale_id, with their count and best click; those before the watermark are emitted."""
-
-    def __init__(self, watermark: int) -> None:
-        self.watermark = watermark
-
-    def init(self, handle) -> None:
-        self.held = handle.getValueState("held", "sales binary, groups binary")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        old = self.held.get() if self.held.exists() else (b"", b"")
-        # Sales are (client, cell, id, t, born; copies, n, best_t, best_id), groups (client, cell; n, best_t, best_id).
-        sales, groups = unpacked(old[0], 9), unpacked(old[1], 5)
-        pick = lambda kind, *columns: new.loc[new["kind"] == kind, list(columns)].to_numpy(np.int64)
-        own = ("client", "cell", "id", "t", "born")
-        sentinels, matches = pick(SENTINEL, *own, "n"), pick(MATCH, *own, "n", "best_t", "best_id")
-        nothing = np.tile(np.array([[0, NEVER, 0]]), (len(sentinels), 1))
-        no_copy = np.zeros((len(matches), 1), np.int64)
-        sales = self.merged(np.concatenate((sales, np.hstack((sentinels, nothing)), np.hstack((matches[:, :5], no_copy, matches[:, 5:])))))
-        deltas = pick(BETWEEN, "client", "cell", "n", "best_t", "best_id")
-        groups = np.concatenate((groups, deltas))
-        if len(groups):
-            (codes,) = numbered(groups[:, :2])
-            own_group = groups[np.unique(codes, return_index=True)[1], :2]
-            groups = np.hstack((own_group, np.stack(best_by(codes, groups[:, 2], groups[:, 3], groups[:, 4])[1:], 1)))
-        done = sales[:, 3] < self.watermark
+    def rows(kind: int, bucket, client, t, ids, n) -> pa.RecordBatch:
+        columns = [np.broadcast_to(np.asarray(x, np.int32 if i < 2 else np.int64), len(t)) for i, x in enumerate((bucket, kind, client, t, ids, n))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+
+    def bucket(client: np.ndarray, cell: np.ndarray | None = None) -> np.ndarray:
+        h = splitmix(client.astype(np.uint64))
+        if cell is not None:
+            h = splitmix(h ^ (cell % CELLS + 1).astype(np.uint64))
+        return h % np.uint64(buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, client, t, ids, n = (np.asarray(b.column(c)) for c in ("kind", "client", "t", "id", "n"))
+            cell = t // WIDTH
+            if (kind == CLOCK).any():
+                yield rows(CLOCK, np.arange(buckets), 0, np.zeros(buckets, np.int64), 0, 0)
+            c = np.flatnonzero((kind == CLICK) & (t >= watermark))
+            if len(c):
+                yield rows(CLICK, bucket(client[c], cell[c]), client[c], t[c], ids[c], 1)
+                (codes,) = numbered(np.stack((client[c], cell[c]), 1))
+                _, total, best_t, best_id = best_by(codes, np.ones(len(c), np.int64), t[c], ids[c])
+                who = client[c][np.unique(codes, return_index=True)[1]]
+                yield rows(CELL, bucket(who), who, best_t, best_id, total)
+            for which, late in ((SOLD, False), (LATE, True)):
+                s = np.flatnonzero((kind == SALE) & ((t < watermark) == late))
+                if len(s):
+                    yield rows(which, bucket(client[s], cell[s]), client[s], t[s], ids[s], n[s])
+            s = np.flatnonzero((kind == SALE) & (t >= watermark))
+            if len(s):
+                asks = np.unique(np.stack((client[s], cell[s]), 1), axis=0)
+                yield rows(ASK, bucket(asks[:, 0]), asks[:, 0], asks[:, 1] * WIDTH, 0, 0)
+
+    return run
+
+
+def interval(watermark: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The join of a bucket: holds clicks and sales, and emits what the sales that the watermark has passed get from it."""
+    alive = watermark // WIDTH  # the first cell that a sale to come, or one still open, may be in
+    closing = (watermark - 1) // WIDTH  # the last cell with sales that close
+
+    def partial(kind: int, client, cell, ids, copies, n, t, best) -> pd.DataFrame:
+        names = [x.split()[0] for x in PARTIAL.split(", ")]
+        return pd.DataFrame({k: np.broadcast_to(np.asarray(x, np.int64), len(client)) for k, x in zip(names, (kind, client, cell, ids, copies, n, t, best), strict=True)})
+
+    def closed(sales: np.ndarray, clicks: np.ndarray) -> pd.DataFrame:
+        cell = sales[:, 1] // WIDTH
+        low, high = cell.min(), cell.max()
+        views = []
+        for kind, shift in ((BEGIN, 0), (END, CELLS)):
+            seen = clicks[:, 1] // WIDTH + shift
+            some = (seen >= low) & (seen <= high)
+            c, seen = clicks[some], seen[some]
+            views.append(np.stack((c[:, 0], seen, np.full(len(c), kind), c[:, 1], c[:, 2]), 1))
+        n, t, best = edges(np.concatenate(views), np.stack((sales[:, 0], cell, sales[:, 1]), 1))
+        return partial(SOLD, sales[:, 0], cell, sales[:, 2], sales[:, 3], n, t, best)
+
+    def answered(asks: np.ndarray, cells: np.ndarray) -> pd.DataFrame:
+        cell = cells[:, 2] // WIDTH
+        some = (cell > asks[:, 1].min() - CELLS) & (cell < asks[:, 1].max())
+        c, cell = cells[some], cell[some]
+        near, far = cell // CELLS, (cell + CELLS - 1) // CELLS
+        sums = np.concatenate([np.stack((c[:, 0], home, cell, c[:, 1], c[:, 2], c[:, 3]), 1)[pick] for home, pick in ((near, near == near), (far, far != near))])
+        n, t, best = between(sums, asks)
+        hit = n > 0
+        return partial(ASK, asks[hit, 0], asks[hit, 1], 0, 0, n[hit], t[hit], best[hit])
+
+    def run(key: tuple, tables: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        new = np.concatenate([x[["kind", "client", "t", "id", "n"]].to_numpy(np.int64) for x in tables])
+        pick = lambda kind, *columns: new[new[:, 0] == kind][:, columns]
+        old = state.get if state.exists else (b"", b"", b"", b"")
+        clicks, sales, cells, asks = (unpacked(x, width) for x, width in zip(old, (3, 4, 4, 2), strict=True))
+        clicks = np.concatenate((clicks, pick(CLICK, 1, 2, 3)))  # client, t, id
+        sales = np.concatenate((sales, pick(SOLD, 1, 2, 3, 4)))  # client, t, id, copies
+        cells = np.concatenate((cells, pick(CELL, 1, 4, 2, 3)))  # client, n, latest t, id
+        asks = np.concatenate((asks, pick(ASK, 1, 2) // (1, WIDTH)))  # client, cell
+        late = pick(LATE, 1, 2, 3, 4)
+        if len(late):
+            yield partial(LATE, late[:, 0], late[:, 1] // WIDTH, late[:, 2], late[:, 3], 0, NEVER, MISSING)
+        done = sales[:, 1] < watermark
         if done.any():
-            yield self.closed(sales[done], groups)
-        sales, groups = sales[~done], groups[groups[:, 1] >= self.watermark // WIDTH]
-        if len(sales) or len(groups):
-            self.held.update((packed(sales), packed(groups)))
-        else:
-            self.held.clear()
-
-    @staticmethod
-    def merged(rows: np.ndarray) -> np.ndarray:
-        """One row for each sale: copies and counts added up, the best click kept."""
-        if not len(rows):
-            return rows
-        (codes,) = numbered(rows[:, :5])
-        first = np.unique(codes, return_index=True)[1]
-        copies = np.bincount(codes, rows[:, 5], len(first)).astype(np.int64)
-        _, n, t, ids = best_by(codes, rows[:, 6], rows[:, 7], rows[:, 8])
-        return np.hstack((rows[first, :5], np.stack((copies, n, t, ids), 1)))
-
-    @staticmethod
-    def closed(sales: np.ndarray, groups: np.ndarray) -> pd.DataFrame:
-        n, t, ids = sales[:, 6].copy(), sales[:, 7].copy(), sales[:, 8].copy()
-        if len(groups):
-            of_sale, of_group = numbered(sales[:, :2], groups[:, :2])
-            order = np.argsort(of_group)
-            at = order[np.minimum(np.searchsorted(of_group[order], of_sale), len(order) - 1)]
-            has = of_group[at] == of_sale
-            g = groups[at]
-            n += np.where(has, g[:, 2], 0)
-            better = has & ((g[:, 3] > t) | ((g[:, 3] == t) & (g[:, 4] < ids)))
-            t, ids = np.where(better, g[:, 3], t), np.where(better, g[:, 4], ids)
-        each = np.repeat(np.arange(len(sales)), sales[:, 5])
-        return pd.DataFrame({"sale_id": sales[each, 2], "late": False, "click_id": np.where(n > 0, ids, MISSING)[each], "n_clicks": n[each]})
-
-    def close(self) -> None:
-        pass
+            yield closed(sales[done], clicks)
+        due = asks[:, 1] <= closing
+        if due.any():
+            yield answered(np.unique(asks[due], axis=0), cells)
+        keep = (clicks[clicks[:, 1] // WIDTH + CELLS >= alive], sales[~done], cells[cells[:, 2] // WIDTH + CELLS > alive], np.unique(asks[asks[:, 1] >= alive], axis=0))
+        if watermark != ALWAYS and any(map(len, keep)):
+            state.update(tuple(map(packed, keep)))
+        elif state.exists:
+            state.remove()
+
+    return run
 
 
 def attribution_stream(rows: DataFrame, watermark: int, buckets: int) -> DataFrame:
-    """The streaming query of one start: rows of ROW to closed and late sales (CLOSED)."""
-    # The worker that Spark starts beside the driver to ask for the state's schema has none of the files sent to executors.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    on_time = rows.filter((F.col("kind") != CLOCK) & (F.col("t") >= watermark)).withColumn("cell", F.expr(f"(t - pmod(t, {WIDTH}L)) div {WIDTH}L"))
-    late = rows.filter((F.col("kind") == SALE) & (F.col("t") < watermark)).select(F.col("id").alias("sale_id"), F.lit(True).alias("late"), F.lit(MISSING).alias("click_id"), F.lit(0).cast("long").alias("n_clicks"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).drop("copy")
-    every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")
-    nothing = lambda names: [F.lit(0).cast(kind).alias(name) for name, kind in (x.split() for x in names.split(", "))]
-    wake = rows.filter(F.col("kind") == CLOCK)
-    bucket = lambda *by: F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int").alias("bucket")
-
-    routed = on_time.repartition("client", "cell").mapInArrow(route, ROUTED).select("*", bucket("client", "home", F.col("kind") >= CELL))
-    joined = (
-        routed.unionByName(wake.select(*nothing(ROUTED), every))
-        .groupBy("bucket")
-        .transformWithStateInPandas(Interval(watermark), MATCHED, "Append", "None")
-        .select("*", bucket("client", "cell"))
-    )
-    sentinels = on_time.filter(F.col("kind") == SALE).select(F.lit(SENTINEL).alias("kind"), "client", "cell", "id", "t", "born", "n", F.lit(0).cast("long").alias("best_t"), F.lit(0).cast("long").alias("best_id"), bucket("client", "cell"))
-    closed = joined.unionByName(sentinels).unionByName(wake.select(*nothing(MATCHED), every)).groupBy("bucket").transformWithStateInPandas(Credit(watermark), CLOSED, "Append", "None")
-    return closed.unionByName(late)
+    """The streaming query of one start: rows of ROW to partial results (PARTIAL) of the sales that it emits."""
+    return rows.mapInArrow(route(watermark, buckets), ROUTED).groupBy("bucket").applyInPandasWithState(interval(watermark), PARTIAL, STATE, "Append", GroupStateTimeout.NoTimeout)
+
+
+def whole(partials: DataFrame) -> DataFrame:
+    """Partial results of one batch to its closed and late sales (CLOSED): each sale gets what its own cells and the cells between have."""
+    own = Window.partitionBy("client", "cell")
+    df = partials.withColumn("mid", F.max(F.when(F.col("kind") == ASK, F.struct("t", "n", "best"))).over(own)).filter(F.col("kind") != ASK)
+    late = F.col("kind") == LATE
+    n = F.when(late, 0).otherwise(F.col("n") + F.coalesce("mid.n", F.lit(0)))
+    click = F.when(F.col("mid.t") > F.col("t"), F.col("mid.best")).otherwise(F.col("best"))
+    df = df.select(F.col("id").alias("sale_id"), late.alias("late"), F.when(n > 0, click).otherwise(MISSING).alias("click_id"), n.cast("long").alias("n_clicks"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return df.drop("copy")
 
 
 SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    # A start has one micro-batch: a store that stayed open after it would only take disk.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
+    # A start has one micro-batch: a store that stayed open after it would only take memory.
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
@@ -379,7 +323,7 @@ def _feed(spark: SparkSession, folder: str, marks: list[int], buckets: int) -> N
         rows = spark.readStream.schema(ROW).parquet(f"{folder}/in/part={{{seen}}}")
 
         def write(batch: DataFrame, number: int, k: int = k) -> None:
-            batch.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{folder}/out/{k}/{number}")
+            whole(batch).withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{folder}/out/{k}/{number}")
 
         query = attribution_stream(rows, watermark, buckets).writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
         try:
@@ -401,15 +345,18 @@ def attributed_sales(clicks: DataFrame, sales: DataFrame) -> DataFrame:
     folder = f"{shared_folder(spark)}/attribution-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    spread = F.pmod(F.xxhash64("client", "t"), F.lit(max(1, tasks(spark) // BATCHES)))
-    in_batches(clicks, sales).repartition("part", spread).write.partitionBy("part").parquet(f"{folder}/in")
+    spread = F.pmod(F.xxhash64("client", F.floor(F.col("t") / WIDTH)), F.lit(max(1, spark.sparkContext.defaultParallelism // 2, tasks(spark) // BATCHES)))
+    # Clicks of a cell come together, so that they are added up in one place.
+    in_batches(clicks, sales).repartition("part", spread).sortWithinPartitions("part", "kind", "client", "t").write.partitionBy("part").parquet(f"{folder}/in")
     clock = spark.createDataFrame([(CLOCK, 0, 0, 0, 0, b, b) for b in range(BATCHES + 1)], f"{ROW}, part int")
     clock.coalesce(1).write.mode("append").partitionBy("part").parquet(f"{folder}/in")
     furthest = spark.read.schema(f"{ROW}, part int").parquet(f"{folder}/in").filter(F.col("kind") != CLOCK).groupBy("part", "kind").agg(F.max("t").alias("t"), F.count("*").alias("rows")).collect()
     buckets = max(1, -(-sum(r["rows"] for r in furthest) // (BATCHES * BUCKET_ROWS)))
-    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    parts = min(tasks(spark), max(spark.sparkContext.defaultParallelism, -(-buckets // PART_BUCKETS)))
+    settings = SETTINGS | {"spark.sql.shuffle.partitions": str(parts)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        for k, v in SETTINGS.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         _feed(spark, folder, watermarks([(r["part"], r["kind"], r["t"]) for r in furthest]), buckets)
     finally:

@@ -8,9 +8,11 @@ from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import oracle_rows, rows_of
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from loomwright.llm import attribution, heap_lloyd, line_dedup, queries
 
@@ -116,6 +118,60 @@ def test_partial_matches_equal_pairs():
             assert max((best_t[i], -best_id[i]), (mid_t[i], -mid_id[i])) == max(mine)
 
 
+def test_a_start_opens_one_store_a_partition_and_none_of_rocksdb(spark):
+    """Spark leaves half a MB of native memory behind each time that a RocksDB store is opened, so executors grew with starts, partitions and stateful steps."""
+    seen = []
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            seen.append([(s.operatorName, s.numShufflePartitions, [k for k in s.customMetrics if "rocksdb" in k.lower()]) for s in event.progress.stateOperators])
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            pass
+
+    listener = Listener()
+    clicks = [(i, BEGIN + timedelta(hours=i), BEGIN + timedelta(hours=i), i % 3) for i in range(50)]
+    sales = [(i, i % 3, BEGIN + timedelta(hours=i), BEGIN + timedelta(hours=i)) for i in range(50)]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.streams.addListener(listener)
+    try:
+        assert attributed(spark, clicks, sales) == plain_attribution(clicks, sales)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.streams.removeListener(listener)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    states = [x for x in seen if x]
+    assert len(states) == attribution.BATCHES + 1
+    assert all(len(x) == 1 and x[0][1] == 8 and not x[0][2] for x in states)
+
+
+def test_clicks_are_dealt_once_and_one_client_to_many_buckets():
+    """A click is one row and adds to one sum of its cell; late rows and the clock go where they belong."""
+    rng = np.random.default_rng(4)
+    t = np.sort(rng.integers(-attribution.REACH, 3 * attribution.REACH, 4000))
+    names = [x.split()[0] for x in attribution.ROW.split(", ")]
+    kind = np.where(np.arange(4000) % 4 == 3, attribution.SALE, attribution.CLICK)
+    kind[0] = attribution.CLOCK
+    columns = (kind.astype(np.int32), np.full(4000, 7), t, np.arange(4000), np.ones(4000, np.int64), np.zeros(4000, np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+    out = pa.Table.from_batches(list(attribution.route(0, 50)(iter([batch])))).to_pandas()
+    of = {k: out[out["kind"] == k] for k in range(6)}
+    on_time, clicks, sales = t >= 0, kind == attribution.CLICK, kind == attribution.SALE
+    assert sorted(of[attribution.CLICK]["id"]) == np.flatnonzero(on_time & clicks).tolist() and of[attribution.CLICK]["bucket"].nunique() == 50
+    assert of[attribution.CELL]["n"].sum() == len(of[attribution.CLICK]) and len(of[attribution.CELL]) == len(np.unique(t[on_time & clicks] // attribution.WIDTH))
+    assert sorted(of[attribution.SOLD]["id"]) == np.flatnonzero(on_time & sales).tolist() and sorted(of[attribution.LATE]["id"]) == np.flatnonzero(~on_time & sales).tolist()
+    assert sorted(of[attribution.CLOCK]["bucket"]) == list(range(50))
+    again = out[out["kind"].isin((attribution.CLICK, attribution.SOLD))]
+    assert (again.groupby(again["t"] // attribution.WIDTH % attribution.CELLS)["bucket"].nunique() == 1).all()
+
+
 # Operator 12
 
 
