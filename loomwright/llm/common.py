@@ -24,6 +24,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``cut``, after which the driver collects its garbage.
+
+    Spark forgets shuffles and broadcasts of steps that are over only then, and
+    a heap that grows from step to step is kept by the JVM, however little of
+    it is in use. For operators of many steps.
+    """
+    out = cut(df)
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two shuffled sides, neither of which is ever collected by the driver to be broadcast, as adaptive execution would do with small ones: many small ones at once, of tables that grow, fill its memory."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder in use, set first if need be."""
     context = spark.sparkContext

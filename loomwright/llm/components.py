@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import merged, settled
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,27 +23,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def normal(df: DataFrame, x, y) -> DataFrame:
         return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a < b").distinct()
 
-    left = cut(normal(edges, F.col(a), F.col(b)))
+    left = settled(normal(edges, F.col(a), F.col(b)))
     nodes = None
     while True:
         if left.isEmpty():
             break
         both = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("e")).select("e.*")
         step = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to"))
-        step = cut(step)
+        step = settled(step)
         moving = True
         while moving:
             further = step.select(F.col("node").alias("to"), F.col("to").alias("far"))
-            step = cut(step.join(further, "to").select("node", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+            step = settled(merged(step, further, "to").select("node", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
             moving = not step.filter("moved").isEmpty()
         step = step.select("node", F.col("to").alias("root"))
         if nodes is None:
             nodes = step
         else:
-            nodes = cut(nodes.join(step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+            nodes = settled(merged(nodes, step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         for end in ("a", "b"):
-            left = left.join(step.select(F.col("node").alias(end), F.col("root").alias("to")), end).drop(end).withColumnRenamed("to", end)
-        left = cut(normal(left, F.col("a"), F.col("b")))
+            left = merged(left, step.select(F.col("node").alias(end), F.col("root").alias("to")), end).drop(end).withColumnRenamed("to", end)
+        left = settled(normal(left, F.col("a"), F.col("b")))
     if nodes is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, in_pieces, splitmix, text_or_empty, word_hashes
+from .common import in_pieces, merged, settled, splitmix, text_or_empty, word_hashes
 from .components import components
 
 TREES, DEPTH = 20, 4
@@ -146,7 +146,7 @@ def _agreeing(least: int):
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, and what else they carry) whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = merged(merged(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a"), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select(*pairs.columns)
 
@@ -238,10 +238,10 @@ def classes(docs: DataFrame, percent: int = 85, key: Column | None = None) -> Da
     ``key`` (null by default) is handed on, to find a row again.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), (F.lit(None) if key is None else key).cast("binary").alias("key"))
-    signed = cut(source.mapInArrow(in_pieces(_sign), "doc_id long, key binary, n long, print binary, signature binary").withColumn("at", F.monotonically_increasing_id()))
+    signed = settled(source.mapInArrow(in_pieces(_sign), "doc_id long, key binary, n long, print binary, signature binary").withColumn("at", F.monotonically_increasing_id()))
     some = signed.filter("n > 0 AND doc_id IS NOT NULL")
     # One node for each distinct set: copies never meet in a pair.
-    nodes = cut(some.groupBy("print").agg(F.min("at").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")))
+    nodes = settled(some.groupBy("print").agg(F.min("at").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")))
 
     depth, agree = bounds(percent)
     twice = F.concat("signature", "signature")
@@ -249,18 +249,18 @@ def classes(docs: DataFrame, percent: int = 85, key: Column | None = None) -> Da
     posted = nodes.select("node", "n", trees.alias("t")).select("t.region", "t.deeper", "node", "n")
     # The trees' orders are cut into ranges, so that a region with very many sets lies in several tasks.
     order = ["region", "deeper", "node"]
-    walked = cut(posted.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk(percent), _WALKED))
+    walked = settled(posted.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk(percent), _WALKED))
     met = walked.drop("deeper", "n").unionByName(_across(walked.filter("kind = 'edge'"), percent))
     found = met.filter("kind = 'pair'").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     signs = nodes.select("node", "signature")
-    pairs = found.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(signs.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-    pairs = cut(pairs.select("a", "b", "sa", "sb").mapInArrow(_agreeing(agree), "a long, b long"))
+    pairs = merged(merged(found, signs.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a"), signs.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+    pairs = settled(pairs.select("a", "b", "sa", "sb").mapInArrow(_agreeing(agree), "a long, b long"))
 
     crowds = met.filter("kind = 'crowd'").select("region", "node").distinct()
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowds.select("node")).distinct()
-    wanted = needed.join(nodes.select("node", "doc_id", "print"), "node")
-    sets = source.join(wanted, "doc_id").select("node", "print", "text").mapInArrow(in_pieces(_full_sets), "node long, shingles array<long>")
-    sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    wanted = merged(needed, nodes.select("node", "doc_id", "print"), "node")
+    sets = merged(source, wanted, "doc_id").select("node", "print", "text").mapInArrow(in_pieces(_full_sets), "node long, shingles array<long>")
+    sets = settled(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     roots = components(_confirmed(pairs, sets, percent))
     # Links found late join whole components, so only these are gone through again.
@@ -269,12 +269,12 @@ def classes(docs: DataFrame, percent: int = 85, key: Column | None = None) -> Da
 
     # A component or a group of copies can hold a third of all rows; it is then the long side of these joins, which adaptive
     # execution splits. It can do so as the short side is read from a table (here and in _rest) or shuffled, not aggregated in place.
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(above, "root", "left").select("print", "doc_id", F.coalesce("top", "root").alias("component"))
-    least = cut(rooted.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    named = rooted.join(least, "component").select("print", "component_id", "component")
+    rooted = merged(merged(nodes, roots, "node", "left").withColumn("root", F.coalesce("root", "node")), above, "root", "left").select("print", "doc_id", F.coalesce("top", "root").alias("component"))
+    least = settled(rooted.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    named = merged(rooted, least, "component").select("print", "component_id", "component")
     columns = ["doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "component"]
     alone = signed.filter("n = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
-    return some.join(named, "print").select(*columns).unionByName(alone.select(*columns))
+    return merged(some, named, "print").select(*columns).unionByName(alone.select(*columns))
 
 
 def _rest(crowds: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -288,21 +288,21 @@ def _rest(crowds: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) ->
     shingles of these prefixes, and only where enough shingles are left behind
     the place. Shingles of one set alone take places but are never posted.
     """
-    member = crowds.join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
+    member = merged(crowds, roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
     share = member.groupBy("region", "root").agg(F.count("*").alias("n"))
-    mixed = cut(share.groupBy("region").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root")).alias("most")).filter("groups > 1").select("region", F.col("most.root").alias("main")))
-    open_sets = member.join(mixed, "region").groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("outside"))
-    open_sets = cut(open_sets.join(sets, "node"))
+    mixed = settled(share.groupBy("region").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root")).alias("most")).filter("groups > 1").select("region", F.col("most.root").alias("main")))
+    open_sets = merged(member, mixed, "region").groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("outside"))
+    open_sets = settled(merged(open_sets, sets, "node"))
     shingles = open_sets.select("node", F.explode("shingles").alias("shingle"))
-    times = cut(shingles.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1"))
-    ordered = shingles.join(times, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("known"))
-    placed = open_sets.select("node", "root", "outside", F.size("shingles").cast("long").alias("n")).join(ordered, "node").withColumn("alone", F.col("n") - F.size("known"))
+    times = settled(shingles.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1"))
+    ordered = merged(shingles, times, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("known"))
+    placed = merged(open_sets.select("node", "root", "outside", F.size("shingles").cast("long").alias("n")), ordered, "node").withColumn("alone", F.col("n") - F.size("known"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")
     posted = placed.filter(prefix > 0).select("node", "root", "outside", "n", "alone", F.posexplode(F.slice("known", F.lit(1), prefix.cast("int"))).alias("k", "x"))
-    posted = cut(posted.select("node", "root", "outside", "n", F.col("x.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("k")).alias("left")))
+    posted = settled(posted.select("node", "root", "outside", "n", F.col("x.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("k")).alias("left")))
     l, r = posted.filter("outside").alias("l"), posted.alias("r")
     may = F.expr(
         f"l.root <> r.root AND (NOT r.outside OR l.node < r.node) AND 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) "
         f"AND (100 + {percent}) * least(l.left, r.left) >= {percent} * (l.n + r.n)"
     )
-    return l.join(r, (F.col("l.shingle") == F.col("r.shingle")) & may).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.root").alias("root_a"), F.col("r.root").alias("root_b")).distinct()
+    return merged(l, r, (F.col("l.shingle") == F.col("r.shingle")) & may).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.root").alias("root_a"), F.col("r.root").alias("root_b")).distinct()

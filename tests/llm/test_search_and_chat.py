@@ -221,6 +221,20 @@ def test_rows_that_share_a_doc_id(spark, sf_dir):
     assert got == sorted([(5, one), (5, b), (4, c), (7, None), (7, None), (8, ""), (None, a), (None, a)], key=repr)
 
 
+def test_no_table_goes_through_the_driver(spark, sf_dir):
+    """No step of the near-duplicate stage collects a side of a join to broadcast it, however small the side is."""
+    import corpus_pipeline as p
+
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    p.dedup_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    after = store.executionsCount()
+    plans = [store.executionsList().apply(k).physicalPlanDescription() for k in range(before, after)]
+    assert any("Join" in x for x in plans) and not any("BroadcastExchange" in x for x in plans)
+
+
 def test_broken_run_goes_on(spark, sf_dir, tmp_path, monkeypatch):
     import corpus_pipeline as p
 
