@@ -60,11 +60,12 @@ def python_number(literal: Column) -> Column:
     """
 
     def shape(text: Column) -> Column:
-        part = lambda i: F.regexp_extract(text, r"^-?([0-9]+)(?:\.([0-9]+))?(?:[eE]\+?(-?[0-9]+))?$", i)
-        power = F.coalesce(part(3).try_cast("int"), F.lit(0))
-        whole = F.struct(F.concat(part(1), part(2)).alias("all"), (F.length(part(1)) + power).alias("point"))
+        plain = F.ltrim(F.upper(text), F.lit("-"))
+        power = F.when(F.contains(plain, F.lit("E")), F.substring_index(plain, "E", -1).try_cast("int")).otherwise(F.lit(0))
+        split = F.struct(F.substring_index(plain, "E", 1).alias("digits"), power.alias("power"))
+        whole = lambda x: F.struct(F.replace(x["digits"], F.lit("."), F.lit("")).alias("all"), (F.length(F.substring_index(x["digits"], ".", 1)) + x["power"]).alias("point"))
         bare = lambda x: F.struct(x["point"].alias("point"), F.length(x["all"]).alias("size"), F.ltrim(x["all"], F.lit("0")).alias("short"))
-        return let(let(whole, bare), lambda x: F.struct(F.rtrim(x["short"], F.lit("0")).alias("digits"), (x["point"] - x["size"] + F.length(x["short"])).alias("point")))
+        return let(let(let(split, whole), bare), lambda x: F.struct(F.rtrim(x["short"], F.lit("0")).alias("digits"), (x["point"] - x["size"] + F.length(x["short"])).alias("point")))
 
     def printed(x: Column) -> Column:
         digits, point, n = x["digits"], x["point"], F.length(x["digits"])
@@ -143,26 +144,45 @@ def texts(arguments: Column) -> Column:
 
 def entries(arguments: Column) -> Column:
     """Sorted (k, tag, text) of a JSON object; NULL if the text is none."""
-    return F.array_sort(listed(arguments))
+    return F.sort_array(listed(arguments))
+
+
+def opened(calls: Column) -> Column:
+    """Calls with the listed entries of their arguments instead of JSON text, NULL where they are no object; what several others name as a column, so that the text is read once."""
+    return F.transform(calls, lambda c: F.struct(c["name"].alias("name"), listed(c["arguments"]).alias("entries")))
+
+
+def ordered(opened: Column) -> Column:
+    """``canonical`` of opened calls."""
+    some = lambda c: F.coalesce(F.sort_array(c["entries"]), F.array().cast(ENTRIES))
+    return F.transform(opened, lambda c: F.struct(c["name"].alias("name"), some(c).alias("entries")))
 
 
 def canonical(calls: Column) -> Column:
     """Calls with sorted typed entries instead of JSON text; null or missing arguments are no entries."""
-    some = lambda c: F.coalesce(entries(c["arguments"]), F.array().cast(ENTRIES))
-    return F.transform(calls, lambda c: F.struct(c["name"].alias("name"), some(c).alias("entries")))
+    return ordered(opened(calls))
 
 
 def quoted(text: Column) -> Column:
-    """A JSON string literal, non-ASCII characters kept."""
+    """A JSON string literal, non-ASCII characters kept. Plain ASCII needs no escapes, so no JSON is written for it."""
+    return F.when(text.rlike(r"^[\x20\x21\x23-\x5b\x5d-\x7e]*\z"), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(_escaped(text))
+
+
+def _escaped(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
 
 
 def dumps(calls: Column) -> Column:
     """Compact JSON text of calls in canonical form: top-level argument keys sorted, nested order kept."""
+    return dumped(canonical(calls))
+
+
+def dumped(canonical: Column) -> Column:
+    """``dumps`` of calls in canonical form."""
     value = lambda e: F.when(e["tag"] == "STRING", quoted(e["text"])).when(e["tag"] == "VOID", F.lit("null")).otherwise(e["text"])
     entry = lambda e: F.concat(quoted(e["k"]), F.lit(":"), value(e))
     call = lambda c: F.concat(F.lit('{"name":'), quoted(c["name"]), F.lit(',"arguments":{'), F.array_join(F.transform(c["entries"], entry), ","), F.lit("}}"))
-    return F.concat(F.lit("["), F.array_join(F.transform(canonical(calls), call), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(canonical, call), ","), F.lit("]"))
 
 
 def loads(text: Column) -> Column:

@@ -15,9 +15,14 @@ TEMPLATES = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5}
 
 def grounded(query: Column, calls: Column) -> Column:
     """Whether the query tells every argument: strings of more than two characters and all numbers, without regard to punctuation; other values pass."""
-    told = lambda q, e: F.contains(q, glue(e["text"]))
-    fine = lambda q, e: F.when((e["tag"] == "STRING") & (F.length(e["text"]) > 2), told(q, e)).when(e["tag"].isin("INT", "FLOAT"), told(q, e)).otherwise(F.lit(True))
-    return let(glue(query), lambda q: F.forall(calls, lambda c: F.coalesce(F.forall(C.listed(c["arguments"]), lambda e: fine(q, e)), F.lit(False))))
+    return told(query, C.opened(calls))
+
+
+def told(query: Column, opened: Column) -> Column:
+    """``grounded`` of opened calls."""
+    said = lambda q, e: F.contains(q, glue(e["text"]))
+    fine = lambda q, e: F.when((e["tag"] == "STRING") & (F.length(e["text"]) > 2), said(q, e)).when(e["tag"].isin("INT", "FLOAT"), said(q, e)).otherwise(F.lit(True))
+    return let(glue(query), lambda q: F.forall(opened, lambda c: F.coalesce(F.forall(c["entries"], lambda e: fine(q, e)), F.lit(False))))
 
 
 def _first(errors: Column) -> Column:

@@ -263,14 +263,16 @@ _PRICES = ", ".join(f"""'"{k}":', {_FLOAT(f) if k != "whole" else _notation(f, "
 @query("prices_canonical", f"SELECT o_orderkey, concat('{{\"again\":', {_FLOAT(NOTATIONS['plain'])}, ',', {_PRICES}) AS arguments, true AS stated FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders)")
 def prices_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Arguments whose numbers are written in several ways, one of them under a repeated key; the query states each as it is printed."""
-    cents = table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("c"))
+    cents = dealt(spark.read.parquet(f"{d}/orders.parquet")).select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("c"))
     forms = {k: F.expr(_notation(f, "spark")) for k, f in NOTATIONS.items()}
     pairs = [x for k, v in forms.items() for x in (F.lit(f', "{k}": '), v)]
     given = F.concat(F.lit('{"again": {"x": 1}'), *pairs, F.lit(', "again": '), forms["plain"], F.lit("}"))
-    calls = C.loads(F.concat(F.lit('{"name": "pay", "arguments": '), given, F.lit("}")))
-    printed = F.regexp_extract(C.dumps(calls), r'"arguments":(.*)\}\]$', 1)
-    said = F.concat(F.lit("pay "), F.array_join(F.transform(C.listed(given), lambda e: e["text"]), " and "))
-    return cents.select("o_orderkey", printed.alias("arguments"), V.grounded(said, calls).alias("stated"))
+    # Columns that several others name, so each text is put together and read once.
+    rows = cents.select("o_orderkey", F.concat(F.lit('{"name": "pay", "arguments": '), given, F.lit("}")).alias("text"))
+    rows = rows.select("o_orderkey", C.opened(C.loads(F.col("text"))).alias("opened"))
+    printed = F.regexp_extract(C.dumped(C.ordered(F.col("opened"))), r'"arguments":(.*)\}\]$', 1)
+    said = F.concat(F.lit("pay "), F.array_join(F.transform(F.col("opened")[0]["entries"], lambda e: e["text"]), " and "))
+    return rows.select("o_orderkey", printed.alias("arguments"), V.told(said, F.col("opened")).alias("stated"))
 
 
 _WORDS = "list_sort(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')))"

@@ -905,3 +905,30 @@ def test_events_are_dealt_by_size(spark, tmp_path):
         rows.coalesce(1).write.parquet(str(tmp_path / name / "events.parquet"))
         parts[name] = tables.dumps_over_events(spark, str(tmp_path / name)).rdd.getNumPartitions()
     assert parts["small"] > 8 and parts["large"] > 3 * parts["small"]
+
+
+def test_prices_are_read_once_by_partitions_that_grow(spark, sf_dir, tmp_path):
+    """The text of prices_canonical is parsed once for all that is printed and stated of it: as a call, as arguments that are text, and as arguments. Its rows are dealt by the size of the table."""
+    from loomwright.plans import tables
+
+    plan = tables.prices_canonical(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 3
+    parts = {}
+    for name, n in (("small", 150_000), ("large", 600_000)):
+        rows = spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") / 100).alias("o_totalprice"), F.md5(F.col("id").cast("string")).alias("o_comment"))
+        rows.coalesce(1).write.parquet(str(tmp_path / name / "orders.parquet"))
+        parts[name] = tables.prices_canonical(spark, str(tmp_path / name)).rdd.getNumPartitions()
+    assert parts["small"] > 8 and parts["large"] > 3 * parts["small"]
+
+
+def test_opened_calls_give_the_same(spark):
+    """Printing and grounding of opened calls equal those of their text, where arguments are no object, too."""
+    from loomwright.operators import validate as V
+
+    given = ['{"b":1.50,"a":"x y z","b":2e3}', "{}", "[1]", '{"a":', None, '{"q\\"":"\\u00e9\\n","n":null}']
+    df = spark.createDataFrame([(g,) for g in given], "x string").withColumn("c", F.array(F.struct(F.lit('f"').alias("name"), F.col("x").alias("arguments"))))
+    df = df.withColumn("o", C.opened(F.col("c")))
+    q = F.lit("x y z 2000.0")
+    rows = df.select(C.dumps(F.col("c")).alias("a"), C.dumped(C.ordered(F.col("o"))).alias("b"), V.grounded(q, F.col("c")).alias("g"), V.told(q, F.col("o")).alias("t")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and [r["g"] for r in rows] == [r["t"] for r in rows] == [True, True, False, False, False, True]
+    assert rows[0]["a"] == '[{"name":"f\\"","arguments":{"a":"x y z","b":2000.0}}]' and rows[5]["a"] == '[{"name":"f\\"","arguments":{"n":null,"q\\"":"é\\n"}}]'
